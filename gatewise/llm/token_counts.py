@@ -104,7 +104,7 @@ def count_tokens(docs: DataFrame, file: str, ranks: str | None = None, cache: st
     miss = common.flagged(src, common.repeat_filter(misses, key, 1), key, "miss").filter("miss")
     often = common.flagged(miss, common.repeat_filter(keyed, key, 2), key, "often")
     once = often.filter("not often").select("digest", "text")
-    many = often.filter("often").join(misses.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
+    many = often.filter("often").groupBy("digest").agg(F.first("text").alias("text")).join(misses.select("digest"), "digest", "left_semi")
     encoded = once.unionByName(many).mapInArrow(_encode(file, ranks), "digest binary, n_tokens long")
     encoded.select("digest", F.lit(v).alias("version"), "n_tokens").write.mode("append").parquet(cache)
     counts = _read(spark, cache).filter(F.col("version") == v).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
