@@ -1,10 +1,12 @@
 """Operators of a training-data pipeline and their registered queries."""
 
-from . import exact_dedup, packing, quality_rules, token_counts
+from . import exact_dedup, packing, quality_rules, secrets, simhash, token_counts
 
 QUERIES = {
+    "op1_simhash": simhash.query,
     "op3_quality_rules": quality_rules.query,
     "op6_best_fit_packing": packing.query,
+    "op7_secret_scans": secrets.query,
     "op8_token_counts": token_counts.query,
     "op10_exact_dedup": exact_dedup.query,
 }
