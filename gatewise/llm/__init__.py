@@ -1,15 +1,19 @@
 """Operators of a training-data pipeline and their registered queries."""
 
-from . import exact_dedup, packing, quality_rules, secrets, simhash, token_counts
+from . import exact_dedup, language_id, mixing, packing, quality_classifier, quality_rules, secrets, simhash, token_counts
 
 QUERIES = {
     "op1_simhash": simhash.query,
+    "op2_mixing": mixing.query,
     "op3_quality_rules": quality_rules.query,
+    "op5_language_id": language_id.query,
     "op6_best_fit_packing": packing.query,
     "op7_secret_scans": secrets.query,
     "op8_token_counts": token_counts.query,
+    "op9_quality_classifier": quality_classifier.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 ORACLES = {
+    "op2_mixing": mixing.ORACLE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
 }
