@@ -1,11 +1,12 @@
 """Operators of a training-data pipeline and their registered queries."""
 
-from . import exact_dedup, language_id, mixing, packing, quality_classifier, quality_rules, secrets, simhash, token_counts
+from . import exact_dedup, language_id, lm_scoring, mixing, packing, quality_classifier, quality_rules, secrets, simhash, token_counts
 
 QUERIES = {
     "op1_simhash": simhash.query,
     "op2_mixing": mixing.query,
     "op3_quality_rules": quality_rules.query,
+    "op4_lm_scoring": lm_scoring.query,
     "op5_language_id": language_id.query,
     "op6_best_fit_packing": packing.query,
     "op7_secret_scans": secrets.query,

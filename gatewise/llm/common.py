@@ -94,6 +94,30 @@ def flagged(rows: DataFrame, words: DataFrame, key: Column, name: str) -> DataFr
     return on.withColumn(name, hit).drop("_word", "_mask")
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """Names a row by its id and a hash of its text."""
+    text = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).cast("string")
+    return F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), text)
+
+
+def kept_rows(docs: DataFrame, verdict: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs``, whole, whose key has a kept row in ``verdict`` (key,
+    kept); of rows that repeat id and text one stays.
+
+    Rows that a fixed-size filter of the others' keys clears pass where they
+    lie; only the rest is shuffled.
+    """
+    keys = verdict.groupBy("key").agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
+    touched = saved(keys.filter("not stays or n > 1"), "touched")
+    words = repeat_filter(touched, F.xxhash64("key"), 1)
+    rows = docs.select(F.struct("*").alias("row"), row_key(id_col, text_col).alias("key"))
+    rows = flagged(rows, words, F.xxhash64("key"), "touched")
+    calm = rows.filter("not touched").select("row.*")
+    rest = rows.filter("touched").select("row", "key").groupBy("key").agg(F.first("row").alias("row"))
+    rest = rest.join(touched.filter("not stays").select("key"), "key", "left_anti")
+    return calm.unionByName(rest.select("row.*"))
+
+
 def running(rows: DataFrame, group: str, order: Column, ties: list[str], value: Column, name: str) -> DataFrame:
     """``rows`` with long ``name``: the sum of ``value`` over the rows of the same
     ``group`` (not null) that come before, ordered by the hash ``order`` and ``ties``.

@@ -95,26 +95,37 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical; null counts as empty; of equal texts the
-    largest id stays (a null id only where no other is there; rows that repeat
-    that id with the same text are one document and all stay). Other columns
-    are ignored; an empty table gives an empty result.
+    largest id stays (a null id only where no other is there; of rows that
+    repeat that id one). Other columns are ignored; an empty table gives an
+    empty result.
     """
+    out = _verdict(docs, id_col, text_col, moduli, huge)
+    return out.select(F.col("id").alias(id_col), F.col("keep.id").alias("keep_id"), "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", moduli=MODULI, huge: int = HUGE) -> DataFrame:
+    """The rows of ``docs``, whole, that ``exact_dedup`` keeps."""
+    out = _verdict(docs, id_col, text_col, moduli, huge)
+    key = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("xx").cast("string"))
+    return common.kept_rows(docs, out.select(key.alias("key"), "kept"), id_col, text_col)
+
+
+def _verdict(docs: DataFrame, id_col: str, text_col: str, moduli, huge: int) -> DataFrame:
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = common.saved(fingerprints(src, moduli, huge), "fingerprints")
+    rows = common.saved(fingerprints(src, moduli, huge).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
     out = _classes(rows, KEYS)
     members = out.filter("group_size > 1")
     differ = common.saved(_differing(src, members, moduli, huge), "differ")
     if not differ.isEmpty():
         # Different texts share a fingerprint: their classes go by whole content.
         rest = out.join(differ, KEYS, "left_anti")
-        apart = out.join(differ, KEYS, "left_semi").drop("keep_id", "group_size")
+        apart = out.join(differ, KEYS, "left_semi").drop("keep", "group_size")
         out = rest.unionByName(_classes(common.saved(apart, "apart"), [*KEYS, "sha"]))
-    kept = F.col("id").eqNullSafe(F.col("keep_id"))
-    return out.select(F.col("id").alias(id_col), F.col("keep_id"), "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    return out.withColumn("kept", F.col("row") == F.col("keep.row"))
 
 
 def _classes(rows: DataFrame, keys: list[str]) -> DataFrame:
-    groups = rows.groupBy(*keys).agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = rows.groupBy(*keys).agg(F.max(F.struct("id", "row")).alias("keep"), F.count("*").alias("group_size"))
     return common.saved(common.join_groups(rows, common.saved(groups, "groups"), keys, "group_size"), "classes")
 
 

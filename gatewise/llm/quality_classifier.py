@@ -156,19 +156,31 @@ def fit(rows: DataFrame, sample: int = 24_000, shards: int = 4, epochs: int = 6,
     return Model(weights, np.maximum.accumulate(t), grades)
 
 
+def judged(model: Model, col: pa.Array, grade: int) -> tuple[np.ndarray, np.ndarray]:
+    """Expected grade, and probability of ``grade`` or better, of each text."""
+    p, grades = model.at_least(model.scores(col)), model.grades or [grade]
+    expected = grades[0] + p @ np.diff(grades) if p.shape[1] else np.full(len(p), float(grades[0]))
+    if grades[0] >= grade:
+        return expected, np.ones(len(p))
+    above = [k for k, g in enumerate(grades[1:]) if g >= grade]
+    return expected, p[:, above[0]] if above else np.zeros(len(p))
+
+
 def _predict(model: Model, grade: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = model.at_least(model.scores(batch.column("text")))
-            grades = model.grades or [0]
-            expected = grades[0] + p @ np.diff(grades) if p.shape[1] else np.full(len(p), float(grades[0]))
-            above = [k for k, g in enumerate(grades[1:]) if g >= grade]
-            tail = p[:, above[0]] if above else np.full(len(p), 1.0 if grades[0] >= grade or not model.grades else 0.0)
+            expected, tail = judged(model, batch.column("text"), grade)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(expected, pa.float64()), pa.array(tail, pa.float64())], names=["id", "expected_grade", "p_tail"])
 
     return run
 
 
+def _learnt(docs: DataFrame, ratings: DataFrame, id_col: str, text_col: str, rating_id: str, settings: dict) -> Model:
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    marks = ratings.filter(F.col(rating_id).isNotNull() & F.col("grade").isNotNull()).groupBy(F.col(rating_id).alias("id")).agg(F.min("grade").alias("grade"))
+    return fit(src.join(marks, "id"), **settings)
+
+
 def quality_classifier(docs: DataFrame, ratings: DataFrame, grade: int = 2, least: float = 0.4, id_col: str = "doc_id", text_col: str = "text", rating_id: str = "doc_id", **settings) -> DataFrame:
     """One row per row of ``docs``: id, expected_grade, p_tail (probability of
     ``grade`` or better), kept (p_tail >= ``least``).
@@ -179,14 +191,28 @@ def quality_classifier(docs: DataFrame, ratings: DataFrame, grade: int = 2, leas
     two grades to learn from, all is kept or, under a single lower grade, none.
     Null and repeated ids pass through; other columns are ignored.
     """
+    model = _learnt(docs, ratings, id_col, text_col, rating_id, settings)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    marks = ratings.filter(F.col(rating_id).isNotNull() & F.col("grade").isNotNull()).groupBy(F.col(rating_id).alias("id")).agg(F.min("grade").alias("grade"))
-    model = fit(src.join(marks, "id"), **settings)
     kind = src.schema["id"].dataType.simpleString()
     out = src.mapInArrow(_predict(model, grade), f"id {kind}, expected_grade double, p_tail double")
     return out.select(F.col("id").alias(id_col), "expected_grade", "p_tail", (F.col("p_tail") >= least).alias("kept"))
 
 
+def good_rows(docs: DataFrame, ratings: DataFrame, grade: int = 2, least: float = 0.4, id_col: str = "doc_id", text_col: str = "text", rating_id: str = "doc_id", **settings) -> DataFrame:
+    """The rows of ``docs``, whole, that ``quality_classifier`` keeps; they are
+    judged and passed on where they lie."""
+    model = _learnt(docs, ratings, id_col, text_col, rating_id, settings)
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, tail = judged(model, batch.column("text"), grade)
+            yield pa.RecordBatch.from_arrays([batch.column("row").filter(pa.array(tail >= least))], names=["row"])
+
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.mapInArrow(run, f"row {kind}").select("row.*")
+
+
 def graded(labels: DataFrame) -> DataFrame:
     """doc_id, grade of ``labels``: 0 toxic, 1 of low quality, 2 good."""
     grade: Column = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)

@@ -60,7 +60,7 @@ def _fingerprints(size: int):
             buf = memoryview(data)
             # bytes.split() parts at 0x20 and 0x09 to 0x0D
             out = [fingerprint(shingle_hashes(bytes(buf[a:b]).translate(lower).split(), size)) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.array(out, np.uint64).view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("xx"), pa.array(np.array(out, np.uint64).view(np.int64))], names=["id", "xx", "fp"])
 
     return run
 
@@ -162,17 +162,32 @@ def simhash_dedup(docs: DataFrame, radius: int = RADIUS, size: int = 3, id_col:
     is null where no other id is there); repeated rows are repeated; other
     columns are ignored; an empty table gives no rows.
     """
-    src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    out = _classes(docs, radius, size, id_col, text_col)
+    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component.id").alias("component_id"), "near")
+
+
+def without_near_copies(docs: DataFrame, radius: int = RADIUS, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, whole, that name their class: one of each."""
+    out = _classes(docs, radius, size, id_col, text_col)
+    key = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("xx").cast("string"))
+    kept = F.struct("id", "xx").eqNullSafe(F.col("component").dropFields("other"))
+    return common.kept_rows(docs, out.select(key.alias("key"), kept.alias("kept")), id_col, text_col)
+
+
+def _classes(docs: DataFrame, radius: int, size: int, id_col: str, text_col: str) -> DataFrame:
+    """id, xx (hash of the text), fp, near, and component: the least id of the
+    class (not null if there is one) and its text's hash."""
+    src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("xx", F.xxhash64("text"))
     kind = src.schema["id"].dataType.simpleString()
-    rows = common.saved(src.mapInArrow(_fingerprints(size), f"id {kind}, fp long"), "fingerprints")
-    prints = common.saved(rows.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "prints")
+    rows = common.saved(src.mapInArrow(_fingerprints(size), f"id {kind}, xx long, fp long"), "fingerprints")
+    name = F.struct(F.col("id").isNull().alias("other"), "id", "xx")  # null ids come last
+    prints = common.saved(rows.groupBy("fp").agg(F.min(name).alias("first"), F.count("*").alias("n")), "prints")
     roots = common.components(near_links(prints, radius))
     linked = common.saved(prints.join(roots, prints.fp == roots.v).select("fp", "root", "first", "n"), "linked")
     least = common.saved(linked.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("members")), "least")
     named = common.join_groups(linked.select("root", "fp"), least, ["root"], "members").select("fp", "component")
     table = prints.join(named, "fp", "left").select("fp", "n", F.coalesce("component", "first").alias("component"), F.col("component").isNotNull().alias("near"))
-    out = common.join_groups(rows, common.saved(table, "classes"), ["fp"], "n")
-    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"), "near")
+    return common.join_groups(rows, common.saved(table, "classes"), ["fp"], "n")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
