@@ -1,4 +1,6 @@
 """Name, query and SQL of every registered query of the core library."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import features, gating, images, plots, scalars, statistics, tables  # noqa: F401
+from .common import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
