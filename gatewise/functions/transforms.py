@@ -46,14 +46,21 @@ def _root(x: float) -> float:
     return math.sqrt(x) if x >= 0 else math.nan
 
 
+def asinh(x: Column) -> Column:
+    """Inverse hyperbolic sine, exact near 0 and for large negative values too."""
+    a = F.abs(x)
+    size = F.when(a > 1e150, F.ln(a) + math.log(2)).otherwise(F.log1p(a + a * a / (1 + F.sqrt(a * a + 1))))
+    return F.signum(x) * size
+
+
 #: Name: (column form, number form, name of the inverse).
 TRANSFORMS: dict[str, tuple[Callable, Callable, str]] = {
     "return": (lambda x: x, lambda x: x, "return"),
     "smoothLinLog": (lin_log, _lin_log, "inv_smoothLinLog"),
     "inv_smoothLinLog": (inverse_lin_log, _inverse_lin_log, "smoothLinLog"),
-    "smoothAsinh": (lambda x, hyper=1000.0: F.asinh(x / hyper), lambda x, hyper=1000.0: math.asinh(x / hyper), "inv_smoothAsinh"),
+    "smoothAsinh": (lambda x, hyper=1000.0: asinh(x / hyper), lambda x, hyper=1000.0: math.asinh(x / hyper), "inv_smoothAsinh"),
     "inv_smoothAsinh": (lambda x, hyper=1000.0: F.sinh(x) * hyper, lambda x, hyper=1000.0: math.sinh(x) * hyper, "smoothAsinh"),
-    "asinh": (F.asinh, math.asinh, "sinh"),
+    "asinh": (asinh, math.asinh, "sinh"),
     "sinh": (F.sinh, math.sinh, "asinh"),
     "sqrt": (F.sqrt, _root, "pow2"),
     "pow2": (lambda x: x * x, lambda x: x * x, "sqrt"),

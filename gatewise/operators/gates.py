@@ -209,24 +209,27 @@ def gate(region: Region, x: Column, y: Column | None = None, eps: float = EPSILO
     parts of dual and quad groups leave their upper bounds out. Ellipses and
     polygons are tested in transformed space, after their bounding box.
     ``tx`` and ``ty``: columns that hold the transformed axes already.
+
+    The null and NaN tests come first in each conjunction, so it is never null
+    and its bounds can still be pushed to the scan.
     """
     if region.type == "line":
         lo, hi = half(region.x[0], region.sync_part) if region.sync_kind == "dual" else (min(region.x), max(region.x))
-        return F.coalesce(_known(x) & _between(x, lo, hi, upper=region.sync_kind != "dual"), F.lit(False))
+        return _known(x) & _between(x, lo, hi, upper=region.sync_kind != "dual")
     if y is None:
         raise ValueError(f"region {region.label!r} needs two features")
     if region.type == "rect":
         bx, by, upper = region.x, region.y, True
         if region.sync_kind == "quad":
             (bx, by), upper = quarter(region.x[0], region.y[0], region.sync_part), False
-        return F.coalesce(_known(x, y) & _between(x, min(bx), max(bx), upper) & _between(y, min(by), max(by), upper), F.lit(False))
+        return _known(x, y) & _between(x, min(bx), max(bx), upper) & _between(y, min(by), max(by), upper)
     xs = [transform_value(v, region.xtrans) for v in region.x]
     ys = [transform_value(v, region.ytrans) for v in region.y]
     tx = transform(x, region.xtrans) if tx is None else tx
     ty = transform(y, region.ytrans) if ty is None else ty
     box = _known(tx, ty) & _between(tx, min(xs), max(xs)) & _between(ty, min(ys), max(ys))
     shape = _oval(tx, ty, xs, ys) if region.type == "oval" else _poly(tx, ty, xs, ys, eps, unrolled)
-    return F.coalesce(box & shape, F.lit(False))
+    return box & shape
 
 
 def ellipse_points(region: Region, n: int = 100, theta: float = 2 * math.pi) -> list[tuple[float, float]]:
