@@ -4,9 +4,10 @@ fixed-size repeat filter, connected components, and Arrow text access."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -166,6 +167,26 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 # ---- Arrow text access, used inside mapInArrow --------------------------------
 
 
+def release() -> None:
+    """Gives memory that is free in this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` that releases memory at the end of each task: workers live on, and
+    what one stage has freed would stay with them through all that follow."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and int64 offsets of a string column; null reads as empty."""
     if col.null_count:
@@ -217,7 +238,7 @@ _POW: dict[int, np.ndarray] = {}
 def power_table(base: int, n: int) -> np.ndarray:
     have = _POW.get(base)
     if have is None or len(have) < n:
-        have = powers(base, max(n, 1 << 21))
+        have = powers(base, max(n, (1 << 20) + 1))
         if len(have) <= 1 << 22:
             _POW[base] = have
     return have[:n]

@@ -77,14 +77,14 @@ def fingerprints(src: DataFrame, moduli=MODULI, huge: int = HUGE, with_text: boo
     schema = f"{fixed}, fp_bytes long, fp_1 long, fp_2 long"
     hashed = src.select("id", F.uuid().alias("row"), F.xxhash64("text").alias("xx"), F.unhex(F.sha2("text", 256)).alias("sha"), "text")
     small = hashed.filter(F.length("text") <= huge).withColumn("after", F.lit(0).cast("long"))
-    out = small.mapInArrow(_hash(moduli, with_text), schema).drop("row")
+    out = small.mapInArrow(common.lean(_hash(moduli, with_text)), schema).drop("row")
     big = common.saved(hashed.filter(F.length("text") > huge), "huge")  # fixes the row names
     part = F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / huge).cast("int"))).alias("k")
     cut = big.select("id", "row", "xx", "sha", "text", part)
     piece = F.substring(F.col("text"), F.col("k") * huge + 1, F.lit(huge))
     rest = F.substring(F.col("text"), (F.col("k") + 1) * huge + 1, F.length("text"))
     cut = cut.select("id", "row", "xx", "sha", piece.alias("text"), F.octet_length(rest).cast("long").alias("after"))
-    got = cut.repartition(F.col("row"), F.col("after")).mapInArrow(_hash(moduli, False), schema.replace(", text string", ""))
+    got = cut.repartition(F.col("row"), F.col("after")).mapInArrow(common.lean(_hash(moduli, False)), schema.replace(", text string", ""))
     sums = [(F.sum(f"fp_{i + 1}") % mod).alias(f"fp_{i + 1}") for i, (mod, _) in enumerate(moduli)]
     got = got.groupBy("row").agg(F.first("id").alias("id"), F.first("xx").alias("xx"), F.first("sha").alias("sha"), F.sum("fp_bytes").alias("fp_bytes"), *sums)
     got = got.join(big.select("row", "text"), "row") if with_text else got

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 
 class Ftrl:
     """Weights of ``size`` features times ``width`` outputs."""
@@ -35,7 +37,9 @@ def shard_means(rows: DataFrame, train, shards: int, schema: str, keys: list[str
     bounded sample ``rows`` (column shard); result: keys and the mean w, where
     weights that a shard doesn't name count as 0."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return train(pdf.sort_values("order", kind="stable"))
+        out = train(pdf.sort_values("order", kind="stable"))
+        common.release()
+        return out
 
     out = rows.groupBy("shard").applyInPandas(run, schema)
     return out.groupBy(*keys).agg((F.sum("w") / shards).alias("w"))

@@ -27,7 +27,7 @@ from . import common
 
 CAPACITY = 2048
 #: Runs of non-space characters kept with their ids by each worker before it starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 100_000
 #: Texts of these characters only are lower-cased and split alike by all libraries.
 PLAIN = re.compile("[\x00\x02-\x1b\x21-~\x20\xa1-\xa7\xa9\xab-\xae\xb0\xb1\xb4\xb6-\xb8\xbb\xbf-ÿĀ-įĲ-ſ‐-‧€]*")
 PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+")
@@ -131,7 +131,7 @@ def pieces(docs: DataFrame, file: str, capacity: int = CAPACITY, end_id: int = 0
     kind = src.schema["id"].dataType.simpleString()
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     long_schema = schema.replace("piece int", "piece long")
-    out = src.mapInArrow(_pieces(file, capacity, end_id, with_ids), long_schema)
+    out = src.mapInArrow(common.lean(_pieces(file, capacity, end_id, with_ids)), long_schema)
     return out.withColumn("piece", F.col("piece").cast("int"))
 
 

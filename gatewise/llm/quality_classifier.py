@@ -90,17 +90,16 @@ class Model:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offs = common.utf8(batch.column("text"))
-        at, x = [], []
         for i, j in common.chunks(offs):
-            part = offs[i : j + 1]
+            at, x, part = [], [], offs[i : j + 1]
             row, bucket = word_features(data, part)
             shares, ends = class_shares(data, part), np.searchsorted(row, np.arange(j - i + 1))
             for r in range(j - i):
                 more = np.flatnonzero(shares[r])
                 at.append(np.concatenate([bucket[ends[r] : ends[r + 1]], more + (1 << BITS)]))
                 x.append(np.concatenate([np.ones(ends[r + 1] - ends[r]), shares[r][more]]))
-        cols = [batch.column(c) for c in ("grade", "shard", "order")]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float64()))], names=["grade", "shard", "order", "at", "x"])
+            cols = [batch.column(c).slice(i, j - i) for c in ("grade", "shard", "order")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float64()))], names=["grade", "shard", "order", "at", "x"])
 
 
 def _start(share: np.ndarray) -> np.ndarray:
@@ -116,7 +115,7 @@ def fit(rows: DataFrame, sample: int = 24_000, shards: int = 4, epochs: int = 6,
     order = F.xxhash64(F.col("id").cast("string"), F.lit("quality"))
     picked = common.saved(rows.select("id", order.alias("order")).orderBy("order", "id").limit(sample), "sample")
     chosen = rows.join(F.broadcast(picked), "id").withColumn("shard", F.pmod("order", F.lit(shards)).cast("int")).repartition(4 * shards)
-    feats = common.saved(chosen.select(F.col("grade").cast("int").alias("grade"), "shard", "order", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_features, "grade int, shard int, order long, at array<int>, x array<double>"), "features")
+    feats = common.saved(chosen.select(F.col("grade").cast("int").alias("grade"), "shard", "order", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(common.lean(_features), "grade int, shard int, order long, at array<int>, x array<double>"), "features")
     seen = {r["grade"]: r["count"] for r in feats.groupBy("grade").count().collect()}
     grades = sorted(seen)
     if len(grades) < 2:
@@ -194,7 +193,7 @@ def quality_classifier(docs: DataFrame, ratings: DataFrame, grade: int = 2, leas
     model = _learnt(docs, ratings, id_col, text_col, rating_id, settings)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
-    out = src.mapInArrow(_predict(model, grade), f"id {kind}, expected_grade double, p_tail double")
+    out = src.mapInArrow(common.lean(_predict(model, grade)), f"id {kind}, expected_grade double, p_tail double")
     return out.select(F.col("id").alias(id_col), "expected_grade", "p_tail", (F.col("p_tail") >= least).alias("kept"))
 
 
@@ -210,7 +209,7 @@ def good_rows(docs: DataFrame, ratings: DataFrame, grade: int = 2, least: float
             yield pa.RecordBatch.from_arrays([batch.column("row").filter(pa.array(tail >= least))], names=["row"])
 
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(run, f"row {kind}").select("row.*")
+    return rows.mapInArrow(common.lean(run), f"row {kind}").select("row.*")
 
 
 def graded(labels: DataFrame) -> DataFrame:

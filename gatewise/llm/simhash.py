@@ -150,7 +150,7 @@ def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     side = F.when(mine == its, 0).when(mine < its, 1).otherwise(2).cast("long")
     tiles = whole.unionByName(other.select(pair.alias("tile"), "fp", side.alias("side")))
     parts = tiles.repartition("tile").sortWithinPartitions("tile", "side", "fp")
-    return parts.mapInArrow(_compare(radius), "a long, b long")
+    return parts.mapInArrow(common.lean(_compare(radius)), "a long, b long")
 
 
 def simhash_dedup(docs: DataFrame, radius: int = RADIUS, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,7 +179,7 @@ def _classes(docs: DataFrame, radius: int, size: int, id_col: str, text_col: str
     class (not null if there is one) and its text's hash."""
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("xx", F.xxhash64("text"))
     kind = src.schema["id"].dataType.simpleString()
-    rows = common.saved(src.mapInArrow(_fingerprints(size), f"id {kind}, xx long, fp long"), "fingerprints")
+    rows = common.saved(src.mapInArrow(common.lean(_fingerprints(size)), f"id {kind}, xx long, fp long"), "fingerprints")
     name = F.struct(F.col("id").isNull().alias("other"), "id", "xx")  # null ids come last
     prints = common.saved(rows.groupBy("fp").agg(F.min(name).alias("first"), F.count("*").alias("n")), "prints")
     roots = common.components(near_links(prints, radius))
