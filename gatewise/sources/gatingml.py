@@ -11,7 +11,7 @@ import math
 import xml.etree.ElementTree as ET
 
 from ..operators.catalog import ALL, Catalog, Population
-from ..operators.gates import Region
+from ..operators.gates import Region, half, quarter
 from ..operators.populations import Strategy
 
 BASE = "http://www.isac-net.org/std/Gating-ML/v2.0/"
@@ -91,6 +91,9 @@ def _gate(node: ET.Element) -> list[tuple[Region | None, Population]]:
             part = {(False, True): 1, (True, True): 2, (True, False): 3, (False, False): 4}[right, upper]
             qid = q.get(f"{G}id")
             region = Region(qid, "rect", (x0, x0), (y0, y0), sync=f"quad_{name}|{part}")
+            if len(node.findall(f"{G}Quadrant")) != 4:  # no whole group: a rectangle that ends just below the divider
+                bounds = [(lo, math.nextafter(hi, -math.inf) if math.isfinite(hi) else hi) for lo, hi in quarter(x0, y0, part)]
+                region = Region(qid, "rect", *bounds)
             out.append((region, Population(qid, base, region=qid, fx=dims[0][0], fy=dims[1][0])))
         return out
     else:
@@ -181,8 +184,6 @@ def render(strategy: Strategy) -> str:
         r = cat.regions[p.region]
         more = {"region": r.label, "xtrans": r.xtrans, "ytrans": r.ytrans, "sync": r.sync, "color": r.color, "lightcolor": r.lightcolor}
         if r.type in ("line", "rect"):
-            from ..operators.gates import half, quarter
-
             node = ET.SubElement(root, f"{G}RectangleGate", ids)
             bx, by = (min(r.x), max(r.x)), (min(r.y), max(r.y))
             if r.sync_kind == "dual":
