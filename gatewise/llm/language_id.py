@@ -142,7 +142,8 @@ def fit(rows: DataFrame, sample: int = 12_000, shards: int = 4, epochs: int = 3,
     """Model from ``rows`` (id, text, lang; no nulls in text and lang).
 
     Document frequencies and languages come from all rows; the weights and the
-    temperature from at most ``sample`` rows, a fifth of them for the latter.
+    temperature from at most ``sample`` ids, a fifth of them for the latter; of
+    rows that repeat an id one is learnt from.
     """
     counts = {r["bucket"]: r["df"] for r in rows.select("text").mapInArrow(_frequencies, "bucket int, df long").groupBy("bucket").agg(F.sum("df").alias("df")).collect()}
     langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
@@ -154,8 +155,9 @@ def fit(rows: DataFrame, sample: int = 12_000, shards: int = 4, epochs: int = 3,
         return Model([], np.zeros((0, 1 << BITS), np.float32), np.zeros(0), 1.0)
     order = F.xxhash64(F.col("id").cast("string"), F.lit("language"))
     # At most ``sample`` ids, the first of a hashed order.
-    picked = rows.select("id", order.alias("order")).orderBy("order", "id").limit(sample)
-    chosen = rows.join(F.broadcast(common.saved(picked, "sample")), "id").withColumn("part", F.pmod(F.col("order"), F.lit(5)))
+    picked = rows.select("id", order.alias("order")).orderBy("order", "id").limit(sample).distinct()
+    chosen = rows.join(F.broadcast(common.saved(picked, "sample")), "id").groupBy("id").agg(*(F.first(c).alias(c) for c in ("text", "lang", "order")))
+    chosen = chosen.withColumn("part", F.pmod(F.col("order"), F.lit(5)))
     chosen = common.saved(chosen, "chosen")
     train = chosen.filter("part <> 0").withColumn("shard", F.pmod(F.shiftright("order", 8), F.lit(shards)).cast("int")).repartition(4 * shards)
     feats = train.select("lang", "shard", "order", "text").mapInArrow(_features(idf), "lang string, shard int, order long, at array<int>, x array<double>")

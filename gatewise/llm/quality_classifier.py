@@ -97,9 +97,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in range(j - i):
                 more = np.flatnonzero(shares[r])
                 at.append(np.concatenate([bucket[ends[r] : ends[r + 1]], more + (1 << BITS)]))
-                x.append(np.concatenate([np.ones(ends[r + 1] - ends[r]), shares[r][more]]))
+                x.append(np.concatenate([np.ones(ends[r + 1] - ends[r]), shares[r][more]]).astype(np.float32))
             cols = [batch.column(c).slice(i, j - i) for c in ("grade", "shard", "order")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float64()))], names=["grade", "shard", "order", "at", "x"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float32()))], names=["grade", "shard", "order", "at", "x"])
 
 
 def _start(share: np.ndarray) -> np.ndarray:
@@ -109,13 +109,21 @@ def _start(share: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(t + 1e-6 * np.arange(len(t)))
 
 
-def fit(rows: DataFrame, sample: int = 24_000, shards: int = 4, epochs: int = 6, alpha: float = 0.3, l1: float = 3.0, l2: float = 0.1) -> Model:
-    """Model from ``rows`` (id, text, grade), of which at most ``sample`` ids are
-    taken, the first of a hashed order."""
+def fit(docs: DataFrame, marks: DataFrame, sample: int = 12_000, shards: int = 1, epochs: int = 4, alpha: float = 0.3, l1: float = 4.5, l2: float = 0.1) -> Model:
+    """Model from ``docs`` (id, text) and ``marks`` (id, grade; an id once), of which
+    at most ``sample`` ids are taken, the first of a hashed order; of rows that
+    repeat an id one is learnt from.
+
+    Ids are chosen before any text is read; then the few chosen meet their texts
+    where these lie. One task holds ``sample`` / ``shards`` of them; averaging
+    more shards lets more toxic texts pass, as each sees fewer of their words.
+    """
     order = F.xxhash64(F.col("id").cast("string"), F.lit("quality"))
-    picked = common.saved(rows.select("id", order.alias("order")).orderBy("order", "id").limit(sample), "sample")
-    chosen = rows.join(F.broadcast(picked), "id").withColumn("shard", F.pmod("order", F.lit(shards)).cast("int")).repartition(4 * shards)
-    feats = common.saved(chosen.select(F.col("grade").cast("int").alias("grade"), "shard", "order", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(common.lean(_features), "grade int, shard int, order long, at array<int>, x array<double>"), "features")
+    known = marks.join(docs.select("id"), "id", "left_semi").select("id", "grade", order.alias("order"))
+    picked = common.saved(known.orderBy("order", "id").limit(sample), "sample")
+    chosen = docs.join(F.broadcast(picked), "id").groupBy("id").agg(*(F.first(c).alias(c) for c in ("text", "grade", "order")))
+    chosen = chosen.withColumn("shard", F.pmod("order", F.lit(shards)).cast("int")).repartition(4 * shards)
+    feats = common.saved(chosen.select(F.col("grade").cast("int").alias("grade"), "shard", "order", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(common.lean(_features), "grade int, shard int, order long, at array<int>, x array<float>"), "features")
     seen = {r["grade"]: r["count"] for r in feats.groupBy("grade").count().collect()}
     grades = sorted(seen)
     if len(grades) < 2:
@@ -177,10 +185,10 @@ def _predict(model: Model, grade: int):
 def _learnt(docs: DataFrame, ratings: DataFrame, id_col: str, text_col: str, rating_id: str, settings: dict) -> Model:
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marks = ratings.filter(F.col(rating_id).isNotNull() & F.col("grade").isNotNull()).groupBy(F.col(rating_id).alias("id")).agg(F.min("grade").alias("grade"))
-    return fit(src.join(marks, "id"), **settings)
+    return fit(src, marks, **settings)
 
 
-def quality_classifier(docs: DataFrame, ratings: DataFrame, grade: int = 2, least: float = 0.4, id_col: str = "doc_id", text_col: str = "text", rating_id: str = "doc_id", **settings) -> DataFrame:
+def quality_classifier(docs: DataFrame, ratings: DataFrame, grade: int = 2, least: float = 0.35, id_col: str = "doc_id", text_col: str = "text", rating_id: str = "doc_id", **settings) -> DataFrame:
     """One row per row of ``docs``: id, expected_grade, p_tail (probability of
     ``grade`` or better), kept (p_tail >= ``least``).
 
@@ -197,7 +205,7 @@ def quality_classifier(docs: DataFrame, ratings: DataFrame, grade: int = 2, leas
     return out.select(F.col("id").alias(id_col), "expected_grade", "p_tail", (F.col("p_tail") >= least).alias("kept"))
 
 
-def good_rows(docs: DataFrame, ratings: DataFrame, grade: int = 2, least: float = 0.4, id_col: str = "doc_id", text_col: str = "text", rating_id: str = "doc_id", **settings) -> DataFrame:
+def good_rows(docs: DataFrame, ratings: DataFrame, grade: int = 2, least: float = 0.35, id_col: str = "doc_id", text_col: str = "text", rating_id: str = "doc_id", **settings) -> DataFrame:
     """The rows of ``docs``, whole, that ``quality_classifier`` keeps; they are
     judged and passed on where they lie."""
     model = _learnt(docs, ratings, id_col, text_col, rating_id, settings)
