@@ -113,7 +113,7 @@ def smoothed(counts: Sequence[int], lo: float, hi: float, factor: float = 1.0) -
     total = max(n.sum(), 1.0)
     mean = (n * mids).sum() / total
     sd = math.sqrt(max((n * (mids - mean) ** 2).sum() / total, 1e-12))
-    width = max(0.9 * sd * total**-0.2 * factor, 1e-6)
+    width = max(0.9 * sd * total**-0.2 * factor, 0.5)  # half a bin at least
     z = (mids[:, None] - mids[None, :]) / width
     return np.exp(-0.5 * z * z) @ n / (width * math.sqrt(2 * math.pi))
 
