@@ -16,5 +16,6 @@ QUERIES = {
 }
 ORACLES = {
     "op2_mixing": mixing.ORACLE_SQL,
+    "op3_quality_rules": quality_rules.ORACLE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
 }

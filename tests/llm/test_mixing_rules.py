@@ -57,6 +57,12 @@ def base(text):
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
+def test_rules_match_their_sql(spark):
+    sf_dir = "/root/testdata/sf0.01"  # labels enough for some cutoffs
+    mine, theirs = compare(quality_rules.query(spark, sf_dir), connection(sf_dir), quality_rules.ORACLE_SQL)
+    assert mine == theirs
+
+
 def test_rules_over_documents(spark, sf_dir):
     got = {r["doc_id"]: r for r in quality_rules.query(spark, sf_dir).collect()}
     docs = rows_of(spark, sf_dir)
