@@ -53,7 +53,7 @@ def test_lm_of_odd_rows(spark, monkeypatch, most):
     assert lm_scoring.lm_scores(odd_docs(spark).limit(0), F.lit(False)).count() == 0
 
 
-def slow_bits(mixer, text):
+def slow_bits(mixer, tables, text):
     """The mixer's cost of one text, bit by bit."""
     data = np.frombuffer(text, np.uint8)
     buf, starts, lens = lm_scoring.padded(data, np.array([0, len(data)]))
@@ -68,7 +68,7 @@ def slow_bits(mixer, text):
         ctx = [int(c[0]) for c in lm_scoring.contexts(buf, word, at)]
         gate, byte, node = int(deep[at[0]]), int(buf[at[0]]), 1
         for j in range(8):
-            st = np.array([int(mixer.table[mixer.first[o] + c * 256 + node]) for o, c in enumerate(ctx)]) / lm_scoring.TENTHS
+            st = np.array([int(tables[o][c * 256 + node]) for o, c in enumerate(ctx)]) / lm_scoring.TENTHS
             bit = byte >> (7 - j) & 1
             p = 1 / (1 + math.exp(-float(w[j, gate] @ st)))
             total -= math.log2(p if bit else 1 - p)
@@ -79,13 +79,13 @@ def slow_bits(mixer, text):
 
 def test_mixer_matches_a_plain_loop():
     rng = np.random.default_rng(3)
-    table = rng.integers(-60, 60, sum(1 << (b + 8) for _, b in lm_scoring.ORDERS)).astype(np.int8)
+    tables = [rng.integers(-60, 60, 1 << (b + 8)).astype(np.int8) for _, b in lm_scoring.ORDERS]
     texts = [b"", b"a b", b"some words and more words " * 30, b"x" * 700, "é and ü".encode() * 50]
     offs = np.cumsum([0, *map(len, texts)])
-    mixer = lm_scoring.Mixer(table)
+    mixer = lm_scoring.Mixer(lm_scoring.laid_out(tables))
     got, _ = mixer.run(np.frombuffer(b"".join(texts), np.uint8), offs)
     for g, t in zip(got, texts):
-        assert g == pytest.approx(slow_bits(mixer, t), rel=1e-3)
+        assert g == pytest.approx(slow_bits(mixer, tables, t), rel=1e-3)
         alone, _ = mixer.run(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
         assert alone[0] == pytest.approx(g, rel=1e-4)
 
