@@ -179,10 +179,10 @@ class Objects:
         return into.add_pops(*found)
 
     def add_sample(self, pop: str, size: int, name: str | None = None, seed: int = 1) -> Objects:
-        """A tagged population of ``size`` rows of ``pop`` without repeats, the
-        first of a seeded hashed order (all rows if there are fewer)."""
+        """A tagged population of ``size`` objects of ``pop`` without repeats, the
+        first of a seeded hashed order (all if there are fewer)."""
         keys = [named(c) for c in (self.file_col, self.id_col) if c]
-        ids = self.objects_in(pop).orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(size)
+        ids = self.objects_in(pop).distinct().orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(size)
         return self.add_pops(Population(name or f"sample_{size} {pop}", base=pop, ids=ids))
 
     def add_file_pops(self, values: Sequence[str]) -> Objects:

@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: A unique object number of lineitem (line numbers are below 8).
+#: An object number of lineitem (line numbers are below 8; some rows share one).
 LINE_ID = "(l_orderkey * 8 + l_linenumber)"
 LINE_FEATURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.transforms import transform_value
 from ..operators.catalog import Feature, Population
 from ..operators.gates import Region, gate
-from ..operators.populations import Objects
+from ..operators.populations import Objects, member
 from ..operators.stats import pop_stats as count_pops
 from .common import digest, digest_sql, inside_sql, lin_log_sql, lines, query, table
 
@@ -192,11 +192,9 @@ def pop_edges(spark, sf_dir):
     return spark.createDataFrame(hierarchy(spark, sf_dir).catalog.edges(), "source string, target string")
 
 
-@query(f"SELECT least(1000, count(*)) AS n, true AS inside FROM lineitem WHERE {RECT_SQL}")
+@query(f"SELECT least(1000, count(DISTINCT l_orderkey * 8 + l_linenumber)) AS n, true AS inside FROM lineitem WHERE {RECT_SQL}")
 def pop_sample(spark, sf_dir):
     """A seeded sample of a population: its size, and that it lies within."""
     objects = hierarchy(spark, sf_dir).add_sample("Rect", 1000, "few")
-    from ..operators.populations import member
-
     rows = objects.members(["few", "Rect"])
-    return rows.filter(member("few")).agg(F.count("*").alias("n"), F.every(member("Rect")).alias("inside"))
+    return rows.filter(member("few")).agg(F.count_distinct("object_number").alias("n"), F.every(member("Rect")).alias("inside"))
