@@ -27,7 +27,7 @@ from . import common
 
 CAPACITY = 2048
 #: Runs of non-space characters kept with their ids by each worker before it starts anew.
-KEPT_WORDS = 100_000
+KEPT_WORDS = 160_000
 #: Texts of these characters only are lower-cased and split alike by all libraries.
 PLAIN = re.compile("[\x00\x02-\x1b\x21-~\x20\xa1-\xa7\xa9\xab-\xae\xb0\xb1\xb4\xb6-\xb8\xbb\xbf-ÿĀ-įĲ-ſ‐-‧€]*")
 PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+")
