@@ -5,6 +5,7 @@ import os
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import held, lower, odd_docs, odd_rows, rows_of, words
 from pyspark.sql import functions as F
@@ -183,3 +184,37 @@ def test_word_hashes_are_those_of_words():
     assert got == text.split() * 2 and row.tolist() == [0] * len(text.split()) + [1] * len(text.split())
     h = common.word_hashes(data, starts, ends)
     assert len(set(h.tolist())) == len(set(got)) and h[0] == h[2]
+
+
+@pytest.mark.parametrize("most", [0, 1 << 17])
+def test_lm_contexts_are_counted_apart(spark, most):
+    """Each text's predictions come from the counts of its whole contexts, held or joined."""
+    rng = np.random.default_rng(8)
+    texts = ["".join(chr(c) for c in rng.integers(33, 127, 400)) for _ in range(60)]
+    rows = [(0, *lm_scoring.common.utf8(pa.array(texts)))]
+    counts = pa.Table.from_batches(list(lm_scoring._count(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]))))
+    held, rest = lm_scoring.context_tables(spark.createDataFrame(counts.to_pandas().groupby(["kind", "key"], as_index=False).sum(), "kind int, key long, n long"), most)
+    mixer = lm_scoring.Mixer(held[0], None, *held[1:])
+    _, data, offs = rows[0]
+    missing = set(mixer.missing(data, offs)[1].view(np.int64).tolist())
+    found = rest.toArrow().combine_chunks()
+    assert (missing == set(found.column("key").to_pylist())) and (most > 0) == (not missing)
+    extra = lm_scoring.Cells.of(found.column("key").combine_chunks(), found.column("cells").combine_chunks())
+    want = {}
+    for text in texts:
+        raw = b"\0" * 4 + text.encode() + b"\0"
+        for i in range(4, len(raw)):
+            for kind, k in enumerate((2, 3, 4), 1):
+                want.setdefault((kind, raw[i - k : i]), Counter())[raw[i]] += 1
+    buf, starts, lens = lm_scoring.padded(data, offs)
+    at = lm_scoring._inside(starts, lens)
+    full = lm_scoring.full_contexts(buf, lm_scoring.words_so_far(buf)[0], at)
+    slots = lm_scoring.contexts(buf, lm_scoring.word_contexts(buf)[0], at)
+    for kind, k in enumerate((2, 3, 4), 1):
+        for p in rng.choice(len(at), 60, replace=False):
+            count = np.zeros((1, 256))
+            for byte, n in want[kind, bytes(buf[at[p] - k : at[p]])].items():
+                count[0, byte] = n
+            slot, key = slots[kind - 1][p] + mixer.first[kind - 1], full[kind - 1][p : p + 1]
+            got = held[0][slot * 17 : slot * 17 + 17] if held[1][slot] == key[0] else mixer._others(key, extra)
+            assert got.tobytes() == lm_scoring.laid_out([lm_scoring.stretched(count)]).tobytes()
