@@ -25,21 +25,22 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: all rows, in the order of the mix."""
-    return mixing.mixed(docs)
+    """Operator 2: all rows, in the order of the mix, with their places in it."""
+    return mixing.mixed(docs, places=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: the place of every piece of every row in a sequence."""
+    """Operator 6: the place of every piece of every row in a sequence; sequences
+    follow the mix."""
     import public_tokenizers
 
-    return packing.best_fit_packing(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.best_fit_packing(docs, public_tokenizers.path("word_bpe_49k.json"), places=mixing.PLACES)
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mix", mix), ("pack", pack)]
 
-#: The classifier, SimHash and the tokenizer can't be said in SQL; the tests hold
-#: the stages against brute force.
+#: The classifier, SimHash and the tokenizer can't be said in SQL; tests/llm/test_pipeline.py
+#: holds the mixed and packed rows of run() against brute force.
 ORACLE_SQL = None
 
 

@@ -21,6 +21,8 @@ PERIOD = 1000
 BLOCK = 100_000
 #: Sources that one schedule takes at most; PERIOD has a slot for each.
 MOST_SOURCES = 500
+#: Columns whose order is that of the mix.
+PLACES = ("mix_slot", "mix_source", "mix_start")
 
 
 def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -121,12 +123,13 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block:
     return out.select(F.col("id").alias(id_col), "source", "size", "start", "block", "slot", "release", "deadline")
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs``, whole, in the order of the mix (see ``mix_sources``)."""
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", places: bool = False) -> DataFrame:
+    """The rows of ``docs``, whole, in the order of the mix (see ``mix_sources``);
+    with ``places`` also the columns PLACES, by which a later stage keeps that order."""
     if weights is None:
         weights = tempered(_sized(docs, id_col, text_col, source_col, False), "source", "size")
     out = mix_order(_sized(docs, id_col, text_col, source_col, True), weights, "source", "id", "size", block, period)
-    return out.orderBy(F.asc_nulls_last("slot"), "source", "start").select("row.*")
+    return out.orderBy(F.asc_nulls_last("slot"), "source", "start").select("row.*", *[F.col(c).alias(p) for c, p in zip(("slot", "source", "start"), PLACES)] * places)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

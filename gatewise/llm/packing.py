@@ -19,13 +19,17 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 
 CAPACITY = 2048
+#: Slots of the mix that are packed together (about 25 million characters).
+SLOTS = 256
 #: Runs of non-space characters kept with their ids by each worker before it starts anew.
 KEPT_WORDS = 160_000
 #: Texts of these characters only are lower-cased and split alike by all libraries.
@@ -99,7 +103,7 @@ def encoder(file: str) -> Encoder:
     return Encoder(file)
 
 
-def _pieces(file: str, capacity: int, end_id: int, with_ids: bool):
+def _pieces(file: str, capacity: int, end_id: int, with_ids: bool, carried: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(file), np.array([end_id], "<u4").tobytes()
         for batch in batches:
@@ -119,19 +123,21 @@ def _pieces(file: str, capacity: int, end_id: int, with_ids: bool):
             names = ["id", "piece", "start", "length", "ids_crc32"]
             if with_ids:
                 cols, names = [*cols, pa.array(ids, pa.binary())], [*names, "ids"]
+            cols, names = [*cols, *(batch.column(c).take(pa.array(rows, pa.int64())) for c in carried)], [*names, *carried]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
 
-def pieces(docs: DataFrame, file: str, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, file: str, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
     """id, piece, start, length, ids_crc32 (and ids, as bytes of u32) of each
-    ``capacity``-token piece of each text and its end id; null texts are empty."""
-    src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    ``capacity``-token piece of each text and its end id, with the columns
+    ``carried`` of its row; null texts are empty."""
+    src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carried)
     kind = src.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids + "".join(f", {c} {src.schema[c].dataType.simpleString()}" for c in carried)
     long_schema = schema.replace("piece int", "piece long")
-    out = src.mapInArrow(common.lean(_pieces(file, capacity, end_id, with_ids)), long_schema)
+    out = src.mapInArrow(common.lean(_pieces(file, capacity, end_id, with_ids, carried)), long_schema)
     return out.withColumn("piece", F.col("piece").cast("int"))
 
 
@@ -295,16 +301,50 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return out.withColumn("sequence_id", F.col("hit.at") + F.col("rank") - F.col("hit.first")).withColumn("offset", F.col("hit.offset")).drop("hit", "spans", "rank")
 
 
-def best_fit_packing(docs: DataFrame, file: str, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _plans(capacity: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = plan(dict(zip(pdf["length"].tolist(), pdf["n"].tolist())), capacity)
+        out = pd.DataFrame(rows, columns=["length", "first", "number", "at", "offset"])
+        return out.assign(window=int(pdf["window"].iloc[0]), sequences=int((out["at"] + out["number"]).max()))
+
+    return run
+
+
+def pack_in_order(parts: DataFrame, places: tuple[str, ...], capacity: int = CAPACITY, slots: int | None = None) -> DataFrame:
+    """As ``pack``, in the order of the columns ``places``, of which the first is a slot.
+
+    Each ``slots`` slots (SLOTS) are a window that is packed alone; sequences are
+    numbered by window, and pieces of a length are dealt to the window's
+    sequences in order. Rows without a slot are the last window.
+    """
+    slots = slots or SLOTS
+    window = F.coalesce(F.floor(F.col(places[0]) / slots).cast("long"), F.lit(1 << 62))
+    parts = parts.withColumn("window", window)
+    counts = parts.groupBy("window", "length").agg(F.count("*").alias("n"))
+    spans = common.saved(counts.groupBy("window").applyInPandas(_plans(capacity), "window long, length long, first long, number long, at long, offset long, sequences long"), "spans")
+    # One row per window is put in sequence.
+    before = Window.orderBy("window").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = spans.groupBy("window").agg(F.max("sequences").alias("n")).select("window", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    spans = spans.groupBy("window", "length").agg(F.array_sort(F.collect_list(F.struct("first", "number", "at", "offset"))).alias("spans")).join(ahead, "window")
+    order = Window.partitionBy("window", "length").orderBy(*places, "id", "piece")
+    out = parts.withColumn("rank", F.row_number().over(order).cast("long") - 1).join(spans, ["window", "length"])
+    hit = F.filter("spans", lambda s: (s["first"] <= F.col("rank")) & (F.col("rank") < s["first"] + s["number"]))[0]
+    out = out.withColumn("hit", hit)
+    return out.withColumn("sequence_id", F.col("ahead") + F.col("hit.at") + F.col("rank") - F.col("hit.first")).withColumn("offset", F.col("hit.offset")).drop("hit", "spans", "rank", "window", "ahead")
+
+
+def best_fit_packing(docs: DataFrame, file: str, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", places: tuple[str, ...] = ()) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32 (ids), sequence_id, offset.
+    With ``places`` the sequences follow the order of these columns (see ``pack_in_order``).
 
     Documents longer than ``capacity`` tokens alone are cut. Null texts are
     empty: one piece with the end id. Repeated rows are packed each; null ids
     pass through; other columns are ignored; an empty table gives no rows.
     """
-    parts = common.saved(pieces(docs, file, capacity, end_id, with_ids, id_col, text_col), "pieces")
+    parts = common.saved(pieces(docs, file, capacity, end_id, with_ids, id_col, text_col, places), "pieces")
     names = ["piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids + ["sequence_id", "offset"]
-    return pack(parts, capacity).select(F.col("id").alias(id_col), *names)
+    packed = pack_in_order(parts, places, capacity) if places else pack(parts, capacity)
+    return packed.select(F.col("id").alias(id_col), *names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
