@@ -149,22 +149,19 @@ def cutoffs(table: DataFrame, labels: DataFrame, risk: float, error: float, cost
     return limits.select("stratum", F.array(*(F.coalesce(F.col("m")[i], F.lit(GRID)) for i in range(len(RULES)))).alias("limits"))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.02, error: float = 0.05, cost: float = 20.0, strata: int = 64, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang", label_id: str = "doc_id") -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.02, error: float = 0.05, cost: float = 20.0, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang", label_id: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept, failed_rules (names, empty if kept by the rules).
 
     With probability 1 - ``error``, in no stratum do the rules reject more than
-    ``risk`` of the good texts. The ``strata`` most frequent strata have own
-    cutoffs; texts of others, and of strata without enough labelled good texts,
-    fail by the base alone. Null texts have no words and fail; null or repeated
+    ``risk`` of the good texts. Every stratum with labels has own cutoffs; texts
+    of strata without enough labelled good texts fail by the base alone. Null texts have no words and fail; null or repeated
     ids pass through row for row; labels of unknown ids or null quality are not
     used; of contradicting labels the worse counts; other columns are ignored.
     """
     table = common.saved(metrics(docs, id_col, text_col, stratum_col), "metrics")
-    frequent = table.groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(strata).select("stratum")
-    known = table.join(F.broadcast(frequent), "stratum", "left_semi")
-    limits = common.saved(cutoffs(known, labels, risk, error, cost, label_id).orderBy("stratum").limit(strata), "limits")
-    out = table.join(F.broadcast(limits), "stratum", "left")
+    limits = common.saved(cutoffs(table, labels, risk, error, cost, label_id), "limits")
+    out = table.join(limits, "stratum", "left")  # Spark chooses the join by the size of limits
     failed = F.filter(F.array(*(F.when(b > F.col("limits")[i], F.lit(RULES[i])) for i, b in enumerate(bins()))), lambda x: x.isNotNull())
     out = out.withColumn("failed_rules", failed)
     kept = ~F.col("base_failed") & (F.size("failed_rules") == 0)
@@ -188,13 +185,15 @@ ORACLE_SQL = rf"""
 WITH src AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, 'und') AS stratum, coalesce(text, '') AS t FROM documents),
 split AS (
   SELECT *, list_filter(regexp_split_to_array(t, '{SPACES}'), lambda w: w <> '') AS words,
-         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines
   FROM src),
 windows AS (SELECT r, i, array_to_string(words[i : i + {WINDOW - 1}], ' ') AS win FROM (SELECT r, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM split)),
 twice AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, win) > 1),
 repeats AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, range({WINDOW}) x(k) GROUP BY r),
 m AS (
-  SELECT s.r, doc_id, stratum, len(words)::BIGINT AS n_words, length(regexp_replace(t, '[ 	-]', '', 'g'))::BIGINT AS word_chars,
+  SELECT s.r, doc_id, stratum, len(words)::BIGINT AS n_words, length(regexp_replace(t, '[ 	-
+]', '', 'g'))::BIGINT AS word_chars,
          len(regexp_extract_all(t, '[{SYMBOLS}]'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(p.n, 0)::BIGINT AS n_repeat_words,
          len(regexp_extract_all(t, '[A-Z]'))::BIGINT AS n_capitals

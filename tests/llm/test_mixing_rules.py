@@ -102,3 +102,13 @@ def test_cutoffs_limit_false_rejections(spark):
     assert sum(not r["kept"] for r in good) <= 0.02 * len(good)
     assert not any(r["kept"] for r in got if r["doc_id"] >= 10_000)
     assert {tuple(r["failed_rules"]) for r in got if r["doc_id"] >= 10_000} <= {("symbols",), ("symbols", "word_length"), ("symbols", "repeats")}
+
+
+def test_every_labelled_stratum_has_cutoffs(spark):
+    """70 languages of equal size; in the last ones by name too, labels reject what is bad."""
+    words = [f"w{i}" for i in range(20)]
+    good, bad = " ".join(words), " ".join([*words, "#$%&|<>" * 6])
+    docs = spark.range(70 * 2600).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2600 < 2500, good).otherwise(bad).alias("text"), F.format_string("l%02d", (F.col("id") / 2600).cast("int")).alias("lang"))
+    labels = docs.select("doc_id", (F.col("text") == good).cast("int").alias("quality"))
+    got = quality_rules.quality_rules(docs, labels).join(docs, "doc_id").groupBy("lang").agg(F.count_if("kept").alias("kept")).collect()
+    assert len(got) == 70 and {r["kept"] for r in got} == {2500}
