@@ -11,11 +11,15 @@ from __future__ import annotations
 import functools
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from . import common
 
 #: The fixed patterns, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -40,6 +44,11 @@ WORDS = (
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d", re.ASCII)
 SWAPS = str.maketrans("@4301$57", "aaeoisst")
+#: Words of the corpus: runs of letters of these lengths.
+LETTERS = re.compile(r"[^\W\d_]+")
+SHORTEST, LONGEST = 3, 40
+#: Words that a task counts before it gives them out.
+HELD = 1 << 18
 
 
 @functools.cache
@@ -58,14 +67,18 @@ def _brute(ch: str) -> float:
     return math.log10(10 if ch.isdigit() else 26 if "a" <= ch.lower() <= "z" else 33)
 
 
-def guess_cost(value: str, words: tuple[str, ...] = WORDS) -> float:
+def guess_cost(value: str, words: tuple[str, ...] = WORDS, more: Mapping[str, int] | None = None) -> float:
     """log10 of the guesses that the cheapest segmentation of ``value`` needs.
 
     A word costs its rank (doubled for capitals or swapped letters), a date the
     days of 200 years, a repeat its letter times its length, a walk its start
     times its length, any other character its alphabet; each span costs 2 more.
+    ``more``: ranks of words of the corpus; of two ranks the lower holds.
     """
     ranks, longest = _ranks(words)
+    if more:
+        ranks = {**more, **{w: min(r, more.get(w, r)) for w, r in ranks.items()}}
+        longest = max(longest, *map(len, more))
     low, n, step = value.lower(), len(value), math.log10(2)
     plain = low.translate(SWAPS)
     same, walk, near = [1] * (n + 1), [1] * (n + 1), _near()
@@ -99,7 +112,7 @@ def guess_cost(value: str, words: tuple[str, ...] = WORDS) -> float:
     return min(best[n], brute_from[n])
 
 
-def spans_of(text: str, least: float, words: tuple[str, ...] = WORDS) -> list[tuple[int, int, int, float]]:
+def spans_of(text: str, least: float, words: tuple[str, ...] = WORDS, more: Mapping[str, int] | None = None) -> list[tuple[int, int, int, float]]:
     """(start, kind number, end, log10 guesses or 0) of every span, in order."""
     out = []
     if ":" in text or "=" in text:
@@ -116,35 +129,103 @@ def spans_of(text: str, least: float, words: tuple[str, ...] = WORDS) -> list[tu
                 if (a, b) in seen or any(s <= a and b <= e for s, _, e, _ in base):
                     continue
                 seen.add((a, b))
-                cost = guess_cost(m[1], words)
+                cost = guess_cost(m[1], words, more)
                 if cost >= least:
                     out.append((a, 3, b, cost))
     return sorted(out)
 
 
+def _parts(text: str) -> set[str]:
+    """Parts of runs of letters, as long as words, that a segmentation may take as a word."""
+    low, out = text.lower(), set()
+    for run in {r for t in (low, low.translate(SWAPS)) for r in LETTERS.findall(t)}:
+        out.update(run[i:j] for i in range(len(run)) for j in range(i + SHORTEST, min(len(run), i + LONGEST) + 1))
+    return out
+
+
+def _values(text: str) -> set[str]:
+    """The values in credential contexts."""
+    low = text.lower()
+    return {m[1] for c in CONTEXTS for m in c.finditer(text)} if any(h in low for h in HINTS) else set()
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """word, n: texts that have a word other than in a credential value."""
+    counts: Counter[str] = Counter()
+    for batch in batches:
+        for x in batch.column("text"):
+            text = x.as_py() or ""
+            own = {r for v in _values(text) for r in LETTERS.findall(v.lower())}
+            counts.update(w for w in set(LETTERS.findall(text.lower())) - own if SHORTEST <= len(w) <= LONGEST)
+            if len(counts) > HELD:
+                yield _counted(counts)
+                counts.clear()
+    yield _counted(counts)
+
+
+def _counted(counts: Counter[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+
+
+def dictionary(src: DataFrame) -> DataFrame:
+    """word, rank: every word of the texts and how many have at least as many texts."""
+    words = common.saved(src.select("text").mapInArrow(common.lean(_words), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # One row per number of texts is put in sequence.
+    ranks = words.groupBy("n").agg(F.count("*").alias("words"))
+    ranks = ranks.select("n", F.sum("words").over(Window.orderBy(F.desc("n"))).alias("rank"))
+    return words.join(ranks, "n").select("word", "rank")
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row, word: the words that may be in the credential values of a text."""
+    for batch in batches:
+        for row, x in zip(batch.column("row"), batch.column("text")):
+            found = sorted(set().union(*map(_parts, _values(x.as_py()))))
+            for i in range(0, len(found), 1 << 16):
+                part = found[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array([row.as_py()] * len(part), pa.int64()), pa.array(part, pa.string())], names=["row", "word"])
+
+
 def _scan(least: float, words: tuple[str, ...]):
     kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("guesses", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[{"kind": KINDS[k], "start": s, "end": e, "guesses": g} for s, k, e, g in spans_of(x.as_py() or "", least, words)] for x in batch.column("text")]
+            ranks = [{r["word"]: r["rank"] for r in x.as_py() or ()} for x in batch.column("ranks")]
+            found = [[{"kind": KINDS[k], "start": s, "end": e, "guesses": g} for s, k, e, g in spans_of(x.as_py() or "", least, words, more)] for x, more in zip(batch.column("text"), ranks)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(kind))], names=["id", "spans"])
 
     return run
 
 
+def _hinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        has = [bool(_values(x.as_py() or "")) for x in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(has)], names=["id", "text", "hinted"])
+
+
 def secret_spans(docs: DataFrame, least: float = 8.0, words: tuple[str, ...] = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id and spans (kind, start, end, guesses), by
     start, then kind; offsets count code points, ends are exclusive.
 
     ``least``: log10 guesses from which a value in a credential context is a
-    secret. Null texts have no span; null and repeated ids pass through; other
+    secret. Besides ``words``, all words of the texts count as known, by their
+    number of texts; a text doesn't count for the words of its own values.
+    Null texts have no span; null and repeated ids pass through; other
     columns are ignored; whole texts of any length are scanned.
     """
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     schema = f"id {kind}, spans array<struct<kind:string,start:int,end:int,guesses:double>>"
-    return src.mapInArrow(_scan(least, words), schema).withColumnRenamed("id", id_col)
+    no_ranks = F.array().cast("array<struct<word:string,rank:bigint>>")
+    marked = src.mapInArrow(_hinted, f"id {kind}, text string, hinted boolean")
+    plain = marked.filter("not hinted").select("id", "text", no_ranks.alias("ranks"))
+    # Texts with credential values are joined with the words that these may hold.
+    rows = common.saved(marked.filter("hinted").select("id", "text", F.monotonically_increasing_id().alias("row")), "hinted")
+    asked = rows.select("row", "text").mapInArrow(common.lean(_asked), "row long, word string")
+    known = asked.join(dictionary(src), "word").groupBy("row").agg(F.collect_list(F.struct("word", "rank")).alias("ranks"))
+    rows = rows.join(known, "row", "left").select("id", "text", "ranks")
+    return plain.unionByName(rows).mapInArrow(_scan(least, words), schema).withColumnRenamed("id", id_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -222,3 +222,11 @@ def test_counts_of_odd_rows(spark):
     docs = odd_docs(spark)
     assert token_counts.count_tokens(docs, BYTES, RANKS).count() == len(odd_rows())
     assert token_counts.count_tokens(docs.limit(0), BYTES, RANKS).count() == 0
+
+
+def test_ordinary_words_are_no_secrets(spark):
+    """Words of other texts are cheap; random letters aren't, even where copies repeat them."""
+    texts = ["the secret is patience", "token: english", "patience and english lessons", "the secret is xkqzvbwnm", "the secret is xkqzvbwnm and xkqzvbwnm", "pwd: patienceenglish"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "guess"] for r in secrets.secret_spans(docs).collect()}
+    assert got == {0: [], 1: [], 2: [], 3: ["xkqzvbwnm"], 4: ["xkqzvbwnm"], 5: []}
