@@ -28,8 +28,8 @@ from pyspark.sql.window import Window
 from . import common
 
 CAPACITY = 2048
-#: Slots of the mix that are packed together (about 25 million characters).
-SLOTS = 256
+#: Rows that are packed together where sequences follow the order of the rows.
+ROWS = 1 << 14
 #: Runs of non-space characters kept with their ids by each worker before it starts anew.
 KEPT_WORDS = 160_000
 #: Texts of these characters only are lower-cased and split alike by all libraries.
@@ -285,7 +285,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``parts`` (id, piece, length, ...) with sequence_id and offset.
 
     Every piece gets a place; a sequence holds ``capacity`` tokens at most, from
-    offset 0 on without gaps. Order within a length is by a hash of id and piece.
+    offset 0 on without gaps. Order within a length is by a hash of id, piece and ids.
     """
     spark = parts.sparkSession
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
@@ -293,8 +293,8 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spans = spark.createDataFrame(rows or [(0, 0, 0, 0, 0)], "length long, first long, number long, at long, offset long")
     # All ranges of a length in one row, by first rank: at most ``capacity`` rows.
     spans = spans.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("first", "number", "at", "offset"))).alias("spans"))
-    order = F.xxhash64(F.col("id").cast("string"), "piece")
-    ranked = common.running(parts.filter(F.col("length").isNotNull()), "length", order, ["id", "piece"], F.lit(1), "rank")
+    order = F.xxhash64(F.col("id").cast("string"), "piece", "start", "ids_crc32")
+    ranked = common.running(parts.filter(F.col("length").isNotNull()), "length", order, ["id", "piece", "ids_crc32"], F.lit(1), "rank")
     out = ranked.join(F.broadcast(spans), "length", "left")
     hit = F.filter("spans", lambda s: (s["first"] <= F.col("rank")) & (F.col("rank") < s["first"] + s["number"]))[0]
     out = out.withColumn("hit", hit)
@@ -310,41 +310,60 @@ def _plans(capacity: int):
     return run
 
 
-def pack_in_order(parts: DataFrame, places: tuple[str, ...], capacity: int = CAPACITY, slots: int | None = None) -> DataFrame:
-    """As ``pack``, in the order of the columns ``places``, of which the first is a slot.
+def placed(parts: DataFrame) -> DataFrame:
+    """``parts`` of every row of a Parquet table, with ``position``: the number of the
+    row in reading order, from ``file`` and ``row`` (its number in the file). Files
+    are ordered by the number that Spark's writer gives them, then by name."""
+    number = F.regexp_extract("file", r"part-(\d+)", 1).try_cast("long")
+    # One row per file is put in sequence.
+    before = Window.orderBy(number.asc_nulls_last(), "file").rowsBetween(Window.unboundedPreceding, -1)
+    files = parts.groupBy("file").agg((F.max("row") + 1).alias("n"))
+    files = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    return parts.join(files, "file").withColumn("position", F.col("ahead") + F.col("row")).drop("ahead", "file", "row")
 
-    Each ``slots`` slots (SLOTS) are a window that is packed alone; sequences are
+
+def pack_in_order(parts: DataFrame, capacity: int = CAPACITY, rows: int | None = None) -> DataFrame:
+    """As ``pack``, in the order of ``parts``' column position.
+
+    Each ``rows`` rows (ROWS) are a window that is packed alone; sequences are
     numbered by window, and pieces of a length are dealt to the window's
-    sequences in order. Rows without a slot are the last window.
+    sequences in order.
     """
-    slots = slots or SLOTS
-    window = F.coalesce(F.floor(F.col(places[0]) / slots).cast("long"), F.lit(1 << 62))
-    parts = parts.withColumn("window", window)
+    parts = parts.withColumn("window", F.floor(F.col("position") / (rows or ROWS)).cast("long"))
     counts = parts.groupBy("window", "length").agg(F.count("*").alias("n"))
     spans = common.saved(counts.groupBy("window").applyInPandas(_plans(capacity), "window long, length long, first long, number long, at long, offset long, sequences long"), "spans")
     # One row per window is put in sequence.
     before = Window.orderBy("window").rowsBetween(Window.unboundedPreceding, -1)
     ahead = spans.groupBy("window").agg(F.max("sequences").alias("n")).select("window", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
     spans = spans.groupBy("window", "length").agg(F.array_sort(F.collect_list(F.struct("first", "number", "at", "offset"))).alias("spans")).join(ahead, "window")
-    order = Window.partitionBy("window", "length").orderBy(*places, "id", "piece")
+    order = Window.partitionBy("window", "length").orderBy("position", "piece")
     out = parts.withColumn("rank", F.row_number().over(order).cast("long") - 1).join(spans, ["window", "length"])
     hit = F.filter("spans", lambda s: (s["first"] <= F.col("rank")) & (F.col("rank") < s["first"] + s["number"]))[0]
     out = out.withColumn("hit", hit)
     return out.withColumn("sequence_id", F.col("ahead") + F.col("hit.at") + F.col("rank") - F.col("hit.first")).withColumn("offset", F.col("hit.offset")).drop("hit", "spans", "rank", "window", "ahead")
 
 
-def best_fit_packing(docs: DataFrame, file: str, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", places: tuple[str, ...] = ()) -> DataFrame:
+def best_fit_packing(docs: DataFrame, file: str, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", in_order: bool = False) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32 (ids), sequence_id, offset.
-    With ``places`` the sequences follow the order of these columns (see ``pack_in_order``).
+    With ``in_order``, for ``docs`` as read from Parquet files, sequences follow the
+    order of the rows in the files (see ``pack_in_order``).
 
-    Documents longer than ``capacity`` tokens alone are cut. Null texts are
-    empty: one piece with the end id. Repeated rows are packed each; null ids
-    pass through; other columns are ignored; an empty table gives no rows.
+    Documents longer than ``capacity`` tokens, however long, alone are cut. Null
+    texts are empty: one piece with the end id. Repeated rows are packed each, in
+    any order among themselves; null ids pass through; other columns are ignored;
+    an empty table gives no rows.
     """
-    parts = common.saved(pieces(docs, file, capacity, end_id, with_ids, id_col, text_col, places), "pieces")
+    carried = ()
+    if in_order:
+        meta, carried = docs.metadataColumn("_metadata"), ("file", "row")
+        docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), meta["file_name"].alias("file"), meta["row_index"].alias("row"))
+        id_col, text_col, name = "id", "text", id_col
+    else:
+        name = id_col
+    parts = common.saved(pieces(docs, file, capacity, end_id, with_ids, id_col, text_col, carried), "pieces")
     names = ["piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids + ["sequence_id", "offset"]
-    packed = pack_in_order(parts, places, capacity) if places else pack(parts, capacity)
-    return packed.select(F.col("id").alias(id_col), *names)
+    packed = pack_in_order(placed(parts), capacity) if in_order else pack(parts, capacity)
+    return packed.select(F.col("id").alias(name), *names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 import math
 from collections import Counter
+from fractions import Fraction
 
+import numpy as np
 import pytest
 from helpers import odd_docs, odd_rows, rows_of, words
 from oracle import compare, connection
@@ -16,24 +18,54 @@ def test_mixing_over_documents(spark, sf_dir):
     assert mine == theirs
 
 
-@pytest.mark.parametrize("weights", [{"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 1, "b": 1e-9, "c": 3}, {f"s{i}": i + 1 for i in range(40)}, {"only": 2}])
-def test_schedule_keeps_within_a_block(spark, weights):
-    """Every window is kept, and no source is a block away from its share."""
-    slots = mixing.shares(weights, 200)
-    assert sum(slots.values()) == 200 and min(slots.values()) >= 1
-    laid = sorted(mixing.period_table(spark, slots).collect(), key=lambda r: r["slot"])
-    assert [r["slot"] for r in laid] == list(range(200))
+def earliest_deadline_first(parts, slots):
+    """Slot by slot in whole numbers."""
+    q, done, out = sum(parts.values()), dict.fromkeys(parts, 0), []
+    for t in range(slots):
+        deadline, s = min((-(-(done[s] + 1) * q // a), s) for s, a in parts.items() if done[s] * q // a <= t)
+        assert t < deadline
+        out.append((s, done[s], t))
+        done[s] += 1
+    return out
+
+
+RNG = np.random.default_rng(5)
+MIXES = {
+    "one large": ({"a": 0.9, **{f"b{i}": 0.0125 for i in range(8)}}, 128),
+    "equal": ({f"s{i:04}": 1 for i in range(1000)}, 1024),
+    "light ones": ({"a": 1, "b": 2, "c": 1e-4, "d": 3e-4, "e": 0.003}, 64),
+    "any": ({f"s{i}": float(x) for i, x in enumerate(RNG.random(12) ** 3 + 0.02)}, 64),
+    "no light ones": ({f"s{i}": float(x) for i, x in enumerate(RNG.random(9) + 0.1)}, 64),
+    "only one": ({"only": 2}, 16),
+}
+
+
+@pytest.mark.parametrize("name", MIXES)
+def test_schedule_keeps_within_a_block(spark, monkeypatch, name):
+    """No source is ever a block away from its target weight, over several ranges."""
+    weights, slots = MIXES[name]
+    monkeypatch.setattr(mixing, "SLOTS", slots)
+    parts, total = mixing.parts(weights), sum(map(Fraction, weights.values()))
+    q, n = sum(parts.values()), 3000
+    for s, w in weights.items():
+        assert abs(Fraction(parts[s], q) - Fraction(w) / total) < Fraction(1, 10**12)
+    sources = spark.createDataFrame([(s, a, -(-n * a // q)) for s, a in parts.items()], "source string, a long, blocks long")
+    laid = sorted(mixing.schedule(sources).collect(), key=lambda r: r["slot"])
+    assert len({r["slot"] for r in laid}) == len(laid) == sum(-(-n * a // q) for a in parts.values())
     done = Counter()
-    for t, r in enumerate(laid):
-        a = slots[r["source"]]
-        assert r["nth"] == done[r["source"]]
-        assert r["nth"] * 200 // a <= t < -(-(r["nth"] + 1) * 200 // a)
+    for r in laid:
+        k, w = done[r["source"]], Fraction(weights[r["source"]]) / total
+        assert r["block"] == k and r["release"] <= r["slot"] < r["deadline"]
+        # The share is furthest off just before and after a block of the source.
+        assert abs(k - w * r["slot"]) < 1 + Fraction(1, 10**6) and abs(k + 1 - w * (r["slot"] + 1)) < 1 + Fraction(1, 10**6)
         done[r["source"]] += 1
-        assert all(abs(done[s] - slots[s] * (t + 1) / 200) < 1 for s in slots)
+    if all(a * slots >= q for a in parts.values()):
+        want = set(earliest_deadline_first(parts, laid[-1]["slot"] + 1))
+        assert {(r["source"], r["block"], r["slot"]) for r in laid} <= want
 
 
 def test_mixing_of_odd_rows(spark):
-    got = mixing.mix_sources(odd_docs(spark), {"s1": 3, "s2": 1}, block=20, period=8).collect()
+    got = mixing.mix_sources(odd_docs(spark), {"s1": 3, "s2": 1}, block=20).collect()
     assert len(got) == len(odd_rows())
     assert {r["slot"] is None for r in got if r["source"] == "unknown"} == {True}
     for s in ("s1", "s2"):
@@ -42,9 +74,18 @@ def test_mixing_of_odd_rows(spark):
             assert r["start"] == at and r["block"] == at // 20 and r["release"] <= r["slot"] < r["deadline"]
             at += r["size"]
     assert mixing.mix_sources(odd_docs(spark).limit(0)).count() == 0
-    assert mixing.mixed(odd_docs(spark)).count() == len(odd_rows())
-    with pytest.raises(ValueError):
-        mixing.shares({str(i): 1 for i in range(600)})
+    whole = mixing.mixed(odd_docs(spark), {"s1": 3, "s2": 1}, block=20)
+    assert whole.columns == odd_docs(spark).columns and mixing.mixed(odd_docs(spark).limit(0)).count() == 0
+    at = {(r["doc_id"], r["source"], r["start"]): r["slot"] for r in got}
+    want = sorted(got, key=lambda r: (r["slot"] is None, r["slot"], r["source"], r["start"]))
+    assert [r["doc_id"] for r in whole.collect()] == [r["doc_id"] for r in want] and len(at) == len(got)
+
+
+def test_parts_are_exact():
+    assert mixing.parts({"a": 0.5, "b": 0.25, "c": 0, "d": -1}) == {"a": 2, "b": 1}
+    assert mixing.parts({}) == {} and sum(mixing.parts({str(i): 1 for i in range(600)}).values()) == 600
+    tiny = mixing.parts({"a": 1.0, "b": 1e-30})
+    assert tiny["b"] == 1 and tiny["a"] >= 1 << 52
 
 
 def base(text):
