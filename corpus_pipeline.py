@@ -25,8 +25,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: all rows, in the order of the mix, with their places in it."""
-    return mixing.mixed(docs, places=True)
+    """Operator 2: all rows, in the order of the mix; the files keep it."""
+    return mixing.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     follow the mix."""
     import public_tokenizers
 
-    return packing.best_fit_packing(docs, public_tokenizers.path("word_bpe_49k.json"), places=mixing.PLACES)
+    return packing.best_fit_packing(docs, public_tokenizers.path("word_bpe_49k.json"), in_order=True)
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mix", mix), ("pack", pack)]
