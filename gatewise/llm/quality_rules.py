@@ -26,7 +26,6 @@ WINDOW = 5
 #: Rules: a metric between 0 and 1 each; a text is rejected if its metric is over the cutoff.
 RULES = ("symbols", "dup_lines", "repeats", "capitals", "word_length")
 GRID = 500
-TERMS = 2000
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -107,7 +106,8 @@ def log_gamma(x: Column) -> Column:
 
 def binomial_tail(n: Column, k: Column, p: float) -> Column:
     """P(X <= k) for X of n trials at ``p``, for k below n * p: the terms from k
-    downwards; what is left after TERMS of them is bounded by a geometric sum."""
+    downwards. The j-th is under exp(-j * (j - 1) / (2 * n * p)) times the first, so
+    those beyond 9 * sqrt(n * p) + 10 are under the precision of a double."""
     nd, kd = n.cast("double"), k.cast("double")
     top = log_gamma(nd + 1) - log_gamma(kd + 1) - log_gamma(nd - kd + 1) + kd * math.log(p) + (nd - kd) * math.log1p(-p)
     odds = (1 - p) / p
@@ -117,11 +117,9 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
         return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
 
     start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
-    steps = F.when(k >= 1, F.sequence(F.lit(1), F.least(k, F.lit(TERMS)).cast("int"))).otherwise(F.array().cast("array<int>"))
-    acc = F.aggregate(steps, start, add)
-    ratio = F.greatest(kd - TERMS, F.lit(0.0)) / (nd - kd + TERMS) * odds
-    rest = F.when(k > TERMS, acc["term"] * ratio / F.greatest(1 - ratio, F.lit(1e-9))).otherwise(0.0)
-    return F.exp(top) * (acc["sum"] + rest)
+    many = F.least(k, F.ceil(9 * F.sqrt(nd * p)) + 10).cast("int")
+    steps = F.when(k >= 1, F.sequence(F.lit(1), many)).otherwise(F.array().cast("array<int>"))
+    return F.exp(top) * F.aggregate(steps, start, add)["sum"]
 
 
 def cutoffs(table: DataFrame, labels: DataFrame, risk: float, error: float, cost: float, label_id: str = "doc_id") -> DataFrame:
@@ -155,9 +153,12 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.02, error:
 
     With probability 1 - ``error``, in no stratum do the rules reject more than
     ``risk`` of the good texts. Every stratum with labels has own cutoffs; texts
-    of strata without enough labelled good texts fail by the base alone. Null texts have no words and fail; null or repeated
-    ids pass through row for row; labels of unknown ids or null quality are not
-    used; of contradicting labels the worse counts; other columns are ignored.
+    of strata without enough labelled good texts fail by the base alone. Null texts
+    have no words and fail; null strata are one stratum, "und"; null or repeated ids
+    pass through row for row, and a label holds for each row of its id; labels of
+    unknown ids or null quality are not used; of contradicting labels the worse
+    counts; of cutoffs that gain alike the loosest is taken; whole texts of any
+    length are counted; other columns are ignored; an empty table gives no rows.
     """
     table = common.saved(metrics(docs, id_col, text_col, stratum_col), "metrics")
     limits = common.saved(cutoffs(table, labels, risk, error, cost, label_id), "limits")
@@ -202,9 +203,8 @@ b AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
          [{_step_sql("n_symbols", "word_chars")}, {_step_sql("n_dup_lines", "n_lines")}, {_step_sql("n_repeat_words", "n_words")}, {_step_sql("n_capitals", "word_chars")}, {_step_sql("word_chars", "n_words", 40)}] AS steps
   FROM m),
-frequent AS (SELECT stratum FROM b GROUP BY stratum ORDER BY count(*) DESC, stratum LIMIT 64),
 marks AS (SELECT doc_id, min(quality) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IN (0, 1) GROUP BY doc_id),
-held AS (SELECT stratum, good, steps, unnest(range({len(RULES)})) AS rule FROM b JOIN marks USING (doc_id) WHERE NOT base_failed AND stratum IN (SELECT stratum FROM frequent)),
+held AS (SELECT stratum, good, steps, unnest(range({len(RULES)})) AS rule FROM b JOIN marks USING (doc_id) WHERE NOT base_failed),
 counts AS (SELECT stratum, rule, steps[rule + 1] AS step, sum(good) AS good, sum(1 - good) AS bad FROM held GROUP BY ALL),
 tests AS (SELECT greatest(1, count(DISTINCT stratum)) * {len(RULES)} AS n FROM counts),
 grid AS (SELECT stratum, rule, n, unnest(range({GRID + 1}))::INT AS step FROM (SELECT stratum, rule, sum(good)::BIGINT AS n FROM counts GROUP BY ALL)),

@@ -1,6 +1,7 @@
 """Operators 2 and 3 against SQL and brute force."""
 
 import math
+import os
 from collections import Counter
 from fractions import Fraction
 
@@ -99,11 +100,22 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "
 
 
 def test_rules_match_their_sql(spark):
-    sf_dir = "/root/testdata/sf0.01"  # labels enough for some cutoffs
+    sf_dir = "/root/testdata/sf0.01"  # too few labels for a cutoff
     mine, theirs = compare(quality_rules.query(spark, sf_dir), connection(sf_dir), quality_rules.ORACLE_SQL)
     assert mine == theirs
 
 
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1/labels.parquet"), reason="needs some thousand labels")
+def test_rules_match_their_sql_where_cutoffs_bite(spark):
+    """With some thousand labels several rules reject texts that pass the base."""
+    sf_dir = "/root/testdata/sf0.1"
+    got = quality_rules.query(spark, sf_dir)
+    mine, theirs = compare(got, connection(sf_dir), quality_rules.ORACLE_SQL)
+    assert mine == theirs
+    kinds = {r["failed_rules"] for r in got.filter("not base_failed and not kept").select("failed_rules").distinct().collect()}
+    assert len(kinds) >= 2 and "" not in kinds
+
+
 def test_rules_over_documents(spark, sf_dir):
     got = {r["doc_id"]: r for r in quality_rules.query(spark, sf_dir).collect()}
     docs = rows_of(spark, sf_dir)
@@ -125,6 +137,7 @@ def test_rules_of_odd_rows(spark):
 @pytest.mark.parametrize("p", [0.004, 0.02, 0.3])
 def test_binomial_tail(spark, p):
     cases = [(n, k) for n in (1, 10, 300, 5000) for k in range(0, 60) if k < n * p]
+    cases += [(n, int(n * p * part)) for n in (1_000_000, 3_000_000) for part in (0.9, 0.99, 0.9999)]  # thousands of terms
     df = spark.createDataFrame(cases, "n long, k long")
     for r in df.select("n", "k", quality_rules.binomial_tail(F.col("n"), F.col("k"), p).alias("t")).collect():
         exact = math.fsum(math.exp(math.lgamma(r["n"] + 1) - math.lgamma(i + 1) - math.lgamma(r["n"] - i + 1) + i * math.log(p) + (r["n"] - i) * math.log1p(-p)) for i in range(r["k"] + 1))
