@@ -106,16 +106,35 @@ def heights(counts: Sequence[int], lo: float, hi: float, kind: str = "count", to
     }[kind]()
 
 
-def smoothed(counts: Sequence[int], lo: float, hi: float, factor: float = 1.0) -> np.ndarray:
-    """A Gaussian density through histogram counts, on their scale."""
+def height_range(counts: Sequence[int], lo: float, hi: float, kind: str = "count", total: int | None = None) -> tuple[float, float]:
+    """Limits of the height axis: of 0 and all bars."""
+    values = [0.0, *heights(counts, lo, hi, kind, total)]
+    return min(values), max(values)
+
+
+def smoothed(counts: Sequence[int], lo: float, hi: float, factor: float = 1.0, scale: str = "mass", most: float = 1.0) -> np.ndarray:
+    """A Gaussian density through histogram counts.
+
+    The kernel is integrated over each bin, so counts keep their ``mass`` (but for
+    what goes beyond the limits); with ``scale`` "most" the curve is 0 outside the
+    filled bins and its top is ``most`` (1, or the height of the highest bar).
+    """
     n = np.asarray(counts, float)
-    mids = np.arange(len(n)) + 0.5
+    edges = np.arange(len(n) + 1)
+    mids = edges[:-1] + 0.5
     total = max(n.sum(), 1.0)
     mean = (n * mids).sum() / total
     sd = math.sqrt(max((n * (mids - mean) ** 2).sum() / total, 1e-12))
     width = max(0.9 * sd * total**-0.2 * factor, 0.5)  # half a bin at least
-    z = (mids[:, None] - mids[None, :]) / width
-    return np.exp(-0.5 * z * z) @ n / (width * math.sqrt(2 * math.pi))
+    below = np.vectorize(math.erf, otypes=[float])((edges[:, None] - mids[None, :]) / (width * math.sqrt(2))) / 2
+    out = np.diff(below, axis=0) @ n
+    if scale == "mass":
+        return out
+    filled = np.flatnonzero(n)
+    if not len(filled):
+        return np.zeros(len(n))
+    out[: filled[0]] = out[filled[-1] + 1 :] = 0.0
+    return out / out.max() * most
 
 
 def density_bins(rows: DataFrame, x: Column, y: Column, xlim: tuple[float, float], ylim: tuple[float, float], bins: int = DENSITY_BINS) -> DataFrame:

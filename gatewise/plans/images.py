@@ -21,18 +21,23 @@ def _height(spark, sf_dir) -> int:
 
 
 def _round(pixels):
-    return F.transform(pixels, lambda v: F.round(v, 6))
+    """Rounded, with 0 in place of -0."""
+    return F.transform(pixels, lambda v: F.round(v, 6) + F.lit(0.0))
+
+
+def _round_sql(v: str) -> str:
+    return f"CASE WHEN round({v}, 6) = 0 THEN 0.0::DOUBLE ELSE round({v}, 6) END"
 
 
 _DOUBLES = "list_transform(embedding, lambda v: v::DOUBLE)"
 
 
-@query(f"SELECT vec_id, list_transform({_DOUBLES}, lambda v: round(CASE WHEN v <= -0.1 THEN 0.0 WHEN v >= 0.15 THEN 1.0 ELSE pow((v + 0.1) / 0.25, 0.5) END, 6)) AS pixels FROM embeddings")
+@query(f"SELECT vec_id, list_transform({_DOUBLES}, lambda v: {_round_sql("(CASE WHEN v <= -0.1 THEN 0.0 WHEN v >= 0.15 THEN 1.0 ELSE pow((v + 0.1) / 0.25, 0.5) END)")}) AS pixels FROM embeddings")
 def img_normalize(spark, sf_dir):
     return _images(spark, sf_dir).select("vec_id", _round(arrays.normalized(F.col("pixels"), -0.1, 0.15, 0.5)).alias("pixels"))
 
 
-@query(f"SELECT vec_id, list_transform(p, lambda v: round((v - list_min(p)) / (list_max(p) - list_min(p)), 6)) AS pixels FROM (SELECT vec_id, {_DOUBLES} AS p FROM embeddings)")
+@query(f"SELECT vec_id, list_transform(p, lambda v: {_round_sql("((v - list_min(p)) / (list_max(p) - list_min(p)))")}) AS pixels FROM (SELECT vec_id, {_DOUBLES} AS p FROM embeddings)")
 def img_force_range(spark, sf_dir):
     return _images(spark, sf_dir).select("vec_id", _round(arrays.force_range(F.col("pixels"))).alias("pixels"))
 
@@ -60,14 +65,14 @@ def img_mask(spark, sf_dir):
     return rows.select("vec_id", arrays.cleansed(F.col("pixels"), mask, -1.0).alias("pixels"), F.size(F.filter(both, lambda b: b)).cast("long").alias("n"))
 
 
-@query(f"SELECT vec_id, list_transform(p, lambda v, i: round(0.75 * v + 0.25 * p[len(p) + 1 - i], 6)) AS pixels FROM (SELECT vec_id, {_DOUBLES} AS p FROM embeddings)")
+@query(f"SELECT vec_id, list_transform(p, lambda v, i: {_round_sql("(0.75 * v + 0.25 * p[len(p) + 1 - i])")}) AS pixels FROM (SELECT vec_id, {_DOUBLES} AS p FROM embeddings)")
 def img_composite(spark, sf_dir):
     """A weighted sum of two channels (the second is the image backwards)."""
     p = F.col("pixels")
     return _images(spark, sf_dir).select("vec_id", _round(arrays.composite([(0.75, p), (0.25, F.reverse(p))])).alias("pixels"))
 
 
-@query(f"SELECT vec_id, list_transform(p, lambda v, i: round(CASE WHEN i % 8 = 0 THEN 0.5 * v ELSE 0.5 * v + 0.5 * p[i + 1] END, 6)) AS pixels FROM (SELECT vec_id, {_DOUBLES} AS p FROM embeddings)")
+@query(f"SELECT vec_id, list_transform(p, lambda v, i: {_round_sql("(CASE WHEN i % 8 = 0 THEN 0.5 * v ELSE 0.5 * v + 0.5 * p[i + 1] END)")}) AS pixels FROM (SELECT vec_id, {_DOUBLES} AS p FROM embeddings)")
 def img_align(spark, sf_dir):
     """Half a pixel to the left, bilinear; background 0 comes in."""
     out = kernels.image_map(_images(spark, sf_dir), lambda a: kernels.align(a, 0.5, 0.0), ["vec_id"])

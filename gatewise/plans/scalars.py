@@ -8,10 +8,10 @@ from ..functions import numbers, strings
 from .common import query, table
 
 
-@query("SELECT doc_id, replace(replace(base64(encode(substr(coalesce(text, ''), 1, 60))), '+', '-'), '/', '_') AS b64, true AS same FROM documents")
+@query("SELECT doc_id, replace(replace(base64(encode(coalesce(text, ''))), '+', '-'), '/', '_') AS b64, true AS same FROM documents")
 def base64_url(spark, sf_dir):
-    """Base64 in its URL form, and back, of the first 60 characters (a label)."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.substring(F.coalesce("text", F.lit("")), 1, 60), "UTF-8").alias("data"))
+    """Base64 in its URL form, and back, of the whole texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
     text = strings.base64_text(F.col("data"), url=True)
     return docs.select("doc_id", text.alias("b64"), (strings.base64_bytes(text, url=True) == F.col("data")).alias("same"))
 

@@ -63,10 +63,10 @@ def _inverse() -> list[list[float]]:
 _COLS = [" + ".join(f"{a} * {_inverse()[i][j]!r}" for i, a in enumerate(SPILL)) for j in range(3)]
 
 
-@query(f"SELECT {LINE_ID} AS object_number, " + ", ".join(f"round({c}, 6) AS {a}" for c, a in zip(_COLS, SPILL)) + " FROM lineitem")
+@query(f"SELECT {LINE_ID} AS object_number, " + ", ".join(f"CASE WHEN round({c}, 6) = 0 THEN 0.0::DOUBLE ELSE round({c}, 6) END AS {a}" for c, a in zip(_COLS, SPILL)) + " FROM lineitem")
 def compensation(spark, sf_dir):
     df = merge.compensate(lines(spark, sf_dir).df, SPILL)
-    return df.select("object_number", *(F.round(c, 6).alias(c) for c in SPILL))
+    return df.select("object_number", *((F.round(c, 6) + F.lit(0.0)).alias(c) for c in SPILL))  # no -0
 
 
 @query(digest_sql({"low": "l_extendedprice / l_quantity < 1400 AND q <= 30", "kept": "l_extendedprice >= 60000"}, f"(SELECT *, {_COLS[0]} AS q FROM lineitem)"))

@@ -15,7 +15,7 @@ def connection(sf_dir):
 
 def plain(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else float(f"{v:.9g}") + 0.0
+        return "nan" if math.isnan(v) else float(f"{v:.9g}")
     if isinstance(v, (list, tuple)):
         return tuple(plain(x) for x in v)
     return v

@@ -23,6 +23,10 @@ def test_heights_and_smoothing():
     assert plotdata.heights(counts, 0, 3, "density") == pytest.approx([0.1, 0.3, 0.6]) and plotdata.heights(counts, 0, 3, "mids") == [0.5, 1.5, 2.5]
     wide = plotdata.smoothed([0] * 20 + [100] + [0] * 20, 0, 41, 5)
     assert wide.argmax() == 20 and wide.sum() <= 101
+    assert wide.sum() == pytest.approx(100) and plotdata.smoothed([0] * 60 + [5, 9, 7] + [0] * 60, 0, 123).sum() == pytest.approx(21)
+    top = plotdata.smoothed([0, 0, 3, 8, 2, 0], 0, 6, scale="most", most=8.0)
+    assert top.max() == 8.0 and top[[0, 1, 5]].tolist() == [0, 0, 0] and plotdata.smoothed([0, 0], 0, 2, scale="most").tolist() == [0, 0]
+    assert plotdata.height_range(counts, 0, 3) == (0.0, 6.0) and plotdata.height_range([0, 0], 0, 2) == (0.0, 0.0)
 
 
 def test_viewports(spark):
