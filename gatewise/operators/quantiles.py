@@ -1,79 +1,198 @@
-"""Exact order statistics of groups of any size.
+"""Exact order statistics of many columns in groups of any size, in two scans.
 
-Instead of sorting or gathering a group, each pass counts values in equal bins
-between bounds that close in on the wanted ranks; only bins that hold one are
-looked into again. A pass is one scan with a small combined aggregate, whatever
-the number of rows, and heavily repeated values cost nothing extra.
+A first scan keeps a sketch of each column (among other aggregates); its error
+bound gives, for each wanted rank, bounds that its value lies between, and, for
+the median of absolute deviations, the two zones around the median in which the
+values at that distance lie. The second scan counts what lies below the bounds and
+lets only the few values strictly between them through; these are ranked bin by
+bin. Nothing is gathered on the driver or in one task.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-BINS = 4096
-KEY = "key string, lo double, hi double"
+from .store import saved
 
+#: Ranks of the sketch are right within 1 / ACCURACY of the rows (and one row); GRID of
+#: them are kept.
+ACCURACY = 10_000
+GRID = 256
+MARGIN = 3 / ACCURACY
+#: Bins in which the values between two bounds are ranked.
+BINS = 1024
 
-def order_statistics(rows: DataFrame, ranks: dict[str, Iterable[int]], bins: int = BINS) -> dict[str, dict[int, float]]:
-    """The values at 0-based ``ranks`` of each key's finite values.
 
-    ``rows``: key (string), v (double, finite). The driver holds the wanted ranks
-    and one row per bin that was looked into, never values of the table.
-    """
-    spark = rows.sparkSession
-    out: dict[str, dict[int, float]] = {k: {} for k in ranks}
-    #: Bounds that hold wanted ranks: (key, lo, hi) to (values below lo, ranks).
-    todo: dict[tuple[str, float, float], tuple[int, list[int]]] = {}
-    wanted = {k: sorted(set(r)) for k, r in ranks.items() if r}
-    if wanted:
-        for r in rows.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).filter(F.col("key").isin(*wanted)).collect():
-            todo[r["key"], r["lo"], r["hi"]] = (0, wanted[r["key"]])
-    while todo:
-        for (key, lo, hi), (_, need) in list(todo.items()):
-            if lo == hi:
-                out[key] |= dict.fromkeys(need, lo)
-                del todo[key, lo, hi]
-        if not todo:
-            break
-        table = F.broadcast(spark.createDataFrame(list(todo), KEY))
-        # Halves keep the width of the widest ranges finite.
-        place = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
-        bin_ = F.least(F.floor(place * bins), F.lit(bins - 1)).cast("int").alias("bin")
-        hit = rows.join(table, "key").filter((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-        found = hit.groupBy("key", "lo", "hi", bin_).agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
-        groups: dict[tuple[str, float, float], list] = {}
-        for r in found.collect():  # at most ``bins`` rows for each bound
-            groups.setdefault((r["key"], r["lo"], r["hi"]), []).append(r)
-        following: dict[tuple[str, float, float], tuple[int, list[int]]] = {}
-        for bound, (below, need) in todo.items():
-            for r in sorted(groups[bound], key=lambda r: r["bin"]):
-                inside = [k for k in need if below <= k < below + r["n"]]
-                if inside:
-                    following[r["key"], r["least"], r["most"]] = (below, inside)
-                below += r["n"]
-        todo = following
-    return out
+def probabilities(probs: Sequence[float]) -> list[float]:
+    """The shares at which the sketch is read: a grid, and just around ``probs``."""
+    around = [p + s * MARGIN for p in probs for s in (-2, 2)]
+    return sorted({*(i / GRID for i in range(GRID + 1)), *(p for p in around if 0 < p < 1)})
+
+
+def sketch(value: Column, probs: Sequence[float]) -> Column:
+    """An aggregate: approximate quantiles of the non-null values (null if there are none)."""
+    return F.percentile_approx(value, F.array(*(F.lit(float(p)) for p in probabilities(probs))), F.lit(ACCURACY))
+
+
+def quantile_ranks(n: int, probs: Sequence[float]) -> list[tuple[int, int]]:
+    """0-based ranks between which each quantile lies (linear interpolation)."""
+    return [(r, min(r + 1, n - 1)) for r in (math.floor((n - 1) * p) for p in probs)]
 
 
-def quantile_ranks(n: int, probs: Sequence[float]) -> list[tuple[int, int, float]]:
-    """Ranks between which each quantile lies and how far (linear interpolation)."""
+def bounds(at: np.ndarray, shares: np.ndarray, n: int, probs: Sequence[float], margin: float) -> list[tuple[float, float]]:
+    """Values that hold the ranks of each quantile of ``n`` values between them."""
     out = []
-    for p in probs:
-        h = (n - 1) * p
-        out.append((math.floor(h), min(math.floor(h) + 1, n - 1), h - math.floor(h)))
+    for r0, r1 in quantile_ranks(n, probs):
+        low = np.searchsorted(shares, (r0 - 1) / n - margin, side="right") - 1
+        high = np.searchsorted(shares, (r1 + 2) / n + margin, side="left")
+        out.append((float(at[max(low, 0)]), float(at[min(high, len(at) - 1)])))
     return out
 
 
-def quantiles(rows: DataFrame, counts: dict[str, int], probs: Sequence[float]) -> dict[str, list[float]]:
-    """Interpolated quantiles of each key's finite values; ``counts``: their number."""
-    places = {k: quantile_ranks(n, probs) for k, n in counts.items() if n}
-    got = order_statistics(rows, {k: {r for a, b, _ in at for r in (a, b)} for k, at in places.items()})
-    out = {}
-    for k, at in places.items():
-        v = got[k]
-        out[k] = [v[a] if not w else v[a] + w * (v[b] - v[a]) for a, b, w in at]
-    return out
+def zones(at: np.ndarray, shares: np.ndarray, n: int, middle: tuple[float, float], margin: float) -> tuple[float, float, float, float]:
+    """a <= b <= c <= d: whatever the median in ``middle`` is, values between b and c
+    are nearer to it than the median distance, and those under a or over d farther."""
+    (r0, r1), (lo, hi) = quantile_ranks(n, [0.5])[0], middle
+
+    def most(x: np.ndarray) -> np.ndarray:  # share of values that x or less have, at most
+        i = np.searchsorted(at, x, side="right")
+        return np.where(i < len(at), shares[np.minimum(i, len(at) - 1)] + margin + 1 / n, 1.0)
+
+    def least(x: np.ndarray) -> np.ndarray:  # at least
+        i = np.searchsorted(at, x, side="right") - 1
+        return np.where(i >= 0, shares[np.maximum(i, 0)] - margin - 1 / n, 0.0)
+
+    with np.errstate(over="ignore", invalid="ignore"):
+        far = np.unique(np.abs(np.concatenate([at - lo, at - hi])))
+        inside = (most(hi + far) - least(np.nextafter(lo - far, -np.inf))) * n <= r0
+        enough = (least(lo + far) - most(np.nextafter(hi - far, -np.inf))) * n >= r1 + 1
+        near = far[inside].max() if inside.any() else -1.0
+        away = far[enough].min() if enough.any() else math.inf
+        a, d = max(lo - away, float(at[0])), min(hi + away, float(at[-1]))
+        b, c = hi - near, lo + near
+    # One zone if nothing is surely nearer; no value is in the other.
+    return (a, b, c, d) if near >= 0 and a <= b < c <= d else (a, d, -math.inf, -math.inf)
+
+
+def _plan(probs: Sequence[float], spread: bool, margin: float):
+    shares = np.array(probabilities(probs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for counts, sketches in zip(batch.column("counts").to_pylist(), batch.column("sketches").to_pylist()):
+                row = []
+                for n, at in zip(counts, sketches):
+                    if not n or at is None:
+                        row.append([math.nan] * (2 * len(probs) + 4 * spread))
+                        continue
+                    at = np.array(at)
+                    ends = [x for b in bounds(at, shares, n, probs, margin) for x in b]
+                    row.append(ends + list(zones(at, shares, n, bounds(at, shares, n, [0.5], margin)[0], margin)) * spread)
+                out.append(row)
+            yield pa.RecordBatch.from_arrays([batch.column("g"), pa.array(out, pa.list_(pa.list_(pa.float64())))], names=["g", "ends"])
+
+    return run
+
+
+def _ranked(values: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, first, second: the values at ranks r0 and r1 of ``wanted`` (keys, below: the
+    number of values before all, r0, r1, lo, hi) among ``values`` (keys, v, n: how often)."""
+    width = F.col("hi") / 2 - F.col("lo") / 2  # halves keep the widest ranges finite
+    place = F.when(width > 0, F.floor((F.col("v") / 2 - F.col("lo") / 2) / width * BINS)).otherwise(0)
+    binned = values.join(wanted, keys).withColumn("bin", F.greatest(F.lit(0), F.least(place, F.lit(BINS - 1))).cast("int"))
+    names = ["below", "r0", "r1"]
+    bins = binned.groupBy(*keys, *names, "bin").agg(F.sum("n").alias("m"))
+    before = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # at most BINS rows
+    bins = bins.withColumn("ahead", F.col("below") + F.coalesce(F.sum("m").over(before), F.lit(0)))
+    end = F.col("ahead") + F.col("m")
+    bins = bins.filter(((F.col("ahead") <= F.col("r0")) & (F.col("r0") < end)) | ((F.col("ahead") <= F.col("r1")) & (F.col("r1") < end))).select(*keys, "bin", "ahead")
+    few = binned.join(bins, [*keys, "bin"]).groupBy(*keys, *names[1:], "bin", "ahead", "v").agg(F.sum("n").alias("n"))
+    till = Window.partitionBy(*keys, "bin").orderBy("v")
+    few = few.withColumn("till", F.col("ahead") + F.sum("n").over(till))
+    at = [F.min(F.when((F.col("ahead") <= F.col(r)) & (F.col("till") > F.col(r)), F.col("v"))).alias(c) for r, c in (("r0", "first"), ("r1", "second"))]
+    return few.groupBy(*keys).agg(*at)
+
+
+def _passed(rows: DataFrame, first: DataFrame, values: Sequence[str], probs: Sequence[float], spread: bool, margin: float) -> tuple[DataFrame, DataFrame]:
+    """The second scan. spans: g, k, z, count, lo, hi, and how many values are below,
+    between the zones (inner) and within; known: g, k, z, v, n of the values within."""
+    n_z, keys = len(probs) + 2 * spread, ["g", "k", "z"]
+    plan = first.mapInArrow(_plan(probs, spread, margin), f"g {first.schema['g'].dataType.simpleString()}, ends array<array<double>>")
+    plan = saved(plan.select("g", *(F.get(F.get("ends", F.lit(k)), F.lit(i)).alias(f"_end{k}_{i}") for k in range(len(values)) for i in range(2 * n_z))), "bounds")
+    at = rows.join(plan, "g")
+    sums, hits = [], []
+    for k, v in enumerate(values):
+        x = F.col(v)
+        for z in range(n_z):
+            lo, hi = F.col(f"_end{k}_{2 * z}"), F.col(f"_end{k}_{2 * z + 1}")
+            sums += [F.count_if(x < lo).alias(f"_below{k}_{z}"), F.count_if(x == lo).alias(f"_lo{k}_{z}"), F.count_if((x == hi) & (hi > lo)).alias(f"_hi{k}_{z}")]
+            hits.append(F.when((x > lo) & (x < hi), F.struct(F.lit(k).alias("k"), F.lit(z).alias("z"), x.alias("v"))))
+        inner = (x > F.col(f"_end{k}_{2 * n_z - 3}")) & (x < F.col(f"_end{k}_{2 * n_z - 2}")) if spread else F.lit(False)
+        sums.append(F.count_if(inner).alias(f"_inner{k}"))
+    names = [f"_{c}{k}_{z}" for k in range(len(values)) for z in range(n_z) for c in ("below", "lo", "hi")] + [f"_inner{k}" for k in range(len(values))]
+    # Rows between no bounds are one group, counted before the shuffle.
+    hit = F.array_compact(F.array(*hits))
+    passed = saved(at.groupBy("g", F.when(F.size(hit) > 0, hit).alias("hit")).agg(F.count("*").alias("n"), *sums), "between")
+    total = passed.groupBy("g").agg(*(F.sum(c).alias(c) for c in names)).join(first.select("g", "counts"), "g").join(plan, "g")
+
+    def spot(k: int, z: int) -> Column:
+        cols = {"lo": f"_end{k}_{2 * z}", "hi": f"_end{k}_{2 * z + 1}", "below": f"_below{k}_{z}", "at_lo": f"_lo{k}_{z}", "at_hi": f"_hi{k}_{z}", "inner": f"_inner{k}"}
+        return F.struct(F.lit(k).alias("k"), F.lit(z).alias("z"), F.get("counts", F.lit(k)).alias("count"), *(F.col(c).alias(a) for a, c in cols.items()))
+
+    spans = total.select("g", F.inline(F.array(*(spot(k, z) for k in range(len(values)) for z in range(n_z))))).filter("count > 0")
+    ends = spans.select(*keys, F.inline(F.array(F.struct(F.col("lo").alias("v"), F.col("at_lo").alias("n")), F.struct(F.col("hi").alias("v"), F.col("at_hi").alias("n"))))).filter("n > 0")
+    between = passed.filter("hit is not null").select("g", "n", F.inline("hit")).select(*keys, "v", "n")
+    known = saved(ends.unionByName(between), "known")
+    within = known.groupBy(*keys).agg(F.sum("n").alias("within"))
+    return saved(spans.join(within, keys, "left").withColumn("within", F.coalesce("within", F.lit(0))), "spans"), known
+
+
+def order_statistics(rows: DataFrame, first: DataFrame, values: Sequence[str], probs: Sequence[float], spread: bool = False) -> DataFrame:
+    """g, found: for each group a map from the number of a column to its quantiles
+    (``q``, as ``probs``) and, with ``spread`` (``probs`` has 0.5), the ``mad`` (median
+    of absolute deviations).
+
+    ``rows``: g (a struct) and the columns ``values`` (double; nulls don't count).
+    ``first``: g, counts, sketches: the number of values and the ``sketch`` of each
+    column, a table from a first scan of the same rows. Columns without values are
+    left out. The rows are scanned once; again only if a sketch breaks its promise.
+    """
+    n_q, keys, margin = len(probs), ["g", "k", "z"], MARGIN
+    wanted = F.col("z") < n_q
+    h = (F.col("count") - 1) * F.when(wanted, F.get(F.array(*(F.lit(float(p)) for p in probs)), F.col("z"))).otherwise(F.lit(0.5))
+    while True:
+        spans, known = _passed(rows, first, values, probs, spread, margin)
+        spans = spans.withColumn("h", h).withColumn("r0", F.floor("h")).withColumn("r1", F.least(F.col("r0") + 1, F.col("count") - 1))
+        zones_ = spans.filter(~wanted).groupBy("g", "k").agg(F.max("inner").alias("below"), F.max("r0").alias("r0"), F.max("r1").alias("r1"), F.sum("within").alias("within"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        zones_ = zones_.withColumns({"lo": F.least("lo", "hi"), "hi": F.greatest("lo", "hi")})
+        off = lambda df: df.filter((F.col("below") > F.col("r0")) | (F.col("below") + F.col("within") <= F.col("r1")))
+        if margin >= 1 or (off(spans.filter(wanted)).isEmpty() and off(zones_).isEmpty()):
+            break
+        margin *= 16
+    ranked = _ranked(known, spans.filter(wanted).select(*keys, "below", "r0", "r1", "lo", "hi"), keys)
+    part = F.col("h") - F.col("r0")
+    value = F.when(part == 0, F.col("first")).otherwise(F.col("first") + part * (F.col("second") - F.col("first")))
+    quantile = spans.filter(wanted).join(ranked, keys).select("g", "k", "z", value.alias("v"))
+    each = quantile.groupBy("g", "k").agg(F.transform(F.array_sort(F.collect_list(F.struct("z", "v"))), lambda s: s["v"]).alias("q"))
+    if spread:
+        each = saved(each, "quantiles")
+        middle = each.select("g", "k", F.get("q", F.lit(list(probs).index(0.5))).alias("m"))
+        away = known.filter(~wanted).join(middle, ["g", "k"]).select("g", "k", F.abs(F.col("v") - F.col("m")).alias("v"), "n")
+        # Zones that lie at -inf are empty.
+        most = F.greatest(F.when(F.col("lo") > -math.inf, F.abs(F.col("lo") - F.col("m"))), F.abs(F.col("hi") - F.col("m")))
+        zone = zones_.join(middle, ["g", "k"]).select("g", "k", "below", "r0", "r1", F.lit(0.0).alias("lo"), most.alias("hi"))
+        mads = _ranked(away, zone, ["g", "k"])
+        count = first.select("g", F.posexplode("counts").alias("k", "count"))
+        mads = mads.join(count, ["g", "k"]).select("g", "k", F.when(F.col("count") % 2 == 1, F.col("first")).otherwise(F.col("first") / 2 + F.col("second") / 2).alias("mad"))
+        each = each.join(mads, ["g", "k"], "left")
+    else:
+        each = each.withColumn("mad", F.lit(None).cast("double"))
+    return each.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct("q", "mad")))).alias("found"))

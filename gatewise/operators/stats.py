@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -13,7 +12,8 @@ from ..functions.numbers import INF, NAN, finite, is_finite, natural_log
 from ..functions.transforms import transform
 from .catalog import ALL
 from .populations import Objects, member, named
-from .quantiles import quantiles
+from .quantiles import order_statistics, sketch
+from .store import saved
 
 #: Makes the median of absolute deviations comparable to a standard deviation.
 MAD_SCALE = 1.4826
@@ -44,50 +44,51 @@ def pop_stats(objects: Objects, by: str | None = None) -> DataFrame:
     return each.select(*keys, "population", "type", "parent", "count", per_cent(F.col("count"), F.col("of")).alias("perc_parent"), per_cent(F.col("count"), F.col("total")).alias("perc_tot"))
 
 
-def _long(objects: Objects, features: Sequence[str], pops: Sequence[str], trans: dict[str, str], by: str | None) -> tuple[DataFrame, DataFrame]:
-    """One row per object, feature and population it belongs to: key, v (null where
-    missing); and the narrow table it comes from, kept for the passes over it."""
+def _scanned(objects: Objects, features: Sequence[str], pops: Sequence[str], trans: dict[str, str], by: str | None, probs: Sequence[float], spread: bool, infinite: bool) -> DataFrame:
+    """A row per ``by`` (g), with the stats of each population and feature (in that
+    order) as an array: n, n_bad, n_inf, least, most, mean, var, geomean, q (at
+    ``probs``), mad. ``infinite``: infinities are ordered too, as the largest doubles.
+
+    Two scans of the table, whatever the number of populations and features.
+    """
     df = objects.members(pops, keep=features)
-    value = F.array(*(transform(named(f).cast("double"), trans.get(f)) for f in features))
-    of = F.filter(F.array(*(F.when(member(p), F.lit(i)) for i, p in enumerate(pops))), lambda p: p.isNotNull())
-    group = named(by).cast("string") if by else F.lit(None).cast("string")
-    kept = df.select(group.alias("by"), of.alias("of"), value.alias("values")).filter(F.size("of") > 0).persist()
-    rows = kept.select("by", F.explode("of").alias("population"), "values").select("by", "population", F.posexplode("values").alias("feature", "v"))
-    return rows.select(F.to_json(F.array(*(F.col(c).cast("string") for c in ("by", "population", "feature")))).alias("key"), "v"), kept
-
-
-def _named(key: str, pops: Sequence[str], features: Sequence[str]) -> tuple[str | None, str, str]:
-    by, p, f = json.loads(key)
-    return by, pops[int(p)], features[int(f)]
-
-
-def moments(rows: DataFrame) -> DataFrame:
-    """n, n_bad (NaN, infinite or missing), least, most, mean, var, geomean by key."""
-    v = finite(F.col("v"))
-    log = natural_log(v)
-    n = F.count(v)
-    return rows.groupBy("key").agg(
-        F.count("*").alias("rows"),
+    g = F.struct(named(by).alias("by")) if by else F.struct(F.lit(0).alias("by"))
+    value = {f: transform(named(f).cast("double"), trans.get(f)) for f in features}
+    cols = [F.when(member(p), F.coalesce(value[f], F.lit(NAN))).alias(f"v{i * len(features) + j}") for i, p in enumerate(pops) for j, f in enumerate(features)]
+    rows = df.select(g.alias("g"), *cols)
+    names = [f"v{i}" for i in range(len(cols))]
+    big = 1.7976931348623157e308
+    placed = {v: F.when(is_finite(F.col(v)), F.col(v)) for v in names}
+    if infinite:
+        placed = {v: F.when(F.isnan(v), F.lit(None)).otherwise(F.least(F.greatest(F.col(v), F.lit(-big)), F.lit(big))) for v in names}
+    aggs = [F.struct(*moments(F.col(v)), F.count(placed[v]).alias("count"), (sketch(placed[v], probs) if probs else F.lit(None).cast("array<double>")).alias("sketch")).alias(v) for v in names]
+    first = saved(rows.groupBy("g").agg(*aggs), "stats")
+    stats = F.array(*(F.col(v).dropFields("sketch") for v in names)).alias("stats")
+    if not probs:
+        return first.select("g", stats, F.lit(None).cast("map<int, struct<q: array<double>, mad: double>>").alias("found"))
+    sketches = first.select("g", F.array(*(F.col(f"{v}.count") for v in names)).alias("counts"), F.array(*(F.col(f"{v}.sketch") for v in names)).alias("sketches"))
+    ordered = order_statistics(rows.select("g", *(placed[v].alias(v) for v in names)), sketches, names, probs, spread)
+    return first.select("g", stats).join(ordered, "g", "left")
+
+
+def moments(v: Column) -> list[Column]:
+    """Aggregates of the rows where ``v`` isn't null (NaN: missing): n, n_bad (NaN or
+    infinite), n_inf, least, most, mean, var, geomean of the finite values."""
+    x = finite(v)
+    n = F.count(x)
+    return [
         n.alias("n"),
-        F.count_if(~is_finite(F.col("v"))).alias("n_bad"),
-        F.count_if(F.abs(F.col("v")) == INF).alias("n_inf"),
-        F.min(v).alias("least"),
-        F.max(v).alias("most"),
-        F.avg(v).alias("mean"),
-        F.when(n == 1, F.lit(0.0)).otherwise(F.var_samp(v)).alias("var"),
-        F.exp(F.avg(finite(log))).alias("geomean"),
-    )
-
-
-def _spreads(rows: DataFrame, counts: dict[str, int], medians: dict[str, float]) -> dict[str, float]:
-    """Scaled median absolute deviation by key."""
-    if not medians:
-        return {}
-    centre = F.broadcast(rows.sparkSession.createDataFrame(list(medians.items()), "key string, m double"))
-    away = rows.join(centre, "key").select("key", F.abs(F.col("v") - F.col("m")).alias("v"))
-    return {k: MAD_SCALE * v[0] for k, v in quantiles(away, {k: counts[k] for k in medians}, [0.5]).items()}
+        F.count_if(v.isNotNull() & ~is_finite(v)).alias("n_bad"),
+        F.count_if(F.abs(v) == INF).alias("n_inf"),
+        F.min(x).alias("least"),
+        F.max(x).alias("most"),
+        F.avg(x).alias("mean"),
+        F.when(n == 1, F.lit(0.0)).otherwise(F.var_samp(x)).alias("var"),
+        F.exp(F.avg(finite(natural_log(x)))).alias("geomean"),
+    ]
 
 
+QUARTERS = (0.25, 0.5, 0.75)
 SUMMARY = ("min", "q1", "median", "mean", "q3", "max", "mad", "sd", "var")
 
 
@@ -95,36 +96,35 @@ def feature_stats(objects: Objects, features: Sequence[str], pops: Sequence[str]
     """Per population and feature (and ``by``): n, min, q1, median, mean, q3, max,
     mad, sd, var of the transformed finite values and n_nan, the number of others.
 
-    Quantiles are exact, found by counting passes (see ``quantiles``). sd and var
-    of one value are 0; of none, all numbers are NaN.
+    Quantiles are exact, from two scans (see ``quantiles``). sd and var of one value
+    are 0; of none, all numbers are NaN. The result stays distributed: a group's
+    statistics are one row until they are listed.
     """
     pops = list(objects.catalog.pops) if pops is None else list(pops)
     features = list(features)
-    rows, kept = _long(objects, features, pops, trans or {}, by)
-    spark = rows.sparkSession
-    try:
-        found = {r["key"]: r for r in moments(rows).collect()}  # a row per population, feature and ``by``
-        counts = {k: r["n"] for k, r in found.items() if r["n"]}
-        ok = rows.filter(is_finite(F.col("v")))
-        quarters = quantiles(ok, counts, [0.25, 0.5, 0.75])
-        mads = _spreads(ok, counts, {k: q[1] for k, q in quarters.items()})
-    finally:
-        kept.unpersist()
-    at = {_named(k, pops, features): k for k in found}
+    rows = _scanned(objects, features, pops, trans or {}, by, QUARTERS, True, False)
     out = []
-    for g in sorted({g for g, _, _ in at} or {None}, key=str):
-        for p in pops:
-            for f in features:
-                k = at.get((g, p, f))
-                r = found.get(k)
-                if k in quarters:
-                    q = quarters[k]
-                    out.append((g, p, f, r["n"], r["least"], q[0], q[1], r["mean"], q[2], r["most"], mads[k], r["var"] ** 0.5, r["var"], r["n_bad"]))
-                else:
-                    out.append((g, p, f, 0, *[NAN] * 9, r["n_bad"] if r else 0))
-    head = "by string, population string, feature string, n long, " + ", ".join(f"`{c}` double" for c in SUMMARY) + ", n_nan long"
-    df = spark.createDataFrame(out, head)
-    return df.withColumnRenamed("by", by) if by else df.drop("by")
+    for i, p in enumerate(pops):
+        for j, f in enumerate(features):
+            k = i * len(features) + j
+            s, at = F.get("stats", F.lit(k)), F.element_at("found", F.lit(k))
+            q = [F.get(at["q"], F.lit(n)) for n in range(3)]
+            values = {"min": s["least"], "q1": q[0], "median": q[1], "mean": s["mean"], "q3": q[2], "max": s["most"], "mad": MAD_SCALE * at["mad"], "sd": F.sqrt(s["var"]), "var": s["var"]}
+            out.append(F.struct(F.lit(p).alias("population"), F.lit(f).alias("feature"), F.coalesce(s["n"], F.lit(0)).alias("n"), *(F.coalesce(values[c], F.lit(NAN)).alias(c) for c in SUMMARY), F.coalesce(s["n_bad"], F.lit(0)).alias("n_nan")))
+    return _listed(rows if by else _one_row(rows), by, out)
+
+
+def _one_row(rows: DataFrame) -> DataFrame:
+    """Also a row where the table is empty."""
+    one = rows.sparkSession.range(1).select(F.struct(F.lit(0).alias("by")).alias("g"))
+    return one.join(rows, "g", "left")
+
+
+def _listed(rows: DataFrame, by: str | None, out: list[Column]) -> DataFrame:
+    if not by:
+        return rows.select(F.inline(F.array(*out)))
+    listed = rows.select(F.col("g.by").alias("_by"), F.inline(F.array(*out)))
+    return listed.select(F.col("_by").alias(by), *(c for c in listed.columns if c != "_by"))
 
 
 @dataclass(frozen=True)
@@ -152,72 +152,66 @@ def report(objects: Objects, rows: Sequence[ReportRow], by: str | None = None) -
     Infinite values count (they make means NaN); NaN and missing ones don't.
     Objects/mL and Mode aren't computed. Unknown names give NaN.
     """
-    cat, spark = objects.catalog, objects.df.sparkSession
+    cat = objects.catalog
     pops = [p for p in dict.fromkeys(x for r in rows for x in (r.population, r.population2)) if p in cat.pops]
     features = [f for f in dict.fromkeys(r.feature for r in rows) if f in cat.features]
-    counted = {}
-    for r in pop_stats(objects, by).collect():
-        counted.setdefault(str(r[by]) if by else None, {})[r["population"]] = r
-    found, medians, mads = {}, {}, {}
+    ordered = any(r.statistic in ORDERED for r in rows)
+    spread = any(r.statistic in ("MAD", "RD - Median") for r in rows)
+    counted = [p for p in dict.fromkeys([ALL, *pops, *(cat.pops[p].base for p in pops)]) if p in cat.pops]
+    members = objects.members(counted)
+    g = F.struct(named(by).alias("by")) if by else F.struct(F.lit(0).alias("by"))
+    table = members.groupBy(g.alias("g")).agg(F.array(*(F.count_if(member(p)) for p in counted)).alias("sizes"))
     if pops and features:
-        long, kept = _long(objects, features, pops, {}, by)
-        try:
-            found = {r["key"]: r for r in moments(long).collect()}
-            if any(r.statistic in ORDERED for r in rows):
-                # Infinities sort to the ends: bring them in as the largest doubles.
-                big = F.when(F.col("v") == INF, F.lit(1.7976931348623157e308)).when(F.col("v") == -INF, F.lit(-1.7976931348623157e308)).otherwise(F.col("v"))
-                ok = long.filter(F.col("v").isNotNull() & ~F.isnan("v")).withColumn("v", big)
-                counts = {k: r["n"] + r["n_inf"] for k, r in found.items() if r["n"] + r["n_inf"]}
-                medians = {k: v[0] for k, v in quantiles(ok, counts, [0.5]).items()}
-                mads = _spreads(ok, counts, medians)
-        finally:
-            kept.unpersist()
-    found, medians, mads = ({_named(k, pops, features): v for k, v in t.items()} for t in (found, medians, mads))
+        table = table.join(_scanned(objects, features, pops, {}, by, [0.5] if ordered else [], spread, True), "g", "left")
+    else:
+        table = table.withColumns({"stats": F.lit(None).cast("array<struct<n: bigint>>"), "found": F.lit(None).cast("map<int, struct<mad: double>>")})
+    size = {p: F.coalesce(F.get("sizes", F.lit(i)), F.lit(0)) for i, p in enumerate(counted)}
+    place = {(p, f): i * len(features) + j for i, p in enumerate(pops) for j, f in enumerate(features)}
     out = []
-    for g in sorted(counted, key=str):
-        for r in rows:
-            v = _value(r, cat, counted[g], *({f: t.get((g, f, r.feature)) for f in (r.population, r.population2)} for t in (found, medians, mads)))
-            out.append((g, r.name, v if v is not None and abs(v) < 1e308 else NAN))
-    df = spark.createDataFrame(out, "by string, name string, value double")
-    return df.withColumnRenamed("by", by) if by else df.drop("by")
+    for r in rows:
+        v = _value(r, cat, size, place)
+        v = F.lit(None).cast("double") if v is None else v.cast("double")
+        out.append(F.struct(F.lit(r.name).alias("name"), F.when(F.abs(v) < 1e308, v).otherwise(F.lit(NAN)).alias("value")))
+    return _listed(table if by else _one_row(table), by, out)
 
 
-def _value(r: ReportRow, cat, counted: dict, found: dict, medians: dict, mads: dict) -> float | None:
+def _value(r: ReportRow, cat, size: dict[str, Column], place: dict[tuple[str, str], int]) -> Column | None:
+    """The statistic from a row of sizes, stats and order statistics; None or null if it has none."""
     p, q, kind = r.population, r.population2, r.statistic
-    n = {x: counted[x]["count"] for x in (p, q) if x in counted}
-    share = lambda a, b: 100.0 * a / b if b else None
-    if kind in ("Objects/mL", "Mode") or p not in n:
-        return 0.0 if kind == "NaN" and p not in n else None
+    share = lambda a, b: F.when(b > 0, 100.0 * a / b)
+    if kind in ("Objects/mL", "Mode") or p not in size or p not in cat.pops:
+        return F.lit(0.0) if kind == "NaN" and p not in cat.pops else None
     if kind == "Count":
-        return float(n[p])
+        return size[p]
     if kind == "%Total":
-        return share(n[p], counted[ALL]["count"])
+        return share(size[p], size[ALL])
     if kind == "%Gated":
-        return share(n[p], counted[cat.pops[p].base]["count"]) if cat.pops[p].base in counted else None
+        return share(size[p], size[cat.pops[p].base]) if cat.pops[p].base in size else None
     if kind == "%":
-        return share(n[p], n[q]) if q in n else None
-    a, b = found[p], found.get(q)
+        return share(size[p], size[q]) if q in size else None
+    if (p, r.feature) not in place:
+        return F.lit(0.0) if kind == "NaN" else None
+    stats = {x: F.get("stats", F.lit(place[x, r.feature])) for x in (p, q) if (x, r.feature) in place}
+    found = {x: F.element_at("found", F.lit(place[x, r.feature])) for x in stats}
+    a, b = stats[p], stats.get(q)
     if kind == "NaN":
-        if r.feature not in cat.features:
-            return 0.0
-        return float(a["n_bad"]) if a and a["n"] and counted[ALL]["count"] > a["n_bad"] else None
-    if a is None or not (a["n"] + a["n_inf"]):
-        return None
+        return F.when((a["n"] > 0) & (size[ALL] > a["n_bad"]), a["n_bad"])
+    some = a["n"] + a["n_inf"] > 0
+    if kind == "RD - Median":
+        if q not in found:
+            return None
+        spread = MAD_SCALE * (found[p]["mad"] + found[q]["mad"])
+        return F.when(some & (spread > 0), F.abs(F.get(found[p]["q"], F.lit(0)) - F.get(found[q]["q"], F.lit(0))) / spread)
     if kind in ORDERED:
-        if kind == "RD - Median":
-            spread = mads[p] + mads[q] if q in mads and mads[q] is not None else 0
-            return abs(medians[p] - medians[q]) / spread if spread else None
-        return medians[p] if kind == "Median" else mads[p]
+        return F.when(some, F.get(found[p]["q"], F.lit(0)) if kind == "Median" else MAD_SCALE * found[p]["mad"])
     if kind == "geomean":
-        return a["geomean"]
-    if a["n_inf"] and kind != "min" and kind != "max":
-        return None
-    sd = a["var"] ** 0.5 if a["n"] else None
+        return F.when(some, a["geomean"])
+    if kind in ("min", "max"):
+        return F.when(a["n"] > 0, a["least" if kind == "min" else "most"])
+    sd, whole = F.sqrt(a["var"]), (a["n"] > 0) & (a["n_inf"] == 0)
     if kind == "RD - Mean":
-        if b is None or not b["n"] or b["n_inf"]:
+        if b is None:
             return None
-        spread = sd + b["var"] ** 0.5
-        return abs(a["mean"] - b["mean"]) / spread if spread else None
-    if kind in ("min", "max"):
-        return None if a["n_inf"] and not a["n"] else a["least" if kind == "min" else "most"]
-    return {"Mean": lambda: a["mean"], "CV": lambda: 100 * sd / a["mean"] if a["mean"] else None, "stddev": lambda: sd, "Variance": lambda: a["var"]}[kind]()
+        spread = sd + F.sqrt(b["var"])
+        return F.when(whole & (b["n"] > 0) & (b["n_inf"] == 0) & (spread > 0), F.abs(a["mean"] - b["mean"]) / spread)
+    return F.when(whole, {"Mean": a["mean"], "CV": F.when(a["mean"] != 0, 100 * sd / a["mean"]), "stddev": sd, "Variance": a["var"]}[kind])

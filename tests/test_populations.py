@@ -8,10 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from gatewise.operators import merge
+from gatewise.operators import quantiles
 from gatewise.operators.catalog import Catalog, Feature, Graph, Population, ordered
 from gatewise.operators.gates import Region
 from gatewise.operators.populations import Objects, Strategy, apply_strategy, member, rebuilt_ids
-from gatewise.operators.quantiles import order_statistics, quantiles
 from gatewise.operators.stats import ReportRow, feature_stats, pop_stats, report
 
 
@@ -137,17 +137,44 @@ def test_report_rules(objects):
         ReportRow("x", "Sum", "All")
 
 
-def test_order_statistics_of_odd_data(spark):
+@pytest.mark.parametrize("accuracy", [10_000, 40])
+def test_order_statistics_of_odd_data(spark, monkeypatch, accuracy):
+    """Also with a rough sketch, whose bounds hold many values."""
+    monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+    monkeypatch.setattr(quantiles, "MARGIN", 3 / accuracy)
+    monkeypatch.setattr(quantiles, "BINS", 8)
     rng = np.random.default_rng(2)
-    groups = {"skew": np.exp(rng.normal(0, 30, 3001)), "ties": rng.integers(0, 3, 2000).astype(float), "one": np.array([5.0]), "wide": np.array([-1.7e308, 1.7e308, 0.0, 1.0, 1e-300]), "signs": rng.normal(0, 1, 999)}
-    df = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v], "key string, v double").repartition(3)
-    ranks = {k: {0, len(v) // 3, len(v) // 2, len(v) - 1} for k, v in groups.items()}
-    got = order_statistics(df, ranks, bins=16)
+    groups = {"skew": np.exp(rng.normal(0, 30, 3001)), "ties": rng.integers(0, 3, 2000).astype(float), "one": np.array([5.0]), "two": np.array([-1.0, 4.0]), "wide": np.array([-1.7e308, 1.7e308, 0.0, 1.0, 1e-300]), "signs": rng.normal(0, 1, 999), "same": np.full(500, 2.5), None: rng.normal(3, 1, 40)}
+    df = spark.createDataFrame([(k, float(x), float(x) if i % 2 else None) for k, v in groups.items() for i, x in enumerate(v)], "key string, v double, w double").repartition(3)
+    df = df.select(F.struct("key").alias("g"), "v", "w")
+    probs = [0.25, 0.5, 0.9]
+    first = df.groupBy("g").agg(F.array(F.count("v"), F.count("w")).alias("counts"), F.array(*(quantiles.sketch(F.col(c), probs) for c in "vw")).alias("sketches"))
+    got = {r["g"]["key"]: r["found"] for r in quantiles.order_statistics(df, first, ["v", "w"], probs, spread=True).collect()}
     for k, v in groups.items():
-        at = np.sort(v)
-        assert got[k] == {r: at[r] for r in ranks[k]}
-    q = quantiles(df, {k: len(v) for k, v in groups.items() if k != "wide"}, [0.25, 0.5])
-    assert q["signs"] == pytest.approx(list(np.quantile(groups["signs"], [0.25, 0.5])))
+        for c, x in enumerate((v, v[1::2])):
+            assert (c in got[k]) == (len(x) > 0)
+            if len(x) and k != "wide":
+                assert got[k][c]["q"] == pytest.approx(list(np.quantile(x, probs)), rel=1e-12)
+                assert got[k][c]["mad"] == pytest.approx(np.median(np.abs(x - np.median(x))), rel=1e-12)
+    assert got["wide"][0]["q"][1] == 1e-300 and got["wide"][0]["mad"] == 1.0
+
+
+def test_stats_by_group(spark):
+    """Groups of any kind keep their type; a null one is a group; empty tables give none (or NaN)."""
+    df = spark.createDataFrame([(i, float(i * i % 17), None if i % 5 == 0 else i % 5) for i in range(60)], "object_number long, a double, grp int")
+    o = Objects.of(df, features=("a",))
+    got = {r["grp"]: r for r in feature_stats(o, ["a"], by="grp").collect()}
+    assert set(got) == {None, 1, 2, 3, 4}
+    for g, r in got.items():
+        v = [float(i * i % 17) for i in range(60) if (None if i % 5 == 0 else i % 5) == g]
+        assert (r["q1"], r["median"], r["q3"]) == tuple(np.quantile(v, [0.25, 0.5, 0.75])) and r["n"] == 12
+        assert r["mad"] == pytest.approx(1.4826 * np.median(np.abs(v - np.median(v))))
+    rows = [ReportRow("n", "Count", "All"), ReportRow("m", "Median", "All", "a")]
+    assert {(r["grp"], r["name"]) for r in report(o, rows, by="grp").collect()} == {(g, n) for g in got for n in "nm"}
+    empty = Objects.of(df.limit(0), features=("a",))
+    (r,) = feature_stats(empty, ["a"]).collect()
+    assert r["n"] == 0 and math.isnan(r["median"]) and feature_stats(empty, ["a"], by="grp").count() == 0
+    assert {r["name"]: math.isnan(r["value"]) for r in report(empty, rows).collect()} == {"n": False, "m": True}
 
 
 def test_rebuilt_ids(spark):
