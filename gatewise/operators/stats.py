@@ -60,7 +60,7 @@ def _scanned(objects: Objects, features: Sequence[str], pops: Sequence[str], tra
     big = 1.7976931348623157e308
     placed = {v: F.when(is_finite(F.col(v)), F.col(v)) for v in names}
     if infinite:
-        placed = {v: F.when(F.isnan(v), F.lit(None)).otherwise(F.least(F.greatest(F.col(v), F.lit(-big)), F.lit(big))) for v in names}
+        placed = {v: F.when(F.col(v).isNotNull() & ~F.isnan(v), F.least(F.greatest(F.col(v), F.lit(-big)), F.lit(big))) for v in names}
     aggs = [F.struct(*moments(F.col(v)), F.count(placed[v]).alias("count"), (sketch(placed[v], probs) if probs else F.lit(None).cast("array<double>")).alias("sketch")).alias(v) for v in names]
     first = saved(rows.groupBy("g").agg(*aggs), "stats")
     stats = F.array(*(F.col(v).dropFields("sketch") for v in names)).alias("stats")
