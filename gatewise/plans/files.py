@@ -3,7 +3,6 @@ the gates on a stream."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from ..operators.catalog import Population
 from ..operators.gates import Region
 from ..operators.populations import Objects
 from ..operators.stats import pop_stats as count_pops
+from ..operators.store import new_path
 from ..sources import fcs, gatingml
 from ..streaming.gates import windowed_counts
 from .common import digest, digest_sql, lines, query, table
@@ -20,8 +20,7 @@ from .gating import HIERARCHY_SQL, TAGS, hierarchy
 
 def _place(spark) -> str:
     """A folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gatewise-")
-    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+    return new_path(spark, "files")
 
 
 @query("SELECT p_partkey::DOUBLE AS p_partkey, p_size::DOUBLE AS p_size, round(p_retailprice::FLOAT::DOUBLE, 3) AS p_retailprice, CASE WHEN p_size > 25 THEN 1.0 ELSE 0.0 END::DOUBLE AS big FROM part")
