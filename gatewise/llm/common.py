@@ -1,64 +1,35 @@
 """Shared helpers of the training-data operators: saved tables, joins against
 groups of any size, ranks and running sums without a one-task group, a
-fixed-size repeat filter, connected components, and Arrow text access."""
+repeat filter of bounded size, connected components, and Arrow text access."""
 
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..operators.store import new_path, saved, shared_dir
+
+__all__ = ["new_path", "saved", "shared_dir"]
+
 #: Groups beyond the HOT_GROUPS largest hold under 1 / HOT_GROUPS of the rows
 #: each, so an ordinary shuffle join handles them; the largest are broadcast.
 HOT_GROUPS = 512
 HOT_LEAST = 64
-#: Bits of the repeat filter: 2 ** 17 words of 63 bits, about 2 MB broadcast.
-FILTER_WORDS = 1 << 17
-FILTER_BITS = 63
+#: Words of FILTER_BITS bits of a repeat filter: a word for each FILTER_KEYS keys, but
+#: 2 ** 12 (about 64 KB broadcast) at least and 2 ** 21 (about 32 MB) at most.
+FILTER_BITS, FILTER_KEYS = 63, 8
+LEAST_WORDS, MOST_WORDS = 1 << 12, 1 << 21
 #: Ranges of a hashed order within a group for ranks and running sums.
 RANGES = 1024
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where the session names none, as in local tests, a temporary one.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="gatewise-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return path
-
-
-def saved(df: DataFrame, name: str = "table") -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends here, so
-    a lost executor costs a reread, and its size is known to the planner."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-
-
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n: str) -> DataFrame:
     """Left join of ``rows`` with one row per key in ``groups``; ``n`` holds the
     number of rows of each key. Keys are not null. Both should be saved tables.
@@ -74,23 +45,32 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n: str) ->
     return at_hot.unionByName(cold_rows.join(cold, keys, "left"))
 
 
-def repeat_filter(keys: DataFrame, key: Column, least: int = 2) -> DataFrame:
-    """Words of a fixed-size bit set: buckets of ``key`` (a long) with ``least``
-    rows or more. At most FILTER_WORDS rows whatever the input, so safe to
-    broadcast; a full set only lets more rows through."""
-    bucket = F.pmod(key, F.lit(FILTER_WORDS * FILTER_BITS))
+class RepeatFilter(NamedTuple):
+    words: DataFrame
+    size: int
+
+
+def repeat_filter(keys: DataFrame, key: Column, least: int = 2) -> RepeatFilter:
+    """A bit set: buckets of ``key`` (a long) with ``least`` rows or more. Sized by the
+    rows of the saved table ``keys``, within a bound that is safe to broadcast; a
+    fuller set only lets more rows through."""
+    size = LEAST_WORDS
+    n = keys.count()
+    while size < MOST_WORDS and size * FILTER_KEYS < n:
+        size *= 2
+    bucket = F.pmod(key, F.lit(size * FILTER_BITS))
     seen = keys.select(bucket.alias("b")).groupBy("b").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     word = F.floor(F.col("b") / FILTER_BITS).cast("long")
     bit = F.pmod(F.col("b"), F.lit(FILTER_BITS)).cast("int")
     words = seen.groupBy(word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_mask"))
-    return saved(words, "filter")
+    return RepeatFilter(saved(words, "filter"), size)
 
 
-def flagged(rows: DataFrame, words: DataFrame, key: Column, name: str) -> DataFrame:
+def flagged(rows: DataFrame, found: RepeatFilter, key: Column, name: str) -> DataFrame:
     """``rows`` with boolean ``name``: whether the bucket of ``key`` is in the set."""
-    bucket = F.pmod(key, F.lit(FILTER_WORDS * FILTER_BITS))
+    bucket = F.pmod(key, F.lit(found.size * FILTER_BITS))
     bit = F.pmod(bucket, F.lit(FILTER_BITS)).cast("int")
-    on = rows.withColumn("_word", F.floor(bucket / FILTER_BITS).cast("long")).join(F.broadcast(words), "_word", "left")
+    on = rows.withColumn("_word", F.floor(bucket / FILTER_BITS).cast("long")).join(F.broadcast(found.words), "_word", "left")
     hit = F.coalesce(F.call_function("getbit", F.col("_mask"), bit) == 1, F.lit(False))
     return on.withColumn(name, hit).drop("_word", "_mask")
 
@@ -105,8 +85,8 @@ def kept_rows(docs: DataFrame, verdict: DataFrame, id_col: str, text_col: str) -
     """The rows of ``docs``, whole, whose key has a kept row in ``verdict`` (key,
     kept); of rows that repeat id and text one stays.
 
-    Rows that a fixed-size filter of the others' keys clears pass where they
-    lie; only the rest is shuffled.
+    Rows that a filter of the others' keys clears pass where they lie; only the
+    rest is shuffled. Null ids and texts have keys of their own.
     """
     keys = verdict.groupBy("key").agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
     touched = saved(keys.filter("not stays or n > 1"), "touched")

@@ -20,11 +20,11 @@ from . import common
 
 #: Two primes under 2 ** 31 and a base for each.
 MODULI = ((2147483647, 1103515245), (2147483629, 1566083941))
-#: Bytes of a chunk that is hashed at once, and characters of a compared chunk.
+#: Bytes of a chunk that is hashed at once, and of a compared chunk.
 CHUNK = 1 << 16
 COMPARED = 1 << 14
-#: Characters from which a text is dealt out in pieces to be hashed apart.
-HUGE = 1 << 22
+#: Bytes above which a text is dealt out in chunks of as many, hashed anywhere.
+HUGE = CHUNK
 KEYS = ["fp_bytes", "fp_1", "fp_2"]
 
 
@@ -65,30 +65,54 @@ def _hash(moduli, with_text: bool):
     return run
 
 
+def _cut(size: int, own: list[str]):
+    """Pieces of ``size`` bytes of each text, as rows: the columns ``own``, k, part,
+    after (bytes that follow); a text is held once, and few pieces at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text in enumerate(batch.column("text")):
+                data = text.as_buffer()
+                starts = list(range(0, max(1, len(data)), size))
+                for i in range(0, len(starts), 64):
+                    some = starts[i : i + 64]
+                    parts = [data.slice(a, min(size, len(data) - a)).to_pybytes() for a in some]
+                    take = pa.array([row] * len(some))
+                    cols = [*(batch.column(c).take(take) for c in own), pa.array(range(i, i + len(some)), pa.int64()), pa.array(parts, pa.binary()), pa.array([len(data) - a - len(p) for a, p in zip(some, parts)], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(cols, names=[*own, "k", "part", "after"])
+
+    return run
+
+
+def _hash_parts(moduli):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table: dict = {}
+        for batch in batches:
+            parts, after = [np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column("part")], batch.column("after").to_numpy()
+            cols = [pa.array([fingerprint(x, base, mod, table) * pow(base, int(n), mod) % mod for x, n in zip(parts, after)], pa.int64()) for mod, base in moduli]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([len(x) for x in parts], pa.int64()), *cols], names=["row", *KEYS])
+
+    return run
+
+
 def fingerprints(src: DataFrame, moduli=MODULI, huge: int = HUGE, with_text: bool = False) -> DataFrame:
     """id, fingerprint columns, a 64-bit hash and the SHA-256 (binary) of each row
     of ``src`` (id, text), and on demand its text.
 
-    Texts over ``huge`` characters are cut in pieces that are hashed in separate
-    tasks; a piece's value is shifted by the bytes after it, and pieces are summed.
+    Texts over ``huge`` bytes are cut in chunks that are hashed in separate tasks;
+    a chunk's value is shifted by the bytes after it, and chunks are summed.
     """
     kind = src.schema["id"].dataType.simpleString()
     fixed = f"id {kind}, row string, xx long, sha binary" + ", text string" * with_text
-    schema = f"{fixed}, fp_bytes long, fp_1 long, fp_2 long"
     hashed = src.select("id", F.uuid().alias("row"), F.xxhash64("text").alias("xx"), F.unhex(F.sha2("text", 256)).alias("sha"), "text")
-    small = hashed.filter(F.length("text") <= huge).withColumn("after", F.lit(0).cast("long"))
-    out = small.mapInArrow(common.lean(_hash(moduli, with_text)), schema).drop("row")
-    big = common.saved(hashed.filter(F.length("text") > huge), "huge")  # fixes the row names
-    part = F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / huge).cast("int"))).alias("k")
-    cut = big.select("id", "row", "xx", "sha", "text", part)
-    piece = F.substring(F.col("text"), F.col("k") * huge + 1, F.lit(huge))
-    rest = F.substring(F.col("text"), (F.col("k") + 1) * huge + 1, F.length("text"))
-    cut = cut.select("id", "row", "xx", "sha", piece.alias("text"), F.octet_length(rest).cast("long").alias("after"))
-    got = cut.repartition(F.col("row"), F.col("after")).mapInArrow(common.lean(_hash(moduli, False)), schema.replace(", text string", ""))
+    small = hashed.filter(F.octet_length("text") <= huge).withColumn("after", F.lit(0).cast("long"))
+    out = small.mapInArrow(common.lean(_hash(moduli, with_text)), f"{fixed}, fp_bytes long, fp_1 long, fp_2 long").drop("row")
+    big = common.saved(hashed.filter(F.octet_length("text") > huge), "huge")  # fixes the row names
+    cut = big.select("row", "text").mapInArrow(_cut(huge, ["row"]), "row string, k long, part binary, after long")
+    got = cut.repartition(F.col("row"), F.col("k")).mapInArrow(common.lean(_hash_parts(moduli)), "row string, fp_bytes long, fp_1 long, fp_2 long")
     sums = [(F.sum(f"fp_{i + 1}") % mod).alias(f"fp_{i + 1}") for i, (mod, _) in enumerate(moduli)]
-    got = got.groupBy("row").agg(F.first("id").alias("id"), F.first("xx").alias("xx"), F.first("sha").alias("sha"), F.sum("fp_bytes").alias("fp_bytes"), *sums)
-    got = got.join(big.select("row", "text"), "row") if with_text else got
-    return out.unionByName(got.drop("row"))
+    got = got.groupBy("row").agg(F.sum("fp_bytes").alias("fp_bytes"), *sums)
+    return out.unionByName(big.join(got, "row").select(*out.columns))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", moduli=MODULI, huge: int = HUGE) -> DataFrame:
@@ -96,7 +120,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when identical; null counts as empty; of equal texts the
     largest id stays (a null id only where no other is there; of rows that
-    repeat that id one). Other columns are ignored; an empty table gives an
+    repeat that id one). Texts of any length are read whole. Other columns are ignored; an empty table gives an
     empty result.
     """
     out = _verdict(docs, id_col, text_col, moduli, huge)
@@ -104,7 +128,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", moduli=MODULI, huge: int = HUGE) -> DataFrame:
-    """The rows of ``docs``, whole, that ``exact_dedup`` keeps."""
+    """The rows of ``docs``, whole, that ``exact_dedup`` keeps: one of each text. Of rows
+    that repeat id and text one stays; null counts as the empty text; an empty
+    table stays so.
+    """
     out = _verdict(docs, id_col, text_col, moduli, huge)
     key = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("xx").cast("string"))
     return common.kept_rows(docs, out.select(key.alias("key"), "kept"), id_col, text_col)
@@ -132,15 +159,13 @@ def _classes(rows: DataFrame, keys: list[str]) -> DataFrame:
 def _differing(src: DataFrame, members: DataFrame, moduli, huge: int) -> DataFrame:
     """Fingerprints under which texts of different content lie.
 
-    Only texts whose hash is in a fixed-size filter of the members are read
-    again. Chunks of a class stream through a least and a greatest value at each
+    Only texts whose hash is in a filter of the members are read again. Chunks of a class stream through a least and a greatest value at each
     place; both combine before the shuffle, so copies aren't gathered.
     """
     words = common.repeat_filter(members, F.col("xx"), 1)
     again = common.flagged(src.withColumn("xx", F.xxhash64("text")), words, F.col("xx"), "member").filter("member").select("id", "text")
     rows = fingerprints(again, moduli, huge, with_text=True)
-    place = F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / COMPARED).cast("int"))).alias("k")
-    parts = rows.select(*KEYS, "text", place).select(*KEYS, "k", F.substring(F.col("text"), F.col("k") * COMPARED + 1, F.lit(COMPARED)).alias("part"))
+    parts = rows.select(*KEYS, "text").mapInArrow(common.lean(_cut(COMPARED, KEYS)), "fp_bytes long, fp_1 long, fp_2 long, k long, part binary, after long")
     ends = parts.groupBy(*KEYS, "k").agg(F.min("part").alias("least"), F.max("part").alias("most"))
     return ends.filter("least <> most").select(*KEYS).distinct()
 

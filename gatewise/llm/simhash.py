@@ -1,8 +1,8 @@
 """Operator 1: SimHash near-dedup by tiled exact comparison.
 
-Fingerprints go into tiles; inside and between tiles numpy compares them by
-exclusive-or and bit counts, and pairs of tiles whose population counts differ
-beyond the radius are skipped. Which fingerprints can meet at all follows from
+Fingerprints go into tiles of one population count; inside and between tiles numpy
+compares them by exclusive-or and bit counts, and pairs of tiles whose population
+counts differ beyond the radius are skipped. Which fingerprints can meet at all follows from
 the radius: of PARTS parts of the bits, two fingerprints within radius 3 agree
 in two at least, so tiles are formed apart for each choice of two parts and
 value of these (an exact rule: no pair within the radius is missed). Equal
@@ -24,8 +24,10 @@ from . import common
 RADIUS = 3
 #: First bit and number of bits of each part.
 PARTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-#: Fingerprints of a tile; buckets with more are split by population count.
+#: Fingerprints of a tile; buckets with more are split by population count and, where
+#: one count has more than SLICE, in slices.
 TILE = 2048
+SLICE = 16
 
 
 def shingle_hashes(words: list[bytes], size: int = 3) -> np.ndarray:
@@ -85,8 +87,11 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def links(tile: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Class edges within each run of equal ``tile``. ``side``: 0 for a tile that
-    is compared within; 1 and 2 where only pairs across the sides count."""
+    """Class edges within each run of equal ``tile``, in which rows come by ``side``,
+    then by population count. ``side``: 0 for a bucket that is compared within,
+    but for counts that differ beyond the radius; 1 and 2 where only pairs across
+    the sides count."""
+    pop = np.bitwise_count(fp.view(np.uint64)).astype(np.int8)
     n, ends = len(fp), np.flatnonzero(np.append(tile[1:] != tile[:-1], True)) + 1
     last = np.repeat(ends, np.diff(np.append(0, ends)))  # end of each row's run
     found, held = [], 0
@@ -94,6 +99,8 @@ def links(tile: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int) -> tu
     while len(at):
         d += 1
         at = at[at + d < last[at]]
+        # Counts ascend: beyond the radius all that follow are skipped.
+        at = at[(pop[at + d] - pop[at] <= radius) | (side[at] != 0)]
         near = np.bitwise_count((fp[at] ^ fp[at + d]).view(np.uint64)) <= radius
         i = at[near]
         i = i[(side[i] == 0) | (side[i] != side[i + d])]
@@ -138,18 +145,18 @@ def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     big = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > TILE)
     big = common.saved(big, "big")
     # Few buckets hold over TILE rows: at most 1 / TILE of all rows.
-    rows = rows.join(big, "bucket", "left")
+    rows = common.join_groups(rows, big, ["bucket"], "n")
     whole = rows.filter("n is null").select(F.col("bucket").alias("tile"), "fp", F.lit(0).cast("long").alias("side"))
     # In a large bucket, tiles by population count and slice; pairs of tiles whose
     # counts differ by more than the radius don't meet.
-    pop, n_slices = F.bit_count("fp"), F.ceil(F.col("n") / (4 * TILE)).cast("int")
+    pop, n_slices = F.bit_count("fp"), F.ceil(F.col("n") / (SLICE * TILE)).cast("int")
     split = rows.filter("n is not null").select("bucket", "fp", pop.alias("pop"), F.pmod(F.xxhash64("fp"), n_slices).cast("int").alias("slice"), n_slices.alias("slices"))
     other = split.withColumn("pop2", F.explode(F.sequence(F.col("pop") - radius, F.col("pop") + radius))).withColumn("slice2", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     mine, its = F.struct("pop", "slice"), F.struct(F.col("pop2").alias("pop"), F.col("slice2").alias("slice"))
     pair = F.xxhash64("bucket", F.least(mine, its), F.greatest(mine, its))
     side = F.when(mine == its, 0).when(mine < its, 1).otherwise(2).cast("long")
     tiles = whole.unionByName(other.select(pair.alias("tile"), "fp", side.alias("side")))
-    parts = tiles.repartition("tile").sortWithinPartitions("tile", "side", "fp")
+    parts = tiles.repartition("tile").sortWithinPartitions("tile", "side", F.bit_count("fp"), "fp")
     return parts.mapInArrow(common.lean(_compare(radius)), "a long, b long")
 
 
@@ -159,15 +166,19 @@ def simhash_dedup(docs: DataFrame, radius: int = RADIUS, size: int = 3, id_col:
 
     Fingerprints link at ``radius`` differing bits or fewer. Null and empty texts
     have fingerprint 0; null ids belong to classes but name none (component_id
-    is null where no other id is there); repeated rows are repeated; other
-    columns are ignored; an empty table gives no rows.
+    is null where no other id is there); repeated rows are repeated; texts of any
+    length are read whole; other columns are ignored; an empty table gives no rows.
     """
     out = _classes(docs, radius, size, id_col, text_col)
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component.id").alias("component_id"), "near")
 
 
 def without_near_copies(docs: DataFrame, radius: int = RADIUS, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, whole, that name their class: one of each."""
+    """The rows of ``docs``, whole, that name their class: one of each, that with the
+    smallest id; a null id stays only where no other is there. Of rows that
+    repeat id and text one stays, of ids that repeat with other texts the one with
+    the smaller hash. Null and empty texts are one class; an empty table stays so.
+    """
     out = _classes(docs, radius, size, id_col, text_col)
     key = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("xx").cast("string"))
     kept = F.struct("id", "xx").eqNullSafe(F.col("component").dropFields("other"))

@@ -9,7 +9,9 @@ import xxhash
 from helpers import lower, odd_docs, odd_rows, rows_of, words
 from oracle import compare, connection
 
-from gatewise.llm import exact_dedup, simhash
+from pyspark.sql import functions as F
+
+from gatewise.llm import common, exact_dedup, simhash
 
 
 def fingerprint(text):
@@ -114,7 +116,7 @@ def test_exact_over_documents(spark, sf_dir):
     assert mine == theirs
 
 
-@pytest.mark.parametrize("moduli,huge", [(exact_dedup.MODULI, exact_dedup.HUGE), (exact_dedup.MODULI, 7), (((2, 1), (3, 1)), exact_dedup.HUGE), (((2, 1), (3, 1)), 1000)])
+@pytest.mark.parametrize("moduli,huge", [(exact_dedup.MODULI, exact_dedup.HUGE), (exact_dedup.MODULI, 7000), (((2, 1), (3, 1)), exact_dedup.HUGE), (((2, 1), (3, 1)), 1000)])
 def test_exact_of_odd_rows(spark, moduli, huge):
     """Pieces of huge texts, and fingerprints that collide, change nothing."""
     rows = odd_rows() + [(100 + i, t, *[None] * 16) for i, t in enumerate(("ab", "ba", "aab", "aba", "\0a", "a\0"))]
@@ -139,7 +141,30 @@ def test_exact_of_an_empty_table(spark):
 
 
 def test_rows_stay_whole(spark):
+    """One row of each text, and of each class, with all its columns."""
     docs = odd_docs(spark)
-    for f in (exact_dedup.without_copies, simhash.without_near_copies):
-        out = f(docs)
-        assert out.columns == docs.columns and out.count() == len({g["text_sha256"] for g in exact_dedup.exact_dedup(docs).collect()}) if f is exact_dedup.without_copies else True
+    rows = odd_rows()
+    exact = exact_dedup.without_copies(docs)
+    assert exact.columns == docs.columns and not {repr(tuple(r)) for r in exact.collect()} - {repr(tuple(r)) for r in docs.collect()}
+    assert sorted(r["text"] or "" for r in exact.collect()) == sorted({r[1] or "" for r in rows})
+    near = simhash.without_near_copies(docs)
+    assert near.columns == docs.columns
+    fps = [fingerprint(r[1]) for r in rows]
+    root, least = classes(fps), {}
+    for r, f in zip(rows, fps):
+        if r[0] is not None:
+            least[root[f]] = min(r[0], least.get(root[f], r[0]))
+    assert sorted(r["doc_id"] for r in near.collect()) == sorted(least.values()) and len(least) == len(set(root.values()))
+    assert exact_dedup.without_copies(docs.limit(0)).count() == simhash.without_near_copies(docs.limit(0)).count() == 0
+
+
+def test_repeat_filters_of_any_size(spark, monkeypatch):
+    """Also where the filter is full, no key with enough rows is missed."""
+    keys = spark.range(3000).select((F.col("id") % 2500 * 7919).alias("key")).cache()
+    for most in (1, 1 << 21):
+        monkeypatch.setattr(common, "LEAST_WORDS", 1)
+        monkeypatch.setattr(common, "MOST_WORDS", most)
+        found = common.repeat_filter(keys, F.col("key"), 2)
+        assert found.size <= most or most == 1
+        hit = {r["key"] for r in common.flagged(keys, found, F.col("key"), "hit").filter("hit").collect()}
+        assert hit >= {i * 7919 for i in range(500)}
