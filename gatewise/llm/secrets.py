@@ -42,6 +42,11 @@ WORDS = (
     "your", "the", "and", "for", "not", "none", "null", "true", "false", "value", "here", "string", "name", "word", "code", "data", "file", "time", "this", "that",
 )
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
+#: How far the rows of keys are shifted, in keys, and the marks above the digits.
+SHIFTS = (0.0, 0.5, 0.75, 1.25)
+MARKS = str.maketrans("!@#$%^&*()", "1234567890")
+#: Longest block whose repetition is found, and longest part of a longer walk.
+BLOCK, WALK = 16, 40
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d", re.ASCII)
 SWAPS = str.maketrans("@4301$57", "aaeoisst")
 #: Words of the corpus: runs of letters of these lengths.
@@ -57,10 +62,26 @@ def _ranks(words: tuple[str, ...]) -> tuple[dict[str, int], int]:
 
 
 @functools.cache
-def _near() -> frozenset[tuple[str, str]]:
-    """Pairs of keys next to each other in a row, either way, and in the alphabet."""
-    rows = [*ROWS, "abcdefghijklmnopqrstuvwxyz"]
-    return frozenset(p for r in rows for a, b in zip(r, r[1:]) for p in ((a, b), (b, a)))
+def _near() -> dict[tuple[str, str], tuple[int, int]]:
+    """Direction from each key to each one next to it, in its row or the rows beside
+    it, and from letter to letter in the alphabet."""
+    place = {ch: (x + shift, y) for y, (row, shift) in enumerate(zip(ROWS, SHIFTS)) for x, ch in enumerate(row)}
+    out = {(a, b): ((bx > ax) - (bx < ax), by - ay) for a, (ax, ay) in place.items() for b, (bx, by) in place.items() if a != b and abs(bx - ax) <= 1 and abs(by - ay) <= 1}
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for a, b in zip(letters, letters[1:]):
+        out.setdefault((a, b), (2, 0))
+        out.setdefault((b, a), (-2, 0))
+    return out
+
+
+def walk_cost(keys: str) -> float | None:
+    """log10 of the guesses for a walk over the keyboard, if ``keys`` is one."""
+    near = _near()
+    steps = [near.get(p) for p in zip(keys, keys[1:])]
+    if len(keys) < 3 or None in steps:
+        return None
+    turns = sum(a != b for a, b in zip(steps, steps[1:]))
+    return math.log10(2 * 40 * len(keys)) + turns * math.log10(4)
 
 
 def _brute(ch: str) -> float:
@@ -71,25 +92,25 @@ def guess_cost(value: str, words: tuple[str, ...] = WORDS, more: Mapping[str, in
     """log10 of the guesses that the cheapest segmentation of ``value`` needs.
 
     A word costs its rank (doubled for capitals or swapped letters), a date the
-    days of 200 years, a repeat its letter times its length, a walk its start
-    times its length, any other character its alphabet; each span costs 2 more.
+    days of 200 years, a repeat its letter times its length, a repeated block its
+    own guesses times its number, a walk its start times its length and four at
+    each turn, any other character its alphabet; each span costs 2 more.
     ``more``: ranks of words of the corpus; of two ranks the lower holds.
     """
     ranks, longest = _ranks(words)
     if more:
         ranks = {**more, **{w: min(r, more.get(w, r)) for w, r in ranks.items()}}
         longest = max(longest, *map(len, more))
+    return _cheapest(value, ranks, longest)
+
+
+def _cheapest(value: str, ranks: Mapping[str, int], longest: int) -> float:
     low, n, step = value.lower(), len(value), math.log10(2)
-    plain = low.translate(SWAPS)
-    same, walk, near = [1] * (n + 1), [1] * (n + 1), _near()
-    for i in range(n - 2, -1, -1):
-        if value[i] == value[i + 1]:
-            same[i] = same[i + 1] + 1
-        if (low[i], low[i + 1]) in near:
-            walk[i] = walk[i + 1] + 1
+    plain, keys, near = low.translate(SWAPS), low.translate(MARKS), _near()
     best = [math.inf] * (n + 1)
     best[0] = 0.0
     brute_from = [math.inf] * (n + 1)  # cheapest with a brute-force span that ends here
+    same, blocks = 0, [0] * (BLOCK + 1)  # ends of the runs that have been looked at
     for i in range(n):
         at = min(best[i], brute_from[i])
         best[i] = at
@@ -105,10 +126,31 @@ def guess_cost(value: str, words: tuple[str, ...] = WORDS, more: Mapping[str, in
                     reach(j, math.log10(ranks[text]) + step * more + step * (value[i:j] != low[i:j]))
         if m := DATE.match(value, i):
             reach(m.end(), math.log10(200 * (365 if m.end() - i > 4 else 1)))
-        if same[i] >= 3:
-            reach(i + same[i], one + math.log10(same[i]))
-        if walk[i] >= 3:
-            reach(i + walk[i], math.log10(2 * 40 * walk[i]))
+        if i >= same:
+            same = i
+            while same < n and value[same] == value[i]:
+                same += 1
+        for j in {*range(i + 3, min(same, i + WALK) + 1), *([same] if same - i >= 3 else ())}:
+            reach(j, one + math.log10(j - i))
+        last, turns = None, 0
+        for j in range(i + 1, min(n, i + WALK)):
+            way = near.get((keys[j - 1], keys[j]))
+            if way is None:
+                break
+            turns += last is not None and way != last
+            last = way
+            if j - i >= 2:
+                reach(j + 1, math.log10(2 * 40 * (j + 1 - i)) + turns * math.log10(4))
+        for p in range(2, min(BLOCK, (n - i) // 2) + 1):
+            block, end = value[i : i + p], i + p
+            if i < blocks[p] or not value.startswith(block, end):
+                continue
+            while value.startswith(block, end):
+                end += p
+            blocks[p] = end - 2 * p + 1 if end - i > WALK else 0  # of a long run the first start counts
+            own = _cheapest(block, ranks, longest)
+            for k in range(2, (end - i) // p + 1) if end - i <= WALK else ((end - i) // p,):
+                reach(i + k * p, own + math.log10(k))
     return min(best[n], brute_from[n])
 
 
@@ -210,9 +252,10 @@ def secret_spans(docs: DataFrame, least: float = 8.0, words: tuple[str, ...] = W
 
     ``least``: log10 guesses from which a value in a credential context is a
     secret. Besides ``words``, all words of the texts count as known, by their
-    number of texts; a text doesn't count for the words of its own values.
-    Null texts have no span; null and repeated ids pass through; other
-    columns are ignored; whole texts of any length are scanned.
+    number of texts; a text doesn't count for the words of its own values; words
+    of equally many texts share a rank. Spans that start alike come by kind. Null texts have no span; null and repeated ids pass through; other
+    columns are ignored; whole texts of any length are scanned; an empty table
+    gives no rows.
     """
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
