@@ -47,7 +47,13 @@ def int32(x: Column) -> Column:
 def uint64(x: Column) -> Column:
     """A signed 64-bit number read as unsigned, as decimal(20,0)."""
     d = x.cast("decimal(20,0)")
-    return F.when(x < 0, d + F.lit(1 << 64).cast("decimal(20,0)")).otherwise(d).cast("decimal(20,0)")
+    return F.when(x < 0, d + F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(d).cast("decimal(20,0)")
+
+
+def int64(x: Column) -> Column:
+    """An unsigned 64-bit number (decimal) read as signed."""
+    d = x.cast("decimal(20,0)")
+    return F.when(d >= F.lit(str(1 << 63)).cast("decimal(20,0)"), d - F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(d).cast("long")
 
 
 def gamma_of(xmin: Column, xmax: Column, xmid: Column, ymid: Column) -> Column:

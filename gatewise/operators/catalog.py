@@ -268,6 +268,13 @@ class Catalog:
         left = [g for i, g in enumerate(self.graphs) if i not in set(what.graphs)]
         return replace(out, graphs=tuple(g for x in left if (g := out.drawable(x))))
 
+    def remove_graphs(self, places: Iterable[int]) -> Catalog:
+        """Without the graphs at these places (from 0)."""
+        gone = set(places)
+        if bad := [i for i in gone if not 0 <= i < len(self.graphs)]:
+            raise ValueError(f"no graphs at {sorted(bad)}")
+        return replace(self, graphs=tuple(g for i, g in enumerate(self.graphs) if i not in gone))
+
     # ---- changes -----------------------------------------------------------
 
     def modify_regions(self, **changes: Region) -> Catalog:

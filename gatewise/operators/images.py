@@ -180,6 +180,31 @@ def align(image: np.ndarray, dx: float, dy: float, **fill) -> np.ndarray:
     return affine(image, np.array([[1, 0, dx], [0, 1, dy]]), order=2, **fill)
 
 
+def align_mask(mask: np.ndarray, dx: float, dy: float, bg: int = 0) -> np.ndarray:
+    """As ``align``, by the nearest pixel, so that whole numbers stay whole."""
+    if np.isnan(dx) != np.isnan(dy):
+        raise ValueError("one shift is missing")
+    if np.isnan(dx) or (dx == 0 and dy == 0):
+        return mask
+    return affine(mask, np.array([[1, 0, dx], [0, 1, dy]]), order=1, bg=bg).astype(mask.dtype)
+
+
+def beside(images: list[np.ndarray], bg: float = 0.0) -> np.ndarray:
+    """Images next to each other, from the top; lower ones are filled up below."""
+    height = max(i.shape[0] for i in images)
+    return np.concatenate([np.pad(i, ((0, height - i.shape[0]), (0, 0)), constant_values=bg) for i in images], axis=1)
+
+
+def below(images: list[np.ndarray], bg: float = 0.0) -> np.ndarray:
+    """Images under each other, from the left."""
+    return beside([i.T for i in images], bg).T
+
+
+def sheet(images: list[np.ndarray], columns: int, bg: float = 0.0) -> np.ndarray:
+    """Images in rows of ``columns``."""
+    return below([beside(images[i : i + columns], bg) for i in range(0, len(images), columns)], bg)
+
+
 def cleanse(image: np.ndarray, mask: np.ndarray, bg: float = 0.0, sd: float = 0.0, rng: np.random.Generator | None = None) -> np.ndarray:
     return np.where(mask != 0, background(image.shape, bg, sd, rng), image)
 
@@ -268,15 +293,42 @@ SAMPLES = {"uint8": (1, 255), "int8": (2, 127), "uint16": (1, 65535), "int16": (
 
 
 def tiff(image: np.ndarray, kind: str = "uint16", deflate: bool = False) -> bytes:
-    """A one-page TIFF of a grey image in [0, 1]."""
+    """A TIFF of a grey image in [0, 1]: height x width (x channels, in one strip)."""
+    return tiff_pages([image], kind, deflate)
+
+
+def tiff_pages(images: list[np.ndarray], kind: str = "uint16", deflate: bool = False) -> bytes:
+    """A TIFF with a page for each image."""
     sample, scale = SAMPLES[kind]
     dtype = np.dtype({"float": "<f4", "double": "<f8"}.get(kind, kind)).newbyteorder("<")
-    data = (image * scale).astype(dtype) if sample == 3 else np.rint(image * scale).astype(dtype)
-    body = zlib.compress(data.tobytes()) if deflate else data.tobytes()
-    tags = [(256, 4, image.shape[1]), (257, 4, image.shape[0]), (258, 3, dtype.itemsize * 8), (259, 3, 8 if deflate else 1), (262, 3, 1), (273, 4, 8), (277, 3, 1), (278, 4, image.shape[0]), (279, 4, len(body)), (339, 3, sample)]
-    pad = b"\0" * (len(body) % 2)
-    ifd = struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", t, k, 1, v) for t, k, v in tags) + struct.pack("<I", 0)
-    return struct.pack("<2sHI", b"II", 42, 8 + len(body) + len(pad)) + body + pad + ifd
+    out = bytearray(struct.pack("<2sHI", b"II", 42, 0))
+    link = 4
+    for image in images:
+        data = np.ascontiguousarray((image * scale).astype(dtype) if sample == 3 else np.rint(image * scale).astype(dtype))
+        body = zlib.compress(data.tobytes()) if deflate else data.tobytes()
+        at = len(out)
+        out += body + b"\0" * (len(body) % 2)
+        channels = image.shape[2] if image.ndim == 3 else 1
+        tags = [(256, 4, image.shape[1]), (257, 4, image.shape[0]), (258, 3, dtype.itemsize * 8), (259, 3, 8 if deflate else 1), (262, 3, 1), (273, 4, at), (277, 3, channels), (278, 4, image.shape[0]), (279, 4, len(body)), (339, 3, sample)]
+        struct.pack_into("<I", out, link, len(out))
+        out += struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", t, k, 1, v) for t, k, v in tags)
+        link = len(out)
+        out += struct.pack("<I", 0)
+    return bytes(out)
+
+
+def tiff_read(data: bytes) -> list[np.ndarray]:
+    """The samples of each page of a little-endian TIFF with one strip a page."""
+    out, at = [], struct.unpack_from("<I", data, 4)[0]
+    while at:
+        n = struct.unpack_from("<H", data, at)[0]
+        t = {tag: value for tag, _, _, value in (struct.unpack_from("<HHII", data, at + 2 + 12 * i) for i in range(n))}
+        body = data[t[273] : t[273] + t[279]]
+        name = {1: "u", 2: "i", 3: "f"}[t[339]] + str(t[258] // 8)
+        x = np.frombuffer(zlib.decompress(body) if t[259] == 8 else body, "<" + name)
+        out.append(x.reshape(t[257], t[256], *([t[277]] if t[277] > 1 else [])))
+        at = struct.unpack_from("<I", data, at + 2 + 12 * n)[0]
+    return out
 
 
 ENCODERS = {"bmp": bmp, "png": png, "tiff": tiff}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .populations import named
+from .store import saved
 
 
 def merge_by_name(tables: Mapping[str, DataFrame], file_col: str = "import_file") -> DataFrame:
@@ -64,7 +65,8 @@ def ranks(rows: DataFrame, column: str, name: str) -> DataFrame:
     """1-based rank of distinct values, by ranges: each is numbered by itself and
     starts after the sizes of those before it (one number per range)."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, column).withColumn("_part", F.spark_partition_id())
+    # Range bounds are sampled, so the dealt rows are written once and read from there.
+    dealt = saved(rows.repartitionByRange(n, column).withColumn("_part", F.spark_partition_id()), "ranges")
     inside = dealt.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(column)))
     sizes = inside.groupBy("_part").agg(F.count("*").alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,6 +1,6 @@
 """Name, query and SQL of every registered query of the core library."""
 
-from . import features, files, gating, images, plots, scalars, statistics, tables  # noqa: F401
+from . import edits, features, files, gating, images, plots, roundtrips, scalars, statistics, tables  # noqa: F401
 from .common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

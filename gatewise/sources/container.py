@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fcs import _files, _short
+from .parts import write_parts
 
 #: Field type: size in bytes and struct code.
 TYPES = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 6: (1, "b"), 7: (1, "B"), 8: (2, "h"), 9: (4, "i"), 10: (8, "ii"), 11: (4, "f"), 12: (8, "d")}
@@ -88,7 +89,7 @@ def read_offsets(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return _files(spark, paths).mapInArrow(run, OFFSETS)
 
 
-STRIPS = "import_file string, object_id long, kind string, offset long, width int, height int, channels int, compression int, bg_mean array<double>, bg_std array<double>, data binary"
+STRIPS = "import_file string, object_id long, kind string, offset long, width int, height int, channels int, compression int, bg_mean array<double>, bg_std array<double>, data binary, path string"
 
 
 def read_strips(spark: SparkSession, paths: str | list[str], channels: int, objects: list[int] | None = None, kinds: tuple[str, ...] = ("img", "msk")) -> DataFrame:
@@ -98,7 +99,7 @@ def read_strips(spark: SparkSession, paths: str | list[str], channels: int, obje
     wanted = None if objects is None else set(objects)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.string(), pa.int64(), pa.string(), pa.int64(), *[pa.int32()] * 4, *[pa.list_(pa.float64())] * 2, pa.binary())
+        types = (pa.string(), pa.int64(), pa.string(), pa.int64(), *[pa.int32()] * 4, *[pa.list_(pa.float64())] * 2, pa.binary(), pa.string())
         for b in batches:
             for path, content in zip(b.column("path").to_pylist(), b.column("content")):
                 data, rows = content.as_py(), []
@@ -107,7 +108,7 @@ def read_strips(spark: SparkSession, paths: str | list[str], channels: int, obje
                     if kind_of(t) not in kinds or (wanted is not None and oid not in wanted):
                         continue
                     strip, size = t[STRIP][0], t[STRIP_BYTES][0]
-                    rows.append((_short(path), oid, kind_of(t), at, t[WIDTH][0], t[LENGTH][0], channels, t.get(COMPRESSION, (1,))[0], [float(x) for x in t.get(BG_MEAN, ())], [float(x) for x in t.get(BG_STD, ())], data[strip : strip + size]))
+                    rows.append((_short(path), oid, kind_of(t), at, t[WIDTH][0], t[LENGTH][0], channels, t.get(COMPRESSION, (1,))[0], [float(x) for x in t.get(BG_MEAN, ())], [float(x) for x in t.get(BG_STD, ())], data[strip : strip + size], path))
                     if len(rows) == 1024:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), types)], names=names)
                         rows = []
@@ -158,6 +159,15 @@ def encode(objects: list[tuple[int, np.ndarray, np.ndarray]], matrix: np.ndarray
     """A container of (id, image, mask): differences for images, runs for masks."""
     from ..operators.images import DELTA, RUNS, delta_encode, run_encode
 
+    strips = []
+    for oid, image, mask in objects:
+        strips.append((oid, IMAGE, *image.shape, DELTA, delta_encode(image)))
+        strips.append((oid, MASK, *mask.shape, RUNS, run_encode(mask)))
+    return encode_strips(strips, matrix, order)
+
+
+def encode_strips(strips: list[tuple[int, int, int, int, int, bytes]], matrix: np.ndarray | None = None, order: str = "<") -> bytes:
+    """A container of (id, kind, height, width, compression, strip) in this order."""
     out = bytearray((b"II*\0" if order == "<" else b"MM\0*") + b"\0\0\0\0")
     link = 4
 
@@ -170,15 +180,60 @@ def encode(objects: list[tuple[int, np.ndarray, np.ndarray]], matrix: np.ndarray
         link = len(out)
         out.extend(b"\0\0\0\0")
 
-    first = [(KIND, 4, FIRST), (COUNT, 4, len(objects))]
+    first = [(KIND, 4, FIRST), (COUNT, 4, len({s[0] for s in strips}))]
     if matrix is not None:
         at = len(out)
         out.extend(struct.pack(order + "ff", *matrix.shape) + np.asarray(matrix, order + "f4").tobytes())
         first.append((FEATURES, 4, at))
     put(first)
-    for oid, image, mask in objects:
-        for kind, compression, data, a in ((IMAGE, DELTA, delta_encode(image), image), (MASK, RUNS, run_encode(mask), mask)):
-            at = len(out)
-            out.extend(data)
-            put([(WIDTH, 4, a.shape[1]), (LENGTH, 4, a.shape[0]), (COMPRESSION, 3, compression), (STRIP, 4, at), (STRIP_BYTES, 4, len(data)), (KIND, 4, kind), (OBJECT_ID, 4, oid)])
+    for oid, kind, height, width, compression, data in strips:
+        at = len(out)
+        out.extend(data)
+        put([(WIDTH, 4, width), (LENGTH, 4, height), (COMPRESSION, 3, compression), (STRIP, 4, at), (STRIP_BYTES, 4, len(data)), (KIND, 4, kind), (OBJECT_ID, 4, oid)])
     return bytes(out)
+
+
+def write_images(df: DataFrame, folder: str, objects_per_file: int = 1 << 14) -> DataFrame:
+    """Containers of objects (object_id, height, width, pixels, mask: whole numbers): file, rows."""
+
+    def put(table: pa.Table) -> bytes:
+        rows = table.to_pylist()
+        return encode([(r["object_id"], *(np.array(r[c], np.int64).reshape(r["height"], r["width"]) for c in ("pixels", "mask"))) for r in rows])
+
+    return write_parts(df.select("object_id", "height", "width", "pixels", "mask"), folder, "cif", put, objects_per_file)
+
+
+def write_strips(strips: DataFrame, folder: str, objects_per_file: int = 1 << 14) -> DataFrame:
+    """Containers of still encoded strips (as ``read_strips`` gives them, object_id no
+    longer repeated between files): file, rows, an image and a mask for each object."""
+    numbers = F.when(F.col("kind") == "img", IMAGE).when(F.col("kind") == "msk", MASK)
+    rows = strips.select("object_id", numbers.alias("number"), "height", "width", "compression", "data").filter("number is not null")
+    rows = rows.repartition("object_id").sortWithinPartitions("object_id", "number")
+
+    def put(table: pa.Table) -> bytes:
+        return encode_strips([(r["object_id"], r["number"], r["height"], r["width"], r["compression"], r["data"]) for r in table.to_pylist()])
+
+    return write_parts(rows, folder, "cif", put, 2 * objects_per_file)
+
+
+def renumbered(strips: DataFrame) -> DataFrame:
+    """Strips of one or several files with object ids from 0 over all, by path, then id."""
+    from ..operators.merge import ranks
+
+    key = F.struct("path", "object_id")
+    new = ranks(strips.select(key.alias("_key")).distinct(), "_key", "_new")
+    out = strips.withColumn("_key", key).join(new, "_key")
+    return out.withColumn("object_id", F.col("_new") - 1).drop("_key", "_new")
+
+
+def merge_files(spark: SparkSession, paths: str | list[str], folder: str, objects: list[int] | None = None, objects_per_file: int = 1 << 14) -> DataFrame:
+    """Containers joined, or cut down to ``objects``, as new files with new ids; strips
+    are copied as they are."""
+    return write_strips(renumbered(read_strips(spark, paths, 1, objects)), folder, objects_per_file)
+
+
+def checksum(offsets: DataFrame) -> DataFrame:
+    """Per file the sum of the image offsets of objects 0 to 4: what ``daf.checksum``
+    of its analysis file has to be."""
+    image = F.when((F.col("kind") == "img") & (F.col("object_id") < 5), F.col("offset"))
+    return offsets.groupBy("import_file").agg(F.sum(image).alias("checksum"))

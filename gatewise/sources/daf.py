@@ -22,6 +22,7 @@ from ..operators.catalog import ALL, Catalog, Feature, Graph, Population
 from ..operators.gates import Region
 from ..operators.populations import Objects
 from .fcs import BLOCK, _files, _short
+from .parts import write_parts
 
 OBJECT = "Object Number"
 END = b"</Assay>"
@@ -234,6 +235,20 @@ def encode(cat: Catalog, stored: list[str], x: np.ndarray, binary: bool = True,
     return b"".join(out)
 
 
+def write_daf(objects: Objects, folder: str, binary: bool = True, rows_per_file: int = 1 << 18) -> DataFrame:
+    """Analysis files of all objects with their definitions: file, rows. Each part of
+    the table gives a file for each ``rows_per_file`` objects."""
+    cat = objects.catalog
+    stored = [n for n, f in cat.features.items() if f.type != "combined"]
+    rows = objects.df.select(*(F.col("`" + n.replace("`", "``") + "`").cast("double").alias(f"c{i}") for i, n in enumerate(stored)))
+
+    def put(table: pa.Table) -> bytes:
+        x = np.column_stack([np.asarray(table.column(i).to_numpy(), float) for i in range(len(stored))])
+        return encode(cat, stored, x, binary)
+
+    return write_parts(rows, folder, "daf", put, rows_per_file)
+
+
 def write_template(cat: Catalog) -> str:
     """Definitions alone, as XML."""
     return ET.tostring(head_xml(cat, [n for n, f in cat.features.items() if f.type != "combined"], 0, False), encoding="unicode")
