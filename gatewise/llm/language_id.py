@@ -200,9 +200,10 @@ def language_id(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
 
     The model learns from rows where ``held_out`` is false and text and language
     are given; predictions see the text alone. Null texts, and texts without a
-    letter, are "und" with score 0, as are all if nothing can be learned. Repeated
-    rows repeat (and weigh) as such; null ids pass through; other columns are
-    ignored.
+    letter, are "und" with score 0, as are all if nothing can be learned. Of
+    languages that are equally likely the first by name is taken. Repeated
+    rows repeat (and weigh) as such; null ids pass through; texts of any length are
+    read whole; other columns are ignored; an empty table gives no rows.
     """
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     model = fit(src.filter("not held_out and text is not null and lang is not null").select("id", "text", "lang"), **settings)

@@ -196,7 +196,8 @@ def quality_classifier(docs: DataFrame, ratings: DataFrame, grade: int = 2, leas
     the worst counts; rows without id or grade, or of unknown ids, are not used.
     Null texts count as empty and are judged by the thresholds alone. Without
     two grades to learn from, all is kept or, under a single lower grade, none.
-    Null and repeated ids pass through; other columns are ignored.
+    Null and repeated ids pass through; equal texts are judged alike; texts of any
+    length are read whole; other columns are ignored; an empty table gives no rows.
     """
     model = _learnt(docs, ratings, id_col, text_col, rating_id, settings)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -206,8 +207,8 @@ def quality_classifier(docs: DataFrame, ratings: DataFrame, grade: int = 2, leas
 
 
 def good_rows(docs: DataFrame, ratings: DataFrame, grade: int = 2, least: float = 0.35, id_col: str = "doc_id", text_col: str = "text", rating_id: str = "doc_id", **settings) -> DataFrame:
-    """The rows of ``docs``, whole, that ``quality_classifier`` keeps; they are
-    judged and passed on where they lie."""
+    """The rows of ``docs``, whole, that ``quality_classifier`` keeps; they are judged
+    and passed on where they lie, repeated and null ones as such."""
     model = _learnt(docs, ratings, id_col, text_col, rating_id, settings)
     rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
 

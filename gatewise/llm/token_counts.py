@@ -87,7 +87,8 @@ def count_tokens(docs: DataFrame, file: str, ranks: str | None = None, cache: st
     ``cache`` is a Parquet folder, new or filled by earlier calls under any
     tokenizer; without one, counts live for this call only. Null texts count as
     empty (0 tokens); null and repeated ids pass through, row for row; equal
-    texts share one encoding; other columns are ignored.
+    texts share one encoding; texts of any length are encoded whole; other columns
+    are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     v = version(file)

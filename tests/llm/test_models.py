@@ -304,3 +304,118 @@ def test_lm_contexts_are_counted_apart(spark):
             slot, key = slots[kind - 1][p] + mixer.first[kind - 1], full[kind - 1][p : p + 1]
             if held[1][slot] == key[0]:
                 assert held[0][slot * 17 : slot * 17 + 17].tobytes() == lm_scoring.laid_out([lm_scoring.stretched(count)])[:17].tobytes()
+
+
+class PlainFtrl:
+    """Follow-the-regularised-leader, weight by weight."""
+
+    def __init__(self, alpha, l1, l2, beta=1.0):
+        self.z, self.n, self.set = {}, {}, (alpha, l1, l2, beta)
+
+    def weight(self, k):
+        (alpha, l1, l2, beta), z = self.set, self.z.get(k, 0.0)
+        return 0.0 if abs(z) <= l1 else -(z - math.copysign(l1, z)) / ((beta + math.sqrt(self.n.get(k, 0.0))) / alpha + l2)
+
+    def update(self, k, g):
+        n, w = self.n.get(k, 0.0), self.weight(k)
+        self.z[k] = self.z.get(k, 0.0) + g - (math.sqrt(n + g * g) - math.sqrt(n)) / self.set[0] * w
+        self.n[k] = n + g * g
+
+
+def spelled(n, kinds, seed):
+    """Texts of random words over a few letters for each kind."""
+    rng, out = np.random.default_rng(seed), []
+    letters = ["abcde", "efghi", "ijkla"]
+    for i in range(n):
+        words_ = ["".join(rng.choice(list(letters[i % kinds]), 4)) for _ in range(8)]
+        out.append((i, " ".join(words_), "xyz"[i % kinds]))
+    return out
+
+
+def test_language_matches_a_plain_loop(spark):
+    """Document frequencies, TF-IDF, training, means of shards, temperature and probabilities, all in plain Python."""
+    rows = spelled(90, 3, 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = F.col("doc_id") % 6 == 0
+    settings = {"shards": 2, "epochs": 2, "alpha": 0.5, "l1": 0.01, "l2": 0.01}
+    got = {r["doc_id"]: r for r in language_id.language_id(docs, out, **settings).collect()}
+    order = {r["doc_id"]: r["o"] for r in docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")).alias("o")).collect()}
+
+    def counts(text):
+        return Counter(int(b) for b in language_id.grams([text.lower()])[0].ravel())
+
+    train, df = [r for r in rows if r[0] % 6], Counter()
+    for r in train:
+        df.update(counts(r[1]).keys())
+    idf = {k: math.log((1 + len(train)) / (1 + v)) + 0.1 for k, v in df.items()}
+    none = math.log(1 + len(train)) + 0.1
+
+    def features(text):
+        return {**{k: c * idf.get(k, none) * language_id.SCALE / len(text) for k, c in counts(text).items()}, "bias": 1.0}
+
+    langs, weights = ["x", "y", "z"], Counter()
+    for shard in range(2):
+        own = sorted((order[r[0]], r) for r in train if order[r[0]] % 5 and (order[r[0]] >> 8) % 2 == shard)
+        model = PlainFtrl(settings["alpha"], settings["l1"], settings["l2"])
+        for _ in range(2):
+            for _, r in own:
+                x = features(r[1])
+                s = [sum(model.weight((k, j)) * v for k, v in x.items()) for j in range(3)]
+                p = np.exp(s - np.max(s)) / np.exp(s - np.max(s)).sum()
+                for j in range(3):
+                    for k, v in x.items():
+                        model.update((k, j), v * (p[j] - (langs[j] == r[2])))
+        for k in model.z:
+            weights[k] += model.weight(k) / 2
+
+    def logits(text):
+        return np.array([sum(weights[k, j] * v for k, v in features(text).items()) for j in range(3)])
+
+    apart = [r for r in train if order[r[0]] % 5 == 0]
+    grid = np.exp(np.linspace(np.log(0.05), np.log(20), 121))
+    loss = [-np.mean([np.log(language_id.softmax(logits(r[1]) / t)[langs.index(r[2])] + 1e-12) for r in apart]) for t in grid]
+    heat = grid[int(np.argmin(loss))]
+    for i, text, _ in rows:
+        p = language_id.softmax(logits(text) / heat)
+        assert got[i]["lang_pred"] == langs[int(p.argmax())] and got[i]["score"] == pytest.approx(p.max(), rel=1e-6)
+
+
+def test_classifier_matches_a_plain_loop(spark):
+    """Features, ordinal training and probabilities in plain Python."""
+    rows = [(i, t, "xyz".index(k)) for i, t, k in spelled(60, 3, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, grade int")
+    settings = {"epochs": 2, "alpha": 0.3, "l1": 0.5, "l2": 0.1}
+    train = docs.filter("doc_id % 4 <> 0").select("doc_id", "grade")
+    got = {r["doc_id"]: r for r in quality_classifier.quality_classifier(docs, train, **settings).collect()}
+    order = {r["doc_id"]: r["o"] for r in docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.lit("quality")).alias("o")).collect()}
+
+    def features(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        found = {int(b): 1.0 for w in text.split() for b in quality_classifier.word_features(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[1]}
+        shares = quality_classifier.class_shares(data, np.array([0, len(data)]))[0]
+        return {**found, **{("class", k): float(np.float32(v)) for k, v in enumerate(shares) if v}}
+
+    own = [r for _, r in sorted((order[r[0]], r) for r in rows if r[0] % 4)]
+    share = np.bincount([r[2] for r in own]) / len(own)
+    above = [share[1] + share[2], share[2]]
+    t = [math.log((1 - a) / a) + 1e-6 * k for k, a in enumerate(above)]
+    model, sigmoid = PlainFtrl(settings["alpha"], settings["l1"], settings["l2"]), lambda v: 1 / (1 + math.exp(-v))
+    for epoch in range(2):
+        for _, text, y in own:
+            x = features(text)
+            s = sum(model.weight(k) * v for k, v in x.items())
+            p = [sigmoid(s - c) for c in t]
+            over, under = (p[y - 1] if y else 1.0), (p[y] if y < 2 else 0.0)
+            d = (over * (1 - over) - under * (1 - under)) / (over - under)
+            rate = 0.05 / (1 + epoch)
+            if y:
+                t[y - 1] -= rate * over * (1 - over) / (over - under)
+            if y < 2:
+                t[y] += rate * under * (1 - under) / (over - under)
+            t[1] = max(t)
+            for k, v in x.items():
+                model.update(k, -d * v)
+    for i, text, _ in rows:
+        s = sum(model.weight(k) * v for k, v in features(text).items())
+        p = [sigmoid(s - c) for c in t]
+        assert got[i]["p_tail"] == pytest.approx(p[1], rel=1e-4) and got[i]["expected_grade"] == pytest.approx(sum(p), rel=1e-4)
