@@ -232,6 +232,18 @@ def gate(region: Region, x: Column, y: Column | None = None, eps: float = EPSILO
     return box & shape
 
 
+def limits(values: Sequence[float] = (-math.inf, math.inf)) -> tuple[float, float]:
+    """Least and greatest of the known values, as the limits of a group of regions."""
+    known = [v for v in values if not math.isnan(v)]
+    return (min(known), max(known)) if known else (math.inf, -math.inf)
+
+
+def clipped(values: Sequence[float], lims: Sequence[float] = (-math.inf, math.inf)) -> list[float]:
+    """The values strictly between the limits."""
+    lo, hi = limits(lims)
+    return [v for v in values if lo < v < hi]
+
+
 def ellipse_points(region: Region, n: int = 100, theta: float = 2 * math.pi) -> list[tuple[float, float]]:
     """Outline of an ellipse's bounds, for drawing."""
     cx, cy = sum(region.x) / 2, sum(region.y) / 2

@@ -17,7 +17,7 @@ from ..functions.numbers import finite, is_finite
 from ..functions.transforms import transform, transform_value
 from .catalog import ALL, Graph
 from .gates import Region, gate
-from .populations import Objects, member, named
+from .populations import Objects, first_hashed, member, named
 
 HISTOGRAM_BINS, DENSITY_BINS = 520, 128
 MARGIN = 0.07
@@ -39,11 +39,9 @@ def plot_rows(objects: Objects, graph: Graph, keep: Sequence[str] = ()) -> DataF
 
 def sample_points(rows: DataFrame, id_cols: Sequence[str], most: float, seed: int = 1) -> DataFrame:
     """At most ``most`` rows (a fraction if 1 or less), the first of a hashed order."""
-    h = F.xxhash64(*map(named, id_cols), F.lit(seed))
-    if most <= 1:
-        size = math.floor(most * rows.count())
-        return rows.orderBy(h).limit(size)
-    return rows.orderBy(h).limit(int(most))
+    size = math.floor(most * rows.count()) if most <= 1 else int(most)
+    keys = [named(c) for c in id_cols]
+    return first_hashed(rows, F.xxhash64(*keys, F.lit(seed)), keys, size)
 
 
 def widened(lo: float, hi: float) -> tuple[float, float]:

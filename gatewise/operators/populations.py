@@ -27,6 +27,23 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def first_hashed(rows: DataFrame, order: Column, ties: Sequence[Column], n: int) -> DataFrame:
+    """The ``n`` rows that come first by the hash ``order`` (long), then ``ties``.
+
+    Counts of 65,536 ranges of hashes say which of them are in whole; only the last
+    one is put in order, so no task holds ``n`` rows.
+    """
+    at = rows.withColumn("_order", order).withColumn("_range", F.shiftright("_order", 48))
+    upto = F.sum("count").over(Window.orderBy("_range"))  # a row per range
+    counts = at.groupBy("_range").count().select("_range", upto.alias("upto"))
+    last = counts.agg(F.min(F.when(F.col("upto") >= n, F.col("_range"))).alias("_last"), F.coalesce(F.max(F.when(F.col("upto") < n, F.col("upto"))), F.lit(0)).alias("_ahead"))
+    placed = at.join(F.broadcast(last))  # one row
+    whole = placed.filter(F.col("_last").isNull() | (F.col("_range") < F.col("_last")))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("_order", *ties))
+    edge = placed.filter(F.col("_range") == F.col("_last")).withColumn("_place", place).filter(F.col("_place") <= n - F.col("_ahead"))
+    return whole.select(*(named(c) for c in rows.columns)).unionByName(edge.select(*(named(c) for c in rows.columns)))
+
+
 @dataclass(frozen=True)
 class Objects:
     """Rows of objects and their definitions.
@@ -182,7 +199,7 @@ class Objects:
         """A tagged population of ``size`` objects of ``pop`` without repeats, the
         first of a seeded hashed order (all if there are fewer)."""
         keys = [named(c) for c in (self.file_col, self.id_col) if c]
-        ids = self.objects_in(pop).distinct().orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(size)
+        ids = first_hashed(self.objects_in(pop).distinct(), F.xxhash64(*keys, F.lit(seed)), keys, size)
         return self.add_pops(Population(name or f"sample_{size} {pop}", base=pop, ids=ids))
 
     def add_file_pops(self, values: Sequence[str]) -> Objects:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gatewise.functions import expressions, transforms
 from gatewise.functions.numbers import INF, NAN
+from gatewise.operators import gates
 from gatewise.operators.gates import Region, expand, gate, sync_problems
 
 POINTS = [(x / 2, y / 2) for x in range(-2, 11) for y in range(-2, 11)] + [(NAN, 1.0), (1.0, NAN), (INF, 1.0), (1.0, -INF), (None, 1.0), (1.0, None)]
@@ -158,3 +159,9 @@ def test_boolean_precedence(spark):
     ):
         got = rows.select("p", "q", "r", expressions.boolean(text, cols).alias("v")).collect()
         assert all(x["v"] == test(x["p"], x["q"], x["r"]) for x in got)
+
+
+def test_limits_and_clips():
+    assert gates.limits() == (-math.inf, math.inf) and gates.limits([3.0, math.nan, -1.0]) == (-1.0, 3.0)
+    assert gates.clipped([-math.inf, 1.0, 2.0, math.inf]) == [1.0, 2.0] and gates.clipped([0.0, 1.0, 2.0], [2.0, 0.0]) == [1.0]
+    assert gates.clipped([1.0], [math.nan]) == []
