@@ -5,6 +5,7 @@ repeat filter of bounded size, connected components, and Arrow text access."""
 from __future__ import annotations
 
 import ctypes
+import functools
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -156,11 +157,26 @@ def release() -> None:
         pass
 
 
-def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` that releases memory at the end of each task: workers live on, and
+#: Functions whose results stay with a worker from task to task.
+_KEPT: list = []
+
+
+def kept(f: Callable) -> Callable:
+    """``f`` with results that a worker keeps until a task starts that doesn't use them."""
+    f = functools.cache(f)
+    _KEPT.append(f)
+    return f
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], uses: Callable | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` that lets go what workers keep of other stages (all ``kept`` but what
+    it ``uses``) and releases memory at the end of each task: workers live on, and
     what one stage has freed would stay with them through all that follow."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in _KEPT:
+            if f is not uses:
+                f.cache_clear()
         yield from run(batches)
         release()
 

@@ -11,7 +11,6 @@ their rank among the pieces of their length.
 from __future__ import annotations
 
 import bisect
-import functools
 import re
 import struct
 import unicodedata
@@ -98,7 +97,7 @@ _OTHERS = [b for b in range(256) if b not in _PRINTED]
 _CHARS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(_OTHERS)}
 
 
-@functools.cache
+@common.kept
 def encoder(file: str) -> Encoder:
     return Encoder(file)
 
@@ -137,7 +136,7 @@ def pieces(docs: DataFrame, file: str, capacity: int = CAPACITY, end_id: int = 0
     kind = src.schema["id"].dataType.simpleString()
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids + "".join(f", {c} {src.schema[c].dataType.simpleString()}" for c in carried)
     long_schema = schema.replace("piece int", "piece long")
-    out = src.mapInArrow(common.lean(_pieces(file, capacity, end_id, with_ids, carried)), long_schema)
+    out = src.mapInArrow(common.lean(_pieces(file, capacity, end_id, with_ids, carried), encoder), long_schema)
     return out.withColumn("piece", F.col("piece").cast("int"))
 
 

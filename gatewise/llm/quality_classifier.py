@@ -134,7 +134,7 @@ def fit(docs: DataFrame, marks: DataFrame, sample: int = 12_000, shards: int = 1
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         model, t = Ftrl(SIZE, 1, alpha, l1, l2), first.copy()
-        ats, xs, ys = [a.astype(np.int64) for a in pdf["at"]], list(pdf["x"]), [index[g] for g in pdf["grade"]]
+        ats, xs, ys = list(pdf["at"]), list(pdf["x"]), [index[g] for g in pdf["grade"]]
         for epoch in range(epochs):
             rate = 0.05 / (1 + epoch)
             for at, x, y in zip(ats, xs, ys):

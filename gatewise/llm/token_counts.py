@@ -31,7 +31,7 @@ def version(file: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
-@functools.cache
+@common.kept
 def counter(file: str, ranks: str | None):
     """A function from text to its number of tokens under ``file``.
 
