@@ -11,16 +11,18 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 
+from ..functions.channels import default_feature_name, feature_parts
 from ..functions.expressions import ARITHMETIC, LOGIC, names_in, tokens
 from .gates import Region, expand, sync_problems
+from .masks import Image, Mask, Masks, default_image
 
 ALL = "All"
 
 
 @dataclass(frozen=True)
 class Feature:
-    """``single`` (a column of the table), ``combined`` (an expression) or
-    ``computed`` (a column added by the caller)."""
+    """``single`` (a column of the table; its definition may tell family, mask and
+    image), ``combined`` (an expression) or ``computed`` (a column added by the caller)."""
 
     name: str
     type: str = "single"
@@ -107,12 +109,23 @@ class Removal:
     graphs: tuple[int, ...] = ()
 
 
+@dataclass(frozen=True)
+class Redefinition:
+    """A catalog after a change of channels, images or masks, and from which feature
+    each of its stored features takes its values."""
+
+    catalog: Catalog
+    columns: dict[str, str]
+
+
 @dataclass(frozen=True)
 class Catalog:
     features: dict[str, Feature] = field(default_factory=dict)
     regions: dict[str, Region] = field(default_factory=dict)
     pops: dict[str, Population] = field(default_factory=lambda: {ALL: Population(ALL, base="")})
     graphs: tuple[Graph, ...] = ()
+    images: tuple[Image, ...] = ()
+    masks: tuple[Mask, ...] = ()
     #: What edits left out, for the caller to read.
     warnings: tuple[str, ...] = ()
 
@@ -348,6 +361,118 @@ class Catalog:
         graphs = tuple(replace(g, f1=names.get(g.f1, g.f1), f2=names.get(g.f2, g.f2)) for g in self.graphs)
         return replace(self, features=features, pops=pops, graphs=graphs)
 
+    # ---- images and masks ----------------------------------------------------
+
+    def add_images(self, *images: Image) -> Catalog:
+        out = replace(self, images=tuple(sorted((*self.images, *images), key=lambda i: i.channel)))
+        for what in ("name", "channel"):
+            if len({getattr(i, what) for i in out.images}) < len(out.images):
+                raise ValueError(f"two images have one {what}")
+        return out
+
+    def add_masks(self, *masks: Mask) -> Catalog:
+        """Masks over the images of the catalog; all must be well defined."""
+        have = {m.name for m in self.masks}
+        notes = tuple(f"masks: {m.name!r} is there already and was not added" for m in masks if m.name in have)
+        out = replace(self, masks=(*self.masks, *(m for m in masks if m.name not in have)), warnings=(*self.warnings, *notes))
+        out.mask_table()
+        return out
+
+    def mask_table(self) -> Masks:
+        return Masks(self.masks, self.images)
+
+    def definition_of(self, name: str) -> list[str]:
+        """Family, masks, images and scalars of a single feature, from its definition
+        or, without one, from its name."""
+        f = self.features[name]
+        if f.definition:
+            return f.definition.split("|")
+        masks = {m.name for m in self.masks} | {f"M{i.channel:02d}" for i in self.images}
+        return [x for x in feature_parts(name, masks, {i.name for i in self.images}) if x]
+
+    def redefine(self, images: Mapping[str, str] | None = None, masks: Mapping[str, str] | None = None, all_default: bool = False, merge: bool = True) -> Redefinition:
+        """Other names for images and masks, in all that depends on them: masks of
+        masks, single features, combined features, populations and graphs.
+
+        Features and masks with default names take the names that their new
+        definitions give (``all_default``: so do all others). Of features that get one
+        name, one that was changed stays; ``merge`` False makes that an error.
+        """
+        images = dict(images or {})
+        table = self.mask_table()
+        new_masks, mask_names = table.redefined(masks, images, all_default)
+        leaf = {**images, **mask_names}
+        names: dict[str, str] = {}
+        made: dict[str, Feature] = {}
+        for name in self.feature_order():
+            f = self.features[name]
+            if f.type == "combined":
+                old = tokens(f.definition, list(self.features), ARITHMETIC, numbers=True)
+                parts = [names.get(t, t) for t in old]
+                default = default_feature_name("|".join(old), True)
+            else:
+                old = self.definition_of(name)
+                parts = [leaf.get(t, t) for t in old]
+                default = default_feature_name("|".join(old))
+            definition = "|".join(parts)
+            follows = (all_default and f.type == "combined") or name == default or (all_default and bool(f.definition))
+            names[name] = default_feature_name(definition, f.type == "combined") if follows else name
+            made[name] = replace(f, name=names[name], definition=definition if f.definition else "")
+        features, columns = {}, {}
+        for name in self.features:  # of two with one name the changed one stays
+            new = names[name]
+            if new in features and not merge:
+                raise ValueError(f"two features would be named {new!r}")
+            changed = new != name or made[name].definition != self.features[name].definition
+            if new not in features or changed:
+                features[new] = made[name]
+                columns[new] = name
+        columns = {k: v for k, v in columns.items() if features[k].type != "combined"}
+        pops = {k: replace(p, fx=names.get(p.fx, p.fx), fy=names.get(p.fy, p.fy)) for k, p in self.pops.items()}
+        graphs = tuple(replace(g, f1=names.get(g.f1, g.f1), f2=names.get(g.f2, g.f2)) for g in self.graphs)
+        out = replace(self, features=features, pops=pops, graphs=graphs, masks=new_masks, images=tuple(replace(i, name=images.get(i.name, i.name)) for i in self.images))
+        out.feature_order()
+        return Redefinition(out, columns)
+
+    def with_default_names(self) -> Redefinition:
+        """Every mask and feature by the name that its definition gives it."""
+        return self.redefine(all_default=True)
+
+    def _with_channels(self, channels: Iterable[int], brightfield: bool, mode: int) -> Catalog:
+        """The catalog with default images for channels that it lacks, which join the mask of all channels."""
+        out = self
+        for c in channels:
+            if c not in {i.channel for i in out.images}:
+                out = out.add_images(default_image(c, brightfield, mode))
+        if out.images != self.images:
+            every = "|Or|".join(f"M{i.channel:02d}" for i in out.images)
+            out = replace(out, masks=tuple(replace(m, definition=every) if m.name == "MC" else m for m in out.masks))
+        return out
+
+    def _moved(self, channels: Mapping[int, int], brightfield: bool, mode: int) -> Redefinition:
+        cat = self._with_channels(sorted({*channels, *channels.values()}), brightfield, mode)
+        image = {i.channel: i.name for i in cat.images}
+        leaf = {image[a]: image[b] for a, b in channels.items()}
+        own = {f"M{a:02d}": f"M{b:02d}" for a, b in channels.items()}
+        # Images keep their names and places: what refers to them moves.
+        done = cat.redefine(leaf, own)
+        out = replace(done.catalog, images=cat.images)
+        used = {t for n, f in out.features.items() if f.type != "combined" for t in out.definition_of(n)}
+        return Redefinition(replace(out, masks=out.mask_table().needed(used)), done.columns)
+
+    def switch_channel(self, source: int, target: int, brightfield: bool = True, mode: int = 1) -> Redefinition:
+        """All that refers to channel ``source`` refers to ``target``; what was there under
+        the same name gives way. Channels without an image get a default one."""
+        if source == target:
+            raise ValueError("two different channels are needed")
+        return self._moved({source: target}, brightfield, mode)
+
+    def swap_channels(self, one: int, other: int, brightfield: bool = True, mode: int = 1) -> Redefinition:
+        """Channels ``one`` and ``other`` in each other's place, in all that refers to them."""
+        if one == other:
+            raise ValueError("two different channels are needed")
+        return self._moved({one: other, other: one}, brightfield, mode)
+
 
 def ordered(items: Mapping[str, object], parents) -> list[str]:
     """Names with all parents ahead, otherwise in the given order. Unknown parents

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions import expressions
 from ..functions.transforms import parse, transform
-from .catalog import ALL, Catalog, Feature, Population, Removal
+from .catalog import ALL, Catalog, Feature, Population, Redefinition, Removal
 from .gates import gate
 
 MARK = "pop::"
@@ -95,6 +95,15 @@ class Objects:
         taken = {n: k for n, k in names.items() if k not in self.df.columns}
         return replace(self, df=self.df.withColumnsRenamed(taken), catalog=self.catalog.rename_features(names))
 
+    def redefined(self, change: Redefinition) -> Objects:
+        """The table with the features that ``change`` (``catalog.redefine``,
+        ``switch_channel``, ``swap_channels`` or ``with_default_names``) names, each with the
+        values of the feature that it comes from. The id stays."""
+        stored = {n for n, f in self.catalog.features.items() if f.type != "combined" and n in self.df.columns}
+        rest = [named(c) for c in self.df.columns if c not in stored or c in (self.id_col, self.file_col)]
+        own = [named(old).alias(new) for new, old in change.columns.items() if old in stored and new not in (self.id_col, self.file_col)]
+        return replace(self, df=self.df.select(*rest, *own), catalog=change.catalog)
+
     # ---- columns -------------------------------------------------------------
 
     def values(self, names: Iterable[str] | None = None, base: DataFrame | None = None) -> DataFrame:

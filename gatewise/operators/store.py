@@ -9,9 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` or, where
-    the session names none, the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` or a warehouse
+    that the session names. Only a session on one machine may name neither."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        context = spark.sparkContext
+        local = context.master == "local" or context.master.startswith("local[")
+        if not local and not context.getConf().contains("spark.sql.warehouse.dir"):
+            raise RuntimeError("no shared folder: set spark.checkpoint.dir or spark.sql.warehouse.dir")
+        found = spark.conf.get("spark.sql.warehouse.dir")
     return found.rstrip("/")
 
 

@@ -1,8 +1,8 @@
 """Image containers (RIF / CIF): a TIFF whose first directory describes the run and
 whose others hold an image and a mask for each object in turn.
 
-The chain of directories is a linked list, so one task walks a file; the rows
-it gives (offsets and raw strips) spread from there.
+The chain of directories is a linked list, so one task walks a file, reading
+directories alone; strips and features are then read in byte ranges by many tasks.
 """
 
 from __future__ import annotations
@@ -12,11 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .fcs import _files, _short
+from ..operators.store import saved
 from .parts import write_parts
+from .ranged import GAP, PART_BYTES, Ranged, listed, short
 
 #: Field type: size in bytes and struct code.
 TYPES = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 6: (1, "b"), 7: (1, "B"), 8: (2, "h"), 9: (4, "i"), 10: (8, "ii"), 11: (4, "f"), 12: (8, "d")}
@@ -25,6 +28,8 @@ KIND, OBJECT_ID, COUNT, FEATURES, FEATURES_OLD = 33002, 33003, 33018, 33080, 330
 BG_MEAN, BG_STD, SAT_COUNT, SAT_PERCENT = 33052, 33053, 33054, 33055
 SPEED, CAMERA_LINE, CAMERA_TIMER, CENTRE_X, CENTRE_Y, CHANNELS = 33012, 33016, 33017, 33071, 33072, 33000
 FIRST, IMAGE, MASK = 1, 2, 3
+DATE, INSTRUMENT, CHANNEL_WIDTH, CROSSTALK, ORIGIN, ACQUISITION, MERGED_CIF, MERGED, ASSIST, SOFTWARE, SOFTWARE_RAW, SUBSET = 33004, 33006, 33009, 33020, 33026, 33027, 33029, 33030, 33064, 33066, 33069, 33070
+TEXTS = frozenset({DATE, INSTRUMENT, ORIGIN, ACQUISITION, MERGED, ASSIST, SOFTWARE, SOFTWARE_RAW})
 
 
 def byte_order(data: bytes) -> str:
@@ -35,33 +40,48 @@ def byte_order(data: bytes) -> str:
     raise ValueError("no container: the TIFF mark is missing")
 
 
-def directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]:
-    """Values of each tag of the directory at ``at``, and where the next one is."""
-    n = struct.unpack_from(order + "H", data, at)[0]
+def directory(data: bytes | Ranged, at: int, order: str, wanted: frozenset[int] | None = None) -> tuple[dict[int, tuple], int]:
+    """Values of each (or each ``wanted``) tag of the directory at ``at``, and where the
+    next one is. A directory that passes the file's end is an error; a field that does is left out."""
+    head = data[at : at + 2]
+    n = struct.unpack(order + "H", head)[0] if len(head) == 2 else 0
+    body = data[at + 2 : at + 6 + 12 * n]
+    if len(head) < 2 or len(body) < 12 * n + 4:
+        raise ValueError(f"the directory at {at} ends outside the file")
     tags: dict[int, tuple] = {}
-    for i in range(n):
-        p = at + 2 + 12 * i
-        tag, kind, count = struct.unpack_from(order + "HHI", data, p)
-        if kind not in TYPES:
+    for p in range(0, 12 * n, 12):
+        tag, kind, count = struct.unpack_from(order + "HHI", body, p)
+        if kind not in TYPES or (wanted is not None and tag not in wanted):
             continue
         size, code = TYPES[kind]
-        place = p + 8 if size * count <= 4 else struct.unpack_from(order + "I", data, p + 8)[0]
-        if place + size * count > len(data):
-            continue
-        if code == "s":
-            tags[tag] = (data[place : place + count].rstrip(b"\0"),)
+        if size * count <= 4:
+            value = body[p + 8 : p + 8 + size * count]
         else:
-            tags[tag] = struct.unpack_from(f"{order}{count * len(code)}{code[0]}", data, place)
-    return tags, struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
-
-
-def directories(data: bytes) -> Iterator[tuple[int, dict[int, tuple]]]:
-    order = byte_order(data)
-    at, seen = struct.unpack_from(order + "I", data, 4)[0], set()
-    while at and at not in seen:
+            place = struct.unpack_from(order + "I", body, p + 8)[0]
+            value = data[place : place + size * count]
+        if len(value) < size * count:
+            continue
+        tags[tag] = (value.rstrip(b"\0"),) if code == "s" else struct.unpack(f"{order}{count * len(code)}{code[0]}", value)
+    return tags, struct.unpack_from(order + "I", body, 12 * n)[0]
+
+
+def directories(data: bytes | Ranged, wanted: frozenset[int] | None = None) -> Iterator[tuple[int, dict[int, tuple], str | None]]:
+    """Place, tags and what is wrong (a cycle, an end outside the file; the chain
+    ends there) of each directory."""
+    order = byte_order(data[:4])
+    head = data[4:8]
+    at, seen = struct.unpack(order + "I", head)[0] if len(head) == 4 else 0, set()
+    while at:
+        if at in seen:
+            yield at, {}, "cycle"
+            return
         seen.add(at)
-        tags, following = directory(data, at, order)
-        yield at, tags
+        try:
+            tags, following = directory(data, at, order, wanted)
+        except ValueError:
+            yield at, {}, "directory outside the file"
+            return
+        yield at, tags, None
         at = following
 
 
@@ -69,53 +89,150 @@ def kind_of(tags: dict[int, tuple]) -> str:
     return {FIRST: "first", IMAGE: "img", MASK: "msk"}.get(tags.get(KIND, (0,))[0], "other")
 
 
-OFFSETS = "import_file string, position long, offset long, kind string, object_id long, width int, height int, compression int"
+OFFSETS = ("import_file", "position", "offset", "kind", "object_id", "width", "height", "compression")
+DIRECTORIES = "path string, import_file string, length long, position long, offset long, kind string, object_id long, width int, height int, compression int, strip long, strip_bytes long, bg_mean array<double>, bg_std array<double>, problem string"
+WALKED = frozenset({KIND, OBJECT_ID, WIDTH, LENGTH, COMPRESSION, STRIP, STRIP_BYTES, BG_MEAN, BG_STD})
 
 
-def read_offsets(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """import_file, position in the chain, offset, kind (first, img, msk), object_id
-    and size of every directory."""
-    names = [f.split()[0] for f in OFFSETS.split(", ")]
+def read_directories(spark: SparkSession, paths: str | list[str], counted: Accumulator | None = None) -> DataFrame:
+    """A row per directory (DIRECTORIES), as a saved table: strips aren't read."""
+    names = [f.split()[0] for f in DIRECTORIES.split(", ")]
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), *[pa.int32()] * 3, *[pa.int64()] * 2, *[pa.list_(pa.float64())] * 2, pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, content in zip(b.column("path").to_pylist(), b.column("content")):
+            for path, length in zip(b.column("path").to_pylist(), b.column("length").to_pylist()):
                 rows = []
-                for k, (at, t) in enumerate(directories(content.as_py())):
-                    rows.append((_short(path), k, at, kind_of(t), t.get(OBJECT_ID, (None,))[0], *(t.get(x, (None,))[0] for x in (WIDTH, LENGTH, COMPRESSION))))
-                kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+                for k, (at, t, wrong) in enumerate(directories(Ranged(path, counted=counted), WALKED)):
+                    one = lambda tag: t.get(tag, (None,))[0]  # noqa: B023, E731
+                    rows.append((path, short(path), length, k, at, kind_of(t), *map(one, (OBJECT_ID, WIDTH, LENGTH)), one(COMPRESSION), one(STRIP), one(STRIP_BYTES), *([float(x) for x in t.get(c, ())] for c in (BG_MEAN, BG_STD)), wrong))
+                    if len(rows) == 1 << 14:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
+    return saved(listed(spark, paths).mapInArrow(run, DIRECTORIES), "directories")
+
 
-    return _files(spark, paths).mapInArrow(run, OFFSETS)
+def read_offsets(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """import_file, position in the chain, offset, kind (first, img, msk), object_id
+    and size of every directory."""
+    return read_directories(spark, paths).filter("problem is null").select(*OFFSETS)
+
+
+def probe(spark: SparkSession, paths: str | list[str], directories: DataFrame | None = None) -> DataFrame:
+    """Whether files are sound: import_file, test (1: image and mask follow the first
+    directory; 0: no mask; -1: no container), objects (declared), estimated
+    (from the file's length where none are declared) and problems, an array of
+    (problem, offset): cycle, directory outside the file, strip outside the file, overlap."""
+    dirs = read_directories(spark, paths) if directories is None else directories
+    declared = read_first(spark, paths, frozenset({COUNT})).select("path", F.coalesce(F.element_at("numbers", COUNT)[0].cast("long"), F.lit(0)).alias("objects"))
+    end = F.col("strip") + F.col("strip_bytes")
+    outside = F.when(end > F.col("length"), "strip outside the file")
+    wrong = dirs.select("path", F.coalesce("problem", outside).alias("problem"), F.col("offset").alias("offset")).filter("problem is not null")
+    # Strips in order of place, in ranges of the file: each looks at the furthest end before it there, and
+    # ranges at the furthest end of those before them.
+    strips = dirs.filter("strip_bytes > 0").select("path", "offset", "strip", end.alias("end"), F.floor(F.col("strip") / PART_BYTES).alias("range"))
+    within = Window.partitionBy("path", "range").orderBy("strip", "offset").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = strips.groupBy("path", "range").agg(F.max("end").alias("furthest"))
+    ahead = ranges.select("path", "range", F.max("furthest").over(Window.partitionBy("path").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)).alias("ahead"))
+    overlap = strips.withColumn("before", F.max("end").over(within)).join(ahead, ["path", "range"])
+    wrong = wrong.unionByName(overlap.filter(F.greatest("before", "ahead") > F.col("strip")).select("path", F.lit("overlap").alias("problem"), "offset"))
+    wrong = wrong.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("problem", "offset"))).alias("problems"))
+    at = lambda k, c: F.max(F.when(F.col("position") == k, F.col(c)))
+    first = dirs.filter("position < 4").groupBy("path").agg(F.max("import_file").alias("import_file"), F.max("length").alias("length"), *(at(k, c).alias(f"{c}{k}") for k in range(4) for c in ("kind", "offset")))
+    test = F.when((F.col("kind0") != "first") | F.coalesce(F.col("kind1") != "img", F.lit(True)), -1).when(F.coalesce(F.col("kind2") == "msk", F.lit(False)), 1).otherwise(0)
+    step = F.coalesce(F.abs(F.col("offset2") - F.col("offset1")), F.lit(0)) + F.coalesce(F.abs(F.col("offset3") - F.col("offset2")), F.lit(0))
+    out = first.join(declared, "path").join(wrong, "path", "left").withColumn("test", test)
+    guess = F.when(step > 0, F.ceil(F.col("length") * F.when(F.col("test") == 0, 2).otherwise(1) / step))
+    estimated = F.when(F.col("objects") > 0, F.col("objects")).otherwise(F.coalesce(guess, F.lit(0)))
+    none = F.array().cast("array<struct<problem:string,offset:bigint>>")
+    return out.select("import_file", "test", "objects", estimated.cast("long").alias("estimated"), F.coalesce("problems", none).alias("problems"))
 
 
 STRIPS = "import_file string, object_id long, kind string, offset long, width int, height int, channels int, compression int, bg_mean array<double>, bg_std array<double>, data binary, path string"
 
 
-def read_strips(spark: SparkSession, paths: str | list[str], channels: int, objects: list[int] | None = None, kinds: tuple[str, ...] = ("img", "msk")) -> DataFrame:
+def read_strips(spark: SparkSession, paths: str | list[str], channels: int | None = None, objects: list[int] | DataFrame | None = None, kinds: tuple[str, ...] = ("img", "msk"), directories: DataFrame | None = None, counted: Accumulator | None = None) -> DataFrame:
     """The still encoded strip of each image and mask, ready for
-    ``operators.images.decoded``. ``objects``: wanted ids."""
+    ``operators.images.decoded``. ``objects``: wanted ids, or a table with object_id (and
+    import_file, to choose by file); only their bytes are read. The number of
+    ``channels`` comes from each file's description of the run, unless it is given."""
     names = [f.split()[0] for f in STRIPS.split(", ")]
-    wanted = None if objects is None else set(objects)
+    types = (pa.string(), pa.int64(), pa.string(), pa.int64(), *[pa.int32()] * 4, *[pa.list_(pa.float64())] * 2, pa.binary(), pa.string())
+    dirs = read_directories(spark, paths, counted) if directories is None else directories
+    keep = dirs.filter(F.col("kind").isin(*kinds) & F.col("strip").isNotNull() & F.col("strip_bytes").isNotNull())
+    if isinstance(objects, DataFrame):
+        keys = [c for c in ("import_file", "object_id") if c in objects.columns]
+        keep = keep.join(objects.select(*keys).distinct(), keys, "left_semi")
+    elif objects is not None:
+        keep = keep.filter(F.col("object_id").isin(*objects))
+    if channels is None:
+        from .run import read_run
+
+        used = read_run(spark, paths, counted=counted).select("path", F.size(F.filter("channels_in_use", lambda x: x)).alias("channels"))
+        keep = keep.join(used, "path", "left").withColumn("channels", F.when(F.col("channels") > 0, F.col("channels")).otherwise(F.raise_error(F.concat(F.col("path"), F.lit(": no channels in its description; give their number"))).cast("int")))
+    else:
+        keep = keep.withColumn("channels", F.lit(channels))
+    total = keep.agg(F.sum("strip_bytes")).first()[0] or 0
+    n = -(-int(total) // PART_BYTES) or 1
+    keep = keep.repartitionByRange(n, "path", "strip").sortWithinPartitions("path", "strip")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.string(), pa.int64(), pa.string(), pa.int64(), *[pa.int32()] * 4, *[pa.list_(pa.float64())] * 2, pa.binary(), pa.string())
+        path = data = None
         for b in batches:
-            for path, content in zip(b.column("path").to_pylist(), b.column("content")):
-                data, rows = content.as_py(), []
-                for at, t in directories(data):
-                    oid = t.get(OBJECT_ID, (None,))[0]
-                    if kind_of(t) not in kinds or (wanted is not None and oid not in wanted):
-                        continue
-                    strip, size = t[STRIP][0], t[STRIP_BYTES][0]
-                    rows.append((_short(path), oid, kind_of(t), at, t[WIDTH][0], t[LENGTH][0], channels, t.get(COMPRESSION, (1,))[0], [float(x) for x in t.get(BG_MEAN, ())], [float(x) for x in t.get(BG_STD, ())], data[strip : strip + size], path))
-                    if len(rows) == 1024:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), types)], names=names)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), types)], names=names)
+            rows, out, held = b.to_pylist(), [], 0
+            for i, r in enumerate(rows):
+                if r["path"] != path:
+                    path, data = r["path"], Ranged(r["path"], 0, counted)
+                    window, upto = b"", -1
+                if r["strip"] + r["strip_bytes"] > upto:
+                    # As far as the next strips follow closely, they are read together.
+                    begin = upto = r["strip"]
+                    for x in rows[i:]:
+                        end = x["strip"] + x["strip_bytes"]
+                        if x["path"] != path or x["strip"] > upto + GAP or (end > begin + PART_BYTES and upto > begin):
+                            break
+                        upto = max(upto, end)
+                    window = data[begin:upto]
+                strip = window[r["strip"] - begin : r["strip"] - begin + r["strip_bytes"]]
+                out.append((r["import_file"], r["object_id"], r["kind"], r["offset"], r["width"], r["height"], r["channels"], r["compression"] or 1, r["bg_mean"], r["bg_std"], strip, path))
+                held += len(strip)
+                if held > PART_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), types)], names=names)
+                    out, held = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), types)], names=names)
+
+    return keep.drop("length", "position", "problem").mapInArrow(run, STRIPS)
+
+
+FIRSTS = "path string, import_file string, byte_order string, numbers map<int,array<double>>, texts map<int,binary>"
+
+
+def read_first(spark: SparkSession, paths: str | list[str], wanted: frozenset[int] | None = None, counted: Accumulator | None = None) -> DataFrame:
+    """The first directory of each file: path, import_file, byte_order and its tags' values, numbers or text."""
+    names = ["path", "import_file", "byte_order", "numbers", "texts"]
+    kinds = (pa.string(), pa.string(), pa.string(), pa.map_(pa.int32(), pa.list_(pa.float64())), pa.map_(pa.int32(), pa.binary()))
 
-    return _files(spark, paths).mapInArrow(run, STRIPS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in b.column("path").to_pylist():
+                data = Ranged(path, counted=counted)
+                order = byte_order(data[:4])
+                at = struct.unpack(order + "I", data[4:8])[0]
+                try:
+                    tags = directory(data, at, order, wanted)[0]
+                except ValueError:
+                    tags = {}
+                # Texts have type 2, or type 1 and 7 (bytes) for descriptions.
+                texts = {k: v[0] if isinstance(v[0], bytes) else bytes(v) for k, v in tags.items() if v and (isinstance(v[0], bytes) or k in TEXTS)}
+                numbers = {k: [float(x) for x in v] for k, v in tags.items() if k not in texts}
+                row = (path, short(path), order, list(numbers.items()), list(texts.items()))
+                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, kinds)], names=names)
+
+    return listed(spark, paths).mapInArrow(run, FIRSTS)
 
 
 def subset_ids(offsets: DataFrame, objects: DataFrame | list[int]) -> DataFrame:
@@ -127,35 +244,59 @@ def subset_ids(offsets: DataFrame, objects: DataFrame | list[int]) -> DataFrame:
     return keep.join(new, "object_id").withColumn("new_id", F.col("new_id") - 1)
 
 
-def features(data: bytes, names: list[str]) -> np.ndarray:
-    """The feature matrix that the first directory points to: two counts, then
-    32-bit floats row by row."""
-    order = byte_order(data)
-    tags, _ = directory(data, struct.unpack_from(order + "I", data, 4)[0], order)
+def _matrix(data: bytes | Ranged, n_names: int) -> tuple[str, int, int]:
+    """Byte order, place and rows of the feature matrix that the first directory
+    points to: two counts, then 32-bit floats row by row."""
+    order = byte_order(data[:4])
+    tags, _ = directory(data, struct.unpack(order + "I", data[4:8])[0], order, frozenset({FEATURES, FEATURES_OLD, COUNT}))
     at = tags[FEATURES][0] if FEATURES in tags else tags[FEATURES_OLD][0]
-    rows, n = (int(v) for v in struct.unpack_from(order + "ff", data, at))
+    rows, n = (int(v) for v in struct.unpack(order + "ff", data[at : at + 8]))
     if COUNT in tags and tags[COUNT][0] != rows:
         raise ValueError(f"{rows} rows of features for {tags[COUNT][0]} objects")
-    if n != len(names):
-        raise ValueError(f"{n} features, {len(names)} names")
-    return np.frombuffer(data, order + "f4", rows * n, at + 8).reshape(rows, n).astype(float)
+    if n != n_names:
+        raise ValueError(f"{n} features, {n_names} names")
+    return order, at + 8, rows
+
 
+def features(data: bytes, names: list[str]) -> np.ndarray:
+    """The feature matrix of a whole file."""
+    order, at, rows = _matrix(data, len(names))
+    return np.frombuffer(data, order + "f4", rows * len(names), at).reshape(rows, len(names)).astype(float)
 
-def read_features(spark: SparkSession, paths: str | list[str], names: list[str]) -> DataFrame:
-    """import_file, object_number and the stored features."""
+
+def read_features(spark: SparkSession, paths: str | list[str], names: list[str], counted: Accumulator | None = None) -> DataFrame:
+    """import_file, object_number and the stored features, read in ranges of rows."""
     schema = "import_file string, object_number long" + "".join(f", `{n}` double" for n in names)
+    step, per = 4 * len(names), max(1, PART_BYTES // (4 * len(names)))
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in b.column("path").to_pylist():
+                data = Ranged(path, counted=counted)
+                order, at, rows = _matrix(data, len(names))
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (path, order, at, rows)], names=["path", "order", "at", "rows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, content in zip(b.column("path").to_pylist(), b.column("content")):
-                x = features(content.as_py(), names)
-                cols = [pa.array([_short(path)] * len(x)), pa.array(np.arange(len(x))), *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(len(names)))]
+            for r in b.to_pylist():
+                first = r["range"] * per
+                n = min(per, r["rows"] - first)
+                raw = Ranged(r["path"], 0, counted)[r["at"] + first * step : r["at"] + (first + n) * step]
+                x = np.frombuffer(raw, r["order"] + "f4").reshape(-1, len(names)).astype(float)
+                cols = [pa.array([short(r["path"])] * len(x)), pa.array(np.arange(first, first + len(x))), *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(len(names)))]
                 yield pa.RecordBatch.from_arrays(cols, names=["import_file", "object_number", *names])
 
-    return _files(spark, paths).mapInArrow(run, schema)
+    found = saved(listed(spark, paths).mapInArrow(heads, "path string, order string, at long, rows long").filter("rows > 0"), "heads")
+    ranges = found.withColumn("range", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / per))))
+    n = found.agg(F.sum(F.floor((F.col("rows") - 1) / per) + 1)).first()[0] or 1
+    return ranges.repartition(int(n)).mapInArrow(run, schema)
 
 
-def encode(objects: list[tuple[int, np.ndarray, np.ndarray]], matrix: np.ndarray | None = None, order: str = "<") -> bytes:
+#: Values of tags of the first directory beyond its own: numbers, text or reals.
+Tags = dict[int, int | bytes | list[float]]
+
+
+def encode(objects: list[tuple[int, np.ndarray, np.ndarray]], matrix: np.ndarray | None = None, order: str = "<", about: Tags | None = None) -> bytes:
     """A container of (id, image, mask): differences for images, runs for masks."""
     from ..operators.images import DELTA, RUNS, delta_encode, run_encode
 
@@ -163,55 +304,67 @@ def encode(objects: list[tuple[int, np.ndarray, np.ndarray]], matrix: np.ndarray
     for oid, image, mask in objects:
         strips.append((oid, IMAGE, *image.shape, DELTA, delta_encode(image)))
         strips.append((oid, MASK, *mask.shape, RUNS, run_encode(mask)))
-    return encode_strips(strips, matrix, order)
+    return encode_strips(strips, matrix, order, about)
 
 
-def encode_strips(strips: list[tuple[int, int, int, int, int, bytes]], matrix: np.ndarray | None = None, order: str = "<") -> bytes:
-    """A container of (id, kind, height, width, compression, strip) in this order."""
+def encode_strips(strips: list[tuple], matrix: np.ndarray | None = None, order: str = "<", about: Tags | None = None) -> bytes:
+    """A container of (id, kind, height, width, compression, strip and, if any, more
+    tags) in this order; ``about``: tags of the run for the first directory."""
     out = bytearray((b"II*\0" if order == "<" else b"MM\0*") + b"\0\0\0\0")
     link = 4
 
-    def put(tags: list[tuple[int, int, int]]) -> None:
+    def put(tags: Tags) -> None:
         nonlocal link
+        fields = []
+        for tag, value in sorted(tags.items()):
+            if isinstance(value, int):
+                kind, n, data = (3, 1, struct.pack(order + "HH", value, 0)) if tag == COMPRESSION else (4, 1, struct.pack(order + "I", value))
+            elif isinstance(value, bytes):
+                kind, n, data = 2, len(value) + 1, value + b"\0"
+            else:
+                kind, n, data = 12, len(value), struct.pack(f"{order}{len(value)}d", *value)
+            if len(data) > 4:
+                data, place = struct.pack(order + "I", len(out)), data
+                out.extend(place)
+            fields.append(struct.pack(order + "HHI", tag, kind, n) + data.ljust(4, b"\0"))
         struct.pack_into(order + "I", out, link, len(out))
-        out.extend(struct.pack(order + "H", len(tags)))
-        for tag, kind, value in sorted(tags):
-            out.extend(struct.pack(order + "HHI", tag, kind, 1) + (struct.pack(order + "HH", value, 0) if kind == 3 else struct.pack(order + "I", value)))
+        out.extend(struct.pack(order + "H", len(fields)) + b"".join(fields))
         link = len(out)
         out.extend(b"\0\0\0\0")
 
-    first = [(KIND, 4, FIRST), (COUNT, 4, len({s[0] for s in strips}))]
+    first: Tags = {**(about or {}), KIND: FIRST, COUNT: len({s[0] for s in strips})}
     if matrix is not None:
-        at = len(out)
+        first[FEATURES] = len(out)
         out.extend(struct.pack(order + "ff", *matrix.shape) + np.asarray(matrix, order + "f4").tobytes())
-        first.append((FEATURES, 4, at))
     put(first)
-    for oid, kind, height, width, compression, data in strips:
+    for oid, kind, height, width, compression, data, *more in strips:
         at = len(out)
         out.extend(data)
-        put([(WIDTH, 4, width), (LENGTH, 4, height), (COMPRESSION, 3, compression), (STRIP, 4, at), (STRIP_BYTES, 4, len(data)), (KIND, 4, kind), (OBJECT_ID, 4, oid)])
+        put({WIDTH: width, LENGTH: height, COMPRESSION: compression, STRIP: at, STRIP_BYTES: len(data), KIND: kind, OBJECT_ID: oid, **(more[0] if more else {})})
     return bytes(out)
 
 
-def write_images(df: DataFrame, folder: str, objects_per_file: int = 1 << 14) -> DataFrame:
-    """Containers of objects (object_id, height, width, pixels, mask: whole numbers): file, rows."""
+def write_images(df: DataFrame, folder: str, objects_per_file: int = 1 << 14, about: Tags | None = None) -> DataFrame:
+    """Containers of objects (object_id, height, width, pixels, mask: whole numbers): file, rows.
+    ``about``: tags of the run (``run.Run.tags``)."""
 
     def put(table: pa.Table) -> bytes:
         rows = table.to_pylist()
-        return encode([(r["object_id"], *(np.array(r[c], np.int64).reshape(r["height"], r["width"]) for c in ("pixels", "mask"))) for r in rows])
+        return encode([(r["object_id"], *(np.array(r[c], np.int64).reshape(r["height"], r["width"]) for c in ("pixels", "mask"))) for r in rows], about=about)
 
     return write_parts(df.select("object_id", "height", "width", "pixels", "mask"), folder, "cif", put, objects_per_file)
 
 
-def write_strips(strips: DataFrame, folder: str, objects_per_file: int = 1 << 14) -> DataFrame:
+def write_strips(strips: DataFrame, folder: str, objects_per_file: int = 1 << 14, about: Tags | None = None) -> DataFrame:
     """Containers of still encoded strips (as ``read_strips`` gives them, object_id no
     longer repeated between files): file, rows, an image and a mask for each object."""
     numbers = F.when(F.col("kind") == "img", IMAGE).when(F.col("kind") == "msk", MASK)
-    rows = strips.select("object_id", numbers.alias("number"), "height", "width", "compression", "data").filter("number is not null")
+    rows = strips.select("object_id", numbers.alias("number"), "height", "width", "compression", "data", "bg_mean", "bg_std").filter("number is not null")
     rows = rows.repartition("object_id").sortWithinPartitions("object_id", "number")
 
     def put(table: pa.Table) -> bytes:
-        return encode_strips([(r["object_id"], r["number"], r["height"], r["width"], r["compression"], r["data"]) for r in table.to_pylist()])
+        more = lambda r: {t: list(r[c]) for t, c in ((BG_MEAN, "bg_mean"), (BG_STD, "bg_std")) if r[c]}
+        return encode_strips([(r["object_id"], r["number"], r["height"], r["width"], r["compression"], r["data"], more(r)) for r in table.to_pylist()], about=about)
 
     return write_parts(rows, folder, "cif", put, 2 * objects_per_file)
 
@@ -226,10 +379,21 @@ def renumbered(strips: DataFrame) -> DataFrame:
     return out.withColumn("object_id", F.col("_new") - 1).drop("_key", "_new")
 
 
-def merge_files(spark: SparkSession, paths: str | list[str], folder: str, objects: list[int] | None = None, objects_per_file: int = 1 << 14) -> DataFrame:
-    """Containers joined, or cut down to ``objects``, as new files with new ids; strips
-    are copied as they are."""
-    return write_strips(renumbered(read_strips(spark, paths, 1, objects)), folder, objects_per_file)
+def merge_files(spark: SparkSession, paths: str | list[str], folder: str, objects: list[int] | DataFrame | None = None, objects_per_file: int = 1 << 14) -> DataFrame:
+    """Containers joined, or cut down to ``objects`` (ids, or a table of object_id and, to
+    choose by file, import_file), as new files with new ids. Strips are copied as
+    they are; the run's description comes from the first file (by path), with the
+    names of all (at most 64 of them) and whether objects were left out."""
+    firsts = read_first(spark, paths)
+    head = firsts.orderBy("path").first()
+    if head is None:
+        raise ValueError(f"no files at {paths}")
+    names = [r["import_file"] for r in firsts.select("import_file").orderBy("path").limit(64).collect()]
+    about: Tags = {k: bytes(v) for k, v in head["texts"].items()}
+    about |= {k: [float(x) for x in v] for k, v in head["numbers"].items() if k == CROSSTALK}
+    about |= {k: int(v[0]) for k, v in head["numbers"].items() if k == CHANNEL_WIDTH}
+    about |= {MERGED: "|".join(names).encode() if len(names) > 1 else b"", SUBSET: 0}
+    return write_strips(renumbered(read_strips(spark, paths, 1, objects)), folder, objects_per_file, about)
 
 
 def checksum(offsets: DataFrame) -> DataFrame:

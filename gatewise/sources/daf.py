@@ -23,6 +23,7 @@ from ..operators.gates import Region
 from ..operators.populations import Objects
 from .fcs import BLOCK, _files, _short
 from .parts import write_parts
+from .run import add_definitions, image_definitions, mask_definitions
 
 OBJECT = "Object Number"
 END = b"</Assay>"
@@ -79,11 +80,12 @@ def image_rows(root: ET.Element, tail: bytes, order: str = "<") -> Iterator[dict
 
 
 def definitions(root: ET.Element) -> Catalog:
-    """Features, regions, populations and graphs of a head."""
-    cat = Catalog()
+    """Images, masks, features, regions, populations and graphs of a head."""
+    cat = Catalog().add_images(*image_definitions(root)).add_masks(*mask_definitions(root))
     for u in root.iter("UDF"):
         kind = u.get("type", "single")
-        cat = cat.add_features(Feature(u.get("name"), kind, u.get("def", "") if kind == "combined" else ""))
+        told = u.get("def", "")
+        cat = cat.add_features(Feature(u.get("name"), kind, told if kind == "combined" or told != u.get("name") else ""))
     if OBJECT not in cat.features:
         cat = cat.add_features(Feature(OBJECT))
     for r in root.iter("Region"):
@@ -190,6 +192,7 @@ def _text(v: float) -> str:
 def head_xml(cat: Catalog, stored: list[str], rows: int, binary: bool) -> ET.Element:
     root = ET.Element("Assay", {"binaryfeatures": "True" if binary else "False"})
     ET.SubElement(root, "SOD", {"objcount": str(rows)})
+    add_definitions(root, cat.images, cat.masks)
     at = ET.SubElement(root, "DefinedFeatures")
     for n in [*stored, *(f for f in cat.features if f not in stored)]:
         f = cat.features[n]

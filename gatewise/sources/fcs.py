@@ -1,22 +1,26 @@
 """FCS 2.0 to 3.2: keywords, list-mode events with scaling, and a writer.
 
-Files are read whole by Spark's ``binaryFile`` source (so from any store that
-Spark reads; up to 2 GB each) and decoded in the task that holds them, in blocks
-of rows. A file's data sets follow each other through ``$NEXTDATA``.
+A first pass reads headers and TEXT alone, a row per data set; events are then cut
+into ranges of whole rows, which tasks read and decode by themselves. A file's
+data sets follow each other through ``$NEXTDATA``.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Accumulator, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import finite_or
+from ..operators.store import saved
+from .parts import place_of, put_whole
+from .ranged import PART_BYTES, Ranged, listed, short
 
 BLOCK = 1 << 16
 WIDTHS = (8, 16, 32, 64)
@@ -103,74 +107,103 @@ def _kinds(text: dict[str, str], n: int) -> list[str]:
     return kinds
 
 
-def events(data: bytes, at: int = 0, scale: bool = True) -> np.ndarray:
-    """rows x parameters of one data set, as doubles."""
-    text = keywords(data, at)
+class Layout(NamedTuple):
+    """Where a data set's events lie: ``step`` bytes a row, or 0 where rows have no fixed width."""
+
+    start: int
+    end: int
+    step: int
+    rows: int
+    kinds: list[str]
+    bits: list[int]
+    order: list[int]
+
+
+def layout(data: bytes | Ranged, at: int, text: dict[str, str]) -> Layout:
     if text.get("$MODE", "L").upper() != "L":
         raise ValueError(f"mode {text['$MODE']} is not list mode")
     n, rows = _int(text, "$PAR"), _int(text, "$TOT", -1)
     start, end = _segment(data, at, text)
     kinds = _kinds(text, n)
     if kinds[:1] == ["A"]:
-        return _scaled(_ascii(data[start:end], text, n, rows), text, kinds, scale)
-    bits = [32 if k == "F" else 64 if k == "D" else _int(text, f"$P{i + 1}B", 32) for i, k in enumerate(kinds)]
-    wide = [next((w for w in WIDTHS if b <= w), 64) for b in bits]
-    size = end - start
-    fits = lambda bs: all(b % 8 == 0 for b in bs) and (rows < 0 or abs(rows * sum(bs) // 8 - size) <= 1)
-    use = wide if fits(wide) or not fits(bits) else bits
-    step = sum(use) // 8
-    rows = size // step if rows < 0 else rows
-    if start + rows * step > len(data):
+        widths = [text.get(f"$P{i + 1}B", "*").strip() for i in range(n)]
+        bits = [8 * int(w) for w in widths] if all(w.isdigit() for w in widths) else []
+        order = []
+    else:
+        given = [32 if k == "F" else 64 if k == "D" else _int(text, f"$P{i + 1}B", 32) for i, k in enumerate(kinds)]
+        wide = [next((w for w in WIDTHS if b <= w), 64) for b in given]
+        fits = lambda bs: all(b % 8 == 0 for b in bs) and (rows < 0 or abs(rows * sum(bs) // 8 - (end - start)) <= 1)
+        bits = wide if fits(wide) or not fits(given) else given
+        order = [int(x) - 1 for x in text.get("$BYTEORD", "1,2,3,4").split(",")]
+    step = sum(bits) // 8
+    rows = (end - start) // step if step and rows < 0 else rows
+    if step and order and start + rows * step > len(data):
         raise ValueError("the data segment ends outside the file")
-    raw = np.frombuffer(data, np.uint8, rows * step, start).reshape(rows, step)
-    order = [int(x) - 1 for x in text.get("$BYTEORD", "1,2,3,4").split(",")]
-    out, col = np.empty((rows, n)), 0
-    for i, (kind, b) in enumerate(zip(kinds, use)):
-        width = b // 8
-        part = raw[:, col : col + width]
-        if sorted(order) == list(range(width)):
-            part = part[:, np.argsort(order)]  # byte k of the number, from the lowest
-        elif order[0] > order[-1]:
-            part = part[:, ::-1]
-        col += width
-        if kind in "FD":
-            out[:, i] = np.ascontiguousarray(part).view("<f4" if kind == "F" else "<f8")[:, 0]
-            continue
-        value = np.zeros(rows, np.uint64)
-        for k in range(width):
-            value |= part[:, k].astype(np.uint64) << np.uint64(8 * k)
-        top = float(text.get(f"$P{i + 1}R", 0) or 0)
-        mask = int(np.ceil(np.log2(top))) if top > 0 else b
-        if mask < 8 * width:
-            value &= np.uint64((1 << mask) - 1)
-        out[:, i] = value
-    return _scaled(out, text, kinds, scale)
-
-
-def _ascii(data: bytes, text: dict[str, str], n: int, rows: int) -> np.ndarray:
-    widths = [text.get(f"$P{i + 1}B", "*").strip() for i in range(n)]
-    if all(w.isdigit() for w in widths):
-        size = list(map(int, widths))
-        step = sum(size)
-        rows = len(data) // step if rows < 0 else rows
-        cuts = np.cumsum([0, *size])
-        return np.array([[float(data[r * step + a : r * step + b] or b"nan") for a, b in zip(cuts, cuts[1:])] for r in range(rows)]).reshape(rows, n)
+    return Layout(start, end, step, rows, kinds, bits, order)
+
+
+def decode(raw: bytes, lay: Layout, text: dict[str, str], scale: bool = True, wanted: list[int] | None = None) -> np.ndarray:
+    """rows x parameters (or the ``wanted`` ones) of whole rows' bytes, as doubles."""
+    wanted = list(range(len(lay.kinds))) if wanted is None else wanted
+    if lay.kinds[:1] == ["A"]:
+        out = _ascii(raw, lay)[:, wanted]
+    else:
+        raw = np.frombuffer(raw, np.uint8)
+        raw = raw[: len(raw) // lay.step * lay.step].reshape(-1, lay.step) if lay.step else raw.reshape(0, 1)
+        ends = np.cumsum([0, *lay.bits]) // 8
+        out = np.empty((len(raw), len(wanted)))
+        for k, i in enumerate(wanted):
+            out[:, k] = _numbers(raw[:, ends[i] : ends[i + 1]], lay.kinds[i], lay.order, text.get(f"$P{i + 1}R", ""))
+    return _scaled(out, text, lay.kinds, scale, wanted)
+
+
+def _numbers(part: np.ndarray, kind: str, order: list[int], top: str) -> np.ndarray:
+    width = part.shape[1]
+    if sorted(order) == list(range(width)):
+        part = part[:, np.argsort(order)]  # byte k of the number, from the lowest
+    elif order[0] > order[-1]:
+        part = part[:, ::-1]
+    if kind in "FD":
+        return np.ascontiguousarray(part).view("<f4" if kind == "F" else "<f8")[:, 0]
+    value = np.zeros(len(part), np.uint64)
+    for k in range(width):
+        value |= part[:, k].astype(np.uint64) << np.uint64(8 * k)
+    most = float(top or 0)
+    mask = int(np.ceil(np.log2(most))) if most > 0 else 8 * width
+    return value & np.uint64((1 << mask) - 1) if mask < 8 * width else value
+
+
+def events(data: bytes | Ranged, at: int = 0, scale: bool = True) -> np.ndarray:
+    """rows x parameters of one data set, as doubles."""
+    text = keywords(data, at)
+    lay = layout(data, at, text)
+    end = lay.start + lay.rows * lay.step if lay.step else lay.end
+    return decode(data[lay.start : end], lay, text, scale)
+
+
+def _ascii(data: bytes, lay: Layout) -> np.ndarray:
+    n = len(lay.kinds)
+    if lay.step:
+        cuts = np.cumsum([0, *lay.bits]) // 8
+        rows = len(data) // lay.step
+        return np.array([[float(data[r * lay.step + a : r * lay.step + b] or b"nan") for a, b in zip(cuts, cuts[1:])] for r in range(rows)]).reshape(rows, n)
     values = np.array(re.split(rb"[\s,]+", data.strip()), dtype=object).astype(float)
     return values[: len(values) // n * n].reshape(-1, n)
 
 
-def _scaled(x: np.ndarray, text: dict[str, str], kinds: list[str], scale: bool) -> np.ndarray:
+def _scaled(x: np.ndarray, text: dict[str, str], kinds: list[str], scale: bool, wanted: list[int]) -> np.ndarray:
     """Logarithmic amplification of integers, then linear gain."""
     version = float(text["$VERSION"][3:])
-    for i, kind in enumerate(kinds if scale else []):
+    for k, i in enumerate(wanted if scale else []):
+        kind = kinds[i]
         amp = text.get(f"$P{i + 1}E", "")
         f = [float(v) for v in amp.split(",") if re.fullmatch(r"\s*[+-]?\d+\.?\d*([eE][+-]?\d+)?\s*", v)]
         top = float(text.get(f"$P{i + 1}R", 0) or 0)
         if kind == "I" and len(f) == 2 and f[0] and top:
-            x[:, i] = (f[1] or 1.0) * 10 ** (f[0] * x[:, i] / top)
+            x[:, k] = (f[1] or 1.0) * 10 ** (f[0] * x[:, k] / top)
         gain = float(text.get(f"$P{i + 1}G", 0) or 0)
         if gain > 0 and (not amp or f == [0.0, 0.0]) and (kind == "I" or version < 3.2):
-            x[:, i] /= gain
+            x[:, k] /= gain
     return x
 
 
@@ -204,55 +237,86 @@ def _files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select("path", "content")
 
 
-def _short(path: str) -> str:
-    return path.rsplit("/", 1)[-1]
+_short = short
+HEADS = "path string, import_file string, import_subfile int, at long, keywords map<string,string>, labels array<string>, problems array<struct<keyword:string,problem:string>>, step long, rows long, error string"
 
 
-def read_keywords(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """import_file, import_subfile (from 1), keywords, labels, problems: a row per data set."""
-    schema = "import_file string, import_subfile int, keywords map<string,string>, labels array<string>, problems array<struct<keyword:string,problem:string>>"
+def read_heads(spark: SparkSession, paths: str | list[str], counted: Accumulator | None = None) -> DataFrame:
+    """A row per data set, from headers and TEXT alone: path, import_file, import_subfile
+    (from 1), at (where it begins), keywords, labels, problems, step (bytes of a row,
+    0 if that varies), rows, and why its events can't be read, if so."""
+    names = [f.split()[0] for f in HEADS.replace("struct<keyword:string,problem:string>", "x").replace("map<string,string>", "x").split(", ")]
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.list_(pa.string()), pa.list_(pa.struct([("keyword", pa.string()), ("problem", pa.string())])), pa.int64(), pa.int64(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, content in zip(b.column("path").to_pylist(), b.column("content")):
-                found = [(_short(path), k, list(t.items()), labels(t), [dict(zip(("keyword", "problem"), p)) for p in problems(t)]) for k, (_, t) in enumerate(datasets(content.as_py()), 1)]
-                kinds = (pa.string(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.list_(pa.string()), pa.list_(pa.struct([("keyword", pa.string()), ("problem", pa.string())])))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], names=["import_file", "import_subfile", "keywords", "labels", "problems"])
+            for path in b.column("path").to_pylist():
+                data, found = Ranged(path, counted=counted), []
+                for k, (at, text) in enumerate(datasets(data), 1):
+                    wrong = [dict(zip(("keyword", "problem"), p)) for p in problems(text)]
+                    try:
+                        lay = layout(data, at, text)
+                        found.append((path, short(path), k, at, list(text.items()), labels(text), wrong, lay.step, lay.rows, None))
+                    except ValueError as e:
+                        found.append((path, short(path), k, at, list(text.items()), labels(text), wrong, 0, 0, str(e)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], names=names)
 
-    return _files(spark, paths).mapInArrow(run, schema)
+    return listed(spark, paths).mapInArrow(run, HEADS)
 
 
-def read_fcs(spark: SparkSession, paths: str | list[str], dataset: list[int] | None = None, scale: bool = True) -> DataFrame:
+def read_keywords(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """import_file, import_subfile (from 1), keywords, labels, problems: a row per data set."""
+    return read_heads(spark, paths).select("import_file", "import_subfile", "keywords", "labels", "problems")
+
+
+def read_fcs(spark: SparkSession, paths: str | list[str], dataset: list[int] | None = None, scale: bool = True, columns: list[str] | None = None, part_bytes: int = PART_BYTES, counted: Accumulator | None = None) -> DataFrame:
     """Rows of all files merged by name: import_file, import_subfile,
     object_number (0-based in its data set) and a double per parameter; parameters
-    that a data set lacks are null. ``dataset``: wanted numbers (from 1)."""
-    heads = read_keywords(spark, paths)
+    that a data set lacks are null. ``dataset``: wanted numbers (from 1); ``columns``:
+    wanted parameters, the only ones decoded.
+
+    Events are read in ranges of ``part_bytes`` (at least a row), each by one task, so a
+    file may have any size; a data set of text without fixed widths is one range.
+    """
+    heads = saved(read_heads(spark, paths, counted), "heads")
     if dataset:
         heads = heads.filter(F.col("import_subfile").isin(*dataset))
     found = heads.select("import_file", "import_subfile", F.posexplode("labels").alias("at", "name")).groupBy("name").agg(F.min(F.struct("import_file", "import_subfile", "at")).alias("first"))
     names = [r["name"] for r in found.orderBy("first").collect()]  # a row per distinct parameter
+    if columns is not None:
+        if unknown := set(columns) - set(names):
+            raise ValueError(f"unknown parameters {sorted(unknown)}")
+        names = list(columns)
     clash = {"import_file", "import_subfile", "object_number"} & set(names)
     if clash:
         raise ValueError(f"parameters are named like provenance columns: {sorted(clash)}")
     schema = "import_file string, import_subfile int, object_number long" + "".join(", `{}` double".format(n.replace("`", "``")) for n in names)
     all_names = ["import_file", "import_subfile", "object_number", *names]
+    per = F.when(F.col("step") > 0, F.greatest(F.floor(F.lit(part_bytes) / F.col("step")), F.lit(1)))
+    last = F.when(per.isNull() | (F.col("rows") <= 0), 0).otherwise(F.floor((F.col("rows") - 1) / per)).cast("long")
+    ranges = heads.select("path", "import_file", "import_subfile", "at", "keywords", "error", per.alias("per"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("range"))
+    n = heads.agg(F.sum(last + 1)).first()[0] or 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, content in zip(b.column("path").to_pylist(), b.column("content")):
-                data = content.as_py()
-                for k, (at, text) in enumerate(datasets(data), 1):
-                    if dataset and k not in dataset:
-                        continue
-                    x, place = events(data, at, scale), {n: i for i, n in enumerate(labels(text))}
-                    for i in range(0, len(x), BLOCK):
-                        part = x[i : i + BLOCK]
-                        n = len(part)
-                        cols = [pa.array([_short(path)] * n), pa.array(np.full(n, k, np.int32)), pa.array(np.arange(i, i + n))]
-                        cols += [pa.array(np.ascontiguousarray(part[:, place[m]])) if m in place else pa.nulls(n, pa.float64()) for m in names]
-                        yield pa.RecordBatch.from_arrays(cols, names=all_names)
-
-    return _files(spark, paths).mapInArrow(run, schema)
+            for r in b.to_pylist():
+                if r["error"]:
+                    raise ValueError(f"{r['path']}: {r['error']}")
+                data, text = Ranged(r["path"], 58, counted), dict(r["keywords"])
+                lay, place = layout(data, r["at"], text), {n: i for i, n in enumerate(labels(text))}
+                own = [m for m in names if m in place]
+                first = r["range"] * r["per"] if r["per"] else 0
+                upto = min(lay.rows, first + r["per"]) if r["per"] else 0
+                raw = data[lay.start + first * lay.step : lay.start + upto * lay.step] if r["per"] else data[lay.start : lay.end]
+                blocks = range(0, len(raw), BLOCK * lay.step) if r["per"] else (0,)
+                for at in blocks:
+                    x = decode(raw[at : at + BLOCK * lay.step] if r["per"] else raw, lay, text, scale, [place[m] for m in own])
+                    k, row = len(x), first + (at // lay.step if r["per"] else 0)
+                    cols = [pa.array([r["import_file"]] * k, pa.string()), pa.array(np.full(k, r["import_subfile"], np.int32)), pa.array(np.arange(row, row + k))]
+                    cols += [pa.array(np.ascontiguousarray(x[:, own.index(m)])) if m in place else pa.nulls(k, pa.float64()) for m in names]
+                    yield pa.RecordBatch.from_arrays(cols, names=all_names)
+
+    return ranges.repartition(int(n)).mapInArrow(run, schema)
 
 
 def encode(x: np.ndarray, names: list[str], extra: dict[str, str] | None = None, sep: str = "|") -> bytes:
@@ -292,9 +356,7 @@ def write_fcs(df: DataFrame, folder: str, features: list[str] | None = None, pop
     heads = [*names, *(pops or {})]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("/") else (fs.LocalFileSystem(), folder)
+        store, base = place_of(folder)
         store.create_dir(base, recursive=True)
         part, held, n, k = TaskContext.get().partitionId(), [], 0, 0
         done: list[tuple[str, int]] = []
@@ -302,8 +364,7 @@ def write_fcs(df: DataFrame, folder: str, features: list[str] | None = None, pop
         def put() -> None:
             nonlocal held, n, k
             name = f"{base}/part-{part:05d}-{k:03d}.fcs"
-            with store.open_output_stream(name) as f:
-                f.write(encode(np.concatenate(held), heads, keywords))
+            put_whole(store, name, encode(np.concatenate(held), heads, keywords))
             done.append((name.rsplit("/", 1)[-1], n))
             held, n, k = [], 0, k + 1
 

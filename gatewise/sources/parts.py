@@ -12,24 +12,39 @@ from pyspark.sql import DataFrame
 WRITTEN = "file string, rows long"
 
 
+def place_of(path: str) -> tuple:
+    """The pyarrow file system of a path or URI, and the path in it."""
+    from pyarrow import fs
+
+    path = "file://" + path.removeprefix("file:") if path.startswith("file:/") and "://" not in path else path
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("/") else (fs.LocalFileSystem(), path)
+
+
+def put_whole(store, path: str, data: bytes) -> None:
+    """A file that is there whole or not at all: written under a name of the attempt, then renamed."""
+    base, name = path.rsplit("/", 1)
+    hidden = f"{base}/.{name}.{TaskContext.get().taskAttemptId()}"
+    with store.open_output_stream(hidden) as f:
+        f.write(data)
+    store.move(hidden, path)
+
+
 def write_parts(df: DataFrame, folder: str, suffix: str, encode: Callable[[pa.Table], bytes], rows_per_file: int = 1 << 18) -> DataFrame:
     """``encode(rows)`` as files in ``folder``, a path or URI that every executor
-    reaches: file, rows. Names come from the partition, so a task that is run
-    again writes the same files; nothing is written until the result is asked for."""
+    reaches: file, rows. Names come from the partition, so a task that is run again, or
+    twice at a time, replaces its files by equal ones; each is renamed when whole, and
+    hidden before. Nothing is written until the result is asked for; ask once, and
+    count only the files that it lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        place = "file://" + folder.removeprefix("file:") if folder.startswith("file:/") and "://" not in folder else folder
-        store, base = fs.FileSystem.from_uri(place) if "://" in place or place.startswith("/") else (fs.LocalFileSystem(), place)
+        store, base = place_of(folder)
         store.create_dir(base, recursive=True)
         part, held, n, done = TaskContext.get().partitionId(), [], 0, []
 
         def put() -> None:
             nonlocal held, n
             name = f"part-{part:05d}-{len(done):03d}.{suffix}"
-            with store.open_output_stream(f"{base}/{name}") as f:
-                f.write(encode(pa.Table.from_batches(held)))
+            put_whole(store, f"{base}/{name}", encode(pa.Table.from_batches(held)))
             done.append((name, n))
             held, n = [], 0
 
