@@ -99,6 +99,25 @@ class Graph:
             object.__setattr__(self, "base", self.base[:1])
 
 
+@dataclass(frozen=True)
+class ReportRow:
+    """``statistic`` of ``population`` (and ``population2``) for ``feature``."""
+
+    name: str
+    statistic: str
+    population: str
+    feature: str = ""
+    population2: str = ""
+
+    def __post_init__(self):
+        if self.statistic not in STATISTICS:
+            raise ValueError(f"statistics {self.statistic!r} is not allowed; known: {', '.join(STATISTICS)}")
+
+
+#: The statistics of reports.
+STATISTICS = ("Count", "Mean", "%Total", "%Gated", "%", "Objects/mL", "RD - Mean", "Median", "CV", "stddev", "NaN", "MAD", "min", "RD - Median", "Variance", "max", "geomean", "Mode")
+
+
 @dataclass(frozen=True)
 class Removal:
     """What a removal takes away."""
@@ -126,6 +145,7 @@ class Catalog:
     graphs: tuple[Graph, ...] = ()
     images: tuple[Image, ...] = ()
     masks: tuple[Mask, ...] = ()
+    reports: tuple[ReportRow, ...] = ()
     #: What edits left out, for the caller to read.
     warnings: tuple[str, ...] = ()
 
@@ -344,7 +364,8 @@ class Catalog:
             pops[names.get(name, name)] = replace(p, name=names.get(name, name), base=names.get(p.base, p.base), definition=definition)
         swap = lambda xs: tuple(names.get(x, x) for x in xs)
         graphs = tuple(replace(g, base=swap(g.base), shown=swap(g.shown)) for g in self.graphs)
-        out = replace(self, pops=pops, graphs=graphs)
+        reports = tuple(replace(r, population=names.get(r.population, r.population), population2=names.get(r.population2, r.population2)) for r in self.reports)
+        out = replace(self, pops=pops, graphs=graphs, reports=reports)
         out.check()
         return out
 
@@ -359,7 +380,8 @@ class Catalog:
                 features[new] = replace(f, name=new, definition=definition)
         pops = {k: replace(p, fx=names.get(p.fx, p.fx), fy=names.get(p.fy, p.fy)) for k, p in self.pops.items()}
         graphs = tuple(replace(g, f1=names.get(g.f1, g.f1), f2=names.get(g.f2, g.f2)) for g in self.graphs)
-        return replace(self, features=features, pops=pops, graphs=graphs)
+        reports = tuple(replace(r, feature=names.get(r.feature, r.feature)) for r in self.reports)
+        return replace(self, features=features, pops=pops, graphs=graphs, reports=reports)
 
     # ---- images and masks ----------------------------------------------------
 
@@ -430,7 +452,8 @@ class Catalog:
         columns = {k: v for k, v in columns.items() if features[k].type != "combined"}
         pops = {k: replace(p, fx=names.get(p.fx, p.fx), fy=names.get(p.fy, p.fy)) for k, p in self.pops.items()}
         graphs = tuple(replace(g, f1=names.get(g.f1, g.f1), f2=names.get(g.f2, g.f2)) for g in self.graphs)
-        out = replace(self, features=features, pops=pops, graphs=graphs, masks=new_masks, images=tuple(replace(i, name=images.get(i.name, i.name)) for i in self.images))
+        reports = tuple(replace(r, feature=names.get(r.feature, r.feature)) for r in self.reports)
+        out = replace(self, features=features, pops=pops, graphs=graphs, reports=reports, masks=new_masks, images=tuple(replace(i, name=images.get(i.name, i.name)) for i in self.images))
         out.feature_order()
         return Redefinition(out, columns)
 

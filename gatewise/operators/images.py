@@ -6,6 +6,7 @@ An image row has height, width and pixels (flat, row-major). Kernels work on
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -13,6 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # ---- codecs ------------------------------------------------------------------
 
@@ -106,6 +108,11 @@ def decode(data: bytes, height: int, width: int, compression: int, removal: int
     raise ValueError(f"unknown compression {compression}")
 
 
+def raw16(data: bytes, height: int, width: int, compression: int, order: str = "<", removal: int = 0) -> bytes:
+    """A strip as unpacked pixels of 16 bits in a byte order; negative ones wrap around."""
+    return (decode(data, height, width, compression, removal) & 0xFFFF).astype(f"{order}u2").tobytes()
+
+
 # ---- geometry ----------------------------------------------------------------
 
 
@@ -181,12 +188,12 @@ def align(image: np.ndarray, dx: float, dy: float, **fill) -> np.ndarray:
 
 
 def align_mask(mask: np.ndarray, dx: float, dy: float, bg: int = 0) -> np.ndarray:
-    """As ``align``, by the nearest pixel, so that whole numbers stay whole."""
+    """As ``align``, with the fraction cut off, so that whole numbers stay whole."""
     if np.isnan(dx) != np.isnan(dy):
         raise ValueError("one shift is missing")
     if np.isnan(dx) or (dx == 0 and dy == 0):
         return mask
-    return affine(mask, np.array([[1, 0, dx], [0, 1, dy]]), order=1, bg=bg).astype(mask.dtype)
+    return np.trunc(affine(mask, np.array([[1, 0, dx], [0, 1, dy]]), order=2, bg=bg)).astype(mask.dtype)
 
 
 def beside(images: list[np.ndarray], bg: float = 0.0) -> np.ndarray:
@@ -394,7 +401,84 @@ def encoded(df: DataFrame, kind: str, id_cols: list[str], **options) -> DataFram
 
 def tensor(df: DataFrame, id_col: str, height: int, width: int, scale: int = 1) -> np.ndarray:
     """object x height x width array of a *selected* set of equal images, by id;
-    the caller bounds the selection, as the array is built on the driver."""
+    the caller bounds the selection, as the array is built on the driver. ``write_tensor``
+    takes any number."""
     table = df.select(id_col, "pixels").orderBy(id_col).toArrow()
     flat = table.column("pixels").combine_chunks().values.to_numpy(zero_copy_only=False)
     return (flat * scale).reshape(table.num_rows, height, width)
+
+
+def write_tensor(df: DataFrame, id_col: str, height: int, width: int, folder: str, channel_col: str | None = "channel", dtype: str = "<f8", chunk_bytes: int = 1 << 24) -> tuple[int, int, int, int]:
+    """An object x height x width x channel array, by id, as a Zarr store (version 2, not
+    compressed) in ``folder``; its shape.
+
+    Objects are ranked in ranges and dealt to chunks of about ``chunk_bytes``; a task puts together
+    and writes each chunk, so the driver holds the shape alone. Rows are an object's
+    channels (from 0) or, without ``channel_col``, objects; every object has all
+    channels, in the same size. Missing pixels are an error; the last chunk is filled up with zeros.
+    """
+    from ..sources.parts import place_of, put_whole
+    from .merge import ranks
+
+    one = F.lit(0) if channel_col is None else F.col(channel_col)
+    rows = df.select(F.col(id_col).alias("_id"), one.cast("int").alias("_channel"), "height", "width", "pixels")
+    channels = (rows.agg(F.max("_channel")).first()[0] or 0) + 1
+    each = height * width * channels * np.dtype(dtype).itemsize
+    per = max(1, chunk_bytes // max(1, each))
+    # An object's channels are few, and one row.
+    whole = rows.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("_channel", "height", "width", "pixels"))).alias("tiles"))
+    ranked = whole.join(ranks(rows.select("_id").distinct(), "_id", "_rank"), "_id")
+    ranked = ranked.withColumn("_rank", F.col("_rank") - 1).withColumn("_chunk", F.floor(F.col("_rank") / per))
+    dealt = ranked.repartition("_chunk").sortWithinPartitions("_chunk", "_rank")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = place_of(folder)
+        store.create_dir(base, recursive=True)
+        chunk, block, n = None, None, 0
+
+        def put() -> pa.RecordBatch:
+            put_whole(store, f"{base}/{chunk}.0.0.0", block.tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([n])], names=["chunk", "rows"])
+
+        for b in batches:
+            for k, rank, tiles, name in zip(*(b.column(c).to_pylist() for c in ("_chunk", "_rank")), b.column("tiles"), b.column("_id").to_pylist()):
+                if k != chunk:
+                    if n:
+                        yield put()
+                    chunk, block, n = k, np.zeros((per, height, width, channels), dtype), 0
+                found = {c: tiles.values.field(c) for c in ("_channel", "height", "width", "pixels")}
+                sizes = {*zip(found["height"].to_pylist(), found["width"].to_pylist())}
+                if found["_channel"].to_pylist() != list(range(channels)) or sizes != {(height, width)} or found["pixels"].null_count:
+                    raise ValueError(f"object {name}: not {channels} channels of {height} x {width} pixels")
+                for c, pixels in enumerate(found["pixels"]):
+                    block[rank - k * per, :, :, c] = pixels.values.to_numpy(zero_copy_only=False).reshape(height, width)
+                n += 1
+        if n:
+            yield put()
+
+    total = dealt.select("_id", "_chunk", "_rank", "tiles").mapInArrow(run, "chunk long, rows long").agg(F.sum("rows")).first()[0] or 0
+    store, base = place_of(folder)
+    store.create_dir(base, recursive=True)
+    shape = (int(total), height, width, channels)
+    about = {"zarr_format": 2, "shape": shape, "chunks": (per, height, width, channels), "dtype": dtype, "compressor": None, "fill_value": 0, "order": "C", "filters": None}
+    with store.open_output_stream(f"{base}/.zarray") as f:
+        f.write(json.dumps(about).encode())
+    return shape
+
+
+def read_tensor(folder: str, first: int = 0, upto: int | None = None) -> np.ndarray:
+    """Objects ``first`` to ``upto`` of a store of ``write_tensor``; the caller bounds them."""
+    from ..sources.parts import place_of
+
+    store, base = place_of(folder)
+    with store.open_input_file(f"{base}/.zarray") as f:
+        about = json.loads(f.read())
+    n, per = about["shape"][0], about["chunks"][0]
+    upto = n if upto is None else min(upto, n)
+    out = np.zeros((max(0, upto - first), *about["shape"][1:]), about["dtype"])
+    for k in range(first // per, -(-upto // per) if upto > first else 0):
+        with store.open_input_file(f"{base}/{k}.0.0.0") as f:
+            block = np.frombuffer(f.read(), about["dtype"]).reshape(about["chunks"])
+        a, b = max(first, k * per), min(upto, (k + 1) * per)
+        out[a - first : b - first] = block[a - k * per : b - k * per]
+    return out

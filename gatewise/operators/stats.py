@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import INF, NAN, finite, is_finite, natural_log
 from ..functions.transforms import transform
-from .catalog import ALL
+from .catalog import ALL, STATISTICS, ReportRow
 from .populations import Objects, member, named
 from .quantiles import order_statistics, sketch
 from .store import saved
@@ -127,32 +127,18 @@ def _listed(rows: DataFrame, by: str | None, out: list[Column]) -> DataFrame:
     return listed.select(F.col("_by").alias(by), *(c for c in listed.columns if c != "_by"))
 
 
-@dataclass(frozen=True)
-class ReportRow:
-    """``statistic`` of ``population`` (and ``population2``) for ``feature``."""
-
-    name: str
-    statistic: str
-    population: str
-    feature: str = ""
-    population2: str = ""
-
-    def __post_init__(self):
-        if self.statistic not in STATISTICS:
-            raise ValueError(f"statistics {self.statistic!r} is not allowed; known: {', '.join(STATISTICS)}")
-
-
-STATISTICS = ("Count", "Mean", "%Total", "%Gated", "%", "Objects/mL", "RD - Mean", "Median", "CV", "stddev", "NaN", "MAD", "min", "RD - Median", "Variance", "max", "geomean", "Mode")
 ORDERED = ("Median", "MAD", "RD - Median")
 
 
-def report(objects: Objects, rows: Sequence[ReportRow], by: str | None = None) -> DataFrame:
-    """name, value of each report row (for each ``by``); what isn't finite is NaN.
+def report(objects: Objects, rows: Sequence[ReportRow] | None = None, by: str | None = None) -> DataFrame:
+    """name, value of each report row (of the catalog's, without ``rows``; for each
+    ``by``); what isn't finite is NaN.
 
     Infinite values count (they make means NaN); NaN and missing ones don't.
     Objects/mL and Mode aren't computed. Unknown names give NaN.
     """
     cat = objects.catalog
+    rows = cat.reports if rows is None else rows
     pops = [p for p in dict.fromkeys(x for r in rows for x in (r.population, r.population2)) if p in cat.pops]
     features = [f for f in dict.fromkeys(r.feature for r in rows) if f in cat.features]
     ordered = any(r.statistic in ORDERED for r in rows)

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import channels, numbers, strings
 from ..operators import merge, plotdata
-from ..operators.catalog import Graph
+from ..operators import masks as mask_language
+from ..operators.catalog import Feature, Graph, Population
 from ..operators.gates import Region, ellipse_points
+from ..operators.masks import Mask, default_image
 from ..operators.stats import pop_stats as count_pops
 from .common import digest, digest_sql, lines, query, table
 from .gating import CONVEX_SQL, HIERARCHY_SQL, OVAL_SQL, RECT_SQL, hierarchy
@@ -83,10 +85,10 @@ def graph_edits(spark, sf_dir):
     return spark.createDataFrame([(i, g.type) for i, g in enumerate(cat.remove_graphs([1]).graphs)], "place int, type string")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity, o_totalprice, o_orderstatus FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1")
+@query("SELECT l_orderkey, l_linenumber, l_quantity, o_totalprice, o_orderstatus FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey")
 def bind_tables(spark, sf_dir):
     """Columns of two tables of the same objects."""
-    left = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select("l_orderkey", "l_linenumber", "l_quantity")
+    left = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
     right = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice", "o_orderstatus")
     return merge.bind_columns(left, right, ["l_orderkey"])
 
@@ -138,3 +140,78 @@ def channel_names(spark, sf_dir):
     rows = [(n, *channels.feature_parts(n, masks, pictures), channels.with_channels(n, {3: 4, 4: 3})) for n in names]
     assert all(channels.feature_name(*r[1:4]) == r[0] for r in rows)
     return spark.createDataFrame(rows, "name string, family string, mask string, image string, swapped string")
+
+
+def _channels(spark, sf_dir):
+    """lineitem as features of two channels, with masks, a ratio and gates on them."""
+    quantity, price, area = "Intensity_M01_Ch01", "Intensity_M02_Ch02", "Area_Dilate(M02, 3)"
+    objects = lines(spark, sf_dir)
+    df = objects.df.withColumnsRenamed({"l_quantity": quantity, "l_extendedprice": price, "l_discount": area})
+    cat = replace(objects.catalog, features={})
+    cat = cat.add_images(*(default_image(c) for c in (1, 2, 3))).add_masks(Mask("MC", "M01|Or|M02|Or|M03"), Mask("Dilate(M02, 3)", "Dilate|M02|3"))
+    cat = cat.add_features(Feature(quantity), Feature(price), Feature(area), Feature(f"{price} / {quantity}", "combined", f"{price}|/|{quantity}"))
+    cat = cat.add_regions(Region("q", "line", (10.0, 30.0)), Region("u", "line", (0.0, 1500.0)), Region("d", "line", (0.04, 0.08)))
+    cat = cat.add_pops(Population("Many", region="q", fx=quantity), Population("Cheap", base="Many", region="u", fx=f"{price} / {quantity}"), Population("Low", region="d", fx=area), Population("Both", definition="Cheap|And|Low"))
+    return replace(objects, df=df, catalog=cat)
+
+
+_CHANNEL_POPS = {"Many": "l_quantity BETWEEN 10 AND 30", "Cheap": "l_quantity BETWEEN 10 AND 30 AND l_extendedprice / l_quantity BETWEEN 0 AND 1500", "Low": "l_discount BETWEEN 0.04 AND 0.08", "Both": "l_quantity BETWEEN 10 AND 30 AND l_extendedprice / l_quantity BETWEEN 0 AND 1500 AND l_discount BETWEEN 0.04 AND 0.08"}
+
+
+def _sums(pops: dict[str, str], columns: dict[str, str]) -> str:
+    """SQL of ``_digest``: by population, sums of features under their new names."""
+    return " UNION ALL ".join(f"SELECT '{p}' AS population, count(*) AS n, '{name}' AS feature, round(sum({x}), 2) AS total FROM lineitem WHERE {c}" for p, c in pops.items() for name, x in columns.items())
+
+
+def _digest(objects, pops, names):
+    rows = objects.members(pops, keep=names)
+    from ..operators.populations import member, named
+
+    of = F.explode(F.filter(F.array(*(F.when(member(p), F.lit(p)) for p in pops)), lambda p: p.isNotNull())).alias("population")
+    sums = rows.select(of, *(named(n) for n in names)).groupBy("population").agg(F.count("*").alias("n"), *(F.sum(named(n)).alias(f"s{i}") for i, n in enumerate(names)))
+    return sums.select("population", "n", F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), F.round(f"s{i}", 2).alias("total")) for i, n in enumerate(names)))).alias("x")).select("population", "n", "x.*")
+
+
+_RATIO = "l_extendedprice / l_quantity"
+
+
+@query(_sums(_CHANNEL_POPS, {"Intensity_M02_Ch02": "l_quantity", "Intensity_M01_Ch01": "l_extendedprice", "Area_Dilate(M01, 3)": "l_discount", "Intensity_M01_Ch01 / Intensity_M02_Ch02": _RATIO}))
+def channel_swap(spark, sf_dir):
+    """Two channels in each other's place: masks, features, ratios and gates follow, members stay."""
+    objects = _channels(spark, sf_dir)
+    moved = objects.redefined(objects.catalog.swap_channels(1, 2))
+    return _digest(moved, list(_CHANNEL_POPS), ["Intensity_M02_Ch02", "Intensity_M01_Ch01", "Area_Dilate(M01, 3)", "Intensity_M01_Ch01 / Intensity_M02_Ch02"])
+
+
+@query(_sums({"Low": _CHANNEL_POPS["Low"], "Many": "l_extendedprice BETWEEN 10 AND 30000"}, {"Intensity_M01_Ch01": "l_extendedprice", "Area_Dilate(M01, 3)": "l_discount"}))
+def channel_switch(spark, sf_dir):
+    """One channel in place of another: what becomes equal is one feature, with the moved values, and gates on it see them."""
+    objects = _channels(spark, sf_dir)
+    objects = objects.edit(objects.catalog.modify_regions(q=Region("q", "line", (10.0, 30000.0))))
+    moved = objects.redefined(objects.catalog.switch_channel(2, 1))
+    assert "Intensity_M02_Ch02" not in moved.catalog.features
+    return _digest(moved, ["Low", "Many"], ["Intensity_M01_Ch01", "Area_Dilate(M01, 3)"])
+
+
+@query(_sums(_CHANNEL_POPS, {"Intensity_M02_CD4": "l_extendedprice", "Area_Dilate(M02, 3)": "l_discount", "Intensity_M02_CD4 / Intensity_M01_Ch01": _RATIO}))
+def image_rename(spark, sf_dir):
+    """Another name for an image, in features, ratios and gates."""
+    objects = _channels(spark, sf_dir)
+    moved = objects.redefined(objects.catalog.redefine(images={"Ch02": "CD4"}))
+    return _digest(moved, list(_CHANNEL_POPS), ["Intensity_M02_CD4", "Area_Dilate(M02, 3)", "Intensity_M02_CD4 / Intensity_M01_Ch01"])
+
+
+_STEP = "(l_linenumber % 7 + 1)"
+_CH = f"printf('%02d', {_STEP})"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_quantity, 'Threshold(Intensity(M' || {_CH} || ', Ch' || {_CH} || ', ' || l_quantity::INT || '-4095), Ch' || {_CH} || ', ' || {_STEP} || ')' AS name, 'Threshold|Intensity(M' || {_CH} || ', Ch01, ' || l_quantity::INT || '-4095)|Ch01|' || {_STEP} AS moved, 'M' || {_CH} AS own FROM lineitem")
+def mask_names(spark, sf_dir):
+    """Nested mask definitions, one for each row: parsed, named, and with another image at their leaves."""
+    two = F.lpad((F.col("l_linenumber") % 7 + 1).cast("string"), 2, "0")
+    inner = F.concat(F.lit("Intensity(M"), two, F.lit(", Ch"), two, F.lit(", "), F.col("l_quantity").cast("int").cast("string"), F.lit("-4095)"))
+    definition = F.concat(F.lit("Threshold|"), inner, F.lit("|Ch"), two, F.lit("|"), (F.col("l_linenumber") % 7 + 1).cast("string"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", definition.alias("definition"))
+    images = {f"Ch{c:02d}": "Ch01" for c in range(1, 8)}
+    told = mask_language.read_definitions(rows, "definition", images=images)
+    return told.select("l_orderkey", "l_linenumber", "l_quantity", "name", F.col("rewritten").alias("moved"), F.element_at("masks", 1).alias("own"))

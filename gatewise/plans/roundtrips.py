@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import strings
 from ..operators import images as kernels
-from ..operators.catalog import Feature
-from ..operators.populations import Objects
+from ..operators.catalog import Feature, Population
+from ..operators.gates import Region
+from ..operators.populations import Objects, member
 from ..operators.store import new_path
 from ..sources import container, daf, fcs, files
 from .common import query, table
@@ -117,48 +118,127 @@ def container_roundtrip(spark, sf_dir):
     return _pixels(container.read_strips(spark, f"{folder}/*.cif", 1))
 
 
+def _in_order(spark, sf_dir, name: str, **options) -> str:
+    """Images in containers that lie in order of their ids; the folder."""
+    folder, rows = new_path(spark, name), _whole(spark, sf_dir)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    container.write_images(rows.repartitionByRange(n, "object_id").sortWithinPartitions("object_id"), folder, **options).collect()
+    return folder
+
+
 @query(f"SELECT row_number() OVER (ORDER BY vec_id) - 1 AS object_id, {_WHOLE} AS pixels FROM embeddings WHERE vec_id % 7 = 3")
 def container_subset(spark, sf_dir):
-    """A container cut down to some objects, with new ids, strips copied as they are."""
-    first, second = new_path(spark, "whole"), new_path(spark, "subset")
-    rows = _whole(spark, sf_dir)
-    container.write_images(rows.coalesce(1).sortWithinPartitions("object_id"), first, 1 << 20).collect()
-    wanted = [r["object_id"] for r in rows.filter("object_id % 7 = 3").select("object_id").collect()]
+    """Containers cut down to some objects, with new ids, strips copied as they are."""
+    first, second = _in_order(spark, sf_dir, "whole"), new_path(spark, "subset")
+    wanted = _whole(spark, sf_dir).filter("object_id % 7 = 3").select("object_id")
     container.merge_files(spark, f"{first}/*.cif", second, wanted, 100).collect()
     return _pixels(container.read_strips(spark, f"{second}/*.cif", 1, kinds=("img",))).select("object_id", "pixels")
 
 
-@query("SELECT count(*) AS n_images, 0::BIGINT AS least, count(*) - 1 AS most, count(*) AS n_ids FROM (SELECT * FROM embeddings UNION ALL SELECT * FROM embeddings WHERE vec_id < 100)")
+@query(f"SELECT row_number() OVER (ORDER BY part, vec_id) - 1 AS object_id, {_WHOLE} AS pixels FROM (SELECT 0 AS part, * FROM embeddings UNION ALL SELECT 1, * FROM embeddings WHERE label % 2 = 1)")
 def container_merge(spark, sf_dir):
-    """Two containers joined: ids from 0 on over both."""
-    one, two, out = (new_path(spark, x) for x in ("one", "two", "joined"))
+    """Two sets of containers joined: ids from 0 on over both, in order of files, every pixel."""
+    place = new_path(spark, "sets")
     rows = _whole(spark, sf_dir)
-    container.write_images(rows, one).collect()
-    container.write_images(rows.filter("object_id < 100").coalesce(1), two + "/second", 1 << 20).collect()
-    container.merge_files(spark, [f"{one}/*.cif", f"{two}/second/*.cif"], out).collect()
-    found = container.read_offsets(spark, f"{out}/*.cif").filter("kind = 'img'")
-    return found.agg(F.count("*").alias("n_images"), F.min("object_id").alias("least"), F.max("object_id").alias("most"), F.countDistinct("object_id").alias("n_ids"))
+    odd = table(spark, sf_dir, "embeddings").filter("label % 2 = 1").select(F.col("vec_id").alias("object_id"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for name, part in (("a", rows), ("b", rows.join(odd, "object_id", "left_semi"))):
+        container.write_images(part.repartitionByRange(n, "object_id").sortWithinPartitions("object_id"), f"{place}/{name}").collect()
+    out = new_path(spark, "joined")
+    container.merge_files(spark, [f"{place}/a/*.cif", f"{place}/b/*.cif"], out).collect()
+    return _pixels(container.read_strips(spark, f"{out}/*.cif", 1, kinds=("img",))).select("object_id", "pixels")
 
 
-@query("SELECT count(*) AS n, true AS same FROM (SELECT 1)")
+@query("SELECT vec_id AS id, 8.0::DOUBLE AS w, (len(embedding) // 8)::DOUBLE AS l, true AS img_at, true AS same_sum FROM embeddings")
 def container_checksum(spark, sf_dir):
-    """The container's checksum is the sum of the first images' offsets."""
-    folder = new_path(spark, "sums")
-    container.write_images(_whole(spark, sf_dir).coalesce(1).sortWithinPartitions("object_id"), folder, 1 << 20).collect()
-    offsets = container.read_offsets(spark, f"{folder}/*.cif")
-    by_hand = offsets.filter("kind = 'img' and object_id < 5").agg(F.sum("offset").alias("s"))
-    rows = offsets.withColumnsRenamed({"object_id": "id", "offset": "imgIFD"}).filter("kind = 'img'")
-    both = container.checksum(offsets).join(daf.checksum(rows).withColumnRenamed("checksum", "other"), "import_file").join(F.broadcast(by_hand))
-    return both.agg(F.count("*").alias("n"), F.min((F.col("checksum") == F.col("other")) & (F.col("checksum") == F.col("s"))).alias("same"))
+    """Containers and their analysis files with image rows: each row points to its image's directory in
+    the container, and the checksums of both files agree."""
+    folder, out = _in_order(spark, sf_dir, "pairs"), new_path(spark, "analysis")
+    dirs = container.read_directories(spark, f"{folder}/*.cif")
+    rows = container.image_rows(dirs)
+    objects = Objects.of(rows.select("import_file", F.col("id").alias(daf.OBJECT)), daf.OBJECT, "import_file", (daf.OBJECT,))
+    daf.write_daf(objects, out, images=rows).collect()
+    again = daf.read_images(spark, f"{out}/*.daf").withColumn("stem", F.regexp_replace("import_file", r"\.\w+$", ""))
+    sums = container.checksum(dirs).select(F.regexp_replace("import_file", r"\.\w+$", "").alias("stem"), F.col("checksum").alias("of_images"))
+    both = daf.checksum(again.drop("import_file").withColumnRenamed("stem", "import_file")).join(sums, F.col("import_file") == F.col("stem")).select("stem", F.col("checksum").eqNullSafe(F.col("of_images")).alias("same_sum"))
+    found = dirs.filter("kind = 'img'").select(F.col("object_id").alias("id"), "offset")
+    return again.join(both, "stem").join(found, "id").select("id", "w", "l", (F.col("imgIFD") == F.col("offset")).alias("img_at"), "same_sum")
+
+
+@query(f"SELECT vec_id AS object_id, channel, list_transform(list_filter(range(len(p)), lambda i: (i % 8) // 2 = channel), lambda i: p[i + 1]) AS pixels, 60.0::DOUBLE AS magnification, [0.5::DOUBLE, -1.25, 0.25, 0.0][channel + 1] AS dx FROM (SELECT vec_id, {_WHOLE} AS p FROM embeddings), range(4) t(channel)")
+def run_description(spark, sf_dir):
+    """Channels, magnification and spatial offsets from the description in the containers, channel by channel."""
+    from ..sources.run import Run, read_run, with_shifts
+
+    about = Run((True, True, False, True, True), magnification=60.0, assist={"XOffsets60x_Gen2_0_11": "0.5 -1.25 9 0.25 0", "YOffsets60x_Gen2_0_11": "0 0 9 0 0"})
+    folder = _in_order(spark, sf_dir, "runs", about=about.tags())
+    runs = read_run(spark, f"{folder}/*.cif")
+    strips = with_shifts(container.read_strips(spark, f"{folder}/*.cif", kinds=("img",)), runs).join(runs.select("path", "magnification"), "path")
+    tiles = kernels.decoded(strips, ["object_id"])
+    more = strips.select("object_id", "dx", "magnification")
+    return tiles.join(more, "object_id").select("object_id", "channel", "pixels", "magnification", F.element_at("dx", F.col("channel") + 1).alias("dx"))
+
+
+@query(f"SELECT vec_id AS object_id, label::DOUBLE AS label, {_WHOLE} AS pixels, label >= 3 AS high FROM embeddings")
+def container_objects(spark, sf_dir):
+    """Objects with features, gates and images through containers: one call reads them, a population chooses strips."""
+    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias(daf.OBJECT), F.col("label").cast("double").alias("label"))
+    df = _whole(spark, sf_dir).join(labels, F.col("object_id") == F.col(f"`{daf.OBJECT}`")).drop("object_id")
+    objects = Objects.of(df, daf.OBJECT, features=(daf.OBJECT, "label"))
+    objects = objects.add_regions(Region("r", "line", (3.0, float("inf")))).add_pops(Population("high", region="r", fx="label"), Population("low", definition="Not|high"))
+    folder = new_path(spark, "objects")
+    files.write(objects, folder, "container").collect()
+    back = files.read(spark, f"{folder}/*.cif")
+    dirs = container.read_directories(spark, f"{folder}/*.cif")
+    values = back.members(["high"]).select(F.col(f"`{daf.OBJECT}`").cast("long").alias("id"), "label", member("high").alias("high"))
+    chosen = [back.objects_in(p).select("import_file", F.col("object_number").alias("object_id")) for p in ("high", "low")]
+    strips = [container.read_strips(spark, f"{folder}/*.cif", 1, c, ("img",), dirs) for c in chosen]
+    return _pixels(strips[0].unionByName(strips[1])).join(values, F.col("object_id") == F.col("id")).select("object_id", "label", "pixels", "high")
+
+
+@query(f"SELECT vec_id, kind, {_WHOLE} AS img, list_transform({_WHOLE}, lambda v: CASE WHEN kind = 'msk' THEN (v > 0)::INT + (v > 200)::INT ELSE v & 65535 END) AS pixels FROM embeddings, (VALUES ('img'), ('msk')) t(kind)")
+def container_tiff(spark, sf_dir):
+    """Containers as TIFF of 16-bit pixels, every pixel read from the files beside the one written."""
+    folder, out = _in_order(spark, sf_dir, "encoded"), new_path(spark, "tiff")
+    container.write_tiff(container.read_strips(spark, f"{folder}/*.cif", 1), out).collect()
+    got = _pixels(container.read_strips(spark, f"{out}/*.tif", 1)).withColumn("pixels", F.transform("pixels", lambda v: v.bitwiseAND(65535)))
+    return got.join(_whole(spark, sf_dir).select("object_id", F.transform("pixels", lambda v: v.cast("int")).alias("img")), "object_id").select(F.col("object_id").alias("vec_id"), "kind", "img", "pixels")
+
+
+@query(f"SELECT row_number() OVER (ORDER BY vec_id) - 1 AS rank, {_WHOLE} AS pixels FROM embeddings")
+def image_array(spark, sf_dir):
+    """All images as one array in chunks that tasks write; each chunk read by a task."""
+    folder = new_path(spark, "array")
+    rows = _whole(spark, sf_dir)
+    height = rows.agg(F.max("height")).first()[0]
+    n, *_ = kernels.write_tensor(rows, "object_id", height, WIDTH, folder, None, "<i4", 1 << 14)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first in b.column("id").to_pylist():
+                x = kernels.read_tensor(folder, first, first + 64)
+                yield pa.RecordBatch.from_arrays([pa.array(range(first, first + len(x)), pa.int64()), pa.array(list(x.reshape(len(x), -1)), pa.list_(pa.int32()))], names=["rank", "pixels"])
+
+    return spark.range(0, n, 64).mapInArrow(run, "rank long, pixels array<int>")
+
+
+@query("SELECT p_partkey, p_size::DOUBLE AS p_size, p_retailprice::FLOAT::DOUBLE AS p_retailprice FROM part")
+def fcs_ranges(spark, sf_dir):
+    """Files of many rows read in small ranges, and of each row the wanted parameters alone."""
+    folder = new_path(spark, "ranges")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
+    fcs.write_fcs(part, folder).collect()
+    df = fcs.read_fcs(spark, f"{folder}/*.fcs", columns=["p_size", "p_partkey", "p_retailprice"], part_bytes=1 << 12)
+    return df.select(F.col("p_partkey").cast("long").alias("p_partkey"), "p_size", "p_retailprice")
 
 
 _UNIT = "list_transform(embedding, lambda v: CASE WHEN v::DOUBLE <= -0.2 THEN 0.0 WHEN v::DOUBLE >= 0.2 THEN 1.0 ELSE (v::DOUBLE + 0.2) / 0.4 END)"
 
 
-@query(f"SELECT vec_id, kind, list_transform({_UNIT}, lambda v: round(v * scale)) AS samples FROM embeddings, (VALUES ('uint8', 255.0::DOUBLE), ('uint16', 65535.0::DOUBLE), ('int16', 32767.0::DOUBLE)) t(kind, scale) WHERE label = 1")
+@query(f"SELECT vec_id, kind, list_transform({_UNIT}, lambda v: round(v * scale)) AS samples FROM embeddings, (VALUES ('uint8', 255.0::DOUBLE), ('uint16', 65535.0::DOUBLE), ('int16', 32767.0::DOUBLE)) t(kind, scale)")
 def tiff_samples(spark, sf_dir):
     """Images as multi-page TIFF, plain and deflated, of several sample types: every sample."""
-    rows = table(spark, sf_dir, "embeddings").filter("label = 1").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("pixels"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("pixels"))
     kinds = ("uint8", "uint16", "int16")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,10 +253,10 @@ def tiff_samples(spark, sf_dir):
     return rows.mapInArrow(run, "vec_id long, kind string, samples array<double>")
 
 
-@query(f"SELECT vec_id, list_transform({_UNIT}, lambda v: round(v * 255)::INT) AS gray FROM embeddings WHERE label = 2")
+@query(f"SELECT vec_id, list_transform({_UNIT}, lambda v: round(v * 255)::INT) AS gray FROM embeddings")
 def bitmap_pixels(spark, sf_dir):
     """Images as bitmaps in Base64, each pixel read from the file by place."""
-    rows = _images(spark, sf_dir).join(table(spark, sf_dir, "embeddings").filter("label = 2").select("vec_id"), "vec_id")
+    rows = _images(spark, sf_dir)
     unit = F.transform("pixels", lambda v: F.when(v <= -0.2, 0.0).when(v >= 0.2, 1.0).otherwise((v + 0.2) / 0.4))
     text = strings.base64_text(F.col("data"))
     files_ = kernels.encoded(rows.withColumn("pixels", unit), "bmp", ["vec_id"]).join(rows.select("vec_id", "height"), "vec_id").select("vec_id", "height", F.hex(strings.base64_bytes(text)).alias("h"))
@@ -203,11 +283,15 @@ def img_reduce(spark, sf_dir):
     return out.select("vec_id", F.transform("pixels", lambda v: F.round(v + 1, 6)).alias("pixels"))
 
 
-@query(f"SELECT vec_id, list_transform(m, lambda v, i: CASE WHEN i % 8 = 0 THEN 0.0 ELSE m[i + 1]::DOUBLE END) AS pixels FROM (SELECT vec_id, list_transform({_P}, lambda v: (v > 0)::INT) AS m FROM embeddings)")
+_M = "CASE WHEN r + {0} < len(m) // 8 AND c + {1} < 8 THEN m[(r + {0}) * 8 + c + {1} + 1] ELSE 0 END"
+_SHIFTED = f"floor((({_M.format(0, 0)}) * 0.25 + ({_M.format(0, 1)}) * 0.75) * 0.75 + (({_M.format(1, 0)}) * 0.25 + ({_M.format(1, 1)}) * 0.75) * 0.25)"
+
+
+@query(f"SELECT vec_id, flatten(list_transform(range(len(m) // 8), lambda r: list_transform(range(8), lambda c: {_SHIFTED}::DOUBLE))) AS pixels FROM (SELECT vec_id, list_transform({_P}, lambda v: (v > 0)::INT + (v > 0.05)::INT + (v > 0.1)::INT) AS m FROM embeddings)")
 def mask_align(spark, sf_dir):
-    """Masks shifted by nearly a pixel stay whole numbers."""
-    rows = _images(spark, sf_dir).withColumn("pixels", F.transform("pixels", lambda v: (v > 0).cast("double")))
-    return kernels.image_map(rows, lambda a: kernels.align_mask(a, 0.8, 0.1), ["vec_id"]).select("vec_id", "pixels")
+    """Masks shifted by parts of a pixel: bilinear, with the fraction cut off; background outside."""
+    rows = _images(spark, sf_dir).withColumn("pixels", F.transform("pixels", lambda v: (v > 0).cast("double") + (v > 0.05).cast("double") + (v > 0.1).cast("double")))
+    return kernels.image_map(rows, lambda a: kernels.align_mask(a, 0.75, 0.25), ["vec_id"]).select("vec_id", "pixels")
 
 
 @query(f"SELECT vec_id, flatten(list_transform(range(len(p) // 8), lambda r: p[r * 8 + 1 : r * 8 + 8] || CASE WHEN r < len(p) // 16 THEN list_transform(p[r * 16 + 1 : r * 16 + 8], lambda v: -v) ELSE [9.0::DOUBLE, 9.0::DOUBLE, 9.0::DOUBLE, 9.0::DOUBLE, 9.0::DOUBLE, 9.0::DOUBLE, 9.0::DOUBLE, 9.0::DOUBLE] END)) AS pixels FROM (SELECT vec_id, {_P} AS p FROM embeddings)")
@@ -216,10 +300,10 @@ def img_sheet(spark, sf_dir):
     return kernels.image_map(_images(spark, sf_dir), lambda a: kernels.sheet([a, -a[: 2 * (a.shape[0] // 2) : 2]], 2, 9.0), ["vec_id"]).select("vec_id", "pixels")
 
 
-@query(f"SELECT vec_id, list_transform({_UNIT}, lambda v: [round(v * 0.6, 6) + 0.0, round(v, 6) + 0.0, round(v * 0.36, 6) + 0.0]) AS rgb FROM embeddings WHERE label = 1")
+@query(f"SELECT vec_id, list_transform({_UNIT}, lambda v: [round(v * 0.6, 6) + 0.0, round(v, 6) + 0.0, round(v * 0.36, 6) + 0.0]) AS rgb FROM embeddings")
 def img_color(spark, sf_dir):
     """Brightness in one hue (1.625 / 6, saturation 0.64)."""
-    rows = table(spark, sf_dir, "embeddings").filter("label = 1").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("pixels"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("pixels"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

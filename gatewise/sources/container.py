@@ -27,6 +27,8 @@ WIDTH, LENGTH, COMPRESSION, STRIP, STRIP_BYTES = 256, 257, 259, 273, 279
 KIND, OBJECT_ID, COUNT, FEATURES, FEATURES_OLD = 33002, 33003, 33018, 33080, 33083
 BG_MEAN, BG_STD, SAT_COUNT, SAT_PERCENT = 33052, 33053, 33054, 33055
 SPEED, CAMERA_LINE, CAMERA_TIMER, CENTRE_X, CENTRE_Y, CHANNELS = 33012, 33016, 33017, 33071, 33072, 33000
+BITS, PHOTOMETRIC, SAMPLES, STRIP_ROWS, SAMPLE_FORMAT = 258, 262, 277, 278, 339
+SHORT = (COMPRESSION, BITS, PHOTOMETRIC, SAMPLES, SAMPLE_FORMAT)
 FIRST, IMAGE, MASK = 1, 2, 3
 DATE, INSTRUMENT, CHANNEL_WIDTH, CROSSTALK, ORIGIN, ACQUISITION, MERGED_CIF, MERGED, ASSIST, SOFTWARE, SOFTWARE_RAW, SUBSET = 33004, 33006, 33009, 33020, 33026, 33027, 33029, 33030, 33064, 33066, 33069, 33070
 TEXTS = frozenset({DATE, INSTRUMENT, ORIGIN, ACQUISITION, MERGED, ASSIST, SOFTWARE, SOFTWARE_RAW})
@@ -90,14 +92,16 @@ def kind_of(tags: dict[int, tuple]) -> str:
 
 
 OFFSETS = ("import_file", "position", "offset", "kind", "object_id", "width", "height", "compression")
-DIRECTORIES = "path string, import_file string, length long, position long, offset long, kind string, object_id long, width int, height int, compression int, strip long, strip_bytes long, bg_mean array<double>, bg_std array<double>, problem string"
-WALKED = frozenset({KIND, OBJECT_ID, WIDTH, LENGTH, COMPRESSION, STRIP, STRIP_BYTES, BG_MEAN, BG_STD})
+DIRECTORIES = "path string, import_file string, length long, position long, offset long, kind string, object_id long, width int, height int, compression int, strip long, strip_bytes long, bg_mean array<double>, bg_std array<double>, sat_count array<double>, sat_percent array<double>, speed double, camera_line double, camera_timer double, centre_x double, centre_y double, problem string"
+LISTS = {"bg_mean": BG_MEAN, "bg_std": BG_STD, "sat_count": SAT_COUNT, "sat_percent": SAT_PERCENT}
+SINGLE = {"speed": SPEED, "camera_line": CAMERA_LINE, "camera_timer": CAMERA_TIMER, "centre_x": CENTRE_X, "centre_y": CENTRE_Y}
+WALKED = frozenset({KIND, OBJECT_ID, WIDTH, LENGTH, COMPRESSION, STRIP, STRIP_BYTES, *LISTS.values(), *SINGLE.values()})
 
 
 def read_directories(spark: SparkSession, paths: str | list[str], counted: Accumulator | None = None) -> DataFrame:
     """A row per directory (DIRECTORIES), as a saved table: strips aren't read."""
     names = [f.split()[0] for f in DIRECTORIES.split(", ")]
-    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), *[pa.int32()] * 3, *[pa.int64()] * 2, *[pa.list_(pa.float64())] * 2, pa.string())
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), *[pa.int32()] * 3, *[pa.int64()] * 2, *[pa.list_(pa.float64())] * 4, *[pa.float64()] * 5, pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -105,7 +109,7 @@ def read_directories(spark: SparkSession, paths: str | list[str], counted: Accum
                 rows = []
                 for k, (at, t, wrong) in enumerate(directories(Ranged(path, counted=counted), WALKED)):
                     one = lambda tag: t.get(tag, (None,))[0]  # noqa: B023, E731
-                    rows.append((path, short(path), length, k, at, kind_of(t), *map(one, (OBJECT_ID, WIDTH, LENGTH)), one(COMPRESSION), one(STRIP), one(STRIP_BYTES), *([float(x) for x in t.get(c, ())] for c in (BG_MEAN, BG_STD)), wrong))
+                    rows.append((path, short(path), length, k, at, kind_of(t), *map(one, (OBJECT_ID, WIDTH, LENGTH)), one(COMPRESSION), one(STRIP), one(STRIP_BYTES), *([float(x) for x in t.get(c, ())] for c in LISTS.values()), *(None if one(c) is None else float(one(c)) for c in SINGLE.values()), wrong))
                     if len(rows) == 1 << 14:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
                         rows = []
@@ -151,6 +155,22 @@ def probe(spark: SparkSession, paths: str | list[str], directories: DataFrame |
     return out.select("import_file", "test", "objects", estimated.cast("long").alias("estimated"), F.coalesce("problems", none).alias("problems"))
 
 
+def image_rows(directories: DataFrame) -> DataFrame:
+    """A row per object from ``read_directories``, as analysis files hold them
+    (``daf.IMAGE_SCHEMA``): where image and mask are, size, camera fields, centre, lists of
+    channels. What a file doesn't tell is 0, or an empty list."""
+    at = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    zero = lambda c, kind="double": F.coalesce(c, F.lit(0)).cast(kind)
+    names = {"w": "width", "l": "height", "fs": "speed", "cl": "camera_line", "ct": "camera_timer", "objCenterX": "centre_x", "objCenterY": "centre_y"}
+    lists = {"bgstd": "bg_std", "bgmean": "bg_mean", "satcount": "sat_count", "satpercent": "sat_percent"}
+    found = directories.filter("kind in ('img', 'msk') and object_id is not null").groupBy("import_file", F.col("object_id").alias("id"))
+    none = F.array().cast("array<double>")
+    return found.agg(
+        zero(at("img", "offset"), "long").alias("imgIFD"), zero(at("msk", "offset"), "long").alias("mskIFD"), F.lit(0).cast("long").alias("spIFD"),
+        *(zero(at("img", c)).alias(n) for n, c in names.items()), *(F.coalesce(at("img", c), none).alias(n) for n, c in lists.items()),
+    )
+
+
 STRIPS = "import_file string, object_id long, kind string, offset long, width int, height int, channels int, compression int, bg_mean array<double>, bg_std array<double>, data binary, path string"
 
 
@@ -205,7 +225,7 @@ def read_strips(spark: SparkSession, paths: str | list[str], channels: int | Non
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), types)], names=names)
 
-    return keep.drop("length", "position", "problem").mapInArrow(run, STRIPS)
+    return keep.drop("length", "position", "problem", "sat_count", "sat_percent", *SINGLE).mapInArrow(run, STRIPS)
 
 
 FIRSTS = "path string, import_file string, byte_order string, numbers map<int,array<double>>, texts map<int,binary>"
@@ -307,9 +327,10 @@ def encode(objects: list[tuple[int, np.ndarray, np.ndarray]], matrix: np.ndarray
     return encode_strips(strips, matrix, order, about)
 
 
-def encode_strips(strips: list[tuple], matrix: np.ndarray | None = None, order: str = "<", about: Tags | None = None) -> bytes:
+def encode_strips(strips: list[tuple], matrix: np.ndarray | None = None, order: str = "<", about: Tags | None = None, run: bool = True) -> bytes:
     """A container of (id, kind, height, width, compression, strip and, if any, more
-    tags) in this order; ``about``: tags of the run for the first directory."""
+    tags) in this order; ``about``: tags of the run for the first directory, which is
+    left out without ``run``."""
     out = bytearray((b"II*\0" if order == "<" else b"MM\0*") + b"\0\0\0\0")
     link = 4
 
@@ -318,7 +339,7 @@ def encode_strips(strips: list[tuple], matrix: np.ndarray | None = None, order:
         fields = []
         for tag, value in sorted(tags.items()):
             if isinstance(value, int):
-                kind, n, data = (3, 1, struct.pack(order + "HH", value, 0)) if tag == COMPRESSION else (4, 1, struct.pack(order + "I", value))
+                kind, n, data = (3, 1, struct.pack(order + "HH", value, 0)) if tag in SHORT else (4, 1, struct.pack(order + "I", value))
             elif isinstance(value, bytes):
                 kind, n, data = 2, len(value) + 1, value + b"\0"
             else:
@@ -332,11 +353,14 @@ def encode_strips(strips: list[tuple], matrix: np.ndarray | None = None, order:
         link = len(out)
         out.extend(b"\0\0\0\0")
 
+    if not run:
+        about, matrix = None, None
     first: Tags = {**(about or {}), KIND: FIRST, COUNT: len({s[0] for s in strips})}
     if matrix is not None:
         first[FEATURES] = len(out)
         out.extend(struct.pack(order + "ff", *matrix.shape) + np.asarray(matrix, order + "f4").tobytes())
-    put(first)
+    if run:
+        put(first)
     for oid, kind, height, width, compression, data, *more in strips:
         at = len(out)
         out.extend(data)
@@ -344,15 +368,39 @@ def encode_strips(strips: list[tuple], matrix: np.ndarray | None = None, order:
     return bytes(out)
 
 
-def write_images(df: DataFrame, folder: str, objects_per_file: int = 1 << 14, about: Tags | None = None) -> DataFrame:
+def write_images(df: DataFrame, folder: str, objects_per_file: int = 1 << 14, about: Tags | None = None, features: list[str] | None = None) -> DataFrame:
     """Containers of objects (object_id, height, width, pixels, mask: whole numbers): file, rows.
-    ``about``: tags of the run (``run.Run.tags``)."""
+    ``about``: tags of the run (``run.Run.tags``); ``features``: columns stored with them,
+    in the order of the definitions that the run holds."""
+    values = [F.col("`" + n.replace("`", "``") + "`").cast("double") for n in features or ()]
+    stored = bool(values)
 
     def put(table: pa.Table) -> bytes:
         rows = table.to_pylist()
-        return encode([(r["object_id"], *(np.array(r[c], np.int64).reshape(r["height"], r["width"]) for c in ("pixels", "mask"))) for r in rows], about=about)
+        matrix = np.array([r["features"] for r in rows], float) if stored else None
+        return encode([(r["object_id"], *(np.array(r[c], np.int64).reshape(r["height"], r["width"]) for c in ("pixels", "mask"))) for r in rows], matrix, about=about)
+
+    return write_parts(df.select("object_id", "height", "width", "pixels", "mask", F.array(*values).alias("features")), folder, "cif", put, objects_per_file)
+
+
+def write_tiff(strips: DataFrame, folder: str, pages_per_file: int = 1 << 12, order: str = "<") -> DataFrame:
+    """TIFF files of decoded pixels (16 bits, a strip a page) from still encoded strips: file,
+    rows. Pages are by file, object and kind; each keeps its object, kind and channel lists as tags."""
+    from ..operators.images import PLAIN, raw16
+
+    numbers = F.when(F.col("kind") == "img", IMAGE).otherwise(MASK)
+    rows = strips.select("path", "object_id", numbers.alias("number"), "height", "width", "compression", "data", "bg_mean", "bg_std")
+    rows = rows.repartition("path", "object_id").sortWithinPartitions("path", "object_id", "number")
+
+    def put(table: pa.Table) -> bytes:
+        pages = []
+        for b in table.to_batches():
+            for r in b.to_pylist():
+                more = {BITS: 16, PHOTOMETRIC: 1, SAMPLES: 1, SAMPLE_FORMAT: 1, STRIP_ROWS: r["height"]} | {t: list(r[c]) for t, c in ((BG_MEAN, "bg_mean"), (BG_STD, "bg_std")) if r[c]}
+                pages.append((r["object_id"], r["number"], r["height"], r["width"], PLAIN, raw16(r["data"], r["height"], r["width"], r["compression"], order), more))
+        return encode_strips(pages, None, order, run=False)
 
-    return write_parts(df.select("object_id", "height", "width", "pixels", "mask"), folder, "cif", put, objects_per_file)
+    return write_parts(rows, folder, "tif", put, pages_per_file)
 
 
 def write_strips(strips: DataFrame, folder: str, objects_per_file: int = 1 << 14, about: Tags | None = None) -> DataFrame:

@@ -12,13 +12,14 @@ import re
 import struct
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.catalog import ALL, Catalog, Feature, Graph, Population
+from ..operators.catalog import ALL, Catalog, Feature, Graph, Population, ReportRow
 from ..operators.gates import Region
 from ..operators.populations import Objects
 from .fcs import BLOCK, _files, _short
@@ -26,7 +27,8 @@ from .parts import write_parts
 from .run import add_definitions, image_definitions, mask_definitions
 
 OBJECT = "Object Number"
-END = b"</Assay>"
+#: What ends the head of an analysis file, or of a template.
+END, TEMPLATE_END = b"</Assay>", b"</AssayTemplate>"
 CHANNEL_LISTS = ("bgstd", "bgmean", "satcount", "satpercent")
 
 
@@ -62,7 +64,7 @@ def image_rows(root: ET.Element, tail: bytes, order: str = "<") -> Iterator[dict
     if root.get("binaryfeatures", "").lower() != "true":
         for so in root.iter("SO"):
             a = so.attrib
-            yield {k: float(v) for k, v in a.items() if k not in CHANNEL_LISTS} | {k: [_number(x) for x in a[k].split("|") if x] for k in CHANNEL_LISTS if k in a}
+            yield {k: float(v) for k, v in a.items() if k not in CHANNEL_LISTS} | {k: [_number(x) for x in a.get(k, "").split("|") if x] for k in CHANNEL_LISTS}
         return
     _, n, rows = struct.unpack_from(order + "III", tail, 3)
     at = 15 + n * (4 + 8 * rows)
@@ -110,12 +112,31 @@ def definitions(root: ET.Element) -> Catalog:
         else:
             pops.append(Population(name, base if base != name else ALL, ids=tuple(int(float(o.get("O"))) for o in p.iter("ob")), **look))
     cat = cat.add_pops(*pops)
+    cat = replace(cat, reports=report_rows(root))
     for g in root.iter("Graph"):
         names = lambda tag: tuple(x.get("name") for x in g.iter(tag))
         cat = cat.add_graphs(Graph(g.get("type"), g.get("f1"), g.get("f2", ""), names("BasePop") or (ALL,), names("GraphRegion"), names("ShownPop"), g.get("xlogrange", "P"), g.get("ylogrange", "P"), title=g.get("title", "")))
     return cat
 
 
+def report_rows(root: ET.Element) -> tuple[ReportRow, ...]:
+    """The columns of statistics reports that a head defines."""
+    found = [x for tag in ("StatisticsReportColumn", "StatisticColumn") for x in root.iter(tag)]
+    return tuple(ReportRow(x.get("name", ""), x.get("statistics", ""), x.get("population1") or x.get("population", ""), x.get("feature", ""), x.get("population2", "")) for x in found)
+
+
+def add_reports(root: ET.Element, rows: tuple[ReportRow, ...]) -> None:
+    """The same as XML."""
+    at = ET.SubElement(root, "StatisticsReports") if rows else root
+    for r in rows:
+        ET.SubElement(at, "StatisticsReportColumn", {"name": r.name, "type": "Statistics", "population1": r.population, "population2": r.population2, "feature": r.feature, "statistics": r.statistic})
+
+
+def read_report(spark: SparkSession, path: str) -> tuple[ReportRow, ...]:
+    """The report that an analysis file or template defines, for ``stats.report``."""
+    return report_rows(ET.fromstring(read_heads(spark, path).first()["head"]))
+
+
 def read_heads(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """import_file, head (XML without feature values and image rows): a row per file."""
 
@@ -124,7 +145,8 @@ def read_heads(spark: SparkSession, paths: str | list[str]) -> DataFrame:
             heads = []
             for c in b.column("content"):
                 data = c.as_py()
-                head = data[: data.find(END) + len(END)].decode("utf-8", "replace")
+                end = TEMPLATE_END if data.find(TEMPLATE_END) >= 0 else END
+                head = data[: data.find(end) + len(end)].decode("utf-8", "replace")
                 heads.append(re.sub(r"<(UDFValues|SO) [^>]*/>", "", head))
             yield pa.RecordBatch.from_arrays([pa.array(map(_short, b.column("path").to_pylist())), pa.array(heads)], names=["import_file", "head"])
 
@@ -216,6 +238,7 @@ def head_xml(cat: Catalog, stored: list[str], rows: int, binary: bool) -> ET.Ele
         for tag, names in (("BasePop", g.base), ("GraphRegion", g.regions), ("ShownPop", g.shown)):
             for n in names:
                 ET.SubElement(node, tag, {"name": n})
+    add_reports(root, cat.reports)
     return root
 
 
@@ -226,6 +249,10 @@ def encode(cat: Catalog, stored: list[str], x: np.ndarray, binary: bool = True,
         at = ET.SubElement(root, "FeatureValues")
         for i in range(x.shape[1]):
             ET.SubElement(at, "UDFValues", {"fid": str(i), "fv": "|".join(map(_text, x[:, i]))})
+        at = ET.SubElement(root, "Images") if images else at
+        for r in images or []:
+            whole = {k: str(int(r[k])) for k in ("id", "imgIFD", "mskIFD", "spIFD", "cl", "ct")}
+            ET.SubElement(at, "SO", whole | {k: _text(r[k]) for k in ("w", "l", "fs", "objCenterX", "objCenterY")} | {k: "|".join(map(_text, r[k])) for k in CHANNEL_LISTS})
         return ET.tostring(root)
     out = [ET.tostring(root), b"\0\0\0", struct.pack(order + "III", 1, x.shape[1], len(x))]
     for i in range(x.shape[1]):
@@ -238,18 +265,35 @@ def encode(cat: Catalog, stored: list[str], x: np.ndarray, binary: bool = True,
     return b"".join(out)
 
 
-def write_daf(objects: Objects, folder: str, binary: bool = True, rows_per_file: int = 1 << 18) -> DataFrame:
+def write_daf(objects: Objects, folder: str, binary: bool = True, rows_per_file: int = 1 << 18, images: DataFrame | None = None) -> DataFrame:
     """Analysis files of all objects with their definitions: file, rows. Each part of
-    the table gives a file for each ``rows_per_file`` objects."""
+    the table gives a file for each ``rows_per_file`` objects.
+
+    ``images``: image rows (IMAGE_SCHEMA, as ``container.image_rows`` gives them), joined by
+    id. Where the objects come from several files (``file_col``), there is then an
+    analysis file for each of them, with the image rows of that file."""
     cat = objects.catalog
     stored = [n for n, f in cat.features.items() if f.type != "combined"]
-    rows = objects.df.select(*(F.col("`" + n.replace("`", "``") + "`").cast("double").alias(f"c{i}") for i, n in enumerate(stored)))
+    quoted = lambda n: F.col("`" + n.replace("`", "``") + "`")
+    values = [quoted(n).cast("double").alias(f"c{i}") for i, n in enumerate(stored)]
+    with_images = images is not None
 
     def put(table: pa.Table) -> bytes:
-        x = np.column_stack([np.asarray(table.column(i).to_numpy(), float) for i in range(len(stored))])
-        return encode(cat, stored, x, binary)
-
-    return write_parts(rows, folder, "daf", put, rows_per_file)
+        x = np.column_stack([np.asarray(table.column(f"c{i}").to_numpy(), float) for i in range(len(stored))])
+        return encode(cat, stored, x, binary, table.column("image").to_pylist() if with_images else None)
+
+    if images is None:
+        return write_parts(objects.df.select(*values), folder, "daf", put, rows_per_file)
+    keys = {"_id": objects.id_col} | ({"_file": objects.file_col} if objects.file_col else {})
+    left = objects.df.select(*(quoted(c).alias(k) for k, c in keys.items()), *values)
+    right = images.select(*(F.col(c).alias(k) for k, c in (("_id", "id"), ("_file", "import_file")) if k in keys), F.struct(*(c for c in images.columns if c != "import_file")).alias("image"))
+    # As the number of rows of a file says how many image rows follow, each object has one.
+    rows = left.join(right, list(keys)).withColumn("_id", F.col("_id").cast("long"))
+    if objects.file_col:
+        rows = rows.repartition("_file").sortWithinPartitions("_file", "_id")
+    else:
+        rows = rows.sortWithinPartitions("_id")
+    return write_parts(rows, folder, "daf", put, rows_per_file, "_file" if objects.file_col else None)
 
 
 def write_template(cat: Catalog) -> str:

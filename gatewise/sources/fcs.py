@@ -35,19 +35,31 @@ def header(data: bytes, at: int = 0) -> tuple[str, list[int]]:
     return version, [int(x) if x.lstrip("+-").isdigit() else 0 for x in fields]
 
 
-def split_text(data: bytes, encoding: str = "utf-8", empty: bool = False) -> dict[str, str]:
-    """Keywords of a TEXT segment, whose first character parts them; doubled it
-    stands for itself (unless ``empty`` values are allowed)."""
+def text_pairs(data: bytes, encoding: str = "utf-8", empty: bool = False) -> list[tuple[str, str]]:
+    """Keywords of a TEXT segment as they stand there; its first character parts them,
+    and doubled stands for itself (unless ``empty`` values are allowed)."""
     text = data.decode(encoding, "replace")
     sep, body = text[:1], text[1:]
     if not sep:
-        return {}
+        return []
     if empty:
         parts = body.split(sep)
     else:
         parts = [p.replace("\0", sep) for p in body.replace(sep + sep, "\0").split(sep)]
     parts = parts[:-1] if parts and not parts[-1].strip() else parts
-    return {k.strip().upper(): v.strip() for k, v in zip(parts[::2], parts[1::2])}
+    return list(zip(parts[::2], parts[1::2]))
+
+
+def split_text(data: bytes, encoding: str = "utf-8", empty: bool = False) -> dict[str, str]:
+    """Keywords of a TEXT segment, in upper case and without white space around."""
+    return {k.strip().upper(): v.strip() for k, v in text_pairs(data, encoding, empty)}
+
+
+def raw_pairs(data: bytes | Ranged, at: int = 0) -> tuple[str, list[tuple[str, str]]]:
+    """Delimiter and pairs of a data set's own TEXT, repeated ones included."""
+    ends = header(data, at)[1]
+    text = data[at + ends[0] : at + ends[1] + 1]
+    return text[:1].decode("utf-8", "replace"), [(k.upper(), v) for k, v in text_pairs(text)]
 
 
 def _int(text: dict[str, str], key: str, other: int = 0) -> int:
@@ -207,29 +219,6 @@ def _scaled(x: np.ndarray, text: dict[str, str], kinds: list[str], scale: bool,
     return x
 
 
-def problems(text: dict[str, str]) -> list[tuple[str, str]]:
-    """(keyword, what is wrong) against the rules of the version."""
-    version = float(text.get("$VERSION", "FCS3.1")[3:])
-    need = ["$BYTEORD", "$DATATYPE", "$MODE", "$NEXTDATA", "$PAR", "$TOT"]
-    if version >= 3:
-        need += ["$BEGINDATA", "$ENDDATA", "$BEGINSTEXT", "$ENDSTEXT", "$BEGINANALYSIS", "$ENDANALYSIS"]
-    if version >= 3.2:
-        need = [k for k in need if k not in ("$MODE", "$BEGINSTEXT", "$ENDSTEXT", "$BEGINANALYSIS", "$ENDANALYSIS")] + ["$CYT"]
-    out = [(k, "missing") for k in need if k not in text]
-    names = [text.get(f"$P{i}N") for i in range(1, _int(text, "$PAR") + 1)]
-    for i in range(1, _int(text, "$PAR") + 1):
-        out += [(f"$P{i}{x}", "missing") for x in "BERN" if f"$P{i}{x}" not in text and not (version < 3.1 and x in "EN")]
-        if version >= 3.1 and "," in text.get(f"$P{i}N", ""):
-            out.append((f"$P{i}N", "has a comma"))
-        if text.get("$DATATYPE", "") in ("F", "D") and text.get(f"$P{i}E", "0,0").replace(".0", "").replace(" ", "") != "0,0":
-            out.append((f"$P{i}E", "must be 0,0 for floating point data"))
-    if len({n for n in names if n}) < len([n for n in names if n]):
-        out.append(("$PnN", "names repeat"))
-    if text.get("$DATATYPE", "I").upper() not in ("A", "I", "F", "D"):
-        out.append(("$DATATYPE", "unknown"))
-    return out
-
-
 # ---- Spark -------------------------------------------------------------------
 
 
@@ -238,35 +227,40 @@ def _files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 _short = short
-HEADS = "path string, import_file string, import_subfile int, at long, keywords map<string,string>, labels array<string>, problems array<struct<keyword:string,problem:string>>, step long, rows long, error string"
+HEADS = "path string, import_file string, import_subfile int, at long, keywords map<string,string>, labels array<string>, delimiter string, pairs array<struct<keyword:string,value:string>>, step long, rows long, error string"
 
 
 def read_heads(spark: SparkSession, paths: str | list[str], counted: Accumulator | None = None) -> DataFrame:
     """A row per data set, from headers and TEXT alone: path, import_file, import_subfile
-    (from 1), at (where it begins), keywords, labels, problems, step (bytes of a row,
-    0 if that varies), rows, and why its events can't be read, if so."""
-    names = [f.split()[0] for f in HEADS.replace("struct<keyword:string,problem:string>", "x").replace("map<string,string>", "x").split(", ")]
-    kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.list_(pa.string()), pa.list_(pa.struct([("keyword", pa.string()), ("problem", pa.string())])), pa.int64(), pa.int64(), pa.string())
+    (from 1), at (where it begins), keywords, labels, delimiter, pairs (keywords as they
+    stand in the file), step (bytes of a row, 0 if that varies), rows, and why its
+    events can't be read, if so."""
+    names = ["path", "import_file", "import_subfile", "at", "keywords", "labels", "delimiter", "pairs", "step", "rows", "error"]
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.list_(pa.string()), pa.string(), pa.list_(pa.struct([("keyword", pa.string()), ("value", pa.string())])), pa.int64(), pa.int64(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path in b.column("path").to_pylist():
                 data, found = Ranged(path, counted=counted), []
                 for k, (at, text) in enumerate(datasets(data), 1):
-                    wrong = [dict(zip(("keyword", "problem"), p)) for p in problems(text)]
+                    delimiter, pairs = raw_pairs(data, at)
+                    row = (path, short(path), k, at, list(text.items()), labels(text), delimiter, [dict(zip(("keyword", "value"), p)) for p in pairs])
                     try:
                         lay = layout(data, at, text)
-                        found.append((path, short(path), k, at, list(text.items()), labels(text), wrong, lay.step, lay.rows, None))
+                        found.append((*row, lay.step, lay.rows, None))
                     except ValueError as e:
-                        found.append((path, short(path), k, at, list(text.items()), labels(text), wrong, 0, 0, str(e)))
+                        found.append((*row, 0, 0, str(e)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], names=names)
 
     return listed(spark, paths).mapInArrow(run, HEADS)
 
 
 def read_keywords(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """import_file, import_subfile (from 1), keywords, labels, problems: a row per data set."""
-    return read_heads(spark, paths).select("import_file", "import_subfile", "keywords", "labels", "problems")
+    """import_file, import_subfile (from 1), keywords, labels, problems (by
+    ``fcs_rules.problems``): a row per data set."""
+    from .fcs_rules import problems
+
+    return read_heads(spark, paths).select("import_file", "import_subfile", "keywords", "labels", problems(F.col("keywords"), F.col("pairs"), F.col("delimiter")).alias("problems"))
 
 
 def read_fcs(spark: SparkSession, paths: str | list[str], dataset: list[int] | None = None, scale: bool = True, columns: list[str] | None = None, part_bytes: int = PART_BYTES, counted: Accumulator | None = None) -> DataFrame:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import xml.etree.ElementTree as ET
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.populations import Objects, Strategy
-from . import container, daf, fcs, gatingml
+from . import container, daf, fcs, gatingml, run
 
 
 def kind_of(path: str) -> str:
-    """fcs, daf, container (rif, cif) or gates (xml)."""
-    kinds = {"fcs": "fcs", "lmd": "fcs", "daf": "daf", "rif": "container", "cif": "container", "xml": "gates"}
+    """fcs, daf, container (rif, cif), template (ast, ist) or gates (xml)."""
+    kinds = {"fcs": "fcs", "lmd": "fcs", "daf": "daf", "rif": "container", "cif": "container", "ast": "template", "ist": "template", "xml": "gates"}
     found = kinds.get(path.rsplit(".", 1)[-1].lower())
     if found is None:
         raise ValueError(f"{path!r}: the kind of file isn't known; known: {', '.join(kinds)}")
@@ -19,8 +22,8 @@ def kind_of(path: str) -> str:
 
 
 def read(spark: SparkSession, path: str, **options) -> Objects | Strategy | DataFrame:
-    """Objects of FCS and analysis files, directories of containers, gates of XML;
-    ``path`` may be a pattern of files of one kind."""
+    """Objects of FCS and analysis files and of containers (with where their images
+    are), gates of templates and XML; ``path`` may be a pattern of files of one kind."""
     kind = kind_of(path)
     if kind == "fcs":
         df = fcs.read_fcs(spark, path, **options)
@@ -29,15 +32,44 @@ def read(spark: SparkSession, path: str, **options) -> Objects | Strategy | Data
     if kind == "daf":
         return daf.read_daf(spark, path, **options)
     if kind == "container":
-        return container.read_offsets(spark, path, **options)
+        return read_container(spark, path, **options)
+    if kind == "template":
+        return Strategy(daf.definitions(ET.fromstring(daf.read_heads(spark, path).first()["head"])))
     text = spark.read.option("wholetext", True).text(path).first()[0]  # definitions, no objects
     return gatingml.parse(text)
 
 
+def read_container(spark: SparkSession, paths: str | list[str]) -> Objects:
+    """The objects of containers: import_file, object_number, the features that the files
+    store and the columns of ``container.image_rows``, with the definitions that the
+    first file (by path) holds. Features of object k are row k of its file's matrix.
+    ``container.read_strips`` takes a selection of the rows and gives their images."""
+    dirs = container.read_directories(spark, paths)
+    rows = container.image_rows(dirs).withColumnRenamed("id", "object_number")
+    head = container.read_first(spark, paths).orderBy("path").first()
+    root = run.embedded({k: bytes(v) for k, v in head["texts"].items()})
+    cat = daf.definitions(root)
+    names = [u.get("name") for u in root.iter("UDF") if cat.features[u.get("name")].type != "combined"]
+    stored = {container.FEATURES, container.FEATURES_OLD} & set(head["numbers"])
+    if not stored or not names:
+        return Objects(rows, cat.remove(cat.removal(features=list(cat.features))), "object_number", "import_file")
+    values = container.read_features(spark, paths, names)
+    if daf.OBJECT not in names:
+        values = values.withColumn(daf.OBJECT, F.col("object_number"))
+    return Objects(values.join(rows, ["import_file", "object_number"], "left"), cat, "object_number", "import_file")
+
+
 def write(objects: Objects, folder: str, kind: str, **options) -> DataFrame:
-    """Objects as FCS or analysis files in a folder, by the tasks that hold them: file, rows."""
+    """Objects as FCS or analysis files in a folder, or, where the table has height,
+    width, pixels and mask, as containers (``about``: a ``run.Run``), by the tasks that hold
+    them: file, rows."""
     if kind == "fcs":
         return fcs.write_fcs(objects.values().select(*(F.col("`" + n + "`") for n in objects.catalog.features)), folder, **options)
     if kind == "daf":
         return daf.write_daf(objects, folder, **options)
+    if kind == "container":
+        names = [n for n, f in objects.catalog.features.items() if f.type != "combined"]
+        about = replace(options.pop("about", run.Run(())), definitions=daf.write_template(objects.catalog))
+        df = objects.df.withColumn("object_id", F.col("`" + objects.id_col + "`").cast("long"))
+        return container.write_images(df, folder, about=about.tags(), features=names, **options)
     raise ValueError(f"objects can't be written as {kind!r}")

@@ -40,6 +40,8 @@ class Run:
     date: str = ""
     instrument: str = ""
     channel_width: int = 0
+    #: All definitions as XML (``daf.write_template``), in place of images and masks alone.
+    definitions: str = ""
 
     def tags(self) -> container.Tags:
         """What ``container.write_images`` and ``write_strips`` take as ``about``."""
@@ -55,7 +57,9 @@ class Run:
         imaging = ET.SubElement(root, "Imaging")
         for name, value in (("ChannelInUseIndicators_0_11", bits(self.channels_in_use)), ("Magnification", repr(float(self.magnification))), ("EVModeEnabled", "0")):
             ET.SubElement(imaging, name).text = value
-        if self.images or self.masks:
+        if self.definitions:
+            ET.SubElement(imaging, "DafFile").text = self.definitions
+        elif self.images or self.masks:
             inner = ET.Element("Assay")
             add_definitions(inner, self.images, self.masks)
             ET.SubElement(imaging, "DafFile").text = ET.tostring(inner, encoding="unicode")
@@ -145,6 +149,12 @@ def file_kind(numbers: dict[int, list[float]], texts: dict[int, bytes]) -> str:
     return "sub cif"
 
 
+def embedded(texts: dict[int, bytes]) -> ET.Element:
+    """The definitions that a first directory holds, as the head of an analysis file."""
+    inner = _xml(texts.get(container.ACQUISITION)).findtext(".//Imaging/DafFile")
+    return ET.fromstring(inner) if inner else ET.Element("none")
+
+
 def described(numbers: dict[int, list[float]], texts: dict[int, bytes], acquisition: bool = False) -> dict:
     """The record of a first directory; ``acquisition``: crosstalk as set while acquiring."""
     acquired, instrument = _xml(texts.get(container.ACQUISITION)), _xml(texts.get(container.ASSIST))
@@ -158,8 +168,7 @@ def described(numbers: dict[int, list[float]], texts: dict[int, bytes], acquisit
     side = side or int(len(cross) ** 0.5)
     bright = [x != 0 for x in _numbers(light.get("BfLedIndicators_0_11"))]
     mode = _one(light.get("CollectionMode"))
-    inner = imaging.get("DafFile")
-    shown = ET.fromstring(inner) if inner else ET.Element("none")
+    shown = embedded(texts)
     images = image_definitions(shown) or tuple(default_image(i, bright[i - 1] if i <= len(bright) else False, 1 if mode is None else int(mode)) for i in range(1, 13))
     masks = mask_definitions(shown) or (Mask("MC", "|Or|".join(f"M{i.channel:02d}" for i in images)),)
     assist = {x.tag: " ".join((x.itertext())).strip() for x in (instrument.find(".//ASSISTDb") if instrument.tag != "ASSISTDb" else instrument) or ()}

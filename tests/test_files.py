@@ -10,7 +10,7 @@ from gatewise.operators import images
 from gatewise.operators.catalog import Catalog, Feature, Graph, Population
 from gatewise.operators.gates import Region
 from gatewise.operators.populations import Strategy
-from gatewise.sources import container, daf, fcs, gatingml
+from gatewise.sources import container, daf, fcs, fcs_rules, gatingml
 
 
 def fcs_file(version, pars, rows, data, extra=None, order="1,2,3,4", kind="I", following=0, sep="/"):
@@ -87,9 +87,9 @@ def test_chained_data_sets_and_merge(spark, tmp_path):
     assert [r[1:] for r in collected(fcs.read_fcs(spark, path, dataset=[2]))] == [(2, 0, 3, 4)]
 
 
-def test_keyword_rules():
+def test_keyword_rules(spark):
     text = {"$VERSION": "FCS3.1", "$PAR": "2", "$DATATYPE": "F", "$P1N": "a", "$P2N": "a", "$P1E": "4,1"}
-    found = fcs.problems(text)
+    found = [tuple(x) for x in spark.createDataFrame([(text,)], "t map<string,string>").select(fcs_rules.problems(F.col("t"))).first()[0]]
     assert ("$TOT", "missing") in found and ("$PnN", "names repeat") in found and ("$P1E", "must be 0,0 for floating point data") in found
 
 
