@@ -4,14 +4,16 @@ A first scan keeps a sketch of each column (among other aggregates); its error
 bound gives, for each wanted rank, bounds that its value lies between, and, for
 the median of absolute deviations, the two zones around the median in which the
 values at that distance lie. The second scan counts what lies below the bounds and
-lets only the few values strictly between them through; these are ranked bin by
-bin. Nothing is gathered on the driver or in one task.
+lets only the few values strictly between them through. These are ranked bin by
+bin, so nothing is gathered in one task, or on the driver if they are FEW at most.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import add, or_
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,8 @@ from .store import saved
 ACCURACY = 10_000
 GRID = 256
 MARGIN = 3 / ACCURACY
+#: Rows of counts and of values between bounds that the driver may finish; more stay distributed.
+FEW = 1 << 16
 #: Bins in which the values between two bounds are ranked.
 BINS = 1024
 
@@ -122,37 +126,102 @@ def _ranked(values: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _passed(rows: DataFrame, first: DataFrame, values: Sequence[str], probs: Sequence[float], spread: bool, margin: float) -> tuple[DataFrame, DataFrame]:
-    """The second scan. spans: g, k, z, count, lo, hi, and how many values are below,
-    between the zones (inner) and within; known: g, k, z, v, n of the values within."""
+    """The second scan. plan: g and the bounds of each column; passed: g, k, slot, v, n, the
+    number of values by slot, and of each between two bounds.
+
+    Columns become rows, so the code that Spark makes stays small however many there
+    are. A value's slot is twice the number of bounds below it, and one for each that it
+    equals: values in one slot compare alike with every bound."""
+    n_b = 2 * (len(probs) + 2 * spread)
+    plan = saved(first.mapInArrow(_plan(probs, spread, margin), f"g {first.schema['g'].dataType.simpleString()}, ends array<array<double>>"), "bounds")
+    ends_of = plan.select("g", F.posexplode("ends").alias("k", "ends")).select("g", "k", *(F.get("ends", F.lit(i)).alias(f"b{i}") for i in range(n_b)))
+    each = F.array(*(F.struct(F.lit(k).alias("k"), F.col(v).alias("v")) for k, v in enumerate(values)))
+    at = rows.select("g", F.inline(each)).filter("v is not null").join(ends_of, ["g", "k"])
+    v, ends = F.col("v"), [F.col(f"b{i}") for i in range(n_b)]
+    one = lambda hit: F.when(hit, 1).otherwise(0)
+    slot = reduce(add, [one(b < v) + one(b <= v) for b in ends])
+    hit = reduce(or_, [(lo < v) & (v < hi) for lo, hi in zip(ends[::2], ends[1::2])])
+    # Values between no bounds are one group a slot, counted before the shuffle.
+    passed = saved(at.select("g", "k", slot.alias("slot"), F.when(hit, v).alias("v")).groupBy("g", "k", "slot", "v").agg(F.count("*").alias("n")), "between")
+    return plan, passed
+
+
+def _finished(plan: DataFrame, passed: DataFrame, first: DataFrame, probs: Sequence[float], spread: bool) -> list[tuple] | None:
+    """(g, k, quantiles, mad) from few rows of ``_passed``; None if a sketch broke its promise."""
+    table = passed.toArrow()
+    ends = {tuple(r["g"]): r["ends"] for r in plan.collect()}
+    counts = {tuple(r["g"]): r["counts"] for r in first.select("g", "counts").collect()}
+    found: dict[tuple, list] = {}
+    for g, *row in zip(*(table.column(c).to_pylist() for c in ("g", "k", "slot", "v", "n"))):
+        found.setdefault((tuple(g.values()), row[0]), []).append(row[1:])
+    out = []
+    for (g, k), rows in found.items():
+        at, n = np.array(ends[g][k]), counts[g][k]
+        slot, v, m = (np.array(c, t) for c, t in zip(zip(*rows), (int, float, int)))
+        mark = [int((at < x).sum() + (at <= x).sum()) for x in at]
+        one = lambda z: (at[2 * z], at[2 * z + 1], mark[2 * z], mark[2 * z + 1])  # noqa: B023, E731
+
+        def within(z: int) -> tuple[np.ndarray, np.ndarray]:
+            lo, hi, low, high = one(z)  # noqa: B023
+            tips = [(lo, m[slot == low].sum()), (hi, m[slot == high].sum() if high > low else 0)]  # noqa: B023
+            open_ = (v > lo) & (v < hi)  # noqa: B023
+            return np.append(v[open_], [x for x, c in tips if c]), np.append(m[open_], [c for _, c in tips if c])  # noqa: B023
+
+        def at_ranks(x: np.ndarray, c: np.ndarray, below: int, ranks: tuple[int, int]) -> tuple[float, float] | None:
+            order = np.argsort(x, kind="stable")
+            till = below + np.cumsum(c[order])
+            if not len(till) or below > ranks[0] or till[-1] <= ranks[1]:
+                return None
+            return tuple(float(x[order][np.searchsorted(till, r, side="right")]) for r in ranks)
+
+        q = []
+        for z, (p, ranks) in enumerate(zip(probs, quantile_ranks(n, probs))):
+            pair = at_ranks(*within(z), int(m[slot < mark[2 * z]].sum()), ranks)
+            if pair is None:
+                return None
+            part = (n - 1) * p - ranks[0]
+            q.append(pair[0] if part == 0 else pair[0] + part * (pair[1] - pair[0]))
+        mad = None
+        if spread:
+            z = len(probs)
+            (x, c), (y, d) = within(z), within(z + 1)
+            inner = int(m[(slot > mark[2 * z + 1]) & (slot < mark[2 * z + 2])].sum())
+            pair = at_ranks(np.abs(np.append(x, y) - q[list(probs).index(0.5)]), np.append(c, d), inner, quantile_ranks(n, [0.5])[0])
+            if pair is None:
+                return None
+            mad = pair[0] if n % 2 else pair[0] / 2 + pair[1] / 2
+        out.append((g, k, q, mad))
+    return out
+
+
+def _spans(plan: DataFrame, passed: DataFrame, first: DataFrame, probs: Sequence[float], spread: bool) -> tuple[DataFrame, DataFrame]:
+    """spans: g, k, z, count, lo, hi, and how many values are below, between the zones
+    (inner) and within; known: g, k, z, v, n of the values within."""
     n_z, keys = len(probs) + 2 * spread, ["g", "k", "z"]
-    plan = first.mapInArrow(_plan(probs, spread, margin), f"g {first.schema['g'].dataType.simpleString()}, ends array<array<double>>")
-    plan = saved(plan.select("g", *(F.get(F.get("ends", F.lit(k)), F.lit(i)).alias(f"_end{k}_{i}") for k in range(len(values)) for i in range(2 * n_z))), "bounds")
-    at = rows.join(plan, "g")
-    sums, hits = [], []
-    for k, v in enumerate(values):
-        x = F.col(v)
-        for z in range(n_z):
-            lo, hi = F.col(f"_end{k}_{2 * z}"), F.col(f"_end{k}_{2 * z + 1}")
-            sums += [F.count_if(x < lo).alias(f"_below{k}_{z}"), F.count_if(x == lo).alias(f"_lo{k}_{z}"), F.count_if((x == hi) & (hi > lo)).alias(f"_hi{k}_{z}")]
-            hits.append(F.when((x > lo) & (x < hi), F.struct(F.lit(k).alias("k"), F.lit(z).alias("z"), x.alias("v"))))
-        inner = (x > F.col(f"_end{k}_{2 * n_z - 3}")) & (x < F.col(f"_end{k}_{2 * n_z - 2}")) if spread else F.lit(False)
-        sums.append(F.count_if(inner).alias(f"_inner{k}"))
-    names = [f"_{c}{k}_{z}" for k in range(len(values)) for z in range(n_z) for c in ("below", "lo", "hi")] + [f"_inner{k}" for k in range(len(values))]
-    # Rows between no bounds are one group, counted before the shuffle.
-    hit = F.array_compact(F.array(*hits))
-    passed = saved(at.groupBy("g", F.when(F.size(hit) > 0, hit).alias("hit")).agg(F.count("*").alias("n"), *sums), "between")
-    total = passed.groupBy("g").agg(*(F.sum(c).alias(c) for c in names)).join(first.select("g", "counts"), "g").join(plan, "g")
-
-    def spot(k: int, z: int) -> Column:
-        cols = {"lo": f"_end{k}_{2 * z}", "hi": f"_end{k}_{2 * z + 1}", "below": f"_below{k}_{z}", "at_lo": f"_lo{k}_{z}", "at_hi": f"_hi{k}_{z}", "inner": f"_inner{k}"}
-        return F.struct(F.lit(k).alias("k"), F.lit(z).alias("z"), F.get("counts", F.lit(k)).alias("count"), *(F.col(c).alias(a) for a, c in cols.items()))
-
-    spans = total.select("g", F.inline(F.array(*(spot(k, z) for k in range(len(values)) for z in range(n_z))))).filter("count > 0")
-    ends = spans.select(*keys, F.inline(F.array(F.struct(F.col("lo").alias("v"), F.col("at_lo").alias("n")), F.struct(F.col("hi").alias("v"), F.col("at_hi").alias("n"))))).filter("n > 0")
-    between = passed.filter("hit is not null").select("g", "n", F.inline("hit")).select(*keys, "v", "n")
-    known = saved(ends.unionByName(between), "known")
+    n_b = 2 * n_z
+    one = lambda hit: F.when(hit, 1).otherwise(0)
+    slots = passed.groupBy("g", "k", "slot").agg(F.sum("n").alias("n")).groupBy("g", "k").agg(F.collect_list(F.struct("slot", "n")).alias("slots"))
+    bounded = plan.join(first.select("g", "counts"), "g").select("g", F.posexplode("ends").alias("k", "ends"), "counts")
+    bounded = bounded.join(slots, ["g", "k"]).withColumn("count", F.get("counts", F.col("k")))
+    mark = F.transform("ends", lambda x: F.aggregate("ends", F.lit(0), lambda n, e: n + one(e < x) + one(e <= x)))
+    bounded = bounded.withColumn("mark", mark)
+
+    def number(test) -> Column:
+        return F.aggregate(F.filter("slots", test), F.lit(0).cast("long"), lambda n, s: n + s["n"])
+
+    def spot(z: int) -> Column:
+        lo, hi = (F.get("mark", F.lit(2 * z + i)) for i in (0, 1))
+        inner = number(lambda s: (s["slot"] > F.get("mark", F.lit(n_b - 3))) & (s["slot"] < F.get("mark", F.lit(n_b - 2)))) if spread else F.lit(0).cast("long")
+        at_hi = F.when(hi > lo, number(lambda s: s["slot"] == hi)).otherwise(0)
+        lohi = (F.get("ends", F.lit(2 * z + i)) for i in (0, 1))
+        return F.struct(F.lit(z).alias("z"), *(c.alias(n) for n, c in zip(("lo", "hi", "below", "at_lo", "at_hi", "inner"), (*lohi, number(lambda s: s["slot"] < lo), number(lambda s: s["slot"] == lo), at_hi, inner))))
+
+    spans = saved(bounded.filter("count > 0").select("g", "k", "count", F.inline(F.array(*(spot(z) for z in range(n_z))))), "spots")
+    tips = spans.select(*keys, F.inline(F.array(F.struct(F.col("lo").alias("v"), F.col("at_lo").alias("n")), F.struct(F.col("hi").alias("v"), F.col("at_hi").alias("n"))))).filter("n > 0")
+    between = passed.filter("v is not null").join(spans.select(*keys, "lo", "hi"), ["g", "k"]).filter("lo < v and v < hi").select(*keys, "v", "n")
+    known = saved(tips.unionByName(between), "known")
     within = known.groupBy(*keys).agg(F.sum("n").alias("within"))
-    return saved(spans.join(within, keys, "left").withColumn("within", F.coalesce("within", F.lit(0))), "spans"), known
+    return spans.join(within, keys, "left").withColumn("within", F.coalesce("within", F.lit(0))), known
 
 
 def order_statistics(rows: DataFrame, first: DataFrame, values: Sequence[str], probs: Sequence[float], spread: bool = False) -> DataFrame:
@@ -169,7 +238,17 @@ def order_statistics(rows: DataFrame, first: DataFrame, values: Sequence[str], p
     wanted = F.col("z") < n_q
     h = (F.col("count") - 1) * F.when(wanted, F.get(F.array(*(F.lit(float(p)) for p in probs)), F.col("z"))).otherwise(F.lit(0.5))
     while True:
-        spans, known = _passed(rows, first, values, probs, spread, margin)
+        plan, passed = _passed(rows, first, values, probs, spread, margin)
+        if passed.limit(FEW + 1).count() <= FEW:
+            done = _finished(plan, passed, first, probs, spread)
+            if done is None and margin < 1:
+                margin *= 16
+                continue
+            g = first.schema["g"].dataType.simpleString()
+            each = rows.sparkSession.createDataFrame(done or [], f"g {g}, k int, q array<double>, mad double")
+            return each.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct("q", "mad")))).alias("found"))
+        spans, known = _spans(plan, passed, first, probs, spread)
+        spans = saved(spans, "spans")
         spans = spans.withColumn("h", h).withColumn("r0", F.floor("h")).withColumn("r1", F.least(F.col("r0") + 1, F.col("count") - 1))
         zones_ = spans.filter(~wanted).groupBy("g", "k").agg(F.max("inner").alias("below"), F.max("r0").alias("r0"), F.max("r1").alias("r1"), F.sum("within").alias("within"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         zones_ = zones_.withColumns({"lo": F.least("lo", "hi"), "hi": F.greatest("lo", "hi")})

@@ -58,16 +58,22 @@ def _scanned(objects: Objects, features: Sequence[str], pops: Sequence[str], tra
     rows = df.select(g.alias("g"), *cols)
     names = [f"v{i}" for i in range(len(cols))]
     big = 1.7976931348623157e308
-    placed = {v: F.when(is_finite(F.col(v)), F.col(v)) for v in names}
-    if infinite:
-        placed = {v: F.when(F.col(v).isNotNull() & ~F.isnan(v), F.least(F.greatest(F.col(v), F.lit(-big)), F.lit(big))) for v in names}
-    aggs = [F.struct(*moments(F.col(v)), F.count(placed[v]).alias("count"), (sketch(placed[v], probs) if probs else F.lit(None).cast("array<double>")).alias("sketch")).alias(v) for v in names]
-    first = saved(rows.groupBy("g").agg(*aggs), "stats")
-    stats = F.array(*(F.col(v).dropFields("sketch") for v in names)).alias("stats")
+
+    def placed(v: Column) -> Column:
+        if infinite:
+            return F.when(v.isNotNull() & ~F.isnan(v), F.least(F.greatest(v, F.lit(-big)), F.lit(big)))
+        return F.when(is_finite(v), v)
+
+    # Columns become rows, so the plan doesn't grow with populations and features.
+    long = rows.select("g", F.inline(F.array(*(F.struct(F.lit(k).alias("k"), F.col(v).alias("v")) for k, v in enumerate(names)))))
+    v = F.col("v")
+    each = long.groupBy("g", "k").agg(F.struct(*moments(v), F.count(placed(v)).alias("count"), (sketch(placed(v), probs) if probs else F.lit(None).cast("array<double>")).alias("sketch")).alias("s"))
+    first = saved(each.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("k", "s"))).alias("all")), "stats")
+    stats = F.transform("all", lambda x: x["s"].dropFields("sketch")).alias("stats")
     if not probs:
         return first.select("g", stats, F.lit(None).cast("map<int, struct<q: array<double>, mad: double>>").alias("found"))
-    sketches = first.select("g", F.array(*(F.col(f"{v}.count") for v in names)).alias("counts"), F.array(*(F.col(f"{v}.sketch") for v in names)).alias("sketches"))
-    ordered = order_statistics(rows.select("g", *(placed[v].alias(v) for v in names)), sketches, names, probs, spread)
+    sketches = first.select("g", F.transform("all", lambda x: x["s"]["count"]).alias("counts"), F.transform("all", lambda x: x["s"]["sketch"]).alias("sketches"))
+    ordered = order_statistics(rows.select("g", *(placed(F.col(v)).alias(v) for v in names)), sketches, names, probs, spread)
     return first.select("g", stats).join(ordered, "g", "left")
 
 

@@ -138,7 +138,9 @@ def test_report_rules(objects):
 
 
 @pytest.mark.parametrize("accuracy", [10_000, 40])
-def test_order_statistics_of_odd_data(spark, monkeypatch, accuracy):
+@pytest.mark.parametrize("few", [1 << 16, -1])
+def test_order_statistics_of_odd_data(spark, monkeypatch, accuracy, few):
+    monkeypatch.setattr(quantiles, "FEW", few)
     """Also with a rough sketch, whose bounds hold many values."""
     monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
     monkeypatch.setattr(quantiles, "MARGIN", 3 / accuracy)
@@ -231,3 +233,16 @@ def test_gates_reach_the_scan(spark, tmp_path, objects):
     plan = o.members(["L"]).filter(member("L")).select("object_number")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert "PushedFilters: [IsNotNull(a), GreaterThanOrEqual(a,0.0), LessThanOrEqual(a,9.0)]" in plan
     assert "ReadSchema: struct<object_number:bigint,a:double>" in plan
+
+
+def test_few_and_many_values_between_bounds_finish_alike(spark, sf_dir, monkeypatch):
+    from gatewise.operators import quantiles
+    from gatewise.plans import statistics
+
+    def results():
+        out = [statistics.stats_feature(spark, sf_dir), statistics.stats_report(spark, sf_dir), statistics.stats_report_by_file(spark, sf_dir)]
+        return [sorted(map(str, df.collect())) for df in out]
+
+    few = results()
+    monkeypatch.setattr(quantiles, "FEW", -1)
+    assert results() == few
