@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import channels, numbers, strings
@@ -13,6 +14,7 @@ from ..operators import masks as mask_language
 from ..operators.catalog import Feature, Graph, Population
 from ..operators.gates import Region, ellipse_points
 from ..operators.masks import Mask, default_image
+from ..operators.populations import member, named
 from ..operators.stats import pop_stats as count_pops
 from .common import digest, digest_sql, lines, query, table
 from .gating import CONVEX_SQL, HIERARCHY_SQL, OVAL_SQL, RECT_SQL, hierarchy
@@ -29,12 +31,12 @@ def pop_rename(spark, sf_dir):
     return digest(_edited(objects, objects.catalog.rename_pops({"Rect": "Gate", "Poly": "Inner"})), ["Gate", "Inner", "Rest"])
 
 
-@query("SELECT * FROM (VALUES ('All'), ('Oval'), ('Cheap'), ('Tagged')) t(population)")
+@query(" UNION ALL ".join(f"SELECT '{p}' AS population, count(*) FILTER ({HIERARCHY_SQL[p]}) AS count FROM lineitem" for p in ("All", "Oval", "Cheap", "Tagged")))
 def pop_remove(spark, sf_dir):
     """A removed population takes along all that depend on it."""
     objects = hierarchy(spark, sf_dir)
     left = objects.remove(pops=["Rect"], list_only=False)
-    return count_pops(left).select("population")
+    return count_pops(left).select("population", "count")
 
 
 @query(digest_sql({"Rect": "l_quantity BETWEEN 10 AND 20 AND l_extendedprice BETWEEN 2000 AND 50000", "Poly": f"l_quantity BETWEEN 10 AND 20 AND l_extendedprice BETWEEN 2000 AND 50000 AND {CONVEX_SQL}"}))
@@ -67,22 +69,26 @@ def pop_network(spark, sf_dir):
     return nodes.select("population", "level", "count")
 
 
-@query("SELECT * FROM (VALUES ('Oval', 'Oval'), ('Oval', 'Side')) t(pop, sibling)")
+@query(" UNION ALL ".join(f"SELECT 'Oval' AS pop, '{p}' AS sibling, count(*) AS both FROM lineitem WHERE {c}" for p, c in (("Oval", OVAL_SQL), ("Side", f"{OVAL_SQL} AND l_extendedprice BETWEEN 0 AND 5000 AND l_discount BETWEEN 0 AND 0.05"))))
 def pop_siblings(spark, sf_dir):
-    """Gates of the same base on the same axes, and the graph that shows them."""
+    """Gates of the same base on the same axes, from the graph that shows them, with the rows they share."""
     objects = hierarchy(spark, sf_dir)
     side = Region("side", "rect", (0.0, 5000.0), (0.0, 0.05), xtrans="1000")
     objects = objects.add_regions(side).add_pops(replace(objects.catalog.pops["Oval"], name="Side", region="side"))
     graph = plotdata.sibling_graph(objects, "Oval")
     assert set(graph.regions) == {"oval", "side"}
-    return spark.createDataFrame([("Oval", s) for s in graph.shown], "pop string, sibling string")
+    counts = objects.members(list(graph.shown)).agg(*(F.count_if(member("Oval") & member(s)).alias(s) for s in graph.shown))
+    return counts.select(F.inline(F.array(*(F.struct(F.lit("Oval").alias("pop"), F.lit(s).alias("sibling"), F.col(s).alias("both")) for s in graph.shown))))
 
 
-@query("SELECT * FROM (VALUES (0, 'histogram'), (1, 'density')) t(place, type)")
+@query(f"SELECT 0 AS place, 'histogram' AS type, count(*) AS n FROM lineitem UNION ALL SELECT 1, 'density', count(*) FILTER ({HIERARCHY_SQL['Rect']}) FROM lineitem")
 def graph_edits(spark, sf_dir):
-    """Graphs added and removed by their place."""
-    cat = lines(spark, sf_dir).catalog.add_graphs(Graph("histogram", "l_quantity"), Graph("scatter", "l_quantity", "l_tax"), Graph("density", "l_quantity", "l_tax"))
-    return spark.createDataFrame([(i, g.type) for i, g in enumerate(cat.remove_graphs([1]).graphs)], "place int, type string")
+    """Graphs added and removed by their place, and how many rows those that stay show."""
+    objects = hierarchy(spark, sf_dir)
+    cat = objects.catalog.add_graphs(Graph("histogram", "l_quantity"), Graph("scatter", "l_quantity", "l_tax"), Graph("density", "l_quantity", "l_tax", base=("Rect",)))
+    left = cat.remove_graphs([1]).graphs
+    counts = objects.members(list({g.base[0] for g in left})).agg(*(F.count_if(member(g.base[0])).alias(f"n{i}") for i, g in enumerate(left)))
+    return counts.select(F.inline(F.array(*(F.struct(F.lit(i).alias("place"), F.lit(g.type).alias("type"), F.col(f"n{i}").alias("n")) for i, g in enumerate(left)))))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity, o_totalprice, o_orderstatus FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey")
@@ -99,10 +105,13 @@ def color_level(spark, sf_dir):
     return plotdata.feature_level(table(spark, sf_dir, "part"), "p_retailprice").select("p_partkey", F.round("level", 6).alias("level"))
 
 
-@query("SELECT i, round(50 + 40 * cos(2 * pi() * i / 99), 6) + 0.0 AS x, round(10 + 5 * sin(2 * pi() * i / 99), 6) + 0.0 AS y FROM range(100) t(i)")
+@query("SELECT i, x, y, (SELECT count(*) FROM lineitem WHERE l_quantity = floor(x)) AS n FROM (SELECT i, round(25 + 20 * cos(2 * pi() * i / 99), 6) + 0.0 AS x, round(10 + 5 * sin(2 * pi() * i / 99), 6) + 0.0 AS y FROM range(100) t(i))")
 def ellipse_outline(spark, sf_dir):
-    points = ellipse_points(Region("e", "oval", (10.0, 90.0), (5.0, 15.0)))
-    return spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(points)], "i long, x double, y double").select("i", (F.round("x", 6) + F.lit(0.0)).alias("x"), (F.round("y", 6) + F.lit(0.0)).alias("y"))
+    """The outline of an ellipse, and how many rows have the whole part of each point's x."""
+    points = ellipse_points(Region("e", "oval", (5.0, 45.0), (5.0, 15.0)))
+    outline = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(points)], "i long, x double, y double").select("i", (F.round("x", 6) + F.lit(0.0)).alias("x"), (F.round("y", 6) + F.lit(0.0)).alias("y"))
+    counts = table(spark, sf_dir, "lineitem").groupBy("l_quantity").agg(F.count("*").alias("n"))
+    return outline.join(counts, F.floor("x") == F.col("l_quantity"), "left").select("i", "x", "y", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("SELECT p_partkey, round(ln(0.5::DOUBLE) / ln((p_size + 1.0::DOUBLE) / 100), 6) AS gamma FROM part")
@@ -132,14 +141,27 @@ def token_runs(spark, sf_dir):
     return own.unionByName(fixed)
 
 
-@query("SELECT * FROM (VALUES ('Area_M03_Ch04', 'Area', 'M03', 'Ch04', 'Area_M04_Ch03'), ('Intensity_Object(M03,Ch03,Tight)_Ch03', 'Intensity', 'Object(M03,Ch03,Tight)', 'Ch03', 'Intensity_Object(M04,Ch04,Tight)_Ch04'), ('Time', 'Time', '', '', 'Time'), ('Width_M10', 'Width', 'M10', '', 'Width_M10')) t(name, family, mask, image, swapped)")
+_OWN = "'Object(M0' || l_linenumber || ',Ch0' || l_linenumber || ',Tight)'"
+
+
+@query(f"SELECT l_linenumber, l_returnflag, count(*) AS n, 'Intensity' AS family, {_OWN} AS mask, 'Ch0' || l_linenumber AS image, 'Intensity_Object(M0' || b || ',Ch0' || b || ',Tight)_Ch0' || b AS swapped FROM (SELECT *, CASE l_linenumber WHEN 3 THEN 4 WHEN 4 THEN 3 ELSE l_linenumber END AS b FROM lineitem) GROUP BY l_linenumber, l_returnflag, b")
 def channel_names(spark, sf_dir):
-    """Parts of feature names, and two channels swapped in their definitions."""
-    masks, pictures = {"M03", "M10", "Object(M03,Ch03,Tight)"}, {"Ch03", "Ch04"}
-    names = ("Area_M03_Ch04", "Intensity_Object(M03,Ch03,Tight)_Ch03", "Time", "Width_M10")
-    rows = [(n, *channels.feature_parts(n, masks, pictures), channels.with_channels(n, {3: 4, 4: 3})) for n in names]
-    assert all(channels.feature_name(*r[1:4]) == r[0] for r in rows)
-    return spark.createDataFrame(rows, "name string, family string, mask string, image string, swapped string")
+    """Parts of features' names, and two channels swapped in them, for the name that each row has."""
+    n = F.col("l_linenumber").cast("string")
+    mask = F.concat(F.lit("Object(M0"), n, F.lit(",Ch0"), n, F.lit(",Tight)"))
+    rows = table(spark, sf_dir, "lineitem").select("l_linenumber", "l_returnflag", F.concat(F.lit("Intensity_"), mask, F.lit("_Ch0"), n).alias("name"))
+    masks, pictures = {f"Object(M0{i},Ch0{i},Tight)" for i in range(1, 10)}, {f"Ch0{i}" for i in range(1, 10)}
+
+    def run(batches):
+        for b in batches:
+            names = b.column("name").to_pylist()
+            told = {n: (*channels.feature_parts(n, masks, pictures), channels.with_channels(n, {3: 4, 4: 3})) for n in set(names)}
+            assert all(channels.feature_name(*t[:3]) == n for n, t in told.items())
+            parts = [pa.array([told[n][i] for n in names], pa.string()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([b.column("l_linenumber"), b.column("l_returnflag"), *parts], names=["l_linenumber", "l_returnflag", "family", "mask", "image", "swapped"])
+
+    told = rows.mapInArrow(run, "l_linenumber int, l_returnflag string, family string, mask string, image string, swapped string")
+    return told.groupBy("l_linenumber", "l_returnflag", "family", "mask", "image", "swapped").agg(F.count("*").alias("n"))
 
 
 def _channels(spark, sf_dir):
@@ -165,8 +187,6 @@ def _sums(pops: dict[str, str], columns: dict[str, str]) -> str:
 
 def _digest(objects, pops, names):
     rows = objects.members(pops, keep=names)
-    from ..operators.populations import member, named
-
     of = F.explode(F.filter(F.array(*(F.when(member(p), F.lit(p)) for p in pops)), lambda p: p.isNotNull())).alias("population")
     sums = rows.select(of, *(named(n) for n in names)).groupBy("population").agg(F.count("*").alias("n"), *(F.sum(named(n)).alias(f"s{i}") for i, n in enumerate(names)))
     return sums.select("population", "n", F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), F.round(f"s{i}", 2).alias("total")) for i, n in enumerate(names)))).alias("x")).select("population", "n", "x.*")

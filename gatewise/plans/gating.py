@@ -133,17 +133,19 @@ def gate_poly_star(spark, sf_dir):
     return _gated(spark, sf_dir, STAR, "l_quantity", "l_tax")
 
 
-BOUNDARY = [(0.0, 0.0, True), (4.0, 4.0, True), (2.0, 0.0, True), (0.0, 3.0, True), (2.0, 2.0, True), (1.0, 2.0, True), (3.0, 1.0, True), (3.0, 3.5, False), (4.1, 4.0, False), (-0.1, 0.0, False), (float("nan"), 1.0, False), (1.0, float("inf"), False)]
+_GRID = "(l_orderkey + l_linenumber) % 11 AS i, l_quantity::INT % 11 AS j, l_linenumber % 7 AS part"
 
 
-@query(" UNION ALL ".join(f"SELECT {i} AS k, {str(v).lower()} AS inside" for i, (_, _, v) in enumerate(BOUNDARY)) + f" UNION ALL SELECT {len(BOUNDARY)} AS k, false AS inside")
+@query(f"SELECT i, j, part, count(*) AS n, part <> 5 AND part <> 6 AND i BETWEEN 1 AND 9 AND j BETWEEN 1 AND 9 AND j - 1 <= abs(i - 5) + 4 AS inside FROM (SELECT {_GRID} FROM lineitem) GROUP BY ALL")
 def gate_poly_boundary(spark, sf_dir):
-    """Vertices and edges are in; NaN, infinite and null coordinates are out."""
-    rows = [(i, x, y) for i, (x, y, _) in enumerate(BOUNDARY)] + [(len(BOUNDARY), None, 1.0)]
-    df = spark.createDataFrame(rows, "k int, x double, y double")
-    region = Region("triangle", "poly", (0.0, 4.0, 4.0, 0.0), (0.0, 0.0, 4.0, 4.0))
+    """Points on a grid through vertices and edges, which are in; NaN, infinite and null coordinates are out."""
+    grid = table(spark, sf_dir, "lineitem").select(((F.col("l_orderkey") + F.col("l_linenumber")) % 11).alias("i"), (F.col("l_quantity").cast("int") % 11).alias("j"), (F.col("l_linenumber") % 7).alias("part"))
+    x, y = ((F.col(c) - 1) / 2 for c in "ij")
+    odd = F.when(F.col("i") % 2 == 0, F.lit(float("nan"))).otherwise(F.lit(float("inf")))
+    x, y = F.when(F.col("part") == 5, odd).otherwise(x), F.when(F.col("part") != 6, y)
+    square = Region("square", "poly", (0.0, 4.0, 4.0, 0.0), (0.0, 0.0, 4.0, 4.0))
     notch = Region("notch", "poly", (0.0, 4.0, 4.0, 2.0, 0.0), (0.0, 0.0, 4.0, 2.0, 4.0))
-    return df.select("k", (gate(region, F.col("x"), F.col("y")) & gate(notch, F.col("x"), F.col("y"))).alias("inside"))
+    return grid.withColumn("inside", gate(square, x, y) & gate(notch, x, y)).groupBy("i", "j", "part").agg(F.count("*").alias("n"), F.every("inside").alias("inside"))
 
 
 _A, _B, _C = "l_quantity BETWEEN 1 AND 20", "l_discount BETWEEN 0.03 AND 0.07", "l_tax BETWEEN 0.02 AND 0.05"
@@ -182,14 +184,26 @@ def pop_copy_offset(spark, sf_dir):
     return source.copy_pops(objects, ["mid"], shift=3, suffix=" copy").objects_in("mid copy")
 
 
-@query("SELECT * FROM (VALUES ('All', 0), ('Rect', 1), ('Poly', 2), ('Oval', 1), ('Cheap', 1), ('Rest', 3), ('Tagged', 1)) t(population, level)")
+_LEVELS = {"All": 0, "Rect": 1, "Poly": 2, "Oval": 1, "Cheap": 1, "Rest": 3, "Tagged": 1}
+_EDGES = (("All", "Rect"), ("Rect", "Poly"), ("All", "Oval"), ("All", "Cheap"), ("Rect", "Rest"), ("Poly", "Rest"), ("Oval", "Rest"), ("All", "Tagged"))
+
+
+@query("SELECT level, count(*) AS pops, sum(n)::BIGINT AS members FROM (" + " UNION ALL ".join(f"SELECT {k} AS level, count(*) FILTER ({HIERARCHY_SQL[p]}) AS n FROM lineitem" for p, k in _LEVELS.items()) + ") GROUP BY level")
 def pop_levels(spark, sf_dir):
-    return spark.createDataFrame(list(hierarchy(spark, sf_dir).catalog.levels().items()), "population string, level int")
+    """Members by level of the hierarchy."""
+    objects = hierarchy(spark, sf_dir)
+    levels = objects.catalog.levels()
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.lit(p).alias("population"), member(p).cast("int").alias("n")) for p, k in levels.items()))).alias("x")
+    return objects.members(list(levels)).select(each).select("x.*").groupBy("level").agg(F.countDistinct("population").alias("pops"), F.sum("n").alias("members"))
 
 
-@query("SELECT * FROM (VALUES ('All', 'Rect'), ('Rect', 'Poly'), ('All', 'Oval'), ('All', 'Cheap'), ('Rect', 'Rest'), ('Poly', 'Rest'), ('Oval', 'Rest'), ('All', 'Tagged')) t(source, target)")
+@query(" UNION ALL ".join(f"SELECT '{a}' AS source, '{b}' AS target, count(*) FILTER (({HIERARCHY_SQL[a]}) AND {HIERARCHY_SQL[b]}) AS both FROM lineitem" for a, b in _EDGES))
 def pop_edges(spark, sf_dir):
-    return spark.createDataFrame(hierarchy(spark, sf_dir).catalog.edges(), "source string, target string")
+    """Edges of the network of populations, each with the rows that both ends share."""
+    objects = hierarchy(spark, sf_dir)
+    edges = objects.catalog.edges()
+    counts = objects.members().agg(*(F.count_if(member(a) & member(b)).alias(f"n{i}") for i, (a, b) in enumerate(edges)))
+    return counts.select(F.inline(F.array(*(F.struct(F.lit(a).alias("source"), F.lit(b).alias("target"), F.col(f"n{i}").alias("both")) for i, (a, b) in enumerate(edges)))))
 
 
 @query(f"SELECT least(1000, count(DISTINCT l_orderkey * 8 + l_linenumber)) AS n, true AS inside FROM lineitem WHERE {RECT_SQL}")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import plotdata
 from ..operators.catalog import Graph
-from .common import LINE_ID, lines, query
+from .common import LINE_ID, lines, query, table
 from .gating import CONVEX_SQL, RECT_SQL, hierarchy
 
 
@@ -95,9 +95,10 @@ def viewport(spark, sf_dir):
     return spark.createDataFrame([(round(lo, 4), round(hi, 4))], "xlo double, xhi double")
 
 
-@query("SELECT name, dense_rank() OVER (ORDER BY y)::INT AS row, (row_number() OVER (PARTITION BY y ORDER BY x))::INT AS \"column\" FROM (VALUES ('a', 30, 10), ('b', 10, 10), ('c', 5, 20), ('d', 20, 10)) t(name, x, y)")
+@query("SELECT n_name AS name, dense_rank() OVER (ORDER BY n_regionkey)::INT AS row, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey))::INT AS \"column\" FROM nation")
 def layout_rank(spark, sf_dir):
-    df = spark.createDataFrame([("a", 30, 10), ("b", 10, 10), ("c", 5, 20), ("d", 20, 10)], "name string, x int, y int")
+    """Places in a grid, from locations."""
+    df = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("x"), F.col("n_regionkey").alias("y"))
     return plotdata.layout(df).select("name", "row", "column")
 
 

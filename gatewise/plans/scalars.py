@@ -25,13 +25,26 @@ def path_template(spark, sf_dir):
     return pages.select("page_id", strings.filled_template("%d/%s_%o.tif", F.col("url"), obj=F.col("page_id")).alias("path"), strings.extension(F.col("url")).alias("ext"))
 
 
-DATES = (("01/31/2020 01:02:03 PM", "2020-01-31T13:02:03Z"), ("31/01/2020 13:02:03", "2020-01-31T13:02:03Z"), ("2020:01:31 13:02:03", "2020-01-31T13:02:03Z"), ("2020-01-31T13:02:03Z", "2020-01-31T13:02:03Z"), ("yesterday", "yesterday"))
+_D, _H, _MIN, _S = "(o_orderkey % 28 + 1)", "(o_orderkey % 24)", "(o_orderkey % 60)", "(o_orderkey // 60 % 60)"
+_ISO = f"printf('2020-01-%02dT%02d:%02d:%02dZ', {_D}, {_H}, {_MIN}, {_S})"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in DATES) + ") t(x, iso)")
+@query(f"SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN 'yesterday' ELSE {_ISO} END AS iso FROM orders")
 def date_formats(spark, sf_dir):
-    df = spark.createDataFrame([(a,) for a, _ in DATES], "x string")
-    return df.select("x", strings.formatted_date(F.col("x"), iso=True).alias("iso"))
+    """Dates as files write them, in several forms, and what is none."""
+    k = F.col("o_orderkey")
+    day, hour, minute, second = k % 28 + 1, k % 24, k % 60, F.floor(k / 60) % 60
+    forms = [
+        F.format_string("01/%02d/2020 %02d:%02d:%02d %s", day, (hour + 11) % 12 + 1, minute, second, F.when(hour < 12, "AM").otherwise("PM")),
+        F.format_string("%02d/01/2020 %02d:%02d:%02d", day, hour, minute, second),
+        F.format_string("2020:01:%02d %02d:%02d:%02d", day, hour, minute, second),
+        F.format_string("2020-01-%02dT%02d:%02d:%02dZ", day, hour, minute, second),
+        F.lit("yesterday"),
+    ]
+    text = F.get(F.array(*forms), (k % 5).cast("int"))
+    # In the second form days up to 12 read as months, so the day comes after those here.
+    text = F.when((k % 5 == 1) & (day <= 12), forms[2]).otherwise(text)
+    return table(spark, sf_dir, "orders").select("o_orderkey", strings.formatted_date(text, iso=True).alias("iso"))
 
 
 @query(

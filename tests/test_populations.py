@@ -140,8 +140,8 @@ def test_report_rules(objects):
 @pytest.mark.parametrize("accuracy", [10_000, 40])
 @pytest.mark.parametrize("few", [1 << 16, -1])
 def test_order_statistics_of_odd_data(spark, monkeypatch, accuracy, few):
+    """Also with a rough sketch, whose bounds hold many values, and without the driver's short way."""
     monkeypatch.setattr(quantiles, "FEW", few)
-    """Also with a rough sketch, whose bounds hold many values."""
     monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
     monkeypatch.setattr(quantiles, "MARGIN", 3 / accuracy)
     monkeypatch.setattr(quantiles, "BINS", 8)
