@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions import strings
 from ..operators import images as kernels
-from ..operators.catalog import Feature, Population
+from ..operators.catalog import Feature, Graph, Population
 from ..operators.gates import Region
 from ..operators.populations import Objects, member
+from ..operators.stats import pop_stats as count_pops
 from ..operators.store import new_path
-from ..sources import container, daf, fcs, files
+from ..sources import container, daf, fcs, fcs_rules, files
 from .common import query, table
+from .gating import HIERARCHY_SQL, hierarchy
 from .images import WIDTH, _images
 
 _PART = "SELECT p_partkey, p_size::DOUBLE AS p_size, p_retailprice, p_retailprice / p_size AS unit FROM part"
@@ -322,3 +324,37 @@ def numbers_64(spark, sf_dir):
     u = numbers.uint64(x)
     return table(spark, sf_dir, "nation").select("n_nationkey", u.cast("string").alias("u"), numbers.int64(u).alias("i"))
 
+
+@query(" UNION ALL ".join(f"SELECT '{p}' AS population, count(*) FILTER ({HIERARCHY_SQL[p]}) AS count FROM lineitem" for p in ("All", "Rect", "Poly", "Oval", "Cheap", "Rest")))
+def daf_definitions(spark, sf_dir):
+    """Regions, populations, graphs and combined features through analysis files, applied to the objects read from them."""
+    objects = hierarchy(spark, sf_dir)
+    objects = objects.remove(pops=["Tagged"], list_only=False)
+    objects = objects.edit(objects.catalog.add_graphs(Graph("scatter", "l_quantity", "l_extendedprice", shown=("Rect", "Poly"), regions=("rect",)), Graph("histogram", "unit price", shown=("Cheap",))))
+    folder = new_path(spark, "definitions")
+    daf.write_daf(objects, folder).collect()
+    again = files.read(spark, f"{folder}/*.daf")
+    assert again.catalog.graphs == objects.catalog.graphs and again.catalog.pops == objects.catalog.pops and again.catalog.regions == objects.catalog.regions
+    return count_pops(again).select("population", "count")
+
+
+@query("SELECT count(*) AS objects, 1 AS least_test, 0 AS problems, (count(*) + 99) // 100 >= 1 AS estimated FROM embeddings")
+def container_probe(spark, sf_dir):
+    """Containers checked directory by directory: objects declared in all, no cycle, overlap or strip outside a file."""
+    found = container.probe(spark, f"{_in_order(spark, sf_dir, 'probed', objects_per_file=100)}/*.cif")
+    return found.agg(F.sum("objects").alias("objects"), F.min("test").alias("least_test"), F.sum(F.size("problems")).cast("int").alias("problems"), F.every(F.col("estimated") >= F.col("objects")).alias("estimated"))
+
+
+_KEYS = {"$BYTEORD": "1,2,3,4", "$DATATYPE": "I", "$MODE": "L", "$NEXTDATA": "0", "$PAR": "1", "$BEGINDATA": "1", "$ENDDATA": "2", "$BEGINSTEXT": "0", "$ENDSTEXT": "0", "$BEGINANALYSIS": "0", "$ENDANALYSIS": "0", "$P1N": "a", "$P1B": "16", "$P1R": "1024"}
+
+
+@query("SELECT p_partkey, list_sort(list_filter([CASE WHEN p_size % 5 = 0 THEN '$TOT is 0' END, CASE WHEN p_size % 3 = 1 THEN '$P1E one number is 0' END, CASE WHEN (p_size % 3 = 2 AND p_size % 4 <> 1) OR (p_size % 3 = 1 AND p_size % 4 = 0) THEN '$P1G with logarithmic amplification' END, CASE WHEN p_size % 4 = 0 THEN '$P1G not above 0' END, CASE WHEN p_size % 7 = 0 THEN '$MODE unknown' END], lambda x: x IS NOT NULL)) AS problems FROM part")
+def fcs_problems(spark, sf_dir):
+    """Keywords of a data set for each row against the rules of their version."""
+    e = F.get(F.array(F.lit("0,0"), F.lit("4,0"), F.lit("4,1")), F.col("p_size") % 3)
+    mode = F.when(F.col("p_size") % 7 == 0, "Q").otherwise("L")
+    given = {**{k: F.lit(v) for k, v in _KEYS.items()}, "$VERSION": F.lit("FCS3.0"), "$TOT": (F.col("p_size") % 5).cast("string"), "$P1E": e, "$P1G": F.when(F.col("p_size") % 3 == 2, F.col("p_size") % 4).when(F.col("p_size") % 4 == 0, 0).otherwise(1).cast("string"), "$MODE": mode}
+    keys = F.create_map(*(x for k, v in given.items() for x in (F.lit(k), v)))
+    found = fcs_rules.problems(F.col("keys"))
+    told = F.array_sort(F.transform(found, lambda p: F.concat(p["keyword"], F.lit(" "), p["problem"])))
+    return table(spark, sf_dir, "part").select("p_partkey", "p_size", keys.alias("keys")).select("p_partkey", told.alias("problems"))
