@@ -3,12 +3,15 @@
 import functools
 import hashlib
 import itertools
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from helpers import odd_docs, odd_rows, rows_of
 
 from gatewise.llm import packing, secrets, token_counts
@@ -209,6 +212,60 @@ def test_guess_cost_is_the_minimum(value):
     assert secrets.guess_cost(value, more=MORE) == pytest.approx(cheapest(value), abs=1e-9)
 
 
+def ranked(texts):
+    """Ranks of the words of all texts, in plain Python."""
+    n = Counter()
+    for text in texts:
+        own = {r for v in secrets._values(text) for r in re.findall(r"[^\W\d_]+", v.lower())}
+        n.update(w for w in set(re.findall(r"[^\W\d_]+", text.lower())) - own if 3 <= len(w) <= 40)
+    sizes = Counter(n.values())
+    rank = {k: sum(m for j, m in sizes.items() if j >= k) for k in sizes}
+    return {w: rank[k] for w, k in n.items()}
+
+
+def test_guess_cost_of_random_values():
+    """Parts of runs, walks and stretches of blocks beside each other, by all segmentations."""
+    rng = random.Random(7)
+    pieces = ["aa", "aaa", "qwe", "rty", "zaq", "ab", "abab", "love", "1990", "12", "!@", "X", "9", "tree", "ewq"]
+    for _ in range(60):
+        value = "".join(rng.choice(pieces) for _ in range(rng.randint(2, 5)))[:12]
+        assert secrets.guess_cost(value, more=MORE) == pytest.approx(cheapest(value), abs=1e-9), value
+
+
+def plain_repetitions(value):
+    found = {}
+    for p in range(1, len(value) // 2 + 1):
+        i = 0
+        while i + p < len(value):
+            j = i
+            while j + p < len(value) and value[j] == value[j + p]:
+                j += 1
+            if j - i >= p:
+                found.setdefault((i, j + p), p)
+            i = j + 1
+    return sorted((a, b, p) for (a, b), p in found.items() if p > 1)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abé", max_size=40))
+def test_repetitions(value):
+    assert secrets.repetitions(value) == plain_repetitions(value)
+
+
+def test_long_values():
+    """Runs, walks, blocks and words of any length, in memory in proportion to the value."""
+    rng = random.Random(3)
+    block = "".join(rng.choice("bcdfghjkmnpqrstvwxz0123456789") for _ in range(300))
+    cost = secrets.guess_cost
+    assert cost(block * 3) == pytest.approx(cost(block) + np.log10(3) + np.log10(2), abs=1e-6)
+    assert cost("qwertyuiop" * 1000) < 8 and cost("1qaz" + "z" * 5000) < 11
+    assert secrets.values_of("key " + "q" * 300_000 + "://bob:hunter2@x") == [(300_011, 300_018)]
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30_000))
+    parts = list(secrets._parts(letters))
+    assert max(map(len, parts)) <= secrets.STARTS * 40
+    assert set().union(*parts) == {letters[i:j] for i in range(len(letters)) for j in range(i + 3, min(len(letters), i + 40) + 1)}
+
+
 def test_common_values_are_no_secrets():
     """Names and words of a corpus, walks over the keyboard and repeated blocks are cheap."""
     more = {w: 1000 + i for i, w in enumerate(("hannah", "michelle", "computer"))}
@@ -221,16 +278,35 @@ def test_common_values_are_no_secrets():
 def test_guess_spans_over_documents(spark, sf_dir):
     """Ranks of the whole corpus' words in plain Python give the query's spans."""
     texts = {r["doc_id"]: r["text"] or "" for r in rows_of(spark, sf_dir)}
-    n = Counter()
-    for text in texts.values():
-        own = {r for v in secrets._values(text) for r in re.findall(r"[^\W\d_]+", v.lower())}
-        n.update(w for w in set(re.findall(r"[^\W\d_]+", text.lower())) - own if 3 <= len(w) <= 40)
-    sizes = Counter(n.values())
-    rank = {k: sum(m for j, m in sizes.items() if j >= k) for k in sizes}
-    more = {w: rank[k] for w, k in n.items()}
-    got = {r["doc_id"]: r["spans"] for r in secrets.query(spark, sf_dir).collect()}
+    more = ranked(texts.values())
+    got = {r["doc_id"]: r for r in secrets.query(spark, sf_dir).collect()}
     for i, text in texts.items():
-        assert got[i] == ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b, _ in secrets.spans_of(text, 8.0, more=more))
+        assert got[i]["spans"] == ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b, _ in secrets.spans_of(text, 8.0, more=more))
+        costs = [(a, b, secrets.guess_cost(text[a:b], more=more)) for a, b in secrets.values_of(text)]
+        assert (got[i]["n_values"], got[i]["n_guessable"]) == (len(costs), sum(c < 8.0 for *_, c in costs))
+        assert [x.split(":")[:2] for x in got[i]["priced"].split(",") if x] == [[str(a), str(b)] for a, b, _ in costs]
+        assert [float(x.split(":")[2]) for x in got[i]["priced"].split(",") if x] == pytest.approx([c for *_, c in costs], abs=1e-3)
+
+
+def test_values_inside_and_outside_base_spans(spark):
+    """Spans that the method adds, and costs of values that base spans hold; many rows share a value."""
+    texts = {
+        1: "password = hunter2hunter2", 2: "password: tR8!zLq0#Wm4", 3: "the pwd is tR8!zLq0#Wm4", 4: "Authorization: Bearer aZ9kQ2mW7xT4vB1n", 5: "see https://bob:Gk3!vW8-zQ1x@host/x",
+        6: "token=qwertyuiop", 7: None, 8: "", 9: "the passphrase is " + "中" * 5000, 10: "the key is none of these",
+    }
+    rows = list(texts.items()) + [(100 + i, "the pwd is tR8!zLq0#Wm4") for i in range(300)]
+    got = {r["doc_id"]: r for r in secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows)
+    more = ranked(t or "" for _, t in rows)
+    for i, text in rows:
+        text, g = text or "", got[i]
+        inside = [(a, b, any(s <= a and b <= e for s, _, e in secrets.base_spans(text))) for a, b in secrets.values_of(text)]
+        assert [(v["start"], v["end"], v["inside"]) for v in g["values"]] == inside
+        assert [v["guesses"] for v in g["values"]] == pytest.approx([secrets.guess_cost(text[a:b], more=more) for a, b, _ in inside])
+    added = {i: [texts[i][s["start"] : s["end"]] for s in got[i]["spans"] if s["kind"] == "guess"] for i in texts}
+    assert added[2] == added[3] == ["tR8!zLq0#Wm4"] and added[4] == ["aZ9kQ2mW7xT4vB1n"] and added[5] == ["Gk3!vW8-zQ1x"]
+    assert all(not added[i] for i in (1, 6, 7, 8, 10)) and [s["kind"] for s in got[1]["spans"]] == ["assign"]
+    assert got[1]["values"][0]["guesses"] < 8 and got[6]["values"][0]["guesses"] < 8 and got[7]["spans"] == got[7]["values"] == []
 
 
 def test_counts_are_those_of_the_file(spark, sf_dir):
