@@ -308,12 +308,14 @@ def _counted(counts: Counter[str]) -> pa.RecordBatch:
 
 
 def dictionary(src: DataFrame) -> DataFrame:
-    """word, rank: every word of the texts and how many have at least as many texts."""
-    words = common.saved(src.select("text").mapInArrow(common.lean(_words), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    # One row per number of texts is put in sequence.
-    ranks = words.groupBy("n").agg(F.count("*").alias("words"))
-    ranks = ranks.select("n", F.sum("words").over(Window.orderBy(F.desc("n"))).alias("rank"))
-    return words.join(ranks, "n").select("word", "rank")
+    """word, n: every word of the texts and its number of texts, as a saved table."""
+    return common.saved(src.select("text").mapInArrow(common.lean(_words), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
+def ranks_of(words: DataFrame) -> DataFrame:
+    """n, rank: how many words of ``dictionary`` have at least n texts; one row per number of texts is put in sequence."""
+    sizes = words.groupBy("n").agg(F.count("*").alias("words"))
+    return sizes.select("n", F.sum("words").over(Window.orderBy(F.desc("n"))).alias("rank"))
 
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,17 +349,16 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(bases, pa.list_(span)), pa.array(values, pa.list_(value))], names=["id", "base", "values"])
 
 
-def prices(values: DataFrame, ranks: DataFrame, words: tuple[str, ...] = WORDS) -> DataFrame:
+def prices(values: DataFrame, corpus: DataFrame, words: tuple[str, ...] = WORDS) -> DataFrame:
     """value, n, guesses: each distinct ``value``, its rows, and log10 of its guesses,
-    with the words of ``ranks`` (word, rank) as known; each is priced once."""
+    with the words of the dictionary ``corpus`` as known; each is priced once."""
     values = common.saved(values.groupBy("value").agg(F.count("*").alias("n")).withColumn("number", F.monotonically_increasing_id()), "values")
     asked = values.select("number", "value").mapInArrow(common.lean(_asked), "number long, word string")
     # Parts that no word is like go where they lie; common words are asked by many values.
-    ranks = common.saved(ranks, "ranks")
-    asked = common.flagged(asked, common.repeat_filter(ranks, F.xxhash64("word"), 1), F.xxhash64("word"), "like").filter("like").select("number", "word")
+    asked = common.flagged(asked, common.repeat_filter(corpus, F.xxhash64("word"), 1), F.xxhash64("word"), "like").filter("like").select("number", "word")
     asked = common.saved(asked.distinct(), "asked")
     times = asked.groupBy("word").agg(F.count("*").alias("times"))
-    known = common.join_groups(asked, common.saved(times.join(ranks, "word"), "known"), ["word"], "times").filter("rank is not null")
+    known = common.join_groups(asked, common.saved(times.join(corpus, "word").join(ranks_of(corpus), "n").drop("n"), "known"), ["word"], "times").filter("rank is not null")
     known = known.groupBy("number").agg(F.collect_list(F.struct("word", "rank")).alias("ranks"))
     return values.join(known, "number", "left").select("value", "n", "ranks").mapInArrow(_priced(words), "value string, n long, guesses double")
 
