@@ -198,6 +198,26 @@ def container_objects(spark, sf_dir):
     return _pixels(strips[0].unionByName(strips[1])).join(values, F.col("object_id") == F.col("id")).select("object_id", "label", "pixels", "high")
 
 
+@query(f"SELECT vec_id, [vec_id, row_number() OVER (ORDER BY vec_id) - 1] AS origins, label::DOUBLE AS label, {_WHOLE} AS pixels FROM embeddings WHERE vec_id % 7 = 3")
+def container_origins(spark, sf_dir):
+    """Containers cut down, then joined again: where each object comes from, its features and its pixels."""
+    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias(daf.OBJECT), F.col("label").cast("double").alias("label"))
+    df = _whole(spark, sf_dir).join(labels, F.col("object_id") == F.col(f"`{daf.OBJECT}`")).drop("object_id")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = df.repartitionByRange(n, F.col(f"`{daf.OBJECT}`")).sortWithinPartitions(F.col(f"`{daf.OBJECT}`"))
+    place = new_path(spark, "origins")
+    files.write(Objects.of(df, daf.OBJECT, features=(daf.OBJECT, "label")), f"{place}/first", "container").collect()
+    wanted = labels.select(F.col(f"`{daf.OBJECT}`").alias("object_id")).filter("object_id % 7 = 3")
+    container.merge_files(spark, f"{place}/first/*.cif", f"{place}/second", wanted, 100).collect()
+    container.merge_files(spark, f"{place}/second/*.cif", f"{place}/third").collect()
+    out = f"{place}/third/*.cif"
+    dirs = container.read_directories(spark, out)
+    past = dirs.filter("kind = 'img'").select("object_id", F.col("origin_ids")[0].alias("vec_id"), F.col("origin_ids").alias("origins"))
+    values = container.read_features(spark, out, container.stored_names(spark, out), directories=dirs).select(F.col("object_number").alias("object_id"), "label")
+    pixels = _pixels(container.read_strips(spark, out, 1, kinds=("img",), directories=dirs)).select("object_id", "pixels")
+    return pixels.join(past, "object_id").join(values, "object_id").select("vec_id", "origins", "label", "pixels")
+
+
 @query(f"SELECT vec_id, kind, {_WHOLE} AS img, list_transform({_WHOLE}, lambda v: CASE WHEN kind = 'msk' THEN (v > 0)::INT + (v > 200)::INT ELSE v & 65535 END) AS pixels FROM embeddings, (VALUES ('img'), ('msk')) t(kind)")
 def container_tiff(spark, sf_dir):
     """Containers as TIFF of 16-bit pixels, every pixel read from the files beside the one written."""

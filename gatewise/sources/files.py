@@ -42,7 +42,8 @@ def read(spark: SparkSession, path: str, **options) -> Objects | Strategy | Data
 def read_container(spark: SparkSession, paths: str | list[str]) -> Objects:
     """The objects of containers: import_file, object_number, the features that the files
     store and the columns of ``container.image_rows``, with the definitions that the
-    first file (by path) holds. Features of object k are row k of its file's matrix.
+    first file (by path) holds. A file's ids take the rows of its features in order
+    (``container.read_features``).
     ``container.read_strips`` takes a selection of the rows and gives their images."""
     dirs = container.read_directories(spark, paths)
     rows = container.image_rows(dirs).withColumnRenamed("id", "object_number")
@@ -53,7 +54,7 @@ def read_container(spark: SparkSession, paths: str | list[str]) -> Objects:
     stored = {container.FEATURES, container.FEATURES_OLD} & set(head["numbers"])
     if not stored or not names:
         return Objects(rows, cat.remove(cat.removal(features=list(cat.features))), "object_number", "import_file")
-    values = container.read_features(spark, paths, names)
+    values = container.read_features(spark, paths, names, directories=dirs)
     if daf.OBJECT not in names:
         values = values.withColumn(daf.OBJECT, F.col("object_number"))
     return Objects(values.join(rows, ["import_file", "object_number"], "left"), cat, "object_number", "import_file")

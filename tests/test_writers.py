@@ -14,6 +14,7 @@ from gatewise.operators.gates import Region
 from gatewise.operators.populations import Objects
 from gatewise.operators.stats import report
 from gatewise.sources import container, daf, fcs_rules, files
+from gatewise.sources.run import Run
 
 
 def tiles(spark, n, channels, h=3, w=4):
@@ -173,3 +174,87 @@ def test_each_rule_of_keywords(spark):
     pairs = [("$TOT", " 4 "), ("A", "1"), ("A", "2"), ("/B", "x"), ("C", "/x")]
     df = spark.createDataFrame([(GOOD, pairs)], "t map<string,string>, p array<struct<keyword:string,value:string>>")
     assert [tuple(x) for x in df.select(fcs_rules.problems(F.col("t"), F.col("p"), F.lit("/"))).first()[0]] == [("$TOT", "number padded with other than 0"), ("/B", "begins with the delimiter"), ("C", "begins with the delimiter"), ("A", "repeated")]
+
+
+def described_file(tmp_path, name, order, ids, shift=0, features=True):
+    """A container whose directories have fields of several types, and a matrix of two features."""
+    cat = Catalog({"a": Feature("a"), "b": Feature("b")})
+    rng = np.random.default_rng(shift)
+    strips, pixels = [], {}
+    for i in ids:
+        image, mask = rng.integers(0, 4000, (3, 4)), rng.integers(0, 3, (3, 4))
+        pixels[i] = image.ravel().tolist()
+        more = {container.SPEED: [0.5 + i], container.CAMERA_LINE: 7 * i, 33019: (3, 3, b"\1\0\2\0\xff\1"), 33021: (5, 1, b"\3\0\0\0\4\0\0\0"), 33022: b"text of a strip"}
+        for kind, x, way, code in ((container.IMAGE, image, images.DELTA, images.delta_encode), (container.MASK, mask, images.RUNS, images.run_encode)):
+            strips.append((i, kind, 3, 4, way, code(x), more))
+    matrix = np.array([[i + shift, 2 * i] for i in ids], float) if features else None
+    about = Run((True,), definitions=daf.write_template(cat)).tags() | {33077: (8, 2, b"\xfe\xff\3\0")}
+    path = tmp_path / name
+    path.write_bytes(container.encode_strips(strips, matrix, order, about))
+    return str(path), pixels
+
+
+def test_fields_features_and_origins_go_with_their_objects(spark, tmp_path):
+    one, first = described_file(tmp_path, "a.cif", ">", [0, 1, 2, 3])
+    two, second = described_file(tmp_path, "b.cif", "<", [4, 9, 30], 100)
+    wanted = spark.createDataFrame([("a.cif", 1), ("a.cif", 3), ("b.cif", 9), ("b.cif", 30)], "import_file string, object_id long")
+    done = container.merge_files(spark, [one, two], str(tmp_path / "out"), wanted).collect()
+    assert sum(r["rows"] for r in done) == 4
+    container.merge_files(spark, str(tmp_path / "out/*.cif"), str(tmp_path / "again")).collect()
+    again = str(tmp_path / "again/*.cif")
+    assert container.stored_names(spark, again) == ["a", "b"]
+    dirs = container.read_directories(spark, again)
+    past = {r["object_id"]: (r["origin_files"][0], r["origin_ids"][0]) for r in dirs.filter("object_id is not null").collect()}
+    assert sorted(past.values()) == [("a.cif", 1), ("a.cif", 3), ("b.cif", 9), ("b.cif", 30)]
+    assert {len(r["origin_ids"]) for r in dirs.filter("object_id is not null").collect()} == {2}
+    values = container.read_features(spark, again, ["a", "b"], directories=dirs).collect()
+    assert {past[r["object_number"]]: (r["a"], r["b"]) for r in values} == {("a.cif", 1): (1, 2), ("a.cif", 3): (3, 6), ("b.cif", 9): (109, 18), ("b.cif", 30): (130, 60)}
+    strips = container.read_strips(spark, again, 1, tags=True)
+    pixels = {past[r["object_id"]]: r["pixels"] for r in images.decoded(strips.filter("kind = 'img'"), ["object_id"]).collect()}
+    assert pixels == {("a.cif", 1): first[1], ("a.cif", 3): first[3], ("b.cif", 9): second[9], ("b.cif", 30): second[30]}
+    for r in strips.collect():
+        kept = {f["tag"]: (f["type"], f["count"], bytes(f["value"])) for f in r["fields"]}
+        assert (kept[33019], kept[33021], kept[33022]) == ((3, 3, b"\1\0\2\0\xff\1"), (5, 1, b"\3\0\0\0\4\0\0\0"), (2, 16, b"text of a strip\0"))
+    speed = {past[r["object_id"]]: (r["speed"], r["camera_line"]) for r in dirs.filter("kind = 'msk'").collect()}
+    assert speed == {k: (0.5 + k[1], 7.0 * k[1]) for k in past.values()}
+    for r in container.read_first(spark, again).collect():
+        assert dict(r["numbers"])[33077] == [-2.0, 3.0]
+    back = files.read(spark, again)
+    assert sorted((r["a"], r["b"]) for r in back.df.collect()) == [(1, 2), (3, 6), (109, 18), (130, 60)] and back.df.filter("imgIFD > 0").count() == 4
+
+
+def test_tiff_pages_keep_fields(spark, tmp_path):
+    path, _ = described_file(tmp_path, "a.cif", ">", [0, 1])
+    container.write_tiff(container.read_strips(spark, path, 1, tags=True), str(tmp_path / "out"), order=">").collect()
+    pages = container.read_strips(spark, str(tmp_path / "out/*.tif"), 1, tags=True).collect()
+    assert len(pages) == 4
+    for r in pages:
+        kept = {f["tag"]: (f["type"], f["count"], bytes(f["value"])) for f in r["fields"]}
+        assert kept[33019] == (3, 3, b"\1\0\2\0\xff\1") and kept[container.BITS][2] == b"\x10\0"
+
+
+def test_features_that_differ_are_left_out(spark, tmp_path):
+    one, _ = described_file(tmp_path, "a.cif", "<", [0, 1])
+    two, _ = described_file(tmp_path, "b.cif", "<", [0, 1], features=False)
+    assert container.stored_names(spark, [one, two]) == [] and container.stored_names(spark, one) == ["a", "b"]
+    container.merge_files(spark, [one, two], str(tmp_path / "out")).collect()
+    out = str(tmp_path / "out/*.cif")
+    assert container.stored_names(spark, out) == [] and container.read_offsets(spark, out).filter("kind = 'img'").count() == 4
+
+
+def test_rows_of_features_find_their_ids(spark, tmp_path):
+    """Ids below the number of rows are rows; others take them in order. Files of one name lie in two folders."""
+    for sub, ids in (("x", [0, 2, 3, 1]), ("y", [50, 7, 20])):
+        (tmp_path / sub).mkdir()
+        described_file(tmp_path / sub, "a.cif", "<", sorted(ids))
+    paths = [str(tmp_path / "x/a.cif"), str(tmp_path / "y/a.cif")]
+    dirs = container.read_directories(spark, paths)
+    got = sorted((r["object_number"], r["a"]) for r in container.read_features(spark, paths, ["a", "b"], directories=dirs).collect())
+    assert got == [(i, float(i)) for i in (0, 1, 2, 3, 7, 20, 50)]
+    whole = tmp_path / "x/a.cif"
+    data = bytearray(whole.read_bytes())
+    (at, tags, _), *_ = container.directories(bytes(data))
+    field = next(p for p in range(at + 2, at + 2 + 12 * 30, 12) if int.from_bytes(data[p : p + 2], "little") == container.FEATURES)
+    data[field + 2 : field + 8] = (1).to_bytes(2, "little") + (8 + 4 * 8).to_bytes(4, "little")  # as bytes instead of a place
+    whole.write_bytes(bytes(data))
+    assert sorted((r["object_number"], r["b"]) for r in container.read_features(spark, str(whole), ["a", "b"]).collect()) == [(i, 2.0 * i) for i in range(4)]
