@@ -4,15 +4,16 @@ the gates on a stream."""
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from ..operators.catalog import Population
 from ..operators.gates import Region
-from ..operators.populations import Objects
+from ..operators.populations import Objects, Strategy, apply_strategy
 from ..operators.stats import pop_stats as count_pops
 from ..operators.store import new_path
-from ..sources import fcs, gatingml
+from ..sources import fcs, files, gatingml
 from ..streaming.gates import windowed_counts
 from .common import digest, digest_sql, lines, query, table
 from .gating import HIERARCHY_SQL, TAGS, hierarchy
@@ -35,10 +36,6 @@ def fcs_roundtrip(spark, sf_dir):
 @query(digest_sql({k: HIERARCHY_SQL[k] for k in ("Rect", "Poly", "Oval", "Rest", "Tagged")}))
 def gatingml_roundtrip(spark, sf_dir):
     """Gates written as GatingML, read again and applied."""
-    from dataclasses import replace
-
-    from ..operators.populations import Strategy, apply_strategy
-
     cat = hierarchy(spark, sf_dir).catalog
     cat = cat.remove(cat.removal(pops=["Cheap"]))
     again = gatingml.parse(gatingml.render(Strategy(replace(cat, features={}))))
@@ -67,3 +64,19 @@ def stream_gate(spark, sf_dir):
 @query("SELECT population, count FROM (SELECT 'All' AS population, count(*) AS count FROM events UNION ALL SELECT 'high', count(*) FROM events WHERE value >= 50)")
 def batch_gate(spark, sf_dir):
     return count_pops(_events(spark, sf_dir, table(spark, sf_dir, "events"))).select("population", "count")
+
+
+@query(digest_sql({n: HIERARCHY_SQL[n] for n in ("Rect", "Poly", "Oval", "Cheap", "Rest")} | {"d_1": "l_quantity < 25", "q_3": "l_quantity >= 25 AND l_discount < 0.05"}))
+def template_apply(spark, sf_dir):
+    """Gates saved as a template file and as a GatingML file, read by extension and applied to
+    objects: the combined feature from the first, groups of regions from both."""
+    place = new_path(spark, "gates")
+    whole = hierarchy(spark, sf_dir)
+    cat = whole.catalog.add_group(Region("d", "line", (25.0, 30.0)), "dual", fx="l_quantity")
+    whole = whole.edit(cat.add_group(Region("q", "rect", (25.0, 30.0), (0.05, 0.1)), "quad", fx="l_quantity", fy="l_discount"))
+    files.write_gates(whole.remove(pops=["Tagged"], list_only=False), f"{place}/all.ast")
+    cat = whole.catalog
+    files.write_gates(Strategy(replace(cat.remove(cat.removal(pops=["Tagged", "Cheap"])), features={})), f"{place}/some.xml")
+    objects = apply_strategy(lines(spark, sf_dir), files.read(spark, f"{place}/all.ast"))
+    objects = apply_strategy(objects, files.read(spark, f"{place}/some.xml"), keep=["Cheap"])
+    return digest(objects, ["Rect", "Poly", "Oval", "Cheap", "Rest", "d_1", "q_3"])

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.catalog import ALL, Catalog, Feature, Graph, Population, ReportRow
-from ..operators.gates import Region
+from ..operators.gates import Region, half, quarter
 from ..operators.populations import Objects
 from .fcs import BLOCK, _files, _short
 from .parts import write_parts
@@ -90,14 +90,19 @@ def definitions(root: ET.Element) -> Catalog:
         cat = cat.add_features(Feature(u.get("name"), kind, told if kind == "combined" or told != u.get("name") else ""))
     if OBJECT not in cat.features:
         cat = cat.add_features(Feature(OBJECT))
+    regions = []
     for r in root.iter("Region"):
         points = [(float(a.get("x")), float(a.get("y"))) for a in r.iter("axy") if a.get("x") not in (None, "NaN")]
         xs, ys = zip(*points)
         trans = [r.get(f"{a}trans") or r.get(f"{a}logrange") or "P" for a in "xy"]
         sync = r.get("sync", "")
-        if sync:  # written bounds are those of the part; the divider is the finite one
-            xs, ys = ((next((v for v in vs if abs(v) < 1e300), 0.0),) * 2 for vs in (xs, ys))
-        cat = cat.add_regions(Region(r.get("label"), r.get("type"), xs, ys, *trans, sync=sync, color=r.get("color", "White"), lightcolor=r.get("lightcolor", "Black")))
+        part = int(sync.rpartition("|")[2]) if sync else 0
+        if sync.startswith("dual"):  # written bounds are those of the part; the divider is the one that others share
+            xs = (max(xs) if part == 1 else min(xs),) * 2
+        elif sync:
+            xs, ys = (max(xs) if part in (1, 4) else min(xs),) * 2, (min(ys) if part in (1, 2) else max(ys),) * 2
+        regions.append(Region(r.get("label"), r.get("type"), xs, ys, *trans, sync=sync, color=r.get("color", "White"), lightcolor=r.get("lightcolor", "Black")))
+    cat = cat.add_regions(*regions)  # at once, as groups must be whole
     pops = []
     for p in root.iter("Pop"):
         kind, name = p.get("type"), p.get("name")
@@ -222,7 +227,12 @@ def head_xml(cat: Catalog, stored: list[str], rows: int, binary: bool) -> ET.Ele
     at = ET.SubElement(root, "Regions")
     for r in cat.regions.values():
         node = ET.SubElement(at, "Region", {"label": r.label, "type": r.type, "xtrans": r.xtrans, "ytrans": r.ytrans, "color": r.color, "lightcolor": r.lightcolor} | ({"sync": r.sync} if r.sync else {}))
-        for x, y in zip(r.x, r.y):
+        xs, ys = r.x, r.y
+        if r.sync_kind == "dual":
+            xs = half(r.x[0], r.sync_part)
+        elif r.sync_kind == "quad":
+            xs, ys = quarter(r.x[0], r.y[0], r.sync_part)
+        for x, y in zip(xs, ys):
             ET.SubElement(node, "axy", {"x": _text(x), "y": _text(y)})
     at = ET.SubElement(root, "Pops")
     for p in cat.pops.values():

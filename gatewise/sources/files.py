@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.populations import Objects, Strategy
 from . import container, daf, fcs, gatingml, run
+from .parts import place_of
 
 
 def kind_of(path: str) -> str:
@@ -60,6 +61,22 @@ def read_container(spark: SparkSession, paths: str | list[str]) -> Objects:
     return Objects(values.join(rows, ["import_file", "object_number"], "left"), cat, "object_number", "import_file")
 
 
+def write_gates(gates: Strategy | Objects, path: str) -> None:
+    """Definitions alone as one small file that ``read`` takes back: a template (ast, ist:
+    features, regions, populations, graphs) or GatingML (xml: regions, populations, spillover)."""
+    known = gates if isinstance(gates, Strategy) else Strategy(gates.catalog)
+    kind = kind_of(path)
+    if kind not in ("template", "gates"):
+        raise ValueError(f"{path!r}: definitions alone are written as ast, ist or xml")
+    if kind == "template" and known.spillover:
+        raise ValueError(f"{path!r}: templates hold no spillover")
+    text = daf.write_template(known.catalog) if kind == "template" else gatingml.render(known)
+    store, place = place_of(path)
+    store.create_dir(place.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(place) as f:
+        f.write(text.encode())
+
+
 def write(objects: Objects, folder: str, kind: str, **options) -> DataFrame:
     """Objects as FCS or analysis files in a folder, or, where the table has height,
     width, pixels and mask, as containers (``about``: a ``run.Run``), by the tasks that hold

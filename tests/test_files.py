@@ -10,7 +10,7 @@ from gatewise.operators import images
 from gatewise.operators.catalog import Catalog, Feature, Graph, Population
 from gatewise.operators.gates import Region
 from gatewise.operators.populations import Strategy
-from gatewise.sources import container, daf, fcs, fcs_rules, gatingml
+from gatewise.sources import container, daf, fcs, fcs_rules, files, gatingml
 
 
 def fcs_file(version, pars, rows, data, extra=None, order="1,2,3,4", kind="I", following=0, sep="/"):
@@ -189,3 +189,21 @@ def test_container(spark, tmp_path, order):
         whole = image if r["kind"] == "img" else mask
         assert np.array_equal(np.array(r["pixels"]).reshape(5, 4), whole[:, 4 * r["channel"] : 4 * r["channel"] + 4])
     assert [tuple(r)[1:] for r in container.read_features(spark, path, ["u", "v"]).orderBy("object_number").collect()] == [(0, 1.5, 2), (1, 3, 4), (2, 5, 6)]
+
+
+def test_definitions_alone_in_files(spark, tmp_path):
+    cat, spill = strategy(), {"a": {"a": 1.0, "b": 0.1}, "b": {"a": 0.0, "b": 1.0}}
+    files.write_gates(Strategy(cat, spill), str(tmp_path / "deep/x.xml"))
+    again = files.read(spark, str(tmp_path / "deep/x.xml"))
+    assert again.spillover == spill and again.catalog.regions == cat.regions
+    files.write_gates(Strategy(cat), f"file:{tmp_path}/x.ist")
+    back = files.read(spark, str(tmp_path / "x.ist")).catalog
+    assert back.warnings == () and set(back.regions) == set(cat.regions)
+    for k, r in cat.regions.items():  # groups stay whole; of their bounds the divider alone matters
+        found = back.regions[k]
+        assert found.sync == r.sync and found.x[0] == r.x[0] and (found.y[0] == r.y[0] or r.type == "line")
+        assert r.sync or found == r
+    with pytest.raises(ValueError, match="no spillover"):
+        files.write_gates(Strategy(cat, spill), str(tmp_path / "x.ast"))
+    with pytest.raises(ValueError, match="written as ast"):
+        files.write_gates(Strategy(cat), str(tmp_path / "x.fcs"))

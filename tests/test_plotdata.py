@@ -135,3 +135,9 @@ def test_strings(spark):
     assert one(strings.hex_color(F.col("c"))) == "#FF0000" and one(strings.color_number(F.lit("#FF0000"))) == -65536
     assert one(strings.escaped_xml(F.lit("<a & 'b'>"))) == "&lt;a &amp; &apos;b&apos;&gt;" and one(strings.contains_any(p, ["b.c", "zz"]))
     assert one(strings.fcs_name(F.lit("FL1 < CD4 >"))[1]) == "CD4" and one(strings.number_text(F.lit(float("nan")))) == "NaN"
+
+
+def test_scale_bar_lies_inside_the_image():
+    x = images.scale_bar(np.zeros((5, 8)), 3, 0.5, top=2, left=4)
+    assert np.array_equal(np.argwhere(x == 0.5), [(i, j) for i in (2, 3) for j in (4, 5, 6)]) and x.sum() == 3.0
+    assert images.scale_bar(np.zeros((3, 4)), 9, top=2, left=2).sum() == 2.0  # what lies outside is cut off
