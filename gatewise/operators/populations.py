@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from ..functions import expressions
 from ..functions.transforms import parse, transform
 from .catalog import ALL, Catalog, Feature, Population, Redefinition, Removal
-from .gates import gate
+from .gates import EPSILON, gate
 
 MARK = "pop::"
 
@@ -49,13 +49,15 @@ class Objects:
     """Rows of objects and their definitions.
 
     ``id_col`` (0-based) names an object, together with ``file_col`` where
-    several files are merged. All features are read as doubles.
+    several files are merged. All features are read as doubles. ``eps``: which points
+    lie on polygons' sides, as in ``gate``.
     """
 
     df: DataFrame
     catalog: Catalog = field(default_factory=Catalog)
     id_col: str = "object_number"
     file_col: str | None = None
+    eps: float | None = EPSILON
 
     @classmethod
     def of(cls, df: DataFrame, id_col: str = "object_number", file_col: str | None = None, features: Sequence[str] | None = None) -> Objects:
@@ -179,7 +181,7 @@ class Objects:
         x, y = (named(a).cast("double") if a else None for a in (p.fx, p.fy))
         held = [scaled.get(at) for at in ((p.fx, region.xtrans), (p.fy, region.ytrans))]
         tx, ty = (named(c) if c else None for c in held)
-        return base & gate(region, x, y, tx=tx, ty=ty)
+        return base & gate(region, x, y, self.eps, tx=tx, ty=ty)
 
     def _tagged(self, df: DataFrame, p: Population) -> DataFrame:
         keys = [c for c in (self.file_col, self.id_col) if c and c in p.ids.columns]

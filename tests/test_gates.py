@@ -165,3 +165,32 @@ def test_limits_and_clips():
     assert gates.limits() == (-math.inf, math.inf) and gates.limits([3.0, math.nan, -1.0]) == (-1.0, 3.0)
     assert gates.clipped([-math.inf, 1.0, 2.0, math.inf]) == [1.0, 2.0] and gates.clipped([0.0, 1.0, 2.0], [2.0, 0.0]) == [1.0]
     assert gates.clipped([1.0], [math.nan]) == []
+
+
+@pytest.mark.parametrize("unrolled", [100, 0])
+def test_sides_by_winding_number(points, unrolled):
+    """Without an epsilon polygons side by side share no points and leave none out."""
+    left, right = Region("l", "poly", (0.0, 2.0, 1.0, 0.0), (0.0, 0.0, 4.0, 4.0)), Region("r", "poly", (2.0, 4.0, 4.0, 1.0), (0.0, 0.0, 4.0, 4.0))
+    a, b = (inside(points, r, eps=None, unrolled=unrolled) for r in (left, right))
+    both = want(lambda x, y: 0 <= x < 4 and 0 <= y < 4)
+    assert not a & b and a | b == both
+    assert inside(points, left) & inside(points, right)
+
+
+def test_polygon_query_on_points_of_its_sides(spark, tmp_path):
+    """Prices on the sides of the concave polygon, and a cent before and after them."""
+    from oracle import compare, connection
+
+    from gatewise.plans import gating, registry
+
+    rows, at = [], list(zip(gating.CONCAVE.x, gating.CONCAVE.y))
+    for (x1, y1), (x2, y2) in zip(at, at[1:] + at[:1]):
+        for k in range(11):
+            on = x1 + (k / 100 - y1) * (x2 - x1) / (y2 - y1) if y1 != y2 else 5000.0
+            rows += [(len(rows) + i, 1, round(on + c, 2), k / 100, f"{len(rows) + i}") for i, c in enumerate((-0.01, 0.0, 0.01))]
+    df = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_extendedprice double, l_discount double, l_returnflag string")
+    df = df.selectExpr("*", "1D AS l_quantity", "0D AS l_tax")
+    df.toPandas().to_parquet(tmp_path / "lineitem.parquet")
+    name = "gate_poly_concave"
+    mine, theirs = compare(registry.QUERIES[name](spark, str(tmp_path)), connection(tmp_path), registry.ORACLES[name])
+    assert mine == theirs and len(mine[1]) > 30
