@@ -377,4 +377,6 @@ def fcs_problems(spark, sf_dir):
     keys = F.create_map(*(x for k, v in given.items() for x in (F.lit(k), v)))
     found = fcs_rules.problems(F.col("keys"))
     told = F.array_sort(F.transform(found, lambda p: F.concat(p["keyword"], F.lit(" "), p["problem"])))
-    return table(spark, sf_dir, "part").select("p_partkey", "p_size", keys.alias("keys")).select("p_partkey", told.alias("problems"))
+    # The rules cost far more than the rows, of which one task would read a hundred thousands.
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition("p_partkey")
+    return rows.select("p_partkey", keys.alias("keys")).select("p_partkey", told.alias("problems"))

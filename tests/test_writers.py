@@ -258,3 +258,12 @@ def test_rows_of_features_find_their_ids(spark, tmp_path):
     data[field + 2 : field + 8] = (1).to_bytes(2, "little") + (8 + 4 * 8).to_bytes(4, "little")  # as bytes instead of a place
     whole.write_bytes(bytes(data))
     assert sorted((r["object_number"], r["b"]) for r in container.read_features(spark, str(whole), ["a", "b"]).collect()) == [(i, 2.0 * i) for i in range(4)]
+
+
+def test_rules_of_keywords_compute_shared_values_once(spark, sf_dir):
+    """A row's version is read once, not once for each rule, and rows are dealt to tasks first."""
+    from gatewise.plans import registry
+
+    plan = registry.QUERIES["fcs_problems"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 1
+    assert "RepartitionByExpression" in plan
