@@ -419,3 +419,19 @@ def test_classifier_matches_a_plain_loop(spark):
         s = sum(model.weight(k) * v for k, v in features(text).items())
         p = [sigmoid(s - c) for c in t]
         assert got[i]["p_tail"] == pytest.approx(p[1], rel=1e-4) and got[i]["expected_grade"] == pytest.approx(sum(p), rel=1e-4)
+
+
+def test_lm_follows_every_pair_of_words():
+    """No pair of words is left out, and what follows is whole up to where texts part."""
+    texts = [" ".join(f"w{i}" for i in range(200)), "w0 w1 w2 other", "a b \0\0c d"]
+    found = pa.Table.from_batches(list(lm_scoring._pairs(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])))).to_pydict()
+    want = {}
+    for text in texts:
+        raw = b"\0" * 4 + text.encode() + b"\0"
+        for key, at, _ in pairs_of(raw):
+            want.setdefault(key, []).append(follows(raw, at))
+    assert len(found["key"]) == len(want) > 200
+    plain = lambda b: b.rstrip(b"\0")
+    assert sorted(zip(found["n"], map(plain, found["same"]))) == sorted((len(v), plain(os.path.commonprefix(v))) for v in want.values())
+    rows = np.array([[0] * lm_scoring.FOLLOWING, [0, 7] + [0] * (lm_scoring.FOLLOWING - 2), [1] * lm_scoring.FOLLOWING], np.uint8)
+    assert (lm_scoring.filled(lm_scoring.trimmed(rows)) == rows).all()
