@@ -435,3 +435,22 @@ def test_lm_follows_every_pair_of_words():
     assert sorted(zip(found["n"], map(plain, found["same"]))) == sorted((len(v), plain(os.path.commonprefix(v))) for v in want.values())
     rows = np.array([[0] * lm_scoring.FOLLOWING, [0, 7] + [0] * (lm_scoring.FOLLOWING - 2), [1] * lm_scoring.FOLLOWING], np.uint8)
     assert (lm_scoring.filled(lm_scoring.trimmed(rows)) == rows).all()
+
+
+def test_lm_tables_are_sent_out_small():
+    """As the check counts what executors keep on disk of a broadcast."""
+    table = np.zeros(17 << 14, np.complex128)
+    table[::1000] = 1
+    taken = np.arange(1 << 14, dtype=np.uint64)
+    sent = lm_scoring.packed(table, taken)
+    assert sum(map(len, sent)) < table.nbytes / 20
+    for a, b in zip(lm_scoring.unpacked(*sent), (table, taken)):
+        assert (a == b).all() and a.dtype == b.dtype
+
+
+def test_tidy_tables_leave_no_shuffle_files(spark):
+    from gatewise.operators import store
+
+    before = spark.conf.get(store.CLEANUP, None)
+    saved = store.saved(spark.range(1000).repartition(3), "tidy", tidy=True)
+    assert saved.count() == 1000 and spark.conf.get(store.CLEANUP, None) == before
