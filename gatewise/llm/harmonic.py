@@ -58,8 +58,8 @@ def _pieces(file: str, capacity: int, slack: float, end_id: int, with_ids: bool)
         place = TaskContext.get().partitionId() << 40
         for batch in batches:
             rows, start, length, crc, whole, ids = [], [], [], [], [], []
-            for row, text in enumerate(batch.column("text")):
-                data, at = encode(text.as_py() or "") + end, 0
+            for row, found in enumerate(packing.encoded(encode, batch.column("text"))):
+                data, at = found + end, 0
                 for n in cuts(len(data) // 4, capacity, slack):
                     part = data[4 * at : 4 * (at + n)]
                     rows.append(row)

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import bisect
 import re
-import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -20,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,11 +29,11 @@ from . import common
 CAPACITY = 2048
 #: Rows that are packed together where sequences follow the order of the rows.
 ROWS = 1 << 14
-#: Runs of non-space characters kept with their ids by each worker before it starts anew.
-KEPT_WORDS = 160_000
+#: Bytes of texts that are encoded together.
+AT_ONCE = 1 << 22
 #: Texts of these characters only are lower-cased and split alike by all libraries.
 PLAIN = re.compile("[\x00\x02-\x1b\x21-~\x20\xa1-\xa7\xa9\xab-\xae\xb0\xb1\xb4\xb6-\xb8\xbb\xbf-ÿĀ-įĲ-ſ‐-‧€]*")
-PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+")
+PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+| ")
 #: Stands for the end of a word in the rank table; texts that hold it go another way.
 END = "\x01"
 
@@ -42,8 +42,8 @@ class Encoder:
     """Ids of a word-level BPE file (word ends marked in its vocabulary), as bytes
     of little-endian unsigned 32-bit numbers.
 
-    Runs of non-space characters are encoded once and kept; the merges run as ranks of byte strings, in
-    which END stands for the end of a word. Texts outside PLAIN, or with END or a
+    Of texts that are encoded together each distinct run of non-space characters goes through the
+    merges once; ids are then dealt to the texts as arrays. The merges run as ranks of byte strings, in which END stands for the end of a word. Texts outside PLAIN, or with END or a
     special token's string in them, go through the tokenizer file itself.
     """
 
@@ -69,26 +69,45 @@ class Encoder:
         merges = [x if isinstance(x, list) else x.split(" ") for x in spec["model"]["merges"]]
         order = [*_CHARS.values(), *(c + suffix for c in _CHARS.values()), *(a + b for a, b in merges)]
         ranks = {raw(t): i for i, t in enumerate(order)}
-        self.ids = [vocab[t] for t in order]
-        self.piece = tiktoken.Encoding("words", pat_str=f"[^{END}]*{END}", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
-        self.words: dict[str, bytes] = {}
-
-    def word(self, word: str) -> bytes:
-        ids, piece = self.ids, self.piece
-        parts = (word,) if word.isalpha() and word.isascii() else PLAIN_WORD.findall(word)
-        found = [ids[i] for part in parts for i in piece(part + END)]
-        got = struct.pack(f"<{len(found)}I", *found)
-        if len(self.words) >= KEPT_WORDS:
-            self.words.clear()
-        self.words[word] = got
-        return got
+        self.ids = np.array([vocab[t] for t in order], "<u4")
+        self.gap = ranks[raw(_CHARS[0x20] + suffix)]  # a space between two runs, which no text's ids have
+        self.pieces = tiktoken.Encoding("words", pat_str=f"[^{END}]*{END}", mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+
+    def distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the ``words``, one after the other, and where each one's begin and the last one's end."""
+        got = self.pieces(END.join([*PLAIN_WORD.findall(" ".join([*words.to_pylist(), ""])), ""]), disallowed_special=())
+        gaps = np.flatnonzero(got == self.gap)
+        return self.ids[np.delete(got, gaps)], np.append(0, gaps - np.arange(len(gaps)))
+
+    def plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of lower-case texts of PLAIN characters."""
+        words = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        coded = words.flatten().dictionary_encode()
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        ids, begin = self.distinct(coded.dictionary)
+        n = np.diff(begin)[at]
+        ends = np.cumsum(n)
+        place = np.repeat(begin[at] - ends + n, n)
+        place += np.arange(len(place))
+        data = ids[place].tobytes()
+        cuts = (4 * np.append(0, ends)[words.offsets.to_numpy()]).tolist()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        out, plain, which = [b""] * len(texts), [], []
+        for i, text in enumerate(texts):
+            low = (text or "").lower()
+            if PLAIN.fullmatch(text or "") and not any(s in low for s in self.special):
+                plain.append(unicodedata.normalize("NFC", low))
+                which.append(i)
+            else:
+                out[i] = np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        for i, ids in zip(which, self.plain(plain)):
+            out[i] = ids
+        return out
 
     def __call__(self, text: str) -> bytes:
-        low = text.lower()
-        if PLAIN.fullmatch(text) and not any(s in low for s in self.special):
-            have, word = self.words.get, self.word  # no match of PLAIN_WORD has a space in it
-            return b"".join([have(w) or word(w) for w in unicodedata.normalize("NFC", low).split()])
-        return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.many([text])[0]
 
 
 #: Byte to the printable character that stands for it in byte-level vocabularies.
@@ -102,13 +121,21 @@ def encoder(file: str) -> Encoder:
     return Encoder(file)
 
 
+def encoded(encode: Encoder, col: pa.Array) -> Iterator[bytes]:
+    """Ids of each text, some AT_ONCE bytes at a time."""
+    n = pc.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False)
+    for i, j in common.chunks(np.append(0, np.cumsum(n, dtype=np.int64)), AT_ONCE):
+        yield from encode.many(col.slice(i, j - i).to_pylist())
+    common.release()  # what arrays of all sizes have left behind
+
+
 def _pieces(file: str, capacity: int, end_id: int, with_ids: bool, carried: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(file), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
-            for row, text in enumerate(batch.column("text")):
-                data = encode(text.as_py() or "") + end
+            for row, found in enumerate(encoded(encode, batch.column("text"))):
+                data = found + end
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     rows.append(row)

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -345,3 +346,17 @@ def test_ordinary_words_are_no_secrets(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "guess"] for r in secrets.secret_spans(docs).collect()}
     assert got == {0: [], 1: [], 2: [], 3: ["xkqzvbwnm"], 4: ["xkqzvbwnm"], 5: []}
+
+
+def test_words_of_many_texts_are_encoded_once():
+    """Ids dealt to texts that are encoded together, with one pass over their distinct words."""
+    encode, slow = packing.Encoder(WORDS), tokenizers.Tokenizer.from_file(WORDS)
+    texts = ["", None, "  two\t\tspaces \n", "It's the dog's, isn't it? 123", "the dog, the dog", " ", "x\u0301\u4e2d the dog", "É<|endoftext|>a", "e\u00e9E\u00c9 don't...!!", "a_b __c"] * 3
+    sent, pieces = [], encode.pieces
+    encode.pieces = lambda text, **kw: sent.append(text) or pieces(text, **kw)
+    got = encode.many(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [slow.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert len(sent) == 1 and sent[0].count("spaces") == 1
+    assert encode.many([]) == [] and encode.many(["\u4e2d"]) == [encode("\u4e2d")] and encode(None) == b""
+    col = pa.array(texts)
+    assert list(packing.encoded(encode, col)) == got and list(packing.encoded(encode, col[3:7])) == got[3:7]
