@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -29,6 +30,8 @@ from . import common
 CAPACITY = 2048
 #: Rows that are packed together where sequences follow the order of the rows.
 ROWS = 1 << 14
+#: Runs of non-space characters kept with their ids by each worker before it starts anew.
+KEPT_WORDS = 160_000
 #: Bytes of texts that are encoded together.
 AT_ONCE = 1 << 22
 #: Texts of these characters only are lower-cased and split alike by all libraries.
@@ -42,7 +45,8 @@ class Encoder:
     """Ids of a word-level BPE file (word ends marked in its vocabulary), as bytes
     of little-endian unsigned 32-bit numbers.
 
-    Of texts that are encoded together each distinct run of non-space characters goes through the
+    A single text's runs of non-space characters are encoded once and kept, which takes the least memory.
+    Of texts that are encoded together (``many``) each distinct run of non-space characters goes through the
     merges once; ids are then dealt to the texts as arrays. The merges run as ranks of byte strings, in which END stands for the end of a word. Texts outside PLAIN, or with END or a
     special token's string in them, go through the tokenizer file itself.
     """
@@ -71,7 +75,19 @@ class Encoder:
         ranks = {raw(t): i for i, t in enumerate(order)}
         self.ids = np.array([vocab[t] for t in order], "<u4")
         self.gap = ranks[raw(_CHARS[0x20] + suffix)]  # a space between two runs, which no text's ids have
-        self.pieces = tiktoken.Encoding("words", pat_str=f"[^{END}]*{END}", mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+        merged = tiktoken.Encoding("words", pat_str=f"[^{END}]*{END}", mergeable_ranks=ranks, special_tokens={})
+        self.pieces, self.piece, self.kept = merged.encode_to_numpy, merged._encode_single_piece, self.ids.tolist()
+        self.words: dict[str, bytes] = {}
+
+    def word(self, word: str) -> bytes:
+        ids, piece = self.kept, self.piece
+        parts = (word,) if word.isalpha() and word.isascii() else PLAIN_WORD.findall(word)
+        found = [ids[i] for part in parts for i in piece(part + END)]
+        got = struct.pack(f"<{len(found)}I", *found)
+        if len(self.words) >= KEPT_WORDS:
+            self.words.clear()
+        self.words[word] = got
+        return got
 
     def distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the ``words``, one after the other, and where each one's begin and the last one's end."""
@@ -107,7 +123,11 @@ class Encoder:
         return out
 
     def __call__(self, text: str) -> bytes:
-        return self.many([text])[0]
+        low = text.lower()
+        if PLAIN.fullmatch(text) and not any(s in low for s in self.special):
+            have, word = self.words.get, self.word  # no match of PLAIN_WORD in a run has a space in it
+            return b"".join([have(w) or word(w) for w in unicodedata.normalize("NFC", low).split()])
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 #: Byte to the printable character that stands for it in byte-level vocabularies.
@@ -134,8 +154,8 @@ def _pieces(file: str, capacity: int, end_id: int, with_ids: bool, carried: tupl
         encode, end = encoder(file), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
-            for row, found in enumerate(encoded(encode, batch.column("text"))):
-                data = found + end
+            for row, text in enumerate(batch.column("text")):
+                data = encode(text.as_py() or "") + end
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     rows.append(row)

@@ -357,6 +357,9 @@ def test_words_of_many_texts_are_encoded_once():
     got = encode.many(texts)
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [slow.encode(t or "", add_special_tokens=False).ids for t in texts]
     assert len(sent) == 1 and sent[0].count("spaces") == 1
-    assert encode.many([]) == [] and encode.many(["\u4e2d"]) == [encode("\u4e2d")] and encode(None) == b""
+    encode.pieces = pieces
+    assert encode.many([]) == [] and encode.many(["\u4e2d"]) == [encode("\u4e2d")]
+    for text in HARD:
+        assert encode.many([text, "x"]) == [encode(text), encode("x")], text[:80]
     col = pa.array(texts)
     assert list(packing.encoded(encode, col)) == got and list(packing.encoded(encode, col[3:7])) == got[3:7]
