@@ -454,3 +454,43 @@ def test_tidy_tables_leave_no_shuffle_files(spark):
     before = spark.conf.get(store.CLEANUP, None)
     saved = store.saved(spark.range(1000).repartition(3), "tidy", tidy=True)
     assert saved.count() == 1000 and spark.conf.get(store.CLEANUP, None) == before
+
+
+def test_lm_sends_out_the_pairs_that_are_told_alone(spark, monkeypatch):
+    """What follows a pair of words leaves its task only if some text is told it, in any number of buckets and parts."""
+    line = " ".join(f"v{i}" for i in range(60))
+    texts = [" ".join(f"w{i}" for i in range(2000)), line, "x " + line, "y w5 w6 w7", "w8 w9 other w8 w9 more", "u0 u1 u2 u3", None]
+    rows = [(i, t or "", i == 3) for i, t in enumerate(texts)]
+    src = spark.createDataFrame(rows, "id long, text string, held_out boolean")
+    found, asked = {}, set()
+    for i, t, out in rows:
+        raw = b"\0" * 4 + t.encode() + b"\0"
+        data = np.frombuffer(t.encode(), np.uint8)
+        places, keys, _ = lm_scoring.word_pairs(*lm_scoring.padded(data, np.array([0, len(data)])))
+        asked |= set(keys.tolist()) if out else set()
+        for k, at in zip(keys.tolist(), places.tolist()):
+            if not out:
+                found.setdefault(k, []).append(follows(raw, at))
+    want = {k: (len(v), os.path.commonprefix(v)) for k, v in found.items() if os.path.commonprefix(v) and (len(v) > 1 or k in asked)}
+    assert 50 < len(want) < len(found) / 20
+    scores = []
+    for bucket, part in ((1 << 22, 1 << 11), (1 << 10, 3)):
+        monkeypatch.setattr(lm_scoring, "BUCKET", bucket)
+        monkeypatch.setattr(lm_scoring, "PART", part)
+        live = lm_scoring.live_pairs(src)
+        assert len(live) == (1 if part > 3 else 6)
+        sent = lm_scoring.continuations(src.filter("not held_out").select("text"), live).collect()
+        got = {r["key"]: (r["n"], bytes(r["same"])) for r in sent}
+        assert len(got) == len(sent) < len(want) + 20 and want.items() <= got.items()
+        scores.append({r["id"]: r["score"] for r in lm_scoring.lm_scores(src, F.col("held_out"), "id").collect()})
+    assert scores[0] == pytest.approx(scores[1], rel=1e-6)
+
+
+def test_deleted_tables_are_gone(spark):
+    from gatewise.operators import store
+
+    saved = store.saved(spark.range(10), "gone")
+    (path,) = {f.rsplit("/", 1)[0].removeprefix("file:") for f in saved.inputFiles()}
+    assert os.path.isdir("/" + path.lstrip("/"))
+    store.deleted(saved)
+    assert not os.path.exists("/" + path.lstrip("/"))
