@@ -494,3 +494,53 @@ def test_deleted_tables_are_gone(spark):
     assert os.path.isdir("/" + path.lstrip("/"))
     store.deleted(saved)
     assert not os.path.exists("/" + path.lstrip("/"))
+
+
+def test_lm_texts_follow_each_other_in_step(monkeypatch):
+    """Short texts take the places of those that have ended beside a long one."""
+    rng = np.random.default_rng(5)
+    tables = [rng.integers(-60, 60, 1 << (b + 8)).astype(np.int8) for _, b in lm_scoring.ORDERS]
+    mixer, calls = lm_scoring.Mixer(lm_scoring.laid_out(tables)), []
+    monkeypatch.setattr(lm_scoring, "TOGETHER", 8)
+    block = lm_scoring.Mixer._block
+    monkeypatch.setattr(lm_scoring.Mixer, "_block", lambda self, *a: calls.append(1) or block(self, *a))
+    texts = [bytes(rng.integers(97, 123, n * lm_scoring.BLOCK - 1).tolist()) for n in (30, *[3] * 70)]
+    got = mixer.run(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    assert len(calls) <= 30 + 3 and (got > 0).all()  # 240 blocks in 8 places
+
+
+def test_lm_counts_leave_their_tasks_by_part(spark):
+    """Counts go out as a row for each part, and merge to those of all texts."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 3000, 400)) for _ in range(40)]
+    halves = [[pa.RecordBatch.from_arrays([pa.array(texts[i::2])], names=["text"])] for i in range(2)]
+    dealt = [pa.Table.from_batches(list(lm_scoring._counted_parts(iter(h)))) for h in halves]
+    assert all(d.num_rows < 5000 for d in dealt)
+    parts = lm_scoring.made(spark.createDataFrame(pa.concat_tables(dealt).to_pandas(), lm_scoring.DEALT))
+    got = {r["key"]: r["n"] for r in parts.filter("kind = 0").select("keys", "data").mapInArrow(lm_scoring._words, "key long, n long").collect()}
+    data, offs = common.utf8(pa.array(texts))
+    hashes, n = np.unique(lm_scoring._word_rows(data, offs)[0].view(np.int64), return_counts=True)
+    assert got == dict(zip(hashes.tolist(), n.tolist()))
+
+
+def test_lm_pairs_leave_their_tasks_by_bucket(spark):
+    """What follows pairs of words goes out as a row for each bucket, and merges to what all texts agree on."""
+    texts = [" ".join(f"w{i}" for i in range(300)), "w0 w1 w2 other w7 w8 w9 w10 w11", "w5 w6 end"]
+    found = [[b for b in lm_scoring._pairs(iter([pa.RecordBatch.from_arrays([pa.array([t])], names=["text"])]))] for t in texts]
+    dealt = [pa.Table.from_batches([lm_scoring._pairs_packed(2, f)]) for f in found]
+    assert all(d.num_rows <= 4 for d in dealt)
+    rows = pa.concat_tables(dealt)
+    got = {}
+    for bucket in range(4):
+        part = rows.filter(pa.array([b == bucket for b in rows.column("bucket").to_pylist()]))
+        if part.num_rows:
+            got |= {k: (n, same) for k, n, same in zip(*(lm_scoring._same(part).column(c).to_pylist() for c in ("key", "n", "same")))}
+    want = {}
+    for t in texts:
+        raw = b"\0" * 4 + t.encode() + b"\0"
+        data = np.frombuffer(t.encode(), np.uint8)
+        places, keys, _ = lm_scoring.word_pairs(*lm_scoring.padded(data, np.array([0, len(data)])))
+        for key, at in zip(keys.view(np.int64).tolist(), places.tolist()):
+            want.setdefault(key, []).append(follows(raw, at))
+    want = {k: (len(v), os.path.commonprefix(v)) for k, v in want.items() if os.path.commonprefix(v)}
+    assert got == want
