@@ -322,6 +322,13 @@ def img_sheet(spark, sf_dir):
     return kernels.image_map(_images(spark, sf_dir), lambda a: kernels.sheet([a, -a[: 2 * (a.shape[0] // 2) : 2]], 2, 9.0), ["vec_id"]).select("vec_id", "pixels")
 
 
+def _half_up(x: np.ndarray, digits: int) -> np.ndarray:
+    """Numbers from 0 on, rounded as in SQL, where halves go up; numpy takes them to the even digit."""
+    scaled = x * 10.0**digits
+    whole = np.floor(scaled)
+    return (whole + (scaled - whole >= 0.5)) / 10.0**digits
+
+
 @query(f"SELECT vec_id, list_transform({_UNIT}, lambda v: [round(v * 0.6, 6) + 0.0, round(v, 6) + 0.0, round(v * 0.36, 6) + 0.0]) AS rgb FROM embeddings")
 def img_color(spark, sf_dir):
     """Brightness in one hue (1.625 / 6, saturation 0.64)."""
@@ -329,8 +336,16 @@ def img_color(spark, sf_dir):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [kernels.hsv_to_rgb(kernels.normalize(px.values.to_numpy(zero_copy_only=False), -0.2, 0.2), 1.625 / 6, 0.64) for px in b.column("pixels")]
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array([(np.round(x, 6) + 0.0).tolist() for x in out], pa.list_(pa.list_(pa.float64())))], names=["vec_id", "rgb"])
+            images = b.column("pixels")
+            pixels = images.flatten()
+            null, v = pixels.is_null().to_numpy(zero_copy_only=False), pixels.to_numpy(zero_copy_only=False)
+            # SQL orders NaN above all numbers.
+            unit = kernels.normalize(np.where(np.isnan(v), np.inf, v), -0.2, 0.2)
+            rgb = _half_up(kernels.hsv_to_rgb(unit, 1.625 / 6, 0.64), 6)
+            colors = pa.ListArray.from_arrays(np.arange(0, rgb.size + 1, 3, dtype=np.int32), pa.array(rgb.ravel(), mask=np.repeat(null, 3)))
+            ends = np.cumsum(images.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int32)
+            out = pa.ListArray.from_arrays(np.append(np.int32(0), ends), colors, mask=images.is_null())
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), out], names=["vec_id", "rgb"])
 
     return rows.mapInArrow(run, "vec_id long, rgb array<array<double>>")
 
